@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python need not have it on its path; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_quillspark_shipped", False):
+        return
+    context._quillspark_shipped = True
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="quillspark-code-")  # Spark serves the file from here until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,6 +34,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only where that setting is absent (tests, one machine) a temporary folder takes its place.
     """
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"

@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import language_id
+from . import dart_minhash, language_id
 
 QUERIES = {
+    "op6_dart_minhash": dart_minhash.query,
     "op10_language_id": language_id.query,
 }
 ORACLE_SQL: dict[str, str] = {}
