@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import dart_minhash, language_id
+from quillspark.llm import dart_minhash, decontaminate, language_id
 from quillspark.llm.common import materialise, table
 
 STAGES = [
     ("language_id", language_id.stage),
     ("near_dedup", dart_minhash.stage),
+    ("decontamination", decontaminate.stage),
 ]
 #: Model fitting, near-duplicate search and sub-word encoding have no SQL form; tests/llm holds the brute-force versions.
 ORACLE_SQL = None

@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import dart_minhash, language_id
+from . import dart_minhash, decontaminate, language_id
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.query,
     "op6_dart_minhash": dart_minhash.query,
     "op10_language_id": language_id.query,
 }
