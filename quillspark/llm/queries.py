@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import dart_minhash, decontaminate, language_id
+from . import dart_minhash, decontaminate, language_id, sanitise
 
 QUERIES = {
+    "op9_sanitise": sanitise.query,
     "op4_decontaminate": decontaminate.query,
     "op6_dart_minhash": dart_minhash.query,
     "op10_language_id": language_id.query,
