@@ -1,8 +1,10 @@
 """The queries of this subpackage."""
 
-from . import dart_minhash, decontaminate, language_id, sanitise
+from . import bpe, dart_minhash, decontaminate, language_id, sanitise, token_store
 
 QUERIES = {
+    "op7_bpe": bpe.query,
+    "op8_token_store": token_store.query,
     "op9_sanitise": sanitise.query,
     "op4_decontaminate": decontaminate.query,
     "op6_dart_minhash": dart_minhash.query,
