@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import dart_minhash, decontaminate, language_id, sanitise
+from quillspark.llm import bpe, dart_minhash, decontaminate, language_id, sanitise
 from quillspark.llm.common import materialise, table
 
 STAGES = [
@@ -12,6 +12,7 @@ STAGES = [
     ("near_dedup", dart_minhash.stage),
     ("decontamination", decontaminate.stage),
     ("sanitisation", sanitise.stage),
+    ("bpe", bpe.stage),
 ]
 #: Model fitting, near-duplicate search and sub-word encoding have no SQL form; tests/llm holds the brute-force versions.
 ORACLE_SQL = None
