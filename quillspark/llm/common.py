@@ -18,6 +18,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quillspark_shipped", False):
         return
     context._quillspark_shipped = True
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default; rows here are whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     package = Path(__file__).resolve().parent.parent
     folder = tempfile.mkdtemp(prefix="quillspark-code-")  # Spark serves the file from here until the end
     atexit.register(shutil.rmtree, folder, ignore_errors=True)

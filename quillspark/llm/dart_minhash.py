@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingles of whole texts; word hashes are remembered up to a fixed number of words."""
 
-    def __init__(self, words: int, remembered: int = 400_000):
+    def __init__(self, words: int, remembered: int = 100_000):
         self.words, self.remembered, self.known = words, remembered, {}
 
     def word_hashes(self, text: str) -> np.ndarray:
