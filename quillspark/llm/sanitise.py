@@ -36,7 +36,6 @@ class Settings:
     window: int = 60  # characters on either side of an entity
     support: int = 3
     disclosure: float = 0.8
-    broadcast_terms: int = 100_000
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -121,11 +120,8 @@ def disclosing(found: DataFrame, docs: DataFrame, settings: Settings = Settings(
     pairs = found.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= settings.support)
     pairs = materialise(pairs, "pairs")
     entities = found.groupBy("entity").agg(F.countDistinct("key").alias("of_entity"))
-    terms = pairs.select("term").distinct()
-    if terms.limit(settings.broadcast_terms + 1).count() <= settings.broadcast_terms:  # the size is checked
-        terms = F.broadcast(terms)
     words = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    often = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
+    often = words.groupBy("term").agg(F.count("*").alias("of_term"))
     total = docs.agg(F.count("*").alias("n"))
     rated = pairs.join(entities, "entity").join(often, "term").crossJoin(F.broadcast(total))  # one row
     information = F.log2(F.col("n") / F.col("of_entity"))
