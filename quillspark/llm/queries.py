@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import bpe, dart_minhash, decontaminate, language_id, sanitise, token_store
+from . import bpe, dart_minhash, decontaminate, language_id, sanitise, token_store, wrapper
 
 QUERIES = {
+    "op3_wrapper": wrapper.query,
     "op7_bpe": bpe.query,
     "op8_token_store": token_store.query,
     "op9_sanitise": sanitise.query,
