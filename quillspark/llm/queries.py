@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import bpe, dart_minhash, decontaminate, language_id, ngram_trie, sanitise, token_store, wrapper
+from . import bpe, dart_minhash, decontaminate, language_id, ngram_trie, sanitise, token_store, toxicity, wrapper
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op5_ngram_trie": ngram_trie.query,
     "op3_wrapper": wrapper.query,
     "op7_bpe": bpe.query,
