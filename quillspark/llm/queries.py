@@ -1,8 +1,9 @@
 """The queries of this subpackage."""
 
-from . import bpe, dart_minhash, decontaminate, language_id, ngram_trie, sanitise, token_store, toxicity, wrapper
+from . import bpe, chroma, dart_minhash, decontaminate, language_id, ngram_trie, sanitise, token_store, toxicity, wrapper
 
 QUERIES = {
+    "op1_chroma": chroma.query,
     "op2_toxicity": toxicity.query,
     "op5_ngram_trie": ngram_trie.query,
     "op3_wrapper": wrapper.query,
