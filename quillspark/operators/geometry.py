@@ -115,3 +115,85 @@ def corrections(edits: DataFrame) -> DataFrame:
     width = lambda b: F.col(f"{b}.x1") - F.col(f"{b}.x0")
     height = lambda b: F.col(f"{b}.y1") - F.col(f"{b}.y0")
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.avg(F.col("after.x0") - F.col("before.x0")).alias("dx"), F.avg(F.col("after.y0") - F.col("before.y0")).alias("dy"), F.avg(width("after") - width("before")).alias("dw"), F.avg(height("after") - height("before")).alias("dh"))
+
+
+def normal_box(b: Column, width: Column, height: Column, least: float = 4.0) -> Column:
+    """The box in order, on the page and rounded to hundredths; null if it is too small or not finite."""
+    clamp = lambda v, most: F.round(F.greatest(F.lit(0.0), F.least(v, most)), 2)
+    out = F.struct(
+        clamp(F.least(b["x0"], b["x1"]), width).alias("x0"), clamp(F.least(b["y0"], b["y1"]), height).alias("y0"), clamp(F.greatest(b["x0"], b["x1"]), width).alias("x1"), clamp(F.greatest(b["y0"], b["y1"]), height).alias("y1")
+    )
+    finite = X.all_of(*(~F.isnan(b[n]) & (F.abs(b[n]) != float("inf")) for n in ("x0", "y0", "x1", "y1")))
+    return F.when(finite & (out["x1"] - out["x0"] >= least) & (out["y1"] - out["y0"] >= least), out)
+
+
+def padded(b: Column, width: Column, height: Column, pad: float = 6.0, least: float = 2.0) -> Column:
+    """The box made larger on all sides, on the page; null if it is too small."""
+    wide = F.struct((b["x0"] - pad).alias("x0"), (b["y0"] - pad).alias("y0"), (b["x1"] + pad).alias("x1"), (b["y1"] + pad).alias("y1"))
+    return normal_box(wide, width, height, least)
+
+
+def label_lines(lines: DataFrame, page: str, labels: dict[str, str]) -> DataFrame:
+    """Values behind labels on visual lines (page, line, text, x0..y1): the line's box from where the label ends, in
+    proportion to its characters. labels are patterns in order; the first that fits wins."""
+    kind, size = F.lit(None).cast("string"), F.lit(0)
+    for name, pattern in reversed(labels.items()):
+        hit = F.regexp_substr("text", F.lit("(?i)" + pattern))
+        kind, size = F.when(hit.isNotNull(), name).otherwise(kind), F.when(hit.isNotNull(), F.regexp_instr("text", F.lit("(?i)" + pattern)) - 1 + F.length(hit)).otherwise(size)
+    rows = lines.withColumn("type", kind).withColumn("__at", size).where("type IS NOT NULL")
+    value = F.trim(F.substring(F.col("text"), F.col("__at") + 1, F.length("text")))
+    rows = rows.withColumn("value", value).where((F.length("value") >= 2) & (~F.col("type").isin("phone", "council_ref") | F.col("value").rlike(r"\d")))
+    share = F.col("__at") / F.length("text")
+    return rows.select(page, "line", "type", "value", F.struct((F.col("x0") + share * (F.col("x1") - F.col("x0"))).alias("x0"), "y0", "x1", "y1").alias("box"), F.lit(0.95).alias("confidence"), F.lit("field_line").alias("method"))
+
+
+def lines_for_values(values: DataFrame, lines: DataFrame, page: str, least: float = 0.45) -> DataFrame:
+    """For each value (page, value_id, value), the page's line that is most like it and how much: containment counts as
+    at least 0.8. A page's lines are few; pairs stay on their page."""
+    pairs = values.join(lines.select(page, "line", "norm", F.struct("x0", "y0", "x1", "y1").alias("box")), page)
+    wanted = X.compact(F.col("value"))
+    ratio = X.similarity(wanted, F.col("norm"))
+    score = F.when((F.length(wanted) > 0) & (F.contains(F.col("norm"), wanted) | ((F.length("norm") > 3) & F.contains(wanted, F.col("norm")))), F.greatest(ratio, F.lit(0.8))).otherwise(ratio)
+    best = pairs.withColumn("score", score).groupBy(page, "value_id").agg(F.max_by(F.struct("line", "box", "score"), F.struct("score", -F.col("line"))).alias("b"))
+    return best.where(F.col("b.score") >= least).select(page, "value_id", "b.*", (F.col("b.score") < 0.55).alias("needs_review"))
+
+
+def label_windows(words: DataFrame, values: DataFrame, page: str, longest: int = 18, least: float = 0.72) -> DataFrame:
+    """For each value (page, value_id, value), the best run of at most `longest` words: 1 if equal in compact form, else by
+    the share of the longer that their longest common part covers; with the run's box."""
+    schema = f"{page} long, value_id long, first int, last int, score double, x0 double, y0 double, x1 double, y1 double"
+
+    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        left = left.sort_values("word_no")
+        compact = ["".join(c for c in t.lower() if c.isascii() and c.isalnum()) for t in left.text]
+        out = []
+        for value_id, value in zip(right.value_id, right.value):
+            wanted, best = "".join(c for c in (value or "").lower() if c.isascii() and c.isalnum()), None
+            for i in range(len(compact)) if wanted else ():
+                run = ""
+                for j in range(i, min(i + longest, len(compact))):
+                    run += compact[j]
+                    if len(run) > 2 * len(wanted) + 8:
+                        break
+                    if not run:
+                        continue
+                    part = SequenceMatcher(None, wanted, run, autojunk=False).find_longest_match().size
+                    score = 1.0 if run == wanted else part / max(len(run), len(wanted))
+                    if best is None or score > best[0]:
+                        best = (score, i, j)
+            if best and best[0] >= least:
+                part = left.iloc[best[1] : best[2] + 1]
+                out.append((key[0], value_id, best[1], best[2], best[0], part.x0.min(), part.y0.min(), part.x1.max(), part.y1.max()))
+        return pd.DataFrame(out, columns=[page, "value_id", "first", "last", "score", "x0", "y0", "x1", "y1"])
+
+    return words.groupBy(page).cogroup(values.groupBy(page)).applyInPandas(search, schema)
+
+
+def corner(ink: Column, blend: float = 0.04) -> Column:
+    """The corner with the least ink, the first of equals, and whether a mark there must be blended in.
+
+    ink is an array of shares for the corners in order of preference."""
+    best = F.array_min(F.transform(ink, lambda v, i: F.struct(v.alias("ink"), i.alias("corner"))))
+    return F.struct(best["corner"].alias("corner"), (best["ink"] > blend).alias("blended"))

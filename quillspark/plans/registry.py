@@ -13,6 +13,8 @@ from quillspark.operators import detect as D
 from quillspark.operators import evaluate as E
 from quillspark.operators import geometry as G
 from quillspark.operators import integrity as I
+from quillspark.operators import review as R
+from quillspark.operators import text as T
 from quillspark.operators import workflow as W
 
 QUERIES: dict = {}
@@ -420,3 +422,88 @@ def page_warnings(spark, sf_dir):
 @query("name_search", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%00001%'")
 def name_search(spark, sf_dir):
     return W.search_name(table(spark, sf_dir, "customer"), "c_name", "00001").select("c_custkey", "c_name")
+
+
+# -- texts, review, geometry --------------------------------------------------------------------------------------------
+
+
+@query("highlights", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::BIGINT AS n FROM documents")
+def highlights(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.highlights(F.col("text"), "the")).cast("long").alias("n"))
+
+
+@query("chunked_text")
+def chunked_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text"))
+    return rows.select("conv_id", "turn", "chunk", "text")
+
+
+@query("selected_text", "SELECT doc_id, trim(substr(text, 6, 20), ' ' || chr(10) || chr(9)) AS value FROM documents")
+def selected_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.selection(F.col("text"), F.lit(25), F.lit(5))["value"].alias("value"))
+
+
+@query("event_props", "SELECT event_id, coalesce((props::JSON ->> 'k')::BIGINT, -1) AS k FROM events")
+def event_props(spark, sf_dir):
+    answer = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return table(spark, sf_dir, "events").select("event_id", T.repaired_json(answer, "k long", {"k": F.lit(-1).cast("long")})["k"].alias("k"))
+
+
+_ROUTED = "(SELECT doc_id, category, (CASE WHEN length(text) > 4000 THEN 2 ELSE 1 END) AS pages, quality FROM " + _ANALYSED + " LEFT JOIN labels USING (doc_id))"
+
+
+@query(
+    "review_reasons",
+    f"SELECT doc_id, array_to_string(list_filter([CASE WHEN pages > 1 THEN 'Multi-page document' END, CASE WHEN quality = 0 THEN 'Low OCR confidence' END, CASE WHEN {_REVIEWED} THEN 'Category requires review' END], lambda x: x IS NOT NULL), '; ') AS reason, CASE WHEN pages > 1 OR coalesce(quality = 0, false) OR {_REVIEWED} THEN 'needs_review' ELSE 'complete' END AS status FROM {_ROUTED}",
+)
+def review_reasons(spark, sf_dir):
+    rows = _analysed(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = rows.select(
+        "doc_id", "category", C.profiles(F.col("category")).alias("profiles"), F.when(F.length("text") > 4000, 2).otherwise(1).alias("pages"), F.lit(None).cast("double").alias("least_box_confidence"),
+        F.when(F.col("quality") == 0, 0.5).otherwise(0.9).alias("ocr_confidence"), F.lit(None).cast("double").alias("transcription_confidence"), F.lit(True).alias("vision_complete"), F.lit(0).alias("vision_warnings"),
+        F.lit("").alias("selected_category"), F.lit(None).cast("string").alias("error"),
+    )
+    return R.route(rows).select("doc_id", "reason", "status")
+
+
+@query("tab_counts", f"SELECT count(*) AS \"all\", count(*) FILTER ({_REVIEWED}) AS needs_review, count(*) FILTER (NOT {_REVIEWED}) AS processed, 0::BIGINT AS approved, 0::BIGINT AS failed FROM {_ANALYSED}")
+def tab_counts(spark, sf_dir):
+    rows = _analysed(spark, sf_dir)
+    status = C.final_status(C.requires_review(F.col("category"), C.profiles(F.col("category"))), F.lit(None))
+    return R.tab_counts(rows.select(status.alias("status"), F.lit(False).alias("flag_needs_review")))
+
+
+@query(
+    "applied_reviews",
+    f"SELECT id, new_status, coalesce(lag(new_status) OVER (PARTITION BY document_id ORDER BY reviewed_at, id), 'pending') AS previous_status FROM (SELECT *, CASE action_type WHEN 'approve' THEN 'approved' WHEN 'modify' THEN 'modified' WHEN 'remove' THEN 'rejected' ELSE 'pending' END AS new_status FROM {_REVIEWS})",
+)
+def applied_reviews(spark, sf_dir):
+    rows = _reviews(spark, sf_dir).withColumnRenamed("document_id", "redaction_id")
+    redactions = rows.select(F.col("redaction_id").alias("id")).distinct().withColumn("status", F.lit("pending"))
+    return R.applied(redactions, rows).select("id", "new_status", "previous_status")
+
+
+@query("page_regions")
+def page_regions(spark, sf_dir):
+    words = G.layout(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), "text"))
+    return G.regions(words, "page")
+
+
+@query("value_boxes")
+def value_boxes(spark, sf_dir):
+    """The third word of each item found again among the page's words, as a box."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), "text")
+    values = items.select("page", F.col("page").alias("value_id"), F.element_at(F.split("text", r"\s+"), 3).alias("value"))
+    return G.label_windows(G.layout(items), values, "page").select("page", "value_id", "first", "last", "score")
+
+
+@query("value_lines")
+def value_lines(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), "text")
+    values = items.select("page", F.col("page").alias("value_id"), F.element_at(F.split("text", r"\s+"), 3).alias("value"))
+    return G.lines_for_values(values, G.cluster_lines(G.layout(items), "page"), "page").select("page", "value_id", "line", "score", "needs_review")
+
+
+@query("duplicate_documents", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").select("doc_id", "n")
