@@ -36,7 +36,8 @@ def selection(text: Column, start: Column, end: Column) -> Column:
 
 def found_selection(text: Column, wanted: Column) -> Column:
     """The first place of a text in another, without regard to case and to how white space is written; null if none."""
-    pattern = F.regexp_replace(F.regexp_replace(F.trim(wanted), r"([\\\[\](){}.*+?^$|])", r"\\\\$1"), r"\s+", r"\\\\s+")
+    words = F.filter(F.split(wanted, r"\s+"), lambda w: w != "")
+    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"\s+")
     at = F.regexp_instr(text, F.concat(F.lit("(?isu)"), pattern))
     value = F.regexp_substr(text, F.concat(F.lit("(?isu)"), pattern))
     return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end"), value.alias("value")))

@@ -109,7 +109,7 @@ def retention_due(documents: DataFrame, policies: DataFrame, as_of: Column, defa
     """Documents older than their category's years of 365 days; a report, nothing is deleted."""
     years = F.coalesce("retention_years", F.lit(default_years))
     rows = documents.join(policies.select("category", "retention_years"), "category", "left")
-    return rows.where(F.col("created_at") < F.timestampadd("DAY", -365 * years, as_of)).drop("retention_years")
+    return rows.where(F.col("created_at") < F.dateadd(F.to_date(as_of), -365 * years)).drop("retention_years")
 
 
 def index_split(rows: DataFrame, index: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
