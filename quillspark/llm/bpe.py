@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 #: No pre-token of the byte-level pattern crosses the place before a space between two characters that are not
 #: white space: what comes before ends there, and the space opens the next.
@@ -36,7 +36,7 @@ LONG = 32
 class Settings:
     leaf: int = 8192  # characters
     window: int = 64  # bytes on either side of a join, to begin with
-    remembered: int = 400_000  # units
+    remembered: int = 150_000  # units
 
 
 @lru_cache(maxsize=2)
@@ -87,17 +87,10 @@ class ByteBpe:
     # -- direct encoding of units ------------------------------------------------------------------------------
 
     @staticmethod
-    def units(text: str) -> list[str]:
+    def words(text: str) -> list[str]:
+        """text cut at its safe places, the space of each left out."""
         mark = "\0" if "\0" not in text else next(c for c in map(chr, range(1, 0x110000)) if c not in text and not c.isspace())
-        return SAFE.sub(mark + " ", text).split(mark)
-
-    @staticmethod
-    def _chains(unit: str) -> bool:
-        """Whether the unit opens with the space of a safe place and the next one may follow it."""
-        return len(unit) > 1 and unit[0] == " " and not unit[1].isspace() and not unit[-1].isspace()
-
-    def _ids(self, unit: str) -> bytes:
-        return self.known[unit[1:]] if self._chains(unit) else self.odd[unit]
+        return SAFE.sub(mark, text).split(mark)
 
     def _remember(self, chain: list[str], apart: list[str]) -> None:
         """Encode what is not known: words that follow a space, and units that stand apart. The words are put one
@@ -116,12 +109,6 @@ class ByteBpe:
             self.known.update((w, raw[a:b]) for w, a, b in zip(piece, cuts, cuts[1:]))
         self.odd.update((u, array("I", e.ids).tobytes()) for u, e in zip(apart, encoded[len(pieces) :]))
 
-    def _learn(self, units: set[str]) -> None:
-        follow = {u[1:] for u in units if self._chains(u)}
-        self._remember(list(follow.difference(self.known)), [u for u in units if not self._chains(u) and u not in self.odd])
-        if any(w not in self.known for w in follow):  # what was known went to make room
-            self._remember(list(follow.difference(self.known)), [u for u in units if not self._chains(u) and u not in self.odd])
-
     def _split(self, texts: list[str]) -> list[list[str]]:
         """texts at every space, their words remembered in one parallel batch."""
         split = [t.split(" ") for t in texts]
@@ -130,16 +117,22 @@ class ByteBpe:
         self._remember([w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()], [h for h in heads if h])
         return split
 
-    def _found(self, text: str, words: list[str]) -> tuple[list[bytes], list[str] | None]:
-        """Ids of each word, or where a space is no safe place, of each unit, which are then given too."""
+    def _found(self, text: str, words: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids of each unit, and the units without the spaces between them."""
         try:
             if words[0][-1:].isspace() and len(words) > 1:
                 raise KeyError
-            return [self.odd[words[0]], *map(self.known.__getitem__, words[1:])], None
-        except KeyError:  # also if what was known went to make room
-            units = self.units(text)
-            self._learn(set(units))
-            return [*map(self._ids, units)], units
+            return [self.odd[words[0]], *map(self.known.__getitem__, words[1:])], words
+        except KeyError:  # some space is no safe place, or what was known went to make room
+            words = self.words(text)
+            head, last = words[0], " " + words[-1] if len(words) > 1 else words[0]
+            for _ in range(2):
+                middle = set(words[1:-1]).difference(self.known)
+                apart = [u for u in {head, last} if u not in self.odd]
+                if middle or apart:
+                    self._remember(list(middle), apart)
+            found = [self.odd[head], *map(self.known.__getitem__, words[1:-1])]
+            return (found if len(words) == 1 else [*found, self.odd[last]]), words
 
     def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special tokens."""
@@ -148,13 +141,13 @@ class ByteBpe:
     def _node(self, text: str, words: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """A leaf: its bytes, its ids, and marks of places where a pre-token begins: all of them in units of over
         `LONG` ids, only the unit's own in others."""
-        found, units = self._found(text, words)
+        found, words = self._found(text, words)
         sizes = np.array([*map(len, found)]) // 4
         starts = np.cumsum(sizes) - sizes
         marks = np.zeros(int(sizes.sum()), np.uint8)
         marks[starts[sizes > 0]] = 1
         for i in np.flatnonzero(sizes > LONG):
-            unit = units[i] if units else " " + words[i] if i else words[0]
+            unit = " " + words[i] if i else words[0]
             if unit not in self.known_first:
                 self.known_first[unit] = _beginnings(self.tokenizer.encode(unit, add_special_tokens=False).word_ids)
             marks[starts[i] : starts[i] + sizes[i]] = self.known_first[unit]
@@ -302,13 +295,13 @@ def encode(docs: DataFrame, path: str | None = None, settings: Settings = Settin
     def run(batches):
         bpe = load(path or default_path(), settings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 found = [x.astype(np.int32) for x in bpe.encode_many([t or "" for t in part.column("text").to_pylist()])]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=[*part.schema.names, "ids"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -323,7 +316,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
                 found = [bpe.decode(np.array(x or [], np.int64)) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -331,7 +324,7 @@ def digests(docs: DataFrame, path: str | None = None, settings: Settings = Setti
 
     def run(batches):
         bpe = load(path or default_path(), settings)
-        for part in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
+        for part in (batch.slice(at, 250) for batch in batches for at in range(0, batch.num_rows, 250)):
             n, ids_hash, text_hash = [], [], []
             for ids in bpe.encode_many([t or "" for t in part.column("text").to_pylist()]):
                 n.append(len(ids))
@@ -340,7 +333,7 @@ def digests(docs: DataFrame, path: str | None = None, settings: Settings = Setti
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))]))
+    return kept.mapInArrow(lean(run), T.StructType([kept.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

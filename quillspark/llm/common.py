@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
         return
     context._quillspark_shipped = True
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default; rows here are whole texts
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("67108864b", "64m"):  # likewise
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     package = Path(__file__).resolve().parent.parent
     folder = tempfile.mkdtemp(prefix="quillspark-code-")  # Spark serves the file from here until the end
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -44,11 +48,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    What is derived from joins and groups is small beside its shuffle's number of partitions, so it goes to as many
+    files as the cluster can write in two rounds; the result of a scan of whole texts keeps the scan's tasks.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    (df if scan else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +67,21 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(function):
+    """The function of a mapInArrow, which at its end gives freed memory back to the system: Python workers live on
+    between tasks, and what one stage needed would else count against the next."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

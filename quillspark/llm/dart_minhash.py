@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, table
 
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -152,7 +152,7 @@ def sketch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 bands.append(band_keys(signature(*shingler.elements(hashes), settings.coordinates), settings).tolist() if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, same binary, bands array<long>")
 
 
 def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -162,15 +162,15 @@ def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     def run(batches):
         shingler, last = Shingler(settings.words), (None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, found = batch.slice(at, 256), []
+            for at in range(0, batch.num_rows, 64):
+                part, found = batch.slice(at, 64), []
                 for x, b, y in zip(*(part.column(c).to_pylist() for c in ("text_a", "b", "text_b"))):
                     if last[0] != b:
                         last = b, shingler.elements(shingler.word_hashes(y or ""))
                     found.append(1 - similarity(shingler.elements(shingler.word_hashes(x or "")), last[1]))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
 
-    return sides.mapInArrow(run, "a long, b long, distance double")
+    return sides.mapInArrow(lean(run), "a long, b long, distance double")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     an id take the least text. An empty table gives an empty result. Columns other than doc_id and text are ignored.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = materialise(sketch(docs, settings), "sketch")
+    found = materialise(sketch(docs, settings), "sketch", scan=True)
     worded = F.size("bands") > 0
     wordless = docs.where(~F.col("text").rlike(r"(?U)\w")).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     ids = found.where(worded).select("doc_id", "same").union(
@@ -281,7 +281,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["slot", "n"])
 
     often = np.ones(slots, np.int64)
-    for r in rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():  # at most `slots` rows
+    for r in rows.select("text").mapInArrow(lean(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():  # at most `slots` rows
         often[r["slot"]] = r["n"]
 
     def prefix(batches):
@@ -297,7 +297,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
                     names=["shingle", "node", "label", "norm", "at", "turn"],
                 )
 
-    found = materialise(rows.select("doc_id", "label", "text").mapInArrow(prefix, "shingle long, node long, label long, norm double, at double, turn int"), "prefixes")
+    found = materialise(rows.select("doc_id", "label", "text").mapInArrow(lean(prefix), "shingle long, node long, label long, norm double, at double, turn int"), "prefixes")
     met = found.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("shingle")
     lists = found.join(met, "shingle").groupBy("node", "label", "norm").agg(F.sort_array(F.collect_list(F.struct("turn", "at", "shingle"))).alias("list"))  # no longer than one text's prefix
     lists = lists.select("node", "label", "norm", "list", F.transform("list", lambda x: F.hash(x["shingle"])).alias("all"), F.posexplode("list").alias("i", "x"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import lean, materialise, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: ASCII letters to lower case, digits and bytes of other characters as they are, the rest to spaces.
@@ -200,7 +200,7 @@ def _scan_block(docs: DataFrame, block: list[tuple[str, str]], settings: Setting
                     [*(part.column(c) for c in schema.names[:-3]), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=schema.names
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,7 +231,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     Documents without a hit keep their row as it is; n_chars, where it exists, follows the new text."""
     found = scan(docs, benchmark, settings)
     clean = found.where(F.size("spans") == 0).select(*docs.columns)
-    hit = materialise(found.where(F.size("spans") > 0), "hits")
+    hit = materialise(found.where(F.size("spans") > 0), "hits", scan=True)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     hit = hit.where(covered <= F.col("n_words") * settings.coverage)
     cut_text = F.udf(lambda text, spans: cut(text, [(s["start"], s["end"]) for s in spans]), "string")

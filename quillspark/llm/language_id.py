@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fold, shared_folder, table
+from .common import discard, fold, lean, shared_folder, table
 
 UNDETERMINED = "und"
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
 
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("rank", pa.float64()), ("gram", pa.binary()), ("tf", pa.binary())])
     path = shared_folder(spark, "language-id")
-    rows.mapInArrow(scan, "bucket int, n long, doc_id long, lang string, rank double, gram binary, tf binary").write.parquet(path)
+    rows.mapInArrow(lean(scan), "bucket int, n long, doc_id long, lang string, rank double, gram binary, tf binary").write.parquet(path)
     scanned = spark.read.parquet(path)
     seen = np.zeros(settings.buckets + 1, np.int64)
     for r in scanned.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most `buckets` rows
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores.append(min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(scored, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(lean(scored), T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

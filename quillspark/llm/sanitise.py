@@ -148,7 +148,7 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     listed = F.concat(*map(tagged, PATTERNS))
     any_span = F.size(listed) > 0
     first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(any_span, _contexts(text, settings)).alias("contexts"))
-    first = materialise(first, "base")
+    first = materialise(first, "base", scan=True)
     beside = first.where(F.size("base") > 0).dropDuplicates(["id_key", "key"]).select("id_key", "key", "base", F.explode("contexts").alias("c"))
     beside = beside.select("id_key", "key", "base", "c.entity", "c.context", F.explode("c.words").alias("w")).select("id_key", "key", "base", "entity", "context", "w.*")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))

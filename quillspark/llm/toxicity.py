@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 WORD = re.compile(r"\w+")
 
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     kept = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), "grade", "rank")), "doc_id")
     sample: dict[int, list] = {}
     seen = set()
-    for r in kept.mapInArrow(count, "grade int, rank double, doc_id long, words string, counts array<int>").orderBy("rank", "doc_id", "words").toLocalIterator():
+    for r in kept.mapInArrow(lean(count), "grade int, rank double, doc_id long, words string, counts array<int>").orderBy("rank", "doc_id", "words").toLocalIterator():
         if r["doc_id"] not in seen and len(part := sample.setdefault(r["grade"], [])) < settings.sample_per_grade:
             seen.add(r["doc_id"])
             part.append((r["words"].split("\n") if r["words"] else [], r["counts"]))
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 toxic.append(bool(p[0] >= 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), pa.array(grades, pa.int32()), pa.array(toxic, pa.bool_())], names=[*batch.schema.names, "expected_severity", "grade", "toxic"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import lean, materialise, table
 
 
 @dataclass(frozen=True)
@@ -312,7 +312,7 @@ def parse(pages: DataFrame) -> DataFrame:
                 blocks.append([{"node": place[n], "root": page.root[n], "links": links, "text": text} for n, text, links in page.blocks if not page.out[n]])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(digests, pa.int64()), pa.array(trees), pa.array(blocks, kinds)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def induce(parsed: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -331,7 +331,7 @@ def induce(parsed: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 out += [(host, page, *x) for x in {(slot[b["node"]], digest(b["text"])) for b in blocks}]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "page", "slot", "text"])
 
-    seen = known.select("host", "page", "tree", "pivot", "blocks").mapInArrow(run, "host string, page long, slot long, text long")
+    seen = known.select("host", "page", "tree", "pivot", "blocks").mapInArrow(lean(run), "host string, page long, slot long, text long")
     often = seen.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
     constant = often.join(pivots.select("host", "pages"), "host").where(F.col("n") >= settings.constant * F.col("pages"))
     lists = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant"))  # at most 1 / settings.constant for each slot
@@ -345,7 +345,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Null or odd urls share the host "". Repeated pages count once in statistics and each keep their row. Pages
     of any length are taken whole; an empty table gives an empty result.
     """
-    parsed = materialise(parse(pages), "pages")
+    parsed = materialise(parse(pages), "pages", scan=True)
     wrappers = materialise(induce(parsed, settings), "wrappers")
     rows = parsed.join(wrappers, "host", "left").select("page_id", "url", "tree", "pivot", "constant", "blocks")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -361,7 +361,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 texts.append("\n\n".join(choose(decode_tree(tree), blocks, varying)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
