@@ -14,6 +14,10 @@ from quillspark.functions import spans as S
 ANY_LABEL = "(?iuU)" + "|".join([*V.LABELS.values(), *V.BOUNDARIES])
 
 
+#: Cheap patterns without which a type cannot occur; most texts fail them.
+GATES = {"email": "@", "phone": "[1-9]", "postcode": "[0-9]", "dob": "[0-9][/-][0-9]", "nin": "[0-9]{6}", "bank_account": "[0-9]{8}", "vehicle_reg": "[0-9]", "council_ref": "[0-9]{5}"}
+
+
 def _ci(pattern: str) -> str:
     return "(?iuU)" + pattern
 
@@ -131,9 +135,12 @@ def structured(text: Column, patterns: dict[str, tuple[str, float]] = V.STRUCTUR
             "council_ref": lambda m: F.length(S.digits(m["value"])) >= 4,
         }.get(kind) if guards else None
         found = S.matches(text, pattern)
-        return S.typed(kind, F.filter(found, ok) if ok else found, confidence, "regex")
+        found = S.typed(kind, F.filter(found, ok) if ok else found, confidence, "regex")
+        gate = GATES.get(kind) if patterns is V.STRUCTURED else None
+        return F.when(text.rlike(gate), found).otherwise(S.none()) if gate else found
 
-    return F.concat(*map(of, patterns))
+    found = F.concat(*map(of, patterns))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(S.none()) if patterns is V.STRUCTURED else found
 
 
 def detect(docs: DataFrame, allowed: Column | None = None, extra: Column | None = None, text: str = "text") -> DataFrame:

@@ -25,6 +25,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work that is heavy on each row: a small table in fewer parts than the cluster has cores is dealt
+    out; a large one has parts enough and is not shuffled."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    docs = docs.select(*columns) if columns else docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def query(name: str, sql: str | None = None):
     def register(function):
         QUERIES[name] = function
@@ -55,7 +63,7 @@ SELECT doc_id, {_quoted(kind)} AS type, g[i].len + i_hits AS start_at, g[i].len
 def _spans_of(kind: str):
     def run(spark, sf_dir):
         found = F.explode(S.matches(F.col("text"), V.STRUCTURED[kind][0])).alias("m")
-        rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(V.STRUCTURED[kind][0])).select("doc_id", found)
+        rows = texts(spark, sf_dir, "doc_id", "text").where(F.col("text").rlike(V.STRUCTURED[kind][0])).select("doc_id", found)
         return rows.select("doc_id", F.lit(kind).alias("type"), F.col("m.start").cast("long").alias("start_at"), F.col("m.end").cast("long").alias("end_at"), F.col("m.value").alias("value"))
 
     return run
@@ -74,7 +82,7 @@ def redact_email(spark, sf_dir):
 @query("redact_documents")
 def redact_documents(spark, sf_dir):
     """The structured tier with overlaps resolved, filtered by the profiles of the estimated category."""
-    docs = table(spark, sf_dir, "documents").withColumn("category", C.keyword_estimate(F.col("text")))
+    docs = texts(spark, sf_dir, "doc_id", "text").withColumn("category", C.keyword_estimate(F.col("text")))
     allowed = C.allowed_types(C.profiles(F.col("category")))
     found = docs.withColumn("allowed", allowed).withColumn("spans", S.by_start(S.add_free(S.none(), D.structured(F.col("text")))))
     kept = F.filter("spans", lambda s: F.array_contains(F.col("allowed"), s["type"]))
@@ -83,13 +91,13 @@ def redact_documents(spark, sf_dir):
 
 @query("detect_all_tiers")
 def detect_all_tiers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return D.detect(docs).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 @query("identifier_spans")
 def identifier_spans(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(D.identifiers(F.col("text"))).alias("s"))
+    docs = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(D.identifiers(F.col("text"))).alias("s"))
     return docs.select("doc_id", "s.*")
 
 
@@ -114,7 +122,7 @@ _NAMES = "[" + ", ".join(map(_quoted, V.CATEGORIES)) + "]"
     f"SELECT doc_id, CASE WHEN list_max(s) > 0 THEN {_NAMES}[list_position(s, list_max(s))] ELSE 'unknown' END AS category, CASE WHEN list_max(s) > 0 THEN round(list_max(s) / list_sum(s), 4) ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT doc_id, {_LIST} AS s FROM documents)",
 )
 def classify_documents(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", C.category(F.col("text")).alias("c"))
+    found = texts(spark, sf_dir, "doc_id", "text").select("doc_id", C.category(F.col("text")).alias("c"))
     return found.select("doc_id", "c.category", "c.confidence")
 
 
@@ -141,7 +149,7 @@ _BASE = "CASE category " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in V.
 
 
 def _analysed(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("category", C.keyword_estimate(F.col("text")))
+    rows = texts(spark, sf_dir, "doc_id", "text").withColumn("category", C.keyword_estimate(F.col("text")))
     rows = rows.withColumn("flags", C.risk_flags(F.col("text"))).withColumn("sentiment", C.sentiment(F.col("text")))
     return rows.withColumn("urgency", C.urgency(F.col("category"), F.col("flags"), F.col("sentiment")))
 
