@@ -52,7 +52,8 @@ def address_phrases(text: Column) -> Column:
 
 def contact_header(text: Column) -> Column:
     """Name and address lines at the top of a letter, if anything there shows that it is a contact block."""
-    filled = F.filter(S.lines(text), lambda x: F.length(F.trim(x["value"])) > 0)
+    top = F.regexp_extract(text, r"^(?:\s*+\S[^\n]*+(?:\n|$)){1,8}", 0)  # the first eight lines that are not blank
+    filled = F.filter(S.lines(top), lambda x: F.length(F.trim(x["value"])) > 0)
     line = lambda x: F.trim(x["value"])
 
     def head_of(top: Column) -> Column:
