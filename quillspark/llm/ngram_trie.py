@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, shared_folder, table
+from .common import fold, lean, shared_folder, table
 
 U = np.uint64
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
@@ -81,12 +81,15 @@ class EliasFano:
         word = np.searchsorted(self.before, k.astype(self.before.dtype), "right") - 1
         rest = k - self.before[word]
         x = self.upper[word]
-        pieces = np.ascontiguousarray(~x if zero else x).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(pieces), axis=1, dtype=np.int64)
-        byte = (upto <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + SELECT8[pieces[rows, byte], rest]
+        x = ~x if zero else x
+        # Ones up to and including each byte, all eight bytes in one integer (broadword select, Vigna 2008).
+        upto = x - ((x >> U(1)) & U(0x5555555555555555))
+        upto = (upto & U(0x3333333333333333)) + ((upto >> U(2)) & U(0x3333333333333333))
+        upto = ((upto + (upto >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * U(0x0101010101010101)
+        rest = rest.astype(U)
+        byte = np.bitwise_count(((rest * U(0x0101010101010101) | U(0x8080808080808080)) - upto) & U(0x8080808080808080)).astype(U)
+        rest -= (upto << U(8)) >> (byte << U(3)) & U(255)
+        return word * 64 + (byte << U(3)).astype(np.int64) + SELECT8[(x >> (byte << U(3))) & U(255), rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -112,11 +115,14 @@ class EliasFano:
         high, want = high[may], x[may] & U((1 << self.bits) - 1)
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), zero=True) - (high - 1), 0)
         hi = self._select(high, zero=True) - high
-        end = hi
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self._low(np.where(open_, mid, 0)) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        end = hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         found = lo < end
         found[found] = self._low(lo[found]) == want[found]
         out[may[found]] = lo[found]
@@ -204,12 +210,57 @@ class Words:
         return out
 
 
-def blocks(batches, size: int = BLOCK):
-    """(ids of the documents, flat hashes, where each document ends) of about `size` tokens each; documents stay whole."""
-    words, names, flat, ends, n = Words(), [], [], [], 0
+class Lexicon:
+    """Places of a text's words, and the end, in a task's own list of words, with their ids and counts in a model.
+
+    Each new word is looked up once; the list starts anew between blocks when it is long.
+    """
+
+    def __init__(self, model: Model, remembered: int = 300_000):
+        self.model, self.remembered = model, remembered
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {b" ": 0}
+        self.new = [END]
+        self.words, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def room(self) -> None:
+        if len(self.known) > self.remembered:
+            self.clear()
+
+    def __call__(self, text: str | None) -> list[int]:
+        known, words = self.known, text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        try:
+            out = [known[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = len(known)
+                    self.new.append(xxhash.xxh3_64_intdigest(w))
+            out = [known[w] for w in words]
+        out.append(0)
+        return out
+
+    def look_up(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words by their places."""
+        if self.new:
+            distinct, back = np.unique(np.array(self.new, U), return_inverse=True)
+            ids, counts = self.model.look_up(distinct)
+            self.words, self.seen, self.new = np.append(self.words, ids[back]), np.append(self.seen, counts[back]), []
+        return self.words[flat], self.seen[flat]
+
+
+def blocks(batches, size: int = BLOCK, lexicon: Lexicon | None = None):
+    """(ids of the documents, words, where each document ends) of about `size` tokens each; documents stay whole.
+
+    Words are hashes, or with a lexicon places in it.
+    """
+    words, kind = (Words(), U) if lexicon is None else (lexicon, np.int64)
+    names, flat, ends, n = [], [], [], 0
     for batch in batches:
         for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            one = np.array(words(text), U)
+            one = np.array(words(text), kind)
             n += len(one)
             names.append(name)
             flat.append(one)
@@ -217,6 +268,8 @@ def blocks(batches, size: int = BLOCK):
             if n >= size:
                 yield names, np.concatenate(flat), np.array(ends)
                 names, flat, ends, n = [], [], [], 0
+                if lexicon is not None:
+                    lexicon.room()
     if names:
         yield names, np.concatenate(flat), np.array(ends)
 
@@ -339,11 +392,9 @@ class Model:
 
     # Positions of a block: w with its context (u, v).
 
-    def positions(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def positions(self, lexicon: Lexicon, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word id, count, previous id and the one before for each token; the start stands before a document, twice."""
-        distinct, back = np.unique(flat, return_inverse=True)
-        ids, counts = self.look_up(distinct)
-        w, c = ids[back], counts[back]
+        w, c = lexicon.look_up(flat)
         v, u = np.empty_like(w), np.empty_like(w)
         v[1:], u[2:] = w[:-1], w[:-2]
         begins = np.concatenate(([0], ends[:-1]))
@@ -387,7 +438,7 @@ def _run(docs: DataFrame, scan, build, shards: int) -> dict[int, tuple[int, int]
     """
     spark = docs.sparkSession
     none = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-    parts = docs.mapInArrow(scan, PARTS).union(none)
+    parts = docs.mapInArrow(lean(scan), PARTS).union(none)
     return {r["shard"]: (r["n"], r["total"]) for r in parts.groupBy("shard").applyInArrow(build, "shard int, n long, total long").collect()}
 
 
@@ -416,8 +467,9 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
     words = replace(model, docs=int(end_counts[0]))
 
     def count_pairs(batches):
-        for _, flat, ends in blocks(batches):
-            w, c, v, _ = words.positions(flat, ends)
+        lexicon = Lexicon(words)
+        for _, flat, ends in blocks(batches, BLOCK, lexicon):
+            w, c, v, _ = words.positions(lexicon, flat, ends)
             before = np.empty_like(c)
             before[1:] = c[:-1]
             before[np.concatenate(([0], ends[:-1]))] = words.docs
@@ -443,8 +495,8 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
     made = _run(docs, count_pairs, build_pairs, shards)
     pairs = replace(words, fan_out=max(m for _, m in made.values()) + 1)
 
-    def triple_positions(flat, ends):
-        w, _, v, u = pairs.positions(flat, ends)
+    def triple_positions(lexicon, flat, ends):
+        w, _, v, u = pairs.positions(lexicon, flat, ends)
         keys, back = np.unique(pairs.pair_keys(w, v), return_inverse=True)
         at, rank, _, _ = pairs.pairs(keys, finished=False)
         here, place = at[back], rank[back]
@@ -454,8 +506,9 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
         return u, here, place, context
 
     def count_triples(batches):
-        for _, flat, ends in blocks(batches):
-            u, here, place, context = triple_positions(flat, ends)
+        lexicon = Lexicon(pairs)
+        for _, flat, ends in blocks(batches, BLOCK, lexicon):
+            u, here, place, context = triple_positions(lexicon, flat, ends)
             use = (here >= 0) & (context >= 0)
             shard = pairs.shard_of(u[use])
             keys = context[use].astype(U) * U(pairs.fan_out) + place[use].astype(U)
@@ -507,13 +560,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
-        for names, flat, ends in blocks(batches, BLOCK // 4):
+        lexicon = Lexicon(model)
+        for names, flat, ends in blocks(batches, BLOCK // 2, lexicon):
             starts = np.concatenate(([0], ends[:-1]))
             if not model.tokens:
                 n = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ends - starts), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n)), pa.array(np.zeros(n))], names=list(columns))
                 continue
-            w, c, v, u = model.positions(flat, ends)
+            w, c, v, u = model.positions(lexicon, flat, ends)
             base = model.unigram(c)
             keys, back = np.unique(model.pair_keys(w, v), return_inverse=True)
             at, rank, p, rest = (x[back] for x in model.pairs(keys))
@@ -538,7 +592,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     columns = {"doc_id": "long", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in columns.items()))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), ", ".join(f"{k} {t}" for k, t in columns.items()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
