@@ -3,8 +3,8 @@
 A document's ids, with an end id behind them, are cut where a rolling hash of the last ids says so, so that equal
 passages give equal chunks wherever they stand. Format, all Parquet, below one folder:
 
-- ``chunks``: hash (SHA-256 of payload), payload (one byte for the width, 2 or 4, then the ids, little-endian);
-  every chunk once.
+- ``chunks``: hash (SHA-256 of the ids as little-endian 32-bit integers), payload (one byte for the width, 2 or 4,
+  then the ids, little-endian of that width, compressed with Zstandard); every chunk once.
 - ``recipes``: rank (place in ascending doc_id order), doc_id, start (ids of all documents before), n_tokens, chunks
   (hashes in order), root (SHA-256 of the joined hashes).
 - ``manifest``: level, index, hash: a Merkle tree of fan-out `Settings.fan_out` over the roots by rank; the single
@@ -13,26 +13,28 @@ passages give equal chunks wherever they stand. Format, all Parquet, below one f
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import discard, shared_folder, table
+from .common import discard, lean, shared_folder, table
 
 
 @dataclass(frozen=True)
 class Settings:
     end_id: int = 2
-    mean: int = 512  # ids; a power of two
+    mean: int = 1024  # ids; a power of two
     least: int = 64
-    most: int = 4096
+    most: int = 8192
     reach: int = 16  # ids that the rolling hash looks back
     fan_out: int = 1024
 
@@ -56,12 +58,17 @@ def cuts(ids: np.ndarray, s: Settings = Settings()) -> list[int]:
     return out
 
 
+def address(ids: np.ndarray) -> bytes:
+    return hashlib.sha256(ids.astype("<u4").tobytes()).digest()
+
+
 def pack(ids: np.ndarray) -> bytes:
-    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or int(ids.max()) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+    width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 1)
 
 
 def unpack(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+    return np.frombuffer(zstandard.decompress(payload[1:]), f"<u{payload[0]}").astype("<u4")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, s: Settings = Settings()) -> None:
@@ -75,20 +82,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, s: Setting
 
     def run(batches):
         coder = bpe.load(tokenizer or bpe.default_path())
-        for batch in batches:
+        for batch in (batch.slice(at, 250) for batch in batches for at in range(0, batch.num_rows, 250)):
             counts, hashes, payloads, roots = [], [], [], []
             for ids in coder.encode_many([t or "" for t in batch.column("text").to_pylist()]):
                 ids = np.append(ids, np.uint32(s.end_id))
                 ends = cuts(ids, s)
-                payloads.append([pack(ids[a:b]) for a, b in zip([0, *ends], ends)])
-                hashes.append([hashlib.sha256(p).digest() for p in payloads[-1]])
+                parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
+                payloads.append([*map(pack, parts)])
+                hashes.append([*map(address, parts)])
                 roots.append(hashlib.sha256(b"".join(hashes[-1])).digest())
                 counts.append(len(ids))
             kind = pa.list_(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, kind), pa.array(payloads, kind), pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "hashes", "payloads", "root"])
 
     staged = f"{folder}/staged"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(staged)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(staged)
     coded = spark.read.schema(schema).parquet(staged)
     each = coded.select(F.explode(F.arrays_zip("hashes", "payloads")).alias("c"))
     chunks = each.groupBy(F.col("c.hashes").alias("hash")).agg(F.first("c.payloads").alias("payload"))
@@ -112,7 +120,8 @@ def _write_recipes(rows: DataFrame, folder: str) -> None:
             place, begin = place + len(n), begin + int(n.sum())
 
     path = f"{folder}/ordered"
-    ordered.mapInArrow(number, schema).write.parquet(path)
+    files = 2 * spark.sparkContext.defaultParallelism
+    ordered.mapInArrow(lean(number), schema).coalesce(files).write.parquet(path)
     numbered = spark.read.schema(schema).parquet(path)
     before, rank, start = [], 0, 0
     for r in numbered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids")).orderBy("part").collect():  # a row for each part
@@ -120,7 +129,7 @@ def _write_recipes(rows: DataFrame, folder: str) -> None:
         rank, start = rank + r["rows"], start + r["ids"]
     offsets = spark.createDataFrame(before, "part int, rank0 long, start0 long")
     recipes = numbered.join(F.broadcast(offsets), "part").select((F.col("rank0") + F.col("place")).alias("rank"), "doc_id", (F.col("start0") + F.col("begin")).alias("start"), "n_tokens", "chunks", "root")
-    recipes.write.parquet(f"{folder}/recipes")
+    recipes.coalesce(files).write.parquet(f"{folder}/recipes")
     discard(spark, path)
 
 
@@ -129,7 +138,7 @@ def _write_manifest(spark: SparkSession, folder: str, s: Settings) -> None:
     nodes = spark.read.parquet(f"{folder}/recipes").select(F.col("rank").alias("index"), F.col("root").alias("hash"))
     while True:
         path = f"{folder}/manifest/level={level}"
-        nodes.write.parquet(path)
+        nodes.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
         nodes = spark.read.schema(nodes.schema).parquet(path)
         if nodes.limit(2).count() < 2:
             return
@@ -155,8 +164,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
         def done():
             root, n = head[4], head[3]
-            ids = np.concatenate([unpack(p) for p in payloads])
-            if hashlib.sha256(b"".join(hashes)).digest() != root or len(ids) != n or any(hashlib.sha256(p).digest() != h for p, h in zip(payloads, hashes)):
+            parts = [*map(unpack, payloads)]
+            ids = np.concatenate(parts)
+            if hashlib.sha256(b"".join(hashes)).digest() != root or len(ids) != n or [*map(address, parts)] != hashes:
                 raise ValueError(f"document {head[1]} of the store is damaged")
             return [*head[:4], ids.tobytes()]
 
@@ -178,7 +188,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["rank", "doc_id", "start", "n_tokens", "ids"])
 
-    return rows.select("rank", "doc_id", "start", "n_tokens", "root", "hash", "payload").mapInArrow(whole, "rank long, doc_id long, start long, n_tokens long, ids binary")
+    return rows.select("rank", "doc_id", "start", "n_tokens", "root", "hash", "payload").mapInArrow(lean(whole), "rank long, doc_id long, start long, n_tokens long, ids binary")
 
 
 def verify(spark: SparkSession, folder: str, s: Settings = Settings()) -> bool:
@@ -197,6 +207,7 @@ def verify(spark: SparkSession, folder: str, s: Settings = Settings()) -> bool:
 def query(spark, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-store")
     write(table(spark, sf_dir, "documents"), folder)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffles that are done with
 
     def digest(batches):
@@ -204,4 +215,4 @@ def query(spark, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, folder).mapInArrow(lean(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

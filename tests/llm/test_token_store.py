@@ -36,14 +36,14 @@ def test_round_trip(spark, rows, tmp_path):
     chunks, recipes = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/recipes")
     assert chunks.count() == chunks.select("hash").distinct().count()
     by = {r["doc_id"]: r["chunks"] for r in recipes.collect()}
-    assert len(set(map(bytes, by[3])) & set(map(bytes, by[5]))) >= 5  # the passage they share is stored once
+    assert len(set(map(bytes, by[3])) & set(map(bytes, by[5]))) >= 4  # the passage they share is stored once
 
 
 def test_damage_is_found(spark, rows, tmp_path):
     folder, other = f"file://{tmp_path}/store", f"file://{tmp_path}/other"
     ts.write(spark.createDataFrame(rows, "doc_id long, text string"), folder)
     spark.read.parquet(f"{folder}/recipes").write.parquet(f"{other}/recipes")
-    spark.read.parquet(f"{folder}/chunks").selectExpr("hash", "concat(substring(payload, 1, 1), substring(payload, 4), substring(payload, 2, 2)) payload").write.parquet(f"{other}/chunks")
+    spark.read.parquet(f"{folder}/chunks").selectExpr("hash", "lead(payload, 1, payload) OVER (ORDER BY hash) payload").write.parquet(f"{other}/chunks")
     with pytest.raises(Exception, match="damaged"):
         ts.read(spark, other).collect()
     spark.read.parquet(f"{folder}/manifest").selectExpr("level", "index", "if(level = 0 AND index = 2, unhex('00'), hash) hash").write.partitionBy("level").parquet(f"{other}/manifest")
