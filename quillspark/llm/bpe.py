@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -92,27 +95,27 @@ class ByteBpe:
         mark = "\0" if "\0" not in text else next(c for c in map(chr, range(1, 0x110000)) if c not in text and not c.isspace())
         return SAFE.sub(mark, text).split(mark)
 
-    def _remember(self, chain: list[str], apart: list[str]) -> None:
+    def _remember(self, words: list[str], apart: list[str]) -> None:
         """Encode what is not known: words that follow a space, and units that stand apart. The words are put one
         behind the other, as the places between them are safe, and the ids are dealt back by their lengths in bytes."""
         if len(self.known) + len(self.odd) > self.settings.remembered:
             self.known.clear()
             self.odd.clear()
             self.known_first.clear()
-        pieces = [chain[i : i + 4096] for i in range(0, len(chain), 4096)]
+        pieces = [words[i : i + 4096] for i in range(0, len(words), 4096)]
         encoded = self.tokenizer.encode_batch_fast([*(" " + " ".join(x) for x in pieces), *apart], add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
             ids = np.array(e.ids, "<u4")
             ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in piece])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1)).tolist()]
             raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(piece, cuts, cuts[1:]))
+            self.known.update(zip(piece, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         self.odd.update((u, array("I", e.ids).tobytes()) for u, e in zip(apart, encoded[len(pieces) :]))
 
     def _split(self, texts: list[str]) -> list[list[str]]:
         """texts at every space, their words remembered in one parallel batch."""
         split = [t.split(" ") for t in texts]
-        fresh = set().union(*(x[1:] for x in split)).difference(self.known)
+        fresh = set(chain.from_iterable(split)).difference(self.known)
         heads = {x[0] for x in split}.difference(self.odd)
         self._remember([w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()], [h for h in heads if h])
         return split
@@ -279,6 +282,9 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def load(path: str, settings: Settings = Settings()) -> ByteBpe:
+    """In a Spark task the library gets as many threads as the task has cores."""
+    if (task := TaskContext.get()) is not None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus()))
     return ByteBpe(path, settings)
 
 

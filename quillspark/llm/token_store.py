@@ -64,7 +64,7 @@ def address(ids: np.ndarray) -> bytes:
 
 def pack(ids: np.ndarray) -> bytes:
     width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
-    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 3)
 
 
 def unpack(payload: bytes) -> np.ndarray:
