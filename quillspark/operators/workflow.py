@@ -26,7 +26,9 @@ def search_name(rows: DataFrame, column: str, wanted: str) -> DataFrame:
 
 def paged(rows: DataFrame, order: list[Column], offset: int, limit: int, most: int = 100) -> DataFrame:
     """One page in a total order."""
-    return rows.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), most))
+    rows = rows.orderBy(*order)
+    rows = rows.offset(offset) if offset > 0 else rows  # without it, the plan takes the top rows and sorts no more
+    return rows.limit(min(max(1, limit), most))
 
 
 def review_queue(documents: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
