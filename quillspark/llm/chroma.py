@@ -6,8 +6,9 @@ sixteen of them make one 32-bit integer for each frame (after Jang et al. 2009).
 
 A query and a recording are aligned by the histogram of offsets between equal integers (landmarks, each once for a
 recording); at the most frequent offset the share of differing bits decides. Queries are written in blocks to the
-shared folder; all recordings stream past every block, and each task keeps for a query only how many recordings match
-and the two best, so that no pairs leave a task.
+shared folder; all recordings stream past every block, and each task keeps for a query how many recordings match, which
+of them have the query's own id, the two best, and every class of equal sound that matches. Copies are not paired one by
+one: `classes` tells the class of each recording.
 
 Rows can hold sound as 16-bit PCM in WAV (`wav`), or text, which `tones` plays: a short chord for each word.
 """
@@ -44,6 +45,7 @@ class Settings:
     overlap: float = 0.5  # least share of the shorter recording ...
     shortest: int = 32  # ... and least length; below that only equal integers match
     block: int = 4_000_000  # integers in a block of queries
+    held: int = 200_000  # links that a task holds before it passes them on
 
 
 #: (kind, lowest pitch class, pitch classes, frames) by a rule: each kind in turn, ever wider and higher.
@@ -223,13 +225,26 @@ def _digest(print_: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(print_.tobytes())
 
 
+def classes(recordings: DataFrame, column: str, decoder: Callable[[], Callable], s: Settings = Settings()) -> DataFrame:
+    """doc_id and class (the digest of its integers, in hex) of each row of recordings that has an id and sound."""
+
+    def run(batches):
+        for part, prints in _batches(batches, column, decoder, s):
+            rows = [(i, _digest(p).hex()) for i, p in zip(part.column("doc_id").to_pylist(), prints) if len(p) and i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.string())], names=["doc_id", "class"])
+
+    return recordings.select(F.col("doc_id").cast("long"), column).mapInArrow(lean(run), "doc_id long, class string")
+
+
 def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Callable[[], Callable], s: Settings = Settings()) -> DataFrame:
-    """For each row of queries: doc_id, n_prints, n_links, best_doc_id, best_offset (frames), best_errors.
+    """For each row of queries: doc_id, n_prints, n_links, best_doc_id, best_offset (frames), best_errors, class, links.
 
     queries and recordings have doc_id (long) and the column with sound; decoder makes, in a task, the function from a
     value to samples. n_links counts the rows of recordings with another id that match; the best is the one with
-    the least bit errors, then the least id (null if there is none). Rows without sound match nothing. Equal sound is
-    searched once; repeated rows keep their rows. Extra columns are ignored.
+    the least bit errors, then the least id (null if there is none). links has every class of recordings that matches,
+    in order (class, offset, errors), the query's own class among them if a recording bears it; with `classes` it gives
+    all partners. Rows without sound match nothing. Equal sound is searched once; repeated rows keep their rows. Extra
+    columns are ignored.
     """
     spark = queries.sparkSession
 
@@ -238,7 +253,7 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([*map(_digest, prints)], pa.binary()), pa.array([*map(len, prints)], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "digest", "n_prints", "prints"])
 
     asked = materialise(queries.select(F.col("doc_id").cast("long"), column).mapInArrow(lean(sketch), "doc_id long, digest binary, n_prints long, prints binary"), "queries")
-    distinct = asked.where("n_prints > 0").groupBy("digest").agg(F.first("prints").alias("prints"), F.first("n_prints").alias("n"))
+    distinct = asked.where("n_prints > 0").groupBy("digest").agg(F.first("prints").alias("prints"), F.first("n_prints").alias("n"), F.collect_set("doc_id").alias("ids"))
     distinct = materialise(distinct, "prints")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     count, folder = int(total // s.block) + 1, shared_folder(spark, "blocks")
@@ -252,15 +267,28 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
         order = np.argsort(values, kind="stable")
         ends = np.cumsum([0, *map(len, prints)])
         names = np.frombuffer(b"".join(group.column("digest").to_pylist()), np.uint8)
-        save(folder, f"block-{block}", [values[order], places[order].astype("<i4"), owner[order].astype("<i4"), ends.astype("<i8"), np.concatenate(prints), names, np.array([len(v) for v, _ in marks], "<i4")])
+        ids = group.column("ids").to_pylist()
+        askers, id_ends = np.array([i for x in ids for i in x], "<i8"), np.cumsum([0, *map(len, ids)]).astype("<i8")
+        save(folder, f"block-{block}", [values[order], places[order].astype("<i4"), owner[order].astype("<i4"), ends.astype("<i8"), np.concatenate(prints), names, np.array([len(v) for v, _ in marks], "<i4"), askers, id_ends])
         return pa.table([pa.array([block], pa.int32())], names=["block"])
 
     if total:
         distinct.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(count)).cast("int")).groupBy("block").applyInArrow(write, "block int").collect()
     written = {r["block"] for r in distinct.select(F.pmod(F.xxhash64("digest"), F.lit(count)).cast("int").alias("block")).distinct().collect()}  # a row for each block
 
+    kind = pa.list_(pa.struct([("errors", pa.float64()), ("doc_id", pa.int64()), ("offset", pa.int64())]))
+
+    def passed_on(best: dict) -> pa.RecordBatch:
+        names, rows = ["digest", "n", "own", "best", "links"], []
+        for (block, q), (n, _, own, two, links) in best.items():
+            digests = load(folder, f"block-{block}")[5]
+            rows.append((bytes(digests[16 * q : 16 * q + 16]), n, own, [{"errors": e, "doc_id": d, "offset": o} for e, d, o in two], sorted(links)))
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), kind, pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
     def compare(batches):
-        best: dict[tuple[int, int], list] = {}  # of a query: rows that match, the best two with their places
+        best: dict[tuple[int, int], list] = {}  # of a query: rows that match, its ids, those of the rows among them, the best of two ids with their places, classes
+        held = 0
         for part, prints in _batches(batches, column, decoder, s):
             alike: dict[bytes, list[int]] = {}
             ids = part.column("doc_id").to_pylist()
@@ -268,6 +296,8 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
                 if len(p) and ids[i] is not None:
                     alike.setdefault(p.tobytes(), []).append(i)
             rows = [r for r in alike.values()]
+            labels = [_digest(prints[r[0]]).hex() for r in rows]
+            least = [sorted({ids[i] for i in r})[:2] for r in rows]
             marks = [landmarks(prints[r[0]], s) for r in rows]
             if not rows:
                 continue
@@ -275,7 +305,7 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
             owner = np.repeat(np.arange(len(rows)), [len(v) for v, _ in marks])
             many = np.array([len(v) for v, _ in marks])
             for block in written:
-                theirs, their_places, their_owner, ends, all_prints, _, their_many = load(folder, f"block-{block}")
+                theirs, their_places, their_owner, ends, all_prints, _, their_many, askers, id_ends = load(folder, f"block-{block}")
                 low, high = np.searchsorted(theirs, values, "left"), np.searchsorted(theirs, values, "right")
                 n = high - low
                 mine = np.repeat(np.arange(len(values)), n)
@@ -294,26 +324,46 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
                 for r, q, moved in zip(r[sure].tolist(), q[sure].tolist(), offset[first][sure].tolist()):
                     errors = matches(all_prints[ends[q] : ends[q + 1]], prints[rows[r][0]], moved, s)
                     if errors is not None:
-                        kept = best.setdefault((block, q), [0, []])
+                        if (block, q) not in best:
+                            best[block, q] = [0, {*askers[id_ends[q] : id_ends[q + 1]].tolist()}, [], [], set()]
+                        kept = best[block, q]
                         kept[0] += len(rows[r])
-                        kept[1] = sorted([*kept[1], *((errors, ids[i], moved) for i in rows[r])])[:2]
-        out = []
-        for (block, q), (n, two) in best.items():
-            names = load(folder, f"block-{block}")[5]
-            out.append((bytes(names[16 * q : 16 * q + 16]), n, [{"errors": e, "doc_id": d, "offset": o} for e, d, o in two]))
-        kind = pa.list_(pa.struct([("errors", pa.float64()), ("doc_id", pa.int64()), ("offset", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)], names=["digest", "n", "best"])
-
-    found = recordings.select(F.col("doc_id").cast("long"), column).mapInArrow(lean(compare), "digest binary, n long, best array<struct<errors:double,doc_id:long,offset:long>>")
-    found = found.groupBy("digest").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))  # two for each task
-    rows = asked.join(found, "digest", "left")
+                        kept[2] += [ids[i] for i in rows[r] if ids[i] in kept[1]]
+                        two = {}
+                        for e, d, o in sorted([*kept[3], *((errors, d, moved) for d in least[r])]):
+                            two.setdefault(d, (e, d, o))
+                        kept[3] = [*two.values()][:2]
+                        kept[4].add(f"{labels[r]} {moved} {errors!r}")
+                        held += 1
+            if held >= s.held:
+                yield passed_on(best)
+                best, held = {}, 0
+        yield passed_on(best)
+
+    found = recordings.select(F.col("doc_id").cast("long"), column).mapInArrow(lean(compare), "digest binary, n long, own array<long>, best array<struct<errors:double,doc_id:long,offset:long>>, links array<string>")
+    found = materialise(found, "found")
+    own = found.select("digest", F.explode("own").alias("doc_id")).groupBy("digest", "doc_id").agg(F.count("*").alias("n_own"))
+    links = F.array_distinct(F.flatten(F.collect_list("links")))
+    found = found.groupBy("digest").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), links.alias("links"))  # two for each task
+    rows = asked.join(found, "digest", "left").join(own, ["digest", "doc_id"], "left")
     others = F.filter("best", lambda x: ~x["doc_id"].eqNullSafe(F.col("doc_id")))
-    own = F.when(F.exists("best", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id"))), 1).otherwise(0)
     rows = rows.withColumn("other", F.try_element_at(others, F.lit(1)))
-    return rows.select("doc_id", "n_prints", F.coalesce(F.col("n") - own, F.lit(0)).cast("long").alias("n_links"), F.col("other.doc_id").alias("best_doc_id"), F.col("other.offset").alias("best_offset"), F.col("other.errors").alias("best_errors"))
+    split = lambda x, i: F.split_part(x, F.lit(" "), F.lit(i))
+    links = F.array_sort(F.transform("links", lambda x: F.struct(split(x, 1).alias("class"), split(x, 2).cast("long").alias("offset"), split(x, 3).cast("double").alias("errors"))))
+    none = F.array().cast("array<struct<class:string,offset:long,errors:double>>")
+    return rows.select(
+        "doc_id", "n_prints", F.coalesce(F.col("n") - F.coalesce("n_own", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
+        F.col("other.doc_id").alias("best_doc_id"), F.col("other.offset").alias("best_offset"), F.col("other.errors").alias("best_errors"),
+        F.when(F.col("n_prints") > 0, F.lower(F.hex("digest"))).alias("class"), F.coalesce(links, none).alias("links"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document played; those whose id is divisible by 20 are searched among all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(docs.where("doc_id % 20 = 0"), docs, "text", Tones)
+
+
+def query_classes(spark, sf_dir: str) -> DataFrame:
+    """The class of every document, to which `links` of the search refer."""
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", Tones)

@@ -13,5 +13,6 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op6_dart_minhash": dart_minhash.query,
     "op10_language_id": language_id.query,
+    "op1_classes": chroma.query_classes,
 }
 ORACLE_SQL: dict[str, str] = {}

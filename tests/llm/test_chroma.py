@@ -129,3 +129,22 @@ def test_empty_tables(spark, rows):
     docs = spark.createDataFrame([(0, "a b", "d", 1)], SCHEMA)
     assert ch.search(docs.limit(0), docs, "text", ch.Tones).count() == 0
     assert [r["n_links"] for r in ch.search(docs, docs.limit(0), "text", ch.Tones).collect()] == [0]
+
+
+def test_every_partner_is_counted_and_named(spark):
+    rng = np.random.default_rng(9)
+    one = words(rng, 120)
+    rows = [(i, one) for i in range(1, 61)] + [(60, one), (200, edited(rng, one, 1)), (201, edited(rng, one, 1)), (220, words(rng, 90)), (240, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, ch.Settings())
+    for parts, held in ((1, 200_000), (5, 2)):
+        got = {(r["doc_id"], i): r for i, r in enumerate(ch.search(docs.where("doc_id % 20 = 0"), docs.repartition(parts), "text", ch.Tones, ch.Settings(held=held)).collect())}
+        members = {}
+        for r in ch.classes(docs, "text", ch.Tones).collect():
+            members.setdefault(r["class"], []).append(r["doc_id"])
+        assert sorted(i for x in members.values() for i in x) == sorted(i for i, t in rows if t)
+        assert len(got) == 7
+        for (i, _), r in got.items():
+            partners = [d for link in r["links"] for d in members[link["class"]] if d != i]
+            assert len({link["class"] for link in r["links"]}) == len(r["links"])
+            assert set(partners) == want[i] and len(partners) == r["n_links"] == sum(j in want[i] for j, _ in rows)
