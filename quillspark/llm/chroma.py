@@ -5,7 +5,7 @@ compare rectangles of the pitch-class image, read off its integral image, are qu
 sixteen of them make one 32-bit integer for each frame (after Jang et al. 2009).
 
 A query and a recording are aligned by the histogram of offsets between equal integers (landmarks, each once for a
-recording); at the most frequent offset the share of differing bits decides. Queries are written in blocks to the
+recording); at each offset that occurs the share of differing bits decides. Queries are written in blocks to the
 shared folder; all recordings stream past every block, and each task keeps for a query how many recordings match, which
 of them have the query's own id, the two best, and every class of equal sound that matches. Copies are not paired one by
 one: `classes` tells the class of each recording.
@@ -39,12 +39,13 @@ class Settings:
     rate: int = 8000
     frame: int = 64  # samples; for music a frame of 4096 at 11025 is usual
     hop: int = 64
-    thin: int = 4  # one of so many integers is a landmark ...
+    thin: int = 1  # one of so many integers is a landmark (1: all) ...
     least: int = 8  # ... and the so many with the least hash are in any case
     bit_errors: float = 0.25  # largest share of differing bits
     overlap: float = 0.5  # least share of the shorter recording ...
     shortest: int = 32  # ... and least length; below that only equal integers match
     block: int = 4_000_000  # integers in a block of queries
+    pairs: int = 1_000_000  # equal integers looked at at once
     held: int = 200_000  # links that a task holds before it passes them on
 
 
@@ -213,6 +214,27 @@ def matches(a: np.ndarray, b: np.ndarray, offset: int, s: Settings) -> float | N
     return errors if length >= max(s.shortest, s.overlap * min(len(a), len(b))) and errors <= s.bit_errors else None
 
 
+def admitted(a: np.ndarray, a_low, a_high, b: np.ndarray, b_low, b_high, offset: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """`matches` of many pairs of parts of a and b, given by their ends: which of them match, and their errors."""
+    n_a, n_b = a_high - a_low, b_high - b_low
+    low = np.maximum(0, offset)
+    length = np.minimum(n_a, n_b + offset) - low
+    long = length >= np.maximum(s.shortest, s.overlap * np.minimum(n_a, n_b))
+    equal = (length == n_a) & (length == n_b)
+    which = np.flatnonzero(long | equal)
+    rates = np.empty(len(which))
+    share = np.cumsum(length[which]) // (1 << 20)
+    for k in np.split(np.arange(len(which)), np.flatnonzero(np.diff(share)) + 1) if len(which) else []:
+        p = which[k]
+        n = length[p]
+        start = np.cumsum(n) - n
+        step = np.arange(n.sum())
+        differ = np.bitwise_count(a[step + np.repeat(a_low[p] + low[p] - start, n)] ^ b[step + np.repeat(b_low[p] + low[p] - offset[p] - start, n)])
+        rates[k] = np.add.reduceat(differ, start, dtype=np.int64) / (32 * n)
+    good = (rates <= s.bit_errors) & long[which] | (rates == 0) & equal[which]
+    return which[good], rates[good]
+
+
 def _batches(batches, column: str, decoder: Callable, s: Settings):
     play = decoder()
     for batch in batches:
@@ -303,27 +325,31 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
                 continue
             values, places = np.concatenate([v for v, _ in marks]), np.concatenate([p for _, p in marks])
             owner = np.repeat(np.arange(len(rows)), [len(v) for v, _ in marks])
-            many = np.array([len(v) for v, _ in marks])
+            flat = np.concatenate([prints[r[0]] for r in rows])
+            begin = np.cumsum([0, *(len(prints[r[0]]) for r in rows)])
             for block in written:
-                theirs, their_places, their_owner, ends, all_prints, _, their_many, askers, id_ends = load(folder, f"block-{block}")
+                theirs, their_places, their_owner, ends, all_prints, _, _, askers, id_ends = load(folder, f"block-{block}")
                 low, high = np.searchsorted(theirs, values, "left"), np.searchsorted(theirs, values, "right")
-                n = high - low
-                mine = np.repeat(np.arange(len(values)), n)
-                if not len(mine):
-                    continue
-                other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                pair = owner[mine].astype(np.int64) * len(ends) + their_owner[other]
-                offset = their_places[other].astype(np.int64) - places[mine]
-                keys, votes = np.unique((pair << 32) + offset + (1 << 31), return_counts=True)
-                pair, offset = keys >> 32, (keys & ((1 << 32) - 1)) - (1 << 31)
-                order = np.lexsort((np.abs(offset), -votes, pair))
-                first = order[np.concatenate(([True], pair[order][1:] != pair[order][:-1]))]
-                r, q = np.divmod(pair[first], len(ends))
-                # One landmark in common is chance where both have many.
-                sure = (votes[first] > 1) | (np.minimum(many[r], their_many[q]) < 2 * s.least)
-                for r, q, moved in zip(r[sure].tolist(), q[sure].tolist(), offset[first][sure].tolist()):
-                    errors = matches(all_prints[ends[q] : ends[q + 1]], prints[rows[r][0]], moved, s)
-                    if errors is not None:
+                # Some rows at a time, so that a common integer does not fill the memory.
+                share = np.cumsum(np.bincount(owner, high - low, len(rows))).astype(np.int64) // s.pairs
+                cut = np.searchsorted(owner, [0, *(np.flatnonzero(np.diff(share)) + 1), len(rows)])
+                for x, y in zip(cut, cut[1:]):
+                    n = high[x:y] - low[x:y]
+                    mine = np.repeat(np.arange(x, y), n)
+                    if not len(mine):
+                        continue
+                    other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[x:y], n)
+                    pair = owner[mine].astype(np.int64) * len(ends) + their_owner[other]
+                    keys = np.unique((pair << 32) + their_places[other] - places[mine] + (1 << 31))
+                    found_r, found_q = np.divmod(keys >> 32, len(ends))
+                    offset = (keys & ((1 << 32) - 1)) - (1 << 31)
+                    which, rates = admitted(all_prints, ends[found_q], ends[found_q + 1], flat, begin[found_r], begin[found_r + 1], offset, s)
+                    found_r, found_q, offset = found_r[which], found_q[which], offset[which]
+                    order = np.lexsort((offset, np.abs(offset), rates, found_q, found_r))
+                    found_r, found_q, offset, rates = found_r[order], found_q[order], offset[order], rates[order]
+                    first = np.ones(len(order), bool)
+                    first[1:] = (found_r[1:] != found_r[:-1]) | (found_q[1:] != found_q[:-1])
+                    for r, q, moved, errors in zip(found_r[first].tolist(), found_q[first].tolist(), offset[first].tolist(), rates[first].tolist()):
                         if (block, q) not in best:
                             best[block, q] = [0, {*askers[id_ends[q] : id_ends[q + 1]].tolist()}, [], [], set()]
                         kept = best[block, q]
@@ -341,7 +367,7 @@ def search(queries: DataFrame, recordings: DataFrame, column: str, decoder: Call
         yield passed_on(best)
 
     found = recordings.select(F.col("doc_id").cast("long"), column).mapInArrow(lean(compare), "digest binary, n long, own array<long>, best array<struct<errors:double,doc_id:long,offset:long>>, links array<string>")
-    found = materialise(found, "found")
+    found = materialise(found, "found", scan=True)
     own = found.select("digest", F.explode("own").alias("doc_id")).groupBy("digest", "doc_id").agg(F.count("*").alias("n_own"))
     links = F.array_distinct(F.flatten(F.collect_list("links")))
     found = found.groupBy("digest").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), links.alias("links"))  # two for each task

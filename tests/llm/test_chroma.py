@@ -148,3 +148,16 @@ def test_every_partner_is_counted_and_named(spark):
             partners = [d for link in r["links"] for d in members[link["class"]] if d != i]
             assert len({link["class"] for link in r["links"]}) == len(r["links"])
             assert set(partners) == want[i] and len(partners) == r["n_links"] == sum(j in want[i] for j, _ in rows)
+
+
+def test_pairs_with_one_landmark_or_none_voted_twice_are_found(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(80):
+        text = words(rng, 100)
+        rows += [(20 * i, text), (20 * i + 1, edited(rng, text, 15))]
+    want = brute(rows, ch.Settings())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ch.search(docs.where("doc_id % 20 = 0"), docs, "text", ch.Tones).collect()}
+    assert all(got[i] <= len(x) for i, x in want.items())
+    assert sum(got.values()) >= 0.9 * sum(map(len, want.values())) > 60
