@@ -4,7 +4,8 @@ Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) are the
 co-occurrence tells how strongly a nearby term reveals one: pointwise mutual information of term and entity over
 the entity's information content, 0 (independent) to 1 (the term occurs only with the entity). Terms that reach
 `Settings.disclosure` and occur with the entity in `Settings.support` different contexts are spans too, of kind
-`term`, wherever they stand beside that entity. Counts cover all documents.
+`term`, wherever they stand beside that entity. Counts cover all documents. Without a window, as in the query and the
+pipeline's stage, the whole text is beside its entities.
 """
 
 from __future__ import annotations
@@ -33,12 +34,15 @@ SPANS = "array<struct<start:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 60  # characters on either side of an entity
+    window: int | None = 60  # characters on either side of an entity; None: the whole text
     support: int = 3
     disclosure: float = 0.8
 
 
-def _matches(text: Column, pattern: str) -> Column:
+WHOLE = Settings(window=None)
+
+
+def _matches(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches with their offsets in code points."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast(SPANS)
@@ -108,6 +112,8 @@ def _contexts(text: Column, settings: Settings) -> Column:
     def named(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), entity(kind, s).alias("entity")))
 
+    if settings.window is None:
+        return F.array_distinct(F.transform(F.concat(*map(named, PATTERNS)), lambda s: F.struct(s["entity"].alias("entity"), F.xxhash64(text).alias("context"))))
     return F.transform(F.concat(*map(named, PATTERNS)), around)
 
 
@@ -149,16 +155,37 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     any_span = F.size(listed) > 0
     first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(any_span, _contexts(text, settings)).alias("contexts"))
     first = materialise(first, "base", scan=True)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    if settings.window is None:
+        return first.drop("contexts").join(_terms(first, docs, settings), ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
     beside = first.where(F.size("base") > 0).dropDuplicates(["id_key", "key"]).select("id_key", "key", "base", F.explode("contexts").alias("c"))
     beside = beside.select("id_key", "key", "base", "c.entity", "c.context", F.explode("c.words").alias("w")).select("id_key", "key", "base", "entity", "context", "w.*")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     beside = beside.where(free).drop("base")
     chosen = disclosing(beside, docs, settings)
     terms = beside.join(chosen, ["entity", "term"]).groupBy("id_key", "key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return first.drop("contexts").join(terms, ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
 
 
+def _terms(first: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """id_key, key, terms: the disclosing terms' spans in whole texts, for the rows of first (of `spans`) that have some.
+
+    Words inside entities count as words of the text, but are not marked.
+    """
+    held = first.where(F.size("base") > 0).dropDuplicates(["id_key", "key"])
+    texts = docs.select(*_key(), "text").dropDuplicates(["id_key", "key"]).join(held, ["id_key", "key"])
+    texts = materialise(texts.select("id_key", "key", "text", "base", "contexts"), "texts")
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    pairs = texts.select("id_key", "key", F.explode("contexts").alias("c"), words.alias("words")).select("id_key", "key", "c.entity", "c.context", F.explode("words").alias("term"))
+    chosen = disclosing(pairs, docs, settings)
+    marked = pairs.join(chosen, ["entity", "term"]).select("id_key", "key", "term").distinct().join(texts, ["id_key", "key"])
+    pattern = F.concat(F.lit(r"(?iuU)(?<!\w)"), F.col("term"), F.lit(r"(?!\w)"))
+    places = marked.select("id_key", "key", "term", "base", F.explode(_matches(F.col("text"), pattern)).alias("s"))
+    places = places.where(free & (F.lower("s.value") == F.col("term")))
+    return places.groupBy("id_key", "key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
+
+
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans become one, named after the first.
 
@@ -186,11 +213,11 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = spans(table(spark, sf_dir, "documents"))
+    found = spans(table(spark, sf_dir, "documents"), WHOLE)
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, PATTERNS), F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "terms")).alias("spans"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sanitise(docs)
+    return sanitise(docs, WHOLE)

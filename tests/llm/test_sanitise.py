@@ -120,3 +120,12 @@ def test_repeated_rows_empty_table_and_query(spark, tmp_path):
     rows = sn.query(spark, str(tmp_path)).where("doc_id = 1").collect()
     assert len(rows) == 2 and rows[0]["n_email"] == 1 and rows[0]["spans"] == "email:0:6"
     assert rows[0]["base_sha256"] == hashlib.sha256(b"email:0:6").hexdigest()
+
+
+def test_terms_anywhere_in_the_text_of_an_entity(spark):
+    far = " ".join(f"word{i}" for i in range(30))
+    texts = [f"Ariadne {i} {far} ari@maze.example {far} ARIADNE, unariadne" for i in range(4)] + [f"{far} {i} unariadne" for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in sn.stage(spark, table(spark, texts), "").collect()}
+    for i, t in enumerate(texts):
+        want = re.sub(r"(?i)\bariadne\b", "[TERM]", t).replace("ari@maze.example", "[EMAIL]")
+        assert got[i] == want
