@@ -442,8 +442,11 @@ def _run(docs: DataFrame, scan, build, shards: int) -> dict[int, tuple[int, int]
     return {r["shard"]: (r["n"], r["total"]) for r in parts.groupBy("shard").applyInArrow(build, "shard int, n long, total long").collect()}
 
 
-def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
-    """Learn from all rows of docs (doc_id, text); a null text counts as empty, so as an end alone."""
+def train(docs: DataFrame, folder: str, shards: int | None = None, min_count: int = 2) -> Model:
+    """Learn from all rows of docs (doc_id, text); a null text counts as empty, so as an end alone.
+
+    Pairs and triples that occur less than min_count times are pruned; with 1 none are, as in the query.
+    """
     docs = docs.select("doc_id", "text")
     shards = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model = Model(folder, shards)
@@ -473,12 +476,12 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
             before = np.empty_like(c)
             before[1:] = c[:-1]
             before[np.concatenate(([0], ends[:-1]))] = words.docs
-            keys, counts = sums(words.pair_keys(w, v)[(c > 1) & (before > 1)])
+            keys, counts = sums(words.pair_keys(w, v)[(c >= min_count) & (before >= min_count)])
             yield _part_rows([(s, keys[x], counts[x]) for s, x in words.by_shard(keys, words._edges(words.radix))])
 
     def build_pairs(group: pa.Table) -> pa.Table:
         s, keys, counts = _summed(group)
-        keys, counts = keys[counts > 1], counts[counts > 1]
+        keys, counts = keys[counts >= min_count], counts[counts >= min_count]
         size = words.first[s + 1] - words.first[s] + (s == shards - 1)  # the start is the last shard's last word
         own = keys - U(words.first[s]) * U(words.radix)
         node = (own // U(words.radix)).astype(np.int64)
@@ -519,7 +522,7 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
 
     def build_triples(group: pa.Table) -> pa.Table:
         s, keys, counts = _summed(group)
-        keys, counts = keys[counts > 1], counts[counts > 1]
+        keys, counts = keys[counts >= min_count], counts[counts >= min_count]
         level = load(folder, f"pairs-{s}")
         pair_counts = level[10].astype(np.int64)
         node = (keys // U(pairs.fan_out)).astype(np.int64)
@@ -598,5 +601,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
-    model = train(docs.where(~held), shared_folder(spark, "ngram-trie"))
+    model = train(docs.where(~held), shared_folder(spark, "ngram-trie"), min_count=1)
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -123,3 +123,25 @@ def test_files_from_a_store_that_cannot_be_mapped(tmp_path, monkeypatch):
     ng.save(f"file://{tmp_path}/x", "a", arrays)
     got = ng.load(f"file://{tmp_path}/x", "a")
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, got))
+
+
+def test_singletons_are_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "one two three four"), (1, "one two five six")], "doc_id long, text string")
+    model = ng.train(docs, f"file://{tmp_path}/all", 3, min_count=1)
+    got = {r["doc_id"]: r for r in ng.score(docs, model).collect()}
+    pruned = {r["doc_id"]: r for r in ng.score(docs, ng.train(docs, f"file://{tmp_path}/pruned", 3)).collect()}
+    lines = [["<s>", *tokens(r["text"])] for r in docs.orderBy("doc_id").collect()]
+    one = Counter(w for x in lines for w in x[1:]) + Counter({"<s>": 2})
+    n, v = sum(c for w, c in one.items() if w != "<s>"), len(one) - 1
+    two, three = Counter(p for x in lines for p in zip(x, x[1:])), Counter(p for x in lines for p in zip(x, x[1:], x[2:]))
+    rest = lambda grams, u, below: sum(ng.DISCOUNT for k in grams if k[:-1] == u) / below
+
+    def p2(a, b):
+        return (two[a, b] - ng.DISCOUNT) / one[a] + rest(two, (a,), one[a]) * (one[b] + 1) / (n + v + 1)
+
+    for i, x in enumerate(lines):
+        want = math.log10(p2(*x[:2]))
+        for k in zip(x, x[1:], x[2:]):
+            want += math.log10((three[k] - ng.DISCOUNT) / two[k[:2]] + rest(three, k[:2], two[k[:2]]) * p2(*k[1:]))
+        assert got[i]["score"] == pytest.approx(want, abs=ng.STEP * len(x))
+        assert got[i]["score"] > pruned[i]["score"] + 0.5
