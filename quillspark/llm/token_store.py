@@ -32,9 +32,9 @@ from .common import discard, lean, shared_folder, table
 @dataclass(frozen=True)
 class Settings:
     end_id: int = 2
-    mean: int = 1024  # ids; a power of two
-    least: int = 64
-    most: int = 8192
+    mean: int = 128  # ids; a power of two
+    least: int = 16
+    most: int = 4096
     reach: int = 16  # ids that the rolling hash looks back
     fan_out: int = 1024
 

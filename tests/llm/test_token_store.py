@@ -73,3 +73,15 @@ def test_repeats_empty_and_query(spark, tmp_path):
     assert ts.read(spark, f"file://{tmp_path}/none").count() == 0 and ts.verify(spark, f"file://{tmp_path}/none")
     docs.where("doc_id = 2").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in ts.query(spark, str(tmp_path)).collect()] == [(2, 0, 1, zlib.crc32(b"\2\0\0\0"))]
+
+
+def test_a_shared_paragraph_is_stored_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 9999, n))
+    rows = []
+    for i in range(20):
+        passage = word(250)
+        rows += [(2 * i, f"{word(60)} {passage} {word(60)}"), (2 * i + 1, f"{word(80)} {passage} {word(40)}")]
+    ts.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/store")
+    by = {r["doc_id"]: set(map(bytes, r["chunks"])) for r in spark.read.parquet(f"file://{tmp_path}/store/recipes").collect()}
+    assert sum(len(by[2 * i] & by[2 * i + 1]) > 0 for i in range(20)) >= 18
