@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,26 +39,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors all see, below spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Only where that setting is absent and Spark runs in one process (tests) a temporary folder takes its place.
     """
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    What is derived from joins and groups is small beside its shuffle's number of partitions, so it goes to as many
-    files as the cluster can write in two rounds; the result of a scan of whole texts keeps the scan's tasks.
+    The number of files is that of the tasks, which adaptive execution sizes by bytes behind a shuffle. What is no
+    longer needed goes with `release`.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    (df if scan else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames that `materialise` returned and that nothing reads any more."""
+    for df in frames:
+        discard(df.sparkSession, df._materialised)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -69,7 +80,9 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def lean(function):
     """The function of a mapInArrow, which at its end gives freed memory back to the system: Python workers live on
-    between tasks, and what one stage needed would else count against the next."""
+    between tasks, and what one stage needed would else count against the next. Also sends this package out first."""
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship(session)
 
     def run(batches):
         yield from function(batches)

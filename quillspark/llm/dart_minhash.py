@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, table
+from .common import lean, materialise, release, table
 
 WORD = re.compile(r"\w+")
 U = np.uint64
+BEFORE = 64  # shingles before one, that tell whether a pair has been met already
 
 
 @dataclass(frozen=True)
@@ -139,25 +140,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / total) if total else 1.0
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null counts as empty) and digest (of the text): doc_id and digest name a row's content."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+
+
 def sketch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, same (a digest of the word sequence) and bands. Null texts count as empty; empty ones have no bands."""
+    """doc_id, digest, node (names the word sequence, or the text of one without words) and bands, for each row of `keyed`."""
 
     def run(batches):
         shingler = Shingler(settings.words)
         for batch in batches:
-            same, bands = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingler.word_hashes(text or "")
-                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            nodes, bands = [], []
+            for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist()):
+                hashes = shingler.word_hashes(text)
+                nodes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else digest)
                 bands.append(band_keys(signature(*shingler.elements(hashes), settings.coordinates), settings).tolist() if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, same binary, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, digest binary, node binary, bands array<long>")
 
 
 def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """pairs (a, b) with distance = 1 - J of their texts; texts has doc_id and text."""
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """pairs (a, b) with distance = 1 - J of their texts; texts has node and text."""
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         shingler, last = Shingler(settings.words), (None, None)
@@ -170,7 +177,7 @@ def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                     found.append(1 - similarity(shingler.elements(shingler.word_hashes(x or "")), last[1]))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
 
-    return sides.mapInArrow(lean(run), "a long, b long, distance double")
+    return sides.mapInArrow(lean(run), "a binary, b binary, distance double")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,6 +187,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Star centres send one row to each neighbour, so a hot component never meets in one task as a list.
     """
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    print_ = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    was = print_(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -189,57 +198,78 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = down.join(floor, "a")
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = materialise(after, "edges")
-        was = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == was:
+        release(edges)
+        edges, before, was = after, was, print_(after)
+        if was == before:
             break
-        edges = after
     return nodes.join(edges.withColumnsRenamed({"a": "node", "b": "m"}), "node", "left").select("node", F.coalesce("m", "node").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each distinct doc_id: doc_id, class_id (the least id of its class), n_class.
+def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, digest and label for each row of `keyed`: rows have a common label if and only if they are of one class.
 
-    Classes are the connected components of similarity >= settings.similarity between whole texts. Texts without
-    a word (null, empty, punctuation) are alike only if they are equal, null counting as empty. Rows that repeat
-    an id take the least text. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+    A node stands for all rows of equal word sequence, whatever their ids, so copies are never compared.
     """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = materialise(sketch(docs, settings), "sketch", scan=True)
-    worded = F.size("bands") > 0
-    wordless = docs.where(~F.col("text").rlike(r"(?U)\w")).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
-    ids = found.where(worded).select("doc_id", "same").union(
-        found.where(~worded).select("doc_id").join(wordless, "doc_id", "left").select("doc_id", F.coalesce("digest", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("same"))
-    ).groupBy("doc_id").agg(F.min("same").alias("same"))
-    firsts = ids.groupBy("same").agg(F.min("doc_id").alias("node"))
-    member = materialise(ids.join(firsts, "same").select("doc_id", "node"), "members")
-    nodes = member.where("doc_id = node").select("node")
-    banded = found.where(worded).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]).select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(banded.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
-    involved = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialise(docs.join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    found = materialise(sketch(docs, settings), "sketch")
+    member = found.select("doc_id", "digest", "node")
+    banded = found.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    banded = materialise(banded, "banded")
+    shared = materialise(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "shared")
+    buckets = materialise(banded.join(shared, "bucket"), "buckets")
+    release(banded, shared)
+    involved = buckets.select("node").distinct()
+    first = member.join(involved, "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest")).alias("r")).select("node", "r.*")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(materialise(first, "first"), ["id", "none", "digest"])
+    texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     limit = 1 - settings.similarity + 1e-9
 
+    nodes = buckets.select("node").distinct()
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     known = materialise(distances(pairs, texts, settings), "distances")
     labels = materialise(components(nodes, known.where(F.col("distance") <= limit)), "labels")
     for turn in range(settings.pivots + 1):
-        placed = materialise(_spread(buckets, labels), "spread")
+        placed = _spread(buckets, labels)
         if placed.isEmpty():
+            release(placed)
             break
         last = turn == settings.pivots
         pairs = _new(_exact_pairs(placed.select("node", "label").distinct(), texts, settings), known) if last else _pivot_pairs(placed, known, limit)
-        known = materialise(known.union(distances(pairs, texts, settings)), "distances")
+        more = materialise(known.union(distances(pairs, texts, settings)), "distances")
+        release(placed, labels, known)
+        known = more
         labels = materialise(components(nodes, known.where(F.col("distance") <= limit)), "labels")
-    result = member.join(labels, "node").select("doc_id", F.col("label").alias("class_id"))
-    sizes = result.groupBy("class_id").agg(F.count("*").alias("n_class"))
-    return result.join(sizes, "class_id").select("doc_id", "class_id", "n_class")
+    release(buckets, texts, known)
+    return member.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, class_id (an id of its class), n_class (its rows), class_key (its name).
+
+    Classes are the connected components of similarity >= settings.similarity between whole texts. Texts without
+    a word (null, empty, punctuation) are alike only if they are equal, null counting as empty. Rows that share an id
+    count each by its own text. class_id is the least id of the class; should two classes have that in common, the
+    least that each has alone, if any; it is null only if all ids of the class are. class_key tells classes apart in
+    every case. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+    """
+    rows = materialise(linked(keyed(docs), settings), "linked")
+    classes = materialise(rows.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_class")), "classes")
+    clash = materialise(classes.where("least IS NOT NULL").groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "clash")
+    if not clash.isEmpty():
+        ids = rows.join(classes.join(clash, "least", "left_semi").select("label"), "label", "left_semi").select("doc_id").distinct()
+        alone = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("h")).where("label = h")
+        own = alone.groupBy("label").agg(F.min("doc_id").alias("own"))
+        again = classes.join(clash.withColumn("twice", F.lit(True)), "least", "left").join(own, "label", "left")
+        classes = materialise(again.select("label", F.when(F.col("twice"), F.coalesce("own", "least")).otherwise(F.col("least")).alias("least"), "n_class"), "classes")
+    return rows.join(classes, "label").select("doc_id", F.col("least").alias("class_id"), "n_class", F.lower(F.hex("label")).alias("class_key"))
 
 
 def _spread(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets, with labels, whose bucket holds more than one label."""
-    placed = buckets.join(labels, "node")
-    return placed.join(placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket"), "bucket")
+    placed = materialise(buckets.join(labels, "node"), "placed")
+    mixed = materialise(placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket"), "mixed")
+    out = materialise(placed.join(mixed, "bucket"), "spread")
+    release(placed, mixed)
+    return out
 
 
 def _pivot_pairs(placed: DataFrame, known: DataFrame, limit: float) -> DataFrame:
@@ -269,7 +299,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
     both must still be able to hold the overlap. Frequencies are counted in `slots` hashed slots, whose size does
     not grow; any order is right, the counted one is selective.
     """
-    rows = texts.join(rest.select(F.col("node").alias("doc_id"), "label"), "doc_id")
+    rows = texts.join(rest, "node")
     share = settings.similarity
 
     def count(batches):
@@ -284,24 +314,38 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
     for r in rows.select("text").mapInArrow(lean(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():  # at most `slots` rows
         often[r["slot"]] = r["n"]
 
+    names = ["shingle", "node", "label", "norm", "at", "turn"]
+
     def prefix(batches):
         shingler = Shingler(settings.words)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32())
+
+        def passed_on(out):
+            columns = [np.concatenate([o[0] for o in out]), [o[1] for o in out for _ in o[0]], [o[2] for o in out for _ in o[0]], np.concatenate([np.full(len(o[0]), o[3]) for o in out]), np.concatenate([o[4] for o in out]), np.concatenate([np.arange(len(o[0])) for o in out])]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
         for batch in batches:
-            for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
+            out, held = [], 0
+            for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text"))):
                 keys, weights = shingler.elements(shingler.word_hashes(text))
                 order = np.lexsort((keys, often[(keys % U(slots)).astype(int)]))
                 at = np.concatenate(([0.0], np.cumsum(weights[order])))
                 n = max(1, int(np.searchsorted(at[:-1], (1 - share) * at[-1] + 1e-6, "right")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[order[:n]].view(np.int64)), pa.array(np.full(n, node)), pa.array(np.full(n, label)), pa.array(np.full(n, at[-1])), pa.array(at[:n]), pa.array(np.arange(n, dtype=np.int32))],
-                    names=["shingle", "node", "label", "norm", "at", "turn"],
-                )
-
-    found = materialise(rows.select("doc_id", "label", "text").mapInArrow(lean(prefix), "shingle long, node long, label long, norm double, at double, turn int"), "prefixes")
+                out.append((keys[order[:n]].view(np.int64), node, label, at[-1], at[:n]))
+                held += n
+                if held > 20_000:
+                    yield passed_on(out)
+                    out, held = [], 0
+            if out:
+                yield passed_on(out)
+
+    found = materialise(rows.select("node", "label", "text").mapInArrow(lean(prefix), "shingle long, node binary, label binary, norm double, at double, turn int"), "prefixes")
     met = found.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("shingle")
     lists = found.join(met, "shingle").groupBy("node", "label", "norm").agg(F.sort_array(F.collect_list(F.struct("turn", "at", "shingle"))).alias("list"))  # no longer than one text's prefix
     lists = lists.select("node", "label", "norm", "list", F.transform("list", lambda x: F.hash(x["shingle"])).alias("all"), F.posexplode("list").alias("i", "x"))
-    lists = materialise(lists.select(F.col("x.shingle").alias("shingle"), "node", "label", "norm", (F.col("norm") - F.col("x.at")).alias("left"), F.slice("all", F.lit(1), F.col("i")).alias("before")), "lists")
+    # A pair is named where none of the last common shingles stand; of longer texts it may be named again, never missed.
+    before = F.slice("all", F.greatest(F.col("i") - BEFORE + 1, F.lit(1)), F.least(F.col("i"), F.lit(BEFORE)))
+    lists = materialise(lists.select(F.col("x.shingle").alias("shingle"), "node", "label", "norm", (F.col("norm") - F.col("x.at")).alias("left"), before.alias("before")), "lists")
     other = lists.select("shingle", *(F.col(c).alias(f"{c}_y") for c in lists.columns[1:]))
     needed = (F.col("norm") + F.col("norm_y")) * share / (1 + share) - 1e-6
     reach = (F.col("label") != F.col("label_y")) & (F.col("node") > F.col("node_y")) & (F.least("left", "left_y") >= needed)
@@ -313,6 +357,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the least id."""
-    found = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(found, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class stays as it is: the one with the least id (null last), of those that with the least digest
+    of its text. Of rows equal in id and text any one stays. Empty tables give an empty result; extra columns are kept."""
+    rows = linked(keyed(docs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("digest").alias("__digest")))
+    kept = materialise(rows.groupBy("label").agg(least.alias("r")).select("r.*"), "kept")
+    names = ["__id", "__none", "__digest"]
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), digest.alias("__digest"))
+    return marked.join(kept, names).dropDuplicates(names).select(*docs.columns)

@@ -16,25 +16,42 @@ def edited(rng, base, n):
 
 
 def brute(rows):
-    """Connected components over all pairs."""
+    """Connected components over all pairs of rows: for each class its sorted ids, null last."""
     shingler = dm.Shingler(5)
-    ids = sorted({i for i, _ in rows})
-    by = {i: min(t or "" for j, t in rows if i == j) for i in ids}
-    sets = {i: shingler.elements(shingler.word_hashes(by[i])) for i in ids}
-    label = {i: i for i in ids}
+    texts = [t or "" for _, t in rows]
+    sets = [shingler.elements(shingler.word_hashes(t)) for t in texts]
+    label = [*range(len(rows))]
 
     def root(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            alike = dm.similarity(sets[a], sets[b]) >= 0.8 if len(sets[a][0]) and len(sets[b][0]) else by[a] == by[b]
-            if alike:
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if dm.similarity(sets[a], sets[b]) >= 0.8 if len(sets[a][0]) and len(sets[b][0]) else texts[a] == texts[b]:
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
-    return {i: root(i) for i in ids}
+    out = {}
+    for i, (doc_id, _) in enumerate(rows):
+        out.setdefault(root(i), []).append(doc_id)
+    return sorted((sorted(x, key=order) for x in out.values()), key=lambda x: [*map(order, x)])
+
+
+def order(doc_id):
+    return (doc_id is None, doc_id or 0)
+
+
+def classes(found):
+    """The classes of a result, after a look at its other columns."""
+    out, ids = {}, {}
+    for r in found.collect():
+        out.setdefault(r["class_key"], []).append(r["doc_id"])
+        ids[r["class_key"]] = r["class_id"]
+        assert r["n_class"] >= 1
+    for key, members in out.items():
+        assert ids[key] in members or ids[key] is None and set(members) == {None}
+    return sorted((sorted(x, key=order) for x in out.values()), key=lambda x: [*map(order, x)]), ids
 
 
 @pytest.fixture(scope="module")
@@ -51,17 +68,38 @@ def rows():
 
 
 def test_classes_equal_brute_force(spark, rows):
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, class_id int, same string")
-    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(docs).collect()}
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, class_id int, same string, digest string")
+    got, ids = classes(dm.near_duplicates(docs))
     assert got == brute(rows)
-    assert len(got) == len({i for i, _ in rows})
+    assert sum(map(len, got)) == len(rows)
+    assert [i for i in ids.values()] and len(set(ids.values())) == len(ids)
 
 
 def test_exact_step_alone_finds_what_pivots_miss(spark, rows):
     few = [r for r in rows if 2000 <= r[0] < 2060]
     docs = spark.createDataFrame(few, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(docs, dm.Settings(pivots=0)).collect()}
+    assert classes(dm.near_duplicates(docs, dm.Settings(pivots=0)))[0] == brute(few)
+
+
+def test_long_prefixes_meet_all_pairs(spark):
+    """Texts whose prefixes are longer than what is remembered of them."""
+    rng = np.random.default_rng(8)
+    base = text(rng, 1500, 100_000)
+    few = [(i, edited(rng, base, 20 + i)) for i in range(12)]
+    docs = spark.createDataFrame(few, "doc_id long, text string")
+    assert classes(dm.near_duplicates(docs, dm.Settings(pivots=0)))[0] == brute(few)
+
+
+def test_shared_and_missing_ids_lose_no_text(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d = (text(rng, 50) for _ in range(4))
+    few = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, d), (None, a), (5, d), (None, None), (7, ""), (8, "?"), (1, a), (9, c.upper())]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in few], "doc_id long, text string, lang string")
+    got, ids = classes(dm.near_duplicates(docs))
     assert got == brute(few)
+    assert len(set(ids.values())) == len(ids)
+    kept = sorted((r["text"] or "").lower() for r in dm.stage(spark, docs, "").collect())
+    assert kept == sorted([a, b, c, d, "", "?"])
 
 
 def test_signature_estimates_weighted_jaccard():
@@ -83,6 +121,7 @@ def test_weights_below_one_and_single_elements():
 def test_empty_table_and_stage(spark, rows):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert dm.near_duplicates(docs.limit(0)).count() == 0
+    assert dm.stage(spark, docs.limit(0), "").count() == 0
     out = dm.stage(spark, docs, "")
     assert out.columns == docs.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(brute(rows).values()))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(x[0] for x in brute(rows))
