@@ -83,3 +83,75 @@ def test_matching_is_the_best():
         assert len(found) == size_of_best(a, b)
         assert all(a[i][1] == b[j][1] and (i == 0 or found[a[i][0]] == b[j][0]) for i, j in found.items())
         assert len(set(found.values())) == len(found)
+
+
+def site(host, i, r):
+    """A page whose menu, advert and footer come from the host's small pools, without telling names; and its article."""
+    pool = lambda k, n: f"{host} {k} " + " ".join(random.Random(f"{host}{k}{r.randrange(n)}").choices("one two three four five six".split(), k=6))
+    para = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(r.randint(2, 60)))
+    texts = [para() for _ in range(r.randint(1, 6))]
+    body = f"<div class=a><span>{pool('menu', 4)}</span></div><div class=b>{pool('advert', 4)}</div><div class=c><h1>{para()}</h1>" + "".join(f"<p>{t}</p>" for t in texts)
+    return f"<html><body>{body}</div><div class=d>{pool('foot', 4)}</div><script>id={i}</script></body></html>"
+
+
+def brute(pages):
+    """The whole query with plain loops: ratings by looking at every page of a host for every text."""
+    from urllib.parse import urlsplit
+
+    by, out = {}, {}
+    for i, (_, url, source) in enumerate(pages):
+        by.setdefault((urlsplit(url).hostname or "").lower(), []).append((i, w.Page(source or ""), source or ""))
+    for rows in by.values():
+        made = []
+        for i, p, source in rows:
+            tree, place = p.skeleton()
+            made.append((i, source, tree, [{"node": place[n], "links": k, "doubtful": p.doubtful[n], "text": t} for n, t, k in p.blocks if not p.never[n]]))
+        names = [w.encode_tree(t) for _, _, t, _ in made]
+        pivot = w.decode_tree(max(names, key=lambda x: (names.count(x), x)))
+        places = [w.slots(t, pivot) for _, _, t, _ in made]
+        different = {source: (slot, blocks) for (_, source, _, blocks), (slot, _) in zip(made, places)}
+        rated, common = {}, set()
+        for k in range(len(pivot)):
+            texts = {}
+            for slot, blocks in different.values():
+                for t, b in {b["text"]: b for b in reversed(blocks) if slot[b["node"]] == k}.items():
+                    texts.setdefault(t, []).append(b)
+            if not texts:
+                continue
+            n, x = len(different), [*texts.items()]
+            often = {t for t, u in x if n >= 5 and len(u) >= 0.8 * n}
+            rated[k] = w.Rating(len(x), sum(len(u) > 1 for _, u in x), sum(max(b["doubtful"] for b in u) for _, u in x), sum(len(t) for t, _ in x), sum(len(t) * max(b["links"] for b in u) for t, u in x), sum(len(u) for _, u in x), sum(len(t) * len(u) for t, u in x), sum(len(t) * len(u) for t, u in x if t in often))
+            common |= {(k, w.digest(t)) for t in often if 2 * rated[k].constant_chars < rated[k].used_chars}
+        found = w.wrapper(pivot, rated, len(different))
+        for (i, _, tree, blocks), (slot, own) in zip(made, places):
+            out[i] = w.content(tree, slot, own, blocks, found, common)
+    return [out[i] for i in range(len(pages))]
+
+
+def test_whole_query_equals_brute_force_and_needs_induction(spark):
+    r = random.Random(11)
+    pages = [(i, f"https://h{i % 3}.example/{i}", site(f"h{i % 3}", i, r)) for i in range(90)]
+    pages += [(200 + i, "https://H1.example/copy", pages[1][2]) for i in range(40)]
+    pages += [(300 + i, f"http://h{i % 3}.example/x", page(i)[0]) for i in range(6)] + [(400, "//alone.example/", page(3)[0]), (401, None, site("h9", 1, r)), (402, "https://h0.example/", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in w.extract(table).collect()}
+    want = dict(zip((p[0] for p in pages), brute(pages)))
+    assert got == want
+    import re
+
+    for i in range(90):
+        assert got[i] == "\n\n".join(re.findall(r"<(?:h1|p)>(.*?)</", pages[i][2]))
+    parsed = w.materialise(w.parse(table), "pages")
+    without = {r["page_id"]: r["text"] for r in w.apply_wrappers(parsed, w.induce(parsed).limit(0)).collect()}
+    assert all(without[i] != got[i] for i in range(90))
+
+
+def test_hosts_of_copies_keep_their_text(spark):
+    """Pages that differ in their scripts only, or in one paragraph: what they share is no template."""
+    text = [f"Paragraph {i} " + "word " * 30 for i in range(8)]
+    one = lambda i, edit: "<body><div class=m>menu</div><article><h1>Same title</h1>" + "".join(f"<p>{t} {i if edit and k == i % 8 else ''}</p>" for k, t in enumerate(text)) + f"</article><script>{i}</script></body>"
+    rows = [(i, "http://same.example", one(i, False)) for i in range(12)] + [(100 + i, "http://near.example", one(i, True)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, source in rows:
+        paragraphs = source.split("<p>")[1:]
+        assert got[i].split("\n\n")[-8:] == [" ".join(p.split("</p>")[0].split()) for p in paragraphs]
