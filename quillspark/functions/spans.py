@@ -23,24 +23,43 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def running(values: Column) -> Column:
+    """Running sums of an array of int. Folding copies what it has gathered, so it goes over blocks of the square root of
+    the size, then over their sums: n ** 1.5 copies, not n ** 2."""
+
+    def fold(xs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), none("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(xs, first, step, lambda acc: acc["out"])
+
+    def in_blocks(xs: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: fold(F.slice(xs, i * block + 1, block)))
+
+        def joined(parts: Column) -> Column:
+            ends = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return F.flatten(F.zip_with(parts, ends, lambda p, end: F.transform(p, lambda x: x + end - F.element_at(p, -1))))
+
+        return let(parts, joined)
+
+    return let(values, lambda xs: F.when(F.size(xs) > 64, in_blocks(xs)).otherwise(fold(xs)))
+
+
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as array of struct(start, end, value).
 
     With group 1 the value is that group, which must end the match. Patterns must not match the empty text.
-    Gaps (split) and hits (extract) of one pattern interlock, so running lengths give the offsets.
+    Gaps (split) and hits (extract) of one pattern interlock, so running lengths give the offsets; a text without a hit
+    is looked through once.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), values.alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["1"]) + F.length(x["0"])
-        found = F.struct((end - F.length(x["2"])).alias("start"), end.alias("end"), x["2"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-    pairs = F.transform(pairs, lambda x: F.struct(x["hit"].alias("0"), x["gap"].alias("1"), x["value"].alias("2")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none(FOUND).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(none(FOUND))
+
+    def placed(hits: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        ends = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.length(g) + F.length(h)))
+        values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        return F.zip_with(ends, values, lambda end, v: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none(FOUND)))
 
 
 def span(kind: str | Column, found: Column, confidence: float, method: str) -> Column:
