@@ -1,11 +1,16 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) are the protected entities. Corpus
-co-occurrence tells how strongly a nearby term reveals one: pointwise mutual information of term and entity over
-the entity's information content, 0 (independent) to 1 (the term occurs only with the entity). Terms that reach
-`Settings.disclosure` and occur with the entity in `Settings.support` different contexts are spans too, of kind
-`term`, wherever they stand beside that entity. Counts cover all documents. Without a window, as in the query and the
-pipeline's stage, the whole text is beside its entities.
+Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) are the protected data. Single values are
+mostly unique, so what a text discloses is asked at three levels: the value itself, the part of it that people or places
+share (an address's owner and domain, a network, a card's issuer, a phone's area), and the kind of data. These are the
+protected entities of a text.
+
+Corpus co-occurrence tells how strongly a term reveals an entity. Of the n texts, a term is in t, an entity in e and
+both in b: the chance of the entity, p = e / n, becomes q = (b + prior * p) / (t + prior) where the term is seen; the
+term discloses log2(q / p) of the log2(1 / p) bits that the entity holds (pointwise mutual information over information
+content, smoothed): 0 if independent, towards 1 if the term occurs only with the entity. Terms at or above
+`Settings.disclosure` that occur with the entity in at least two different texts are spans too, of kind `term`,
+wherever they stand in the texts that hold the entity. Counts cover all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.spans import matches
+
 from .common import materialise, table
 
 #: The four kinds in the order of listing. Quantifiers are possessive where what follows cannot
@@ -30,31 +37,15 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 WORD = r"(?U)\w{3,}+"
 SPANS = "array<struct<start:int,end:int,value:string>>"
+TAGGED = "array<struct<kind:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    window: int | None = 60  # characters on either side of an entity; None: the whole text
-    support: int = 3
     disclosure: float = 0.8
-
-
-WHOLE = Settings(window=None)
-
-
-def _matches(text: Column, pattern: str | Column) -> Column:
-    """Leftmost non-overlapping matches with their offsets in code points."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast(SPANS)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
-
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(none)
+    prior: float = 1.0  # texts that the chance of an entity weighs against what is seen
+    #: A term becomes NAME, NUMBER or WORD in brackets, by its shape; if false it goes without a trace.
+    generalise: bool = True
 
 
 def _digits(value: Column) -> Column:
@@ -79,7 +70,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _spans(text: Column, kind: str) -> Column:
-    found = F.filter(_matches(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    found = F.filter(matches(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(SPANS))
 
 
@@ -93,47 +84,36 @@ def find(docs: DataFrame) -> DataFrame:
     return kept.select("*", *(_spans(text, kind).alias(kind) for kind in PATTERNS))
 
 
-def _contexts(text: Column, settings: Settings) -> Column:
-    """For each base span the entity, a digest of its surroundings, and the words around it with their offsets."""
+def _entities() -> Column:
+    """The entities of a text, each once: of every span its value, what the value shares with others, and its kind."""
 
-    def entity(kind: str, s: Column) -> Column:
-        return F.concat(F.lit(f"{kind}:"), F.lower(s["value"]) if kind == "email" else s["value"] if kind == "ip" else _digits(s["value"]))
+    def of(kind: str) -> Column:
+        def names(s: Column) -> Column:
+            v = F.lower(s["value"]) if kind == "email" else s["value"] if kind == "ip" else _digits(s["value"])
+            parts = {
+                "email": [("owner", F.regexp_extract(v, "^[a-z]{3,}", 0)), ("domain", F.substring_index(v, "@", -1))],
+                "ip": [("network", F.substring_index(v, ".", 2))],
+                "card": [("issuer", F.left(v, F.lit(6)))],
+                "phone": [("area", F.left(v, F.lit(4)))],
+            }[kind]
+            return F.array(F.concat(F.lit(f"{kind}:"), v), F.lit(f"kind:{kind}"), *(F.concat(F.lit(f"{name}:"), part) for name, part in parts))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - settings.window, F.lit(0))
-        left = F.substring(text, low + 1, s["start"] - low)
-        torn = F.when(low > 0, F.length(F.regexp_extract(left, r"(?U)^\w*", 0))).otherwise(0)
-        right = F.substring(text, s["end"] + 1, F.lit(settings.window))
-        right = F.when(F.length(right) == settings.window, F.regexp_replace(right, r"(?U)\w++$", "")).otherwise(right)
-        left = F.substring(left, torn + 1, F.length(left))
-        words = lambda part, at: F.transform(_matches(part, WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
-        return F.struct(s["entity"].alias("entity"), F.xxhash64(left, right).alias("context"), F.concat(words(left, low + torn), words(right, s["end"])).alias("words"))
+        return F.flatten(F.transform(kind, names))
 
-    def named(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), entity(kind, s).alias("entity")))
+    return F.filter(F.array_distinct(F.concat(*map(of, PATTERNS))), lambda x: x != "owner:")
 
-    if settings.window is None:
-        return F.array_distinct(F.transform(F.concat(*map(named, PATTERNS)), lambda s: F.struct(s["entity"].alias("entity"), F.xxhash64(text).alias("context"))))
-    return F.transform(F.concat(*map(named, PATTERNS)), around)
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
-def disclosing(found: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """entity, term, disclosure: the pairs at or above the threshold. found has key, entity, context, term (one row
-    for each word beside an entity); docs has text.
 
-    A pair's count is of documents, its support of different contexts, so that copies of a text do not support each other.
-    """
-    pairs = found.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= settings.support)
-    pairs = materialise(pairs, "pairs")
-    entities = found.groupBy("entity").agg(F.countDistinct("key").alias("of_entity"))
-    words = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    often = words.groupBy("term").agg(F.count("*").alias("of_term"))
-    total = docs.agg(F.count("*").alias("n"))
-    rated = pairs.join(entities, "entity").join(often, "term").crossJoin(F.broadcast(total))  # one row
-    information = F.log2(F.col("n") / F.col("of_entity"))
-    mutual = F.log2(F.col("both") * F.col("n") / (F.col("of_term") * F.col("of_entity")))
-    rated = rated.where(information > 0).withColumn("disclosure", mutual / information)
-    return rated.where(F.col("disclosure") >= settings.disclosure).select("entity", "term", "disclosure")
+def rated(pairs: DataFrame, entities: DataFrame, total: int, settings: Settings = Settings()) -> DataFrame:
+    """entity, term, disclosure of the pairs (entity, term, both, of_term) at or above the threshold, among total texts;
+    entities has entity and of_entity."""
+    p = F.col("of_entity") / F.lit(float(total))
+    q = (F.col("both") + settings.prior * p) / (F.col("of_term") + settings.prior)
+    found = pairs.join(entities, "entity").where(F.col("of_entity") < total).withColumn("disclosure", F.log2(q / p) / -F.log2(p))
+    return found.where(F.col("disclosure") >= settings.disclosure).select("entity", "term", "disclosure")
 
 
 def _key() -> list[Column]:
@@ -144,55 +124,52 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """id_key, key, doc_id, base and terms: one row for each row of docs (doc_id, text), written to the shared folder.
 
     base lists the kinds' spans, terms the disclosing terms' spans that overlap no base span, both as arrays of
-    (kind, start, end) in order. Repeated rows get equal spans. An empty table gives an empty result.
+    (kind, start, end) in order. Null texts count as empty; repeated rows count each and get equal spans. An empty table
+    gives an empty result. Other columns of docs are ignored.
     """
-    text = F.coalesce("text", F.lit(""))
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     listed = F.concat(*map(tagged, PATTERNS))
-    any_span = F.size(listed) > 0
-    first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(any_span, _contexts(text, settings)).alias("contexts"))
+    first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(F.size(listed) > 0, _entities()).alias("entities"))
     first = materialise(first, "base")
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    if settings.window is None:
-        return first.drop("contexts").join(_terms(first, docs, settings), ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
-    beside = first.where(F.size("base") > 0).dropDuplicates(["id_key", "key"]).select("id_key", "key", "base", F.explode("contexts").alias("c"))
-    beside = beside.select("id_key", "key", "base", "c.entity", "c.context", F.explode("c.words").alias("w")).select("id_key", "key", "base", "entity", "context", "w.*")
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    beside = beside.where(free).drop("base")
-    chosen = disclosing(beside, docs, settings)
-    terms = beside.join(chosen, ["entity", "term"]).groupBy("id_key", "key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    return first.drop("contexts").join(terms, ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
-
-
-def _terms(first: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """id_key, key, terms: the disclosing terms' spans in whole texts, for the rows of first (of `spans`) that have some.
-
-    Words inside entities count as words of the text, but are not marked.
-    """
-    held = first.where(F.size("base") > 0).dropDuplicates(["id_key", "key"])
-    texts = docs.select(*_key(), "text").dropDuplicates(["id_key", "key"]).join(held, ["id_key", "key"])
-    texts = materialise(texts.select("id_key", "key", "text", "base", "contexts"), "texts")
+    held = first.where(F.size("base") > 0)
+    texts = docs.select(*_key(), "text").dropDuplicates(["id_key", "key"]).join(held.groupBy("id_key", "key").agg(F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("rows")), ["id_key", "key"])
+    texts = materialise(texts, "texts")
+    terms = _terms(texts, first, docs, settings)
+    none = F.array().cast(TAGGED)
+    return first.drop("entities").join(terms, ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
+
+
+def _terms(texts: DataFrame, first: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """id_key, key, terms: the disclosing terms' spans in whole texts, for the texts (id_key, key, text, base, entities,
+    rows) that have some. Words inside base spans count as words of the text, but are not marked."""
+    each = texts.select("id_key", "key", F.xxhash64("text").alias("context"), F.explode("entities").alias("entity"), _words(F.col("text")).alias("words"), "rows")
+    pairs = each.select("id_key", "key", "context", "entity", "rows", F.explode("words").alias("term"))
+    often = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high")
+    often = materialise(often.select("entity", "term", "both"), "pairs")
+    words = docs.where("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).where("of_term > 1")
+    entities = first.where(F.size("base") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    chosen = materialise(rated(often.join(words, "term"), entities, first.count(), settings), "chosen")
+    marked = pairs.select("id_key", "key", "entity", "term").join(chosen, ["entity", "term"]).groupBy("id_key", "key").agg(F.array_sort(F.collect_set("term")).alias("found"))  # words of one text
+    marked = marked.join(texts, ["id_key", "key"])
+    words = F.filter(matches(F.col("text"), WORD), lambda w: F.array_contains("found", F.lower(w["value"])))
+    places = marked.select("id_key", "key", "base", F.explode(words).alias("s"))
     free = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    pairs = texts.select("id_key", "key", F.explode("contexts").alias("c"), words.alias("words")).select("id_key", "key", "c.entity", "c.context", F.explode("words").alias("term"))
-    chosen = disclosing(pairs, docs, settings)
-    marked = pairs.join(chosen, ["entity", "term"]).select("id_key", "key", "term").distinct().join(texts, ["id_key", "key"])
-    pattern = F.concat(F.lit(r"(?iuU)(?<!\w)"), F.col("term"), F.lit(r"(?!\w)"))
-    places = marked.select("id_key", "key", "term", "base", F.explode(_matches(F.col("text"), pattern)).alias("s"))
-    places = places.where(free & (F.lower("s.value") == F.col("term")))
-    return places.groupBy("id_key", "key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
+    return places.where(free).groupBy("id_key", "key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
 
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets; overlapping spans become one, named after the first.
+    """docs with every base span in text replaced by its kind in brackets, overlapping ones as one, named after the first,
+    and every disclosing term generalised or removed (see Settings.generalise).
 
-    Rows without a span stay as they are; n_chars, where it exists, follows the new text.
+    Rows without a span stay as they are, null texts and repeated rows among them; n_chars, where it exists, follows the
+    new text; an empty table gives an empty result.
     """
-    found = spans(docs, settings).where((F.size("base") > 0) | (F.size("terms") > 0)).select("id_key", "key", F.concat("base", "terms").alias("spans")).dropDuplicates(["id_key", "key"])
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    every = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    found = spans(docs, settings).where(F.size("base") > 0).dropDuplicates(["id_key", "key"]).select("id_key", "key", F.array_sort(every).alias("spans"))
+    ordered = F.col("spans")
 
     def join(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -200,10 +177,14 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    touching = F.exists(F.arrays_zip(ordered.alias("x"), F.slice(ordered, F.lit(2), F.size(ordered)).alias("y")), lambda z: z["y"]["start"] < z["x"]["end"])
+    merged = F.when(touching, F.aggregate(ordered, none, join)).otherwise(ordered)  # most texts have none that overlap
     keyed = docs.select("*", *(c.alias(f"__{i}") for i, c in enumerate(_key())))
-    both = keyed.join(found.select(F.col("id_key").alias("__0"), F.col("key").alias("__1"), F.aggregate(ordered, none, join).alias("__spans")), ["__0", "__1"], "left")
+    both = keyed.join(found.select(F.col("id_key").alias("__0"), F.col("key").alias("__1"), merged.alias("__spans")), ["__0", "__1"], "left")
+    shape = lambda w: F.when(w.rlike(r"^\d+$"), "[NUMBER]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    shown = shape if settings.generalise else lambda w: F.lit("")
     before = lambda i: F.when(i > 0, F.try_element_at("__spans", i)["end"]).otherwise(0)  # noqa: E731  element_at counts from 1
-    parts = F.transform("__spans", lambda s, i: F.concat(F.substring(F.col("text"), before(i) + 1, s["start"] - before(i)), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+    parts = F.transform("__spans", lambda s, i: F.concat(F.substring(F.col("text"), before(i) + 1, s["start"] - before(i)), F.when(s["kind"] == "term", shown(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
     rest = F.substring(F.col("text"), F.element_at("__spans", -1)["end"] + 1, F.length("text"))
     text = F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))
     out = both.withColumn("text", text)
@@ -213,11 +194,12 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = spans(table(spark, sf_dir, "documents"), WHOLE)
+    found = spans(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, PATTERNS), F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "terms")).alias("spans"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sanitise(docs, WHOLE)
+    """`sanitise` with the documents of the stage as the corpus."""
+    return sanitise(docs)
