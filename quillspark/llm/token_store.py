@@ -13,7 +13,6 @@ passages give equal chunks wherever they stand. Format, all Parquet, below one f
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,17 +142,20 @@ def _write_manifest(spark: SparkSession, folder: str, s: Settings) -> None:
         if nodes.limit(2).count() < 2:
             return
         up = F.floor(F.col("index") / s.fan_out).cast("long").alias("index")
-        joined = F.aggregate(F.sort_array(F.collect_list(F.struct("index", "hash"))), F.lit(b""), lambda a, x: F.concat(a, x["hash"]))  # at most fan_out hashes
-        nodes = nodes.groupBy(up).agg(F.unhex(F.sha2(joined, 256)).alias("hash"))
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"])  # at most fan_out hashes
+        nodes = nodes.groupBy(up).agg(_hash(listed).alias("hash"))
         level += 1
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, s: Settings = Settings()) -> DataFrame:
     """rank, doc_id, start, n_tokens, ids (little-endian 32-bit integers, binary) from the files of folder alone.
 
-    Every chunk's hash, every document's root and length are verified; a difference fails the job. A document's
-    chunks pass through one task in order and are never collected as a group of documents.
+    First the recipes are verified against the manifest; then, on the way, every chunk's hash and every document's root
+    and length. A difference fails the job. A document's chunks pass through one task in order and are never collected
+    as a group of documents.
     """
+    if not verify(spark, folder, s):
+        raise ValueError("the recipes of the store do not follow from its manifest")
     recipes = spark.read.parquet(f"{folder}/recipes")
     chunks = spark.read.parquet(f"{folder}/chunks")
     parts = recipes.select("rank", "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("at", "hash"))
@@ -191,24 +193,28 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rank", "doc_id", "start", "n_tokens", "root", "hash", "payload").mapInArrow(lean(whole), "rank long, doc_id long, start long, n_tokens long, ids binary")
 
 
+def _hash(hashes) -> Column:
+    """SHA-256 of joined hashes."""
+    return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(hashes, F.hex), "")), 256))
+
+
 def verify(spark: SparkSession, folder: str, s: Settings = Settings()) -> bool:
-    """Whether each level of the manifest follows from the one below, and the lowest from the recipes."""
-    nodes = spark.read.parquet(f"{folder}/manifest")
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    low = nodes.where("level = 0")
-    if recipes.select(F.col("rank").alias("index"), F.unhex(F.sha2(F.aggregate("chunks", F.lit(b""), lambda a, x: F.concat(a, x)), 256)).alias("hash")).exceptAll(low.select("index", "hash")).limit(1).count():
-        return False
-    joined = F.aggregate(F.sort_array(F.collect_list(F.struct("index", "hash"))), F.lit(b""), lambda a, x: F.concat(a, x["hash"]))
+    """Whether each level of the manifest follows from the one below, and the lowest from the recipes' chunks, row by row."""
+    nodes = spark.read.parquet(f"{folder}/manifest").select(F.col("level").cast("int").alias("level"), "index", "hash")
+    recipes = spark.read.parquet(f"{folder}/recipes").select(F.lit(0).alias("level"), F.col("rank").alias("index"), _hash("chunks").alias("hash"))
     top = nodes.agg(F.max("level")).first()[0]
-    made = nodes.where(F.col("level") < top).groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("index") / s.fan_out).cast("long").alias("index")).agg(F.unhex(F.sha2(joined, 256)).alias("hash"))
-    return not made.exceptAll(nodes.where("level > 0").select("level", "index", "hash")).limit(1).count()
+    if top is None:
+        return recipes.isEmpty()
+    below = nodes.where(F.col("level") < top).groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("index") / s.fan_out).cast("long").alias("index"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"])  # at most fan_out hashes
+    made = recipes.union(below.agg(_hash(listed).alias("hash")))
+    wrong = made.withColumnRenamed("hash", "made").join(nodes, ["level", "index"], "full").where(~F.col("made").eqNullSafe(F.col("hash")))
+    return wrong.isEmpty() and nodes.count() == made.count()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-store")
     write(table(spark, sf_dir, "documents"), folder)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffles that are done with
 
     def digest(batches):
         for batch in batches:

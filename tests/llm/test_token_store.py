@@ -40,14 +40,22 @@ def test_round_trip(spark, rows, tmp_path):
 
 
 def test_damage_is_found(spark, rows, tmp_path):
-    folder, other = f"file://{tmp_path}/store", f"file://{tmp_path}/other"
+    folder, others = f"file://{tmp_path}/store", [f"file://{tmp_path}/other{i}" for i in range(4)]
     ts.write(spark.createDataFrame(rows, "doc_id long, text string"), folder)
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{other}/recipes")
-    spark.read.parquet(f"{folder}/chunks").selectExpr("hash", "lead(payload, 1, payload) OVER (ORDER BY hash) payload").write.parquet(f"{other}/chunks")
-    with pytest.raises(Exception, match="damaged"):
-        ts.read(spark, other).collect()
-    spark.read.parquet(f"{folder}/manifest").selectExpr("level", "index", "if(level = 0 AND index = 2, unhex('00'), hash) hash").write.partitionBy("level").parquet(f"{other}/manifest")
-    assert not ts.verify(spark, other)
+    tables = {t: spark.read.parquet(f"{folder}/{t}") for t in ("recipes", "chunks", "manifest")}
+    changed = [
+        {"chunks": tables["chunks"].selectExpr("hash", "lead(payload, 1, payload) OVER (ORDER BY hash) payload")},
+        {"manifest": tables["manifest"].selectExpr("level", "index", "if(level = 0 AND index = 2, unhex('00'), hash) hash")},
+        {"recipes": tables["recipes"].where("rank < 8")},
+        # A document altered in recipes and chunks alike, in itself in order: the manifest tells.
+        {"recipes": tables["recipes"].selectExpr("rank", "doc_id", "start", "if(rank = 3, lead(n_tokens) OVER (ORDER BY rank), n_tokens) n_tokens", "if(rank = 3, lead(chunks) OVER (ORDER BY rank), chunks) chunks", "if(rank = 3, lead(root) OVER (ORDER BY rank), root) root")},
+    ]
+    for other, new, why in zip(others, changed, ("damaged", "manifest", "manifest", "manifest")):
+        for name, df in (tables | new).items():
+            (df.write.partitionBy("level") if name == "manifest" else df.write).parquet(f"{other}/{name}")
+        with pytest.raises(Exception, match=why):
+            ts.read(spark, other).collect()
+    assert ts.verify(spark, folder) and not ts.verify(spark, others[1])
 
 
 def test_cuts_and_widths():
