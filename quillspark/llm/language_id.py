@@ -26,6 +26,7 @@ UNDETERMINED = "und"
 class Settings:
     buckets: int = 1 << 15
     longest_gram: int = 3
+    block: int = 1 << 20  # characters counted at once
     sample_per_language: int = 400
     epochs: int = 4
     alpha: float = 0.5
@@ -54,25 +55,26 @@ def _letters() -> np.ndarray:
 def grams(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and counts of the text's character n-grams; None if it has no letter.
 
-    Every run of other characters counts as one space; texts of any length are taken whole, in blocks.
+    Every run of other characters counts as one space; texts of any length are taken whole, in blocks that each go on
+    from the last characters of the one before.
     """
-    counts, size, seen = np.zeros(settings.buckets, np.int64), 1 << 20, False
-    for at in range(0, len(text), size):
-        points = np.frombuffer(text[at : at + size].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts, size, seen = np.zeros(settings.buckets, np.int64), settings.block, False
+    low, last = text.lower(), np.empty(0, np.uint64)
+    for at in range(0, len(low), size):
+        points = np.frombuffer(low[at : at + size].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[points]
-        if not letter.any():
-            continue
-        seen = True
+        seen = seen or bool(letter.any())
         points = np.where(letter, points, 32).astype(np.uint64)
-        points = np.concatenate(([32], points, [32])).astype(np.uint64)
+        points = np.concatenate((last, [32] if at == 0 else [], points, [32] if at + size >= len(low) else [])).astype(np.uint64)
         points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
         value = np.zeros(len(points), np.uint64)
         for n in range(1, settings.longest_gram + 1):
             value = value[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :] + np.uint64(n)
-            mixed = value * np.uint64(0x9E3779B97F4A7C15)
+            mixed = value[max(0, len(last) - n + 1) :] * np.uint64(0x9E3779B97F4A7C15)
             counts += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % settings.buckets, minlength=settings.buckets)
             if len(value) <= 1:
                 break
+        last = points[max(0, len(points) - settings.longest_gram + 1) :] if settings.longest_gram > 1 else points[:0]
     where = np.flatnonzero(counts)
     return (where, counts[where]) if seen else None
 
@@ -220,6 +222,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some learned language holds at least half of the probability stay, unchanged."""
+    """Documents in which some learned language holds at least half of the probability stay, unchanged and with all
+    their columns, repeated rows and rows without an id among them. Null and empty texts, texts without a letter and, if
+    no row has a language to learn from, all texts are undetermined and go; an empty table gives an empty result."""
     model = train(docs)
     return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5)).select(*docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +53,14 @@ def test_stage_keeps_columns(spark, docs):
     assert out.columns == docs.columns
     assert {900, 901, 902}.isdisjoint(r["doc_id"] for r in out.select("doc_id").collect())
     assert out.where(F.col("doc_id") < 120).count() == 120
+
+
+def test_blocks_change_nothing():
+    r = random.Random(6)
+    for n in (0, 1, 2, 5, 40, 300):
+        text = "".join(r.choice("abÉß .,1\n") for _ in range(n))
+        want = lid.grams(text, lid.Settings())
+        for block in (1, 2, 3, 7, 64):
+            got = lid.grams(text, lid.Settings(block=block))
+            assert (got is None) == (want is None)
+            assert want is None or all((a == b).all() for a, b in zip(got, want))
