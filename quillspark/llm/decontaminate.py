@@ -4,14 +4,17 @@ The automaton holds every run of consecutive words of the normalised test items.
 through it once; after each word the state and the matched length say which item passages end there. Words in a
 match of at least `Settings.window` words (or of a whole shorter item) are hit.
 
-The benchmark is collected in blocks of at most `Settings.block_words` words, each with an automaton of its own
-and a pass of its own over the documents, so memory holds one block whatever the benchmark's size.
+The benchmark comes in blocks of at most `Settings.block_words` words (or one longer item), each with an automaton of
+its own and a pass of its own over the documents. Passes end before the next block is fetched: their hits go to the
+shared folder, so that driver and tasks hold one block at a time, whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,20 +148,25 @@ class SuffixAutomaton:
         return spans, found
 
 
-def blocks(benchmark: DataFrame, settings: Settings) -> list[list[tuple[str, str]]]:
-    """The distinct items that have words, in id order, cut into blocks of a bounded number of words."""
+def blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[str, str]]]:
+    """The distinct items that have words, in id order, block by block."""
     out, size = [], 0
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").distinct().orderBy("item", "text")
     for r in rows.toLocalIterator():
         n = len(words(r["text"]))
         if not n:
             continue
-        if not out or size + n > settings.block_words:
-            out.append([])
-            size = 0
-        out[-1].append((r["item"], r["text"]))
+        if out and size + n > settings.block_words:
+            yield out
+            out, size = [], 0
+        out.append((r["item"], r["text"]))
         size += n
-    return out
+    yield out
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
+KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -166,19 +174,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
     the item ids as text, sorted) added; columns of docs under these names are replaced.
 
     Null and empty texts have no words. An item without words is ignored; items that share an id count as one;
-    repeated rows are kept. An empty benchmark hits nothing.
+    repeated rows are kept. An empty benchmark hits nothing. Texts of any length are taken whole.
     """
     kept = docs.drop("n_words", "spans", "items")
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
-    result = None
-    for block in blocks(benchmark, settings) or [[]]:
-        result = _scan_block(kept if result is None else result, block, settings, schema, first=result is None)
-    return result
+    each = blocks(benchmark, settings)
+    result = _scan_block(kept, next(each), settings)
+    hits = [materialise(_scan_block(kept.select("text"), block, settings).where(F.size("spans") > 0).select(_digest(), "spans", "items"), "hits") for block in each]
+    if not hits:
+        return result
+    more = reduce(DataFrame.union, hits).groupBy("__text").agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.flatten(F.collect_set("items")).alias("__items"))  # no more sets than blocks
+    return _merged(result.withColumn("__text", _digest()).join(more, "__text", "left").drop("__text"))
+
+
+def _digest():
+    """Names a text; what it holds depends on nothing else."""
+    return F.md5(F.col("text").cast("binary")).alias("__text")
 
 
-def _scan_block(docs: DataFrame, block: list[tuple[str, str]], settings: Settings, schema: T.StructType, first: bool) -> DataFrame:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _scan_block(docs: DataFrame, block: list[tuple[str, str]], settings: Settings) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, *FOUND])
 
     def run(batches):
         automaton = SuffixAutomaton([(name, words(text)) for name, text in block], settings.window)
@@ -186,23 +200,31 @@ def _scan_block(docs: DataFrame, block: list[tuple[str, str]], settings: Setting
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 counts, spans, items = [], [], []
-                earlier = zip(part.column("spans").to_pylist(), part.column("items").to_pylist()) if not first else None
                 for text in part.column("text").to_pylist():
                     found = words(text)
                     hit, names = automaton.scan(found)
-                    if earlier is not None:
-                        had, named = next(earlier)
-                        hit, names = merge([*hit, *((s["start"], s["end"]) for s in had)]), names | set(named)
                     counts.append(len(found))
                     spans.append([{"start": a, "end": b} for a, b in hit])
                     items.append(sorted(names))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in schema.names[:-3]), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=schema.names
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(spans, KIND), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Spans and items put together with those of __spans and __items."""
+    names = [c for c in rows.columns if c not in ("spans", "items", "__spans", "__items")]
+    schema = T.StructType([*(rows.schema[c] for c in names), *FOUND[1:]])
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in [*x, *(y or ())]])] for x, y in zip(batch.column("spans").to_pylist(), batch.column("__spans").to_pylist())]
+            items = [sorted({*x, *(y or ())}) for x, y in zip(batch.column("items").to_pylist(), batch.column("__items").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(spans, KIND), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return rows.mapInArrow(lean(run), schema)
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -225,22 +247,31 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join(x.strip() for x in kept if x.strip()).decode("utf-8", "surrogatepass")
 
 
+def _without(rows: DataFrame) -> DataFrame:
+    """rows with the spans cut out of text; n_chars, where it exists, follows the new text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [cut(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    out = rows.mapInArrow(lean(run), rows.schema)
+    return out.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else out
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs without benchmark passages: hit spans are cut out, and a document whose hit share exceeds
     settings.coverage, or of which nothing is left, goes. Cutting is repeated until the joined rest has no hit.
-    Documents without a hit keep their row as it is; n_chars, where it exists, follows the new text."""
+    Documents without a hit keep their row as it is, null and empty texts and repeated rows among them; n_chars, where it
+    exists, follows the new text. Of a table without rows nothing is left, and an empty benchmark leaves all."""
     found = scan(docs, benchmark, settings)
     clean = found.where(F.size("spans") == 0).select(*docs.columns)
     hit = materialise(found.where(F.size("spans") > 0), "hits")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     hit = hit.where(covered <= F.col("n_words") * settings.coverage)
-    cut_text = F.udf(lambda text, spans: cut(text, [(s["start"], s["end"]) for s in spans]), "string")
     out = clean
     while True:
-        hit = hit.withColumn("text", cut_text("text", "spans"))
-        if "n_chars" in docs.columns:
-            hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        again = materialise(scan(hit.select(*docs.columns), benchmark, settings), "cut")
+        again = materialise(scan(_without(hit).select(*docs.columns), benchmark, settings), "cut")
         out = out.union(again.where((F.size("spans") == 0) & (F.col("n_words") > 0)).select(*docs.columns))
         hit = again.where(F.size("spans") > 0)
         if hit.isEmpty():
@@ -256,4 +287,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`remove` with the table benchmark."""
     return remove(docs, table(spark, sf_dir, "benchmark"))
