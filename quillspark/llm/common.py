@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TASK_BYTES = 64 << 20  # of compressed tables
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python need not have it on its path; once for each context."""
     context = spark.sparkContext
@@ -51,14 +54,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The number of files is that of the tasks, which adaptive execution sizes by bytes behind a shuffle. What is no
-    longer needed goes with `release`.
+    A scan of whole texts keeps its tasks. What comes from joins and groups goes to one task for `TASK_BYTES` of what it
+    reads, at least two for each core, where the shuffle left more. What is no longer needed goes with `release`.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if not scan:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+        df = df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, read // TASK_BYTES)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised = path

@@ -80,6 +80,29 @@ class Shingler:
         return keys, counts.astype(float)
 
 
+    def many(self, hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`elements` of many texts at once."""
+        n, out = self.words, [self.elements(h) if len(h) < self.words else None for h in hashes]
+        long = [i for i, x in enumerate(out) if x is None]
+        if not long:
+            return out
+        flat, sizes = np.concatenate([hashes[i] for i in long]), np.array([len(hashes[i]) for i in long])
+        value = np.full(len(flat) - n + 1, n, U)
+        for i in range(n):
+            value = mix(value * U(0x9E3779B97F4A7C15) + flat[i : len(flat) - n + 1 + i])
+        owner, last = np.repeat(np.arange(len(long)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        whole = np.arange(len(value)) + n <= last[: len(value)]
+        value, owner = value[whole], owner[: len(whole)][whole]
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))))
+        counts = np.diff(np.append(first, len(value))).astype(float)
+        cuts = np.searchsorted(owner[first], np.arange(len(long) + 1))
+        for j, i in enumerate(long):
+            out[i] = value[first[cuts[j] : cuts[j + 1]]], counts[cuts[j] : cuts[j + 1]]
+        return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1]."""
     return ((x >> U(11)).astype(float) + 1) * 2.0**-53
@@ -100,7 +123,7 @@ def darts(keys: np.ndarray, weights: np.ndarray, latest: float) -> tuple[np.ndar
         while len(k):
             block = int(min(64, max(1, latest * height)))
             name = mix(k[:, None] ^ mix(np.arange(turn, turn + block).astype(U) * U(256) + U(strip) + U(1)))
-            when = clock[:, None] + np.cumsum(-np.log(_unit(name)), axis=1) / height
+            when = np.cumsum(np.concatenate((clock[:, None], -np.log(_unit(name)) / height), axis=1), axis=1)[:, 1:]
             place = low + height * _unit(mix(name + U(0xA5A5)))
             hit = (when <= latest) & (place <= w[:, None])
             times.append(when[hit])
@@ -124,6 +147,43 @@ def signature(keys: np.ndarray, weights: np.ndarray, coordinates: int) -> np.nda
         latest *= 2
 
 
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int, spread: int = 4) -> list[np.ndarray]:
+    """`signature` of many sets at once. One dart at a time falls on every element of the sets that have enough of
+    them; few elements get many darts, and sets that are left with an empty coordinate go alone."""
+    out: list[np.ndarray | None] = [None] * len(sets)
+    latest = np.array([coordinates * (np.log(coordinates) + 4) / max(w.sum(), 1e-9) for _, w in sets])
+    many = [i for i, (k, _) in enumerate(sets) if len(k) and latest[i] <= spread]
+    if many:
+        sizes = [len(sets[i][0]) for i in many]
+        keys, weights = np.concatenate([sets[i][0] for i in many]), np.concatenate([sets[i][1] for i in many])
+        owner, until = np.repeat(np.arange(len(many)), sizes), np.repeat(latest[many], sizes)
+        times, names, owners, low, strip = [], [], [], 0.0, 0
+        while (over := weights > low).any():
+            height = 1.0 if strip == 0 else low
+            k, w, who, end, clock, turn = keys[over], weights[over], owner[over], until[over], np.zeros(int(over.sum())), 0
+            while len(k):
+                name = mix(k ^ mix(np.array([turn], U) * U(256) + U(strip) + U(1)))
+                clock = clock + -np.log(_unit(name)) / height
+                alive = clock <= end
+                k, w, who, end, clock, name = k[alive], w[alive], who[alive], end[alive], clock[alive], name[alive]
+                hit = low + height * _unit(mix(name + U(0xA5A5))) <= w
+                times.append(clock[hit])
+                names.append(name[hit])
+                owners.append(who[hit])
+                turn += 1
+            low, strip = low + height, strip + 1
+        when, name, who = np.concatenate(times), np.concatenate(names), np.concatenate(owners)
+        place = who * coordinates + (mix(name ^ U(0x5BD1E995)) % U(coordinates)).astype(np.int64)
+        order = np.lexsort((name, when, place))
+        place, first = np.unique(place[order], return_index=True)
+        found, full = name[order][first], np.bincount(place // coordinates, minlength=len(many))
+        ends = np.cumsum(full)
+        for j, i in enumerate(many):
+            if full[j] == coordinates:
+                out[i] = found[ends[j] - coordinates : ends[j]]
+    return [x if x is not None else signature(*s, coordinates) if len(s[0]) else None for x, s in zip(out, sets)]
+
+
 def band_keys(sig: np.ndarray, settings: Settings) -> np.ndarray:
     rows = sig.reshape(settings.bands, settings.rows)
     value = np.arange(settings.bands).astype(U)
@@ -151,12 +211,11 @@ def sketch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(settings.words)
-        for batch in batches:
-            nodes, bands = [], []
-            for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist()):
-                hashes = shingler.word_hashes(text)
-                nodes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else digest)
-                bands.append(band_keys(signature(*shingler.elements(hashes), settings.coordinates), settings).tolist() if len(hashes) else [])
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
+            hashes = [shingler.word_hashes(t) for t in batch.column("text").to_pylist()]
+            nodes = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else d for h, d in zip(hashes, batch.column("digest").to_pylist())]
+            found = signatures(shingler.many(hashes), settings.coordinates)
+            bands = [band_keys(x, settings).tolist() if x is not None else [] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "node", "bands"])
 
     return docs.mapInArrow(lean(run), "doc_id long, digest binary, node binary, bands array<long>")
@@ -210,7 +269,7 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     A node stands for all rows of equal word sequence, whatever their ids, so copies are never compared.
     """
-    found = materialise(sketch(docs, settings), "sketch")
+    found = materialise(sketch(docs, settings), "sketch", scan=True)
     member = found.select("doc_id", "digest", "node")
     banded = found.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
     banded = materialise(banded, "banded")

@@ -179,7 +179,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
     kept = docs.drop("n_words", "spans", "items")
     each = blocks(benchmark, settings)
     result = _scan_block(kept, next(each), settings)
-    hits = [materialise(_scan_block(kept.select("text"), block, settings).where(F.size("spans") > 0).select(_digest(), "spans", "items"), "hits") for block in each]
+    hits = [materialise(_scan_block(kept.select("text"), block, settings).where(F.size("spans") > 0).select(_digest(), "spans", "items"), "hits", scan=True) for block in each]
     if not hits:
         return result
     more = reduce(DataFrame.union, hits).groupBy("__text").agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.flatten(F.collect_set("items")).alias("__items"))  # no more sets than blocks
@@ -266,7 +266,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     exists, follows the new text. Of a table without rows nothing is left, and an empty benchmark leaves all."""
     found = scan(docs, benchmark, settings)
     clean = found.where(F.size("spans") == 0).select(*docs.columns)
-    hit = materialise(found.where(F.size("spans") > 0), "hits")
+    hit = materialise(found.where(F.size("spans") > 0), "hits", scan=True)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     hit = hit.where(covered <= F.col("n_words") * settings.coverage)
     out = clean

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.spans import matches
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 #: The four kinds in the order of listing. Quantifiers are possessive where what follows cannot
 #: match what they took, and a match starts where a run of its characters starts or the last match ended; both
@@ -107,13 +107,11 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def rated(pairs: DataFrame, entities: DataFrame, total: int, settings: Settings = Settings()) -> DataFrame:
-    """entity, term, disclosure of the pairs (entity, term, both, of_term) at or above the threshold, among total texts;
-    entities has entity and of_entity."""
-    p = F.col("of_entity") / F.lit(float(total))
-    q = (F.col("both") + settings.prior * p) / (F.col("of_term") + settings.prior)
-    found = pairs.join(entities, "entity").where(F.col("of_entity") < total).withColumn("disclosure", F.log2(q / p) / -F.log2(p))
-    return found.where(F.col("disclosure") >= settings.disclosure).select("entity", "term", "disclosure")
+def _disclosure(both: Column, of_term: Column, of_entity: Column, total: int, settings: Settings) -> Column:
+    """How much of an entity's information a term discloses, from the numbers of texts that hold both, the term, the entity."""
+    p = of_entity / F.lit(float(total))
+    q = (both + settings.prior * p) / (of_term + settings.prior)
+    return F.log2(q / p) / -F.log2(p)
 
 
 def _key() -> list[Column]:
@@ -133,11 +131,12 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     listed = F.concat(*map(tagged, PATTERNS))
     first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(F.size(listed) > 0, _entities()).alias("entities"))
-    first = materialise(first, "base")
+    first = materialise(first, "base", scan=True)
     held = first.where(F.size("base") > 0)
     texts = docs.select(*_key(), "text").dropDuplicates(["id_key", "key"]).join(held.groupBy("id_key", "key").agg(F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("rows")), ["id_key", "key"])
     texts = materialise(texts, "texts")
-    terms = _terms(texts, first, docs, settings)
+    terms = materialise(_terms(texts, first, docs, settings), "terms")
+    release(texts)
     none = F.array().cast(TAGGED)
     return first.drop("entities").join(terms, ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
 
@@ -145,13 +144,19 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def _terms(texts: DataFrame, first: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """id_key, key, terms: the disclosing terms' spans in whole texts, for the texts (id_key, key, text, base, entities,
     rows) that have some. Words inside base spans count as words of the text, but are not marked."""
-    each = texts.select("id_key", "key", F.xxhash64("text").alias("context"), F.explode("entities").alias("entity"), _words(F.col("text")).alias("words"), "rows")
-    pairs = each.select("id_key", "key", "context", "entity", "rows", F.explode("words").alias("term"))
-    often = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high")
-    often = materialise(often.select("entity", "term", "both"), "pairs")
-    words = docs.where("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).where("of_term > 1")
-    entities = first.where(F.size("base") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
-    chosen = materialise(rated(often.join(words, "term"), entities, first.count(), settings), "chosen")
+    total = first.count()
+    each = texts.select("id_key", "key", F.xxhash64("text").alias("context"), "rows", "entities", _words(F.col("text")).alias("words"))
+    often = docs.where("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).where("of_term > 1")
+    words = materialise(each.select("id_key", "key", F.explode("words").alias("term")).join(often, "term"), "words")
+    entities = first.where(F.size("base") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity")).where((F.col("of_entity") > 1) & (F.col("of_entity") < total))
+    held = materialise(each.select("id_key", "key", "context", "rows", F.explode("entities").alias("entity")).join(entities, "entity"), "entities")
+    # A term is with an entity no more often than the entity is at all, which rules out most pairs before they are made.
+    pairs = held.join(words, ["id_key", "key"]).where(_disclosure(F.col("of_entity"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure)
+    pairs = materialise(pairs.select("id_key", "key", "context", "rows", "entity", "of_entity", "term", "of_term"), "pairs")
+    found = pairs.groupBy("entity", "term", "of_entity", "of_term").agg(F.sum("rows").alias("both"), F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high")
+    chosen = found.where(_disclosure(F.col("both"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure).select("entity", "term")
+    chosen = materialise(chosen, "chosen")
+    release(words, held)
     marked = pairs.select("id_key", "key", "entity", "term").join(chosen, ["entity", "term"]).groupBy("id_key", "key").agg(F.array_sort(F.collect_set("term")).alias("found"))  # words of one text
     marked = marked.join(texts, ["id_key", "key"])
     words = F.filter(matches(F.col("text"), WORD), lambda w: F.array_contains("found", F.lower(w["value"])))

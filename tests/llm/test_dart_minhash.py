@@ -125,3 +125,16 @@ def test_empty_table_and_stage(spark, rows):
     out = dm.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(x[0] for x in brute(rows))
+
+
+def test_many_at_once_equal_one_by_one():
+    rng = np.random.default_rng(12)
+    texts = [text(rng, int(n), 300) for n in rng.integers(0, 400, 60)] + ["", "one", "a b c d e", "a b c d e " * 90, text(rng, 5000)]
+    shingler = dm.Shingler(5)
+    hashes = [shingler.word_hashes(t) for t in texts]
+    sets = shingler.many(hashes)
+    for h, (keys, weights) in zip(hashes, sets):
+        want = shingler.elements(h)
+        assert (keys == want[0]).all() and (weights == want[1]).all()
+    for found, s in zip(dm.signatures(sets, 64), sets):
+        assert found is None and not len(s[0]) or (found == dm.signature(*s, 64)).all()
