@@ -48,6 +48,9 @@ class Settings:
     generalise: bool = True
 
 
+BROADCAST = 200_000  # rows of two short strings that may go to every task
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -74,17 +77,17 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(SPANS))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with one column of spans (start, end, value; code points, end exclusive) for each kind.
+def find(docs: DataFrame, mark: str = "") -> DataFrame:
+    """docs with one column of spans (start, end, value; code points, end exclusive) for each kind, named mark and kind.
 
     A null text counts as empty; texts of any length are taken whole. Columns under these names are replaced.
     """
-    kept = docs.drop(*PATTERNS)
+    kept = docs.drop(*(mark + kind for kind in PATTERNS))
     text = F.coalesce(kept["text"], F.lit(""))
-    return kept.select("*", *(_spans(text, kind).alias(kind) for kind in PATTERNS))
+    return kept.select("*", *(_spans(text, kind).alias(mark + kind) for kind in PATTERNS))
 
 
-def _entities() -> Column:
+def _entities(mark: str) -> Column:
     """The entities of a text, each once: of every span its value, what the value shares with others, and its kind."""
 
     def of(kind: str) -> Column:
@@ -98,7 +101,7 @@ def _entities() -> Column:
             }[kind]
             return F.array(F.concat(F.lit(f"{kind}:"), v), F.lit(f"kind:{kind}"), *(F.concat(F.lit(f"{name}:"), part) for name, part in parts))
 
-        return F.flatten(F.transform(kind, names))
+        return F.flatten(F.transform(mark + kind, names))
 
     return F.filter(F.array_distinct(F.concat(*map(of, PATTERNS))), lambda x: x != "owner:")
 
@@ -114,55 +117,60 @@ def _disclosure(both: Column, of_term: Column, of_entity: Column, total: int, se
     return F.log2(q / p) / -F.log2(p)
 
 
-def _key() -> list[Column]:
-    return [F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id_key"), F.xxhash64("doc_id", "text").alias("key")]
+def _tagged(kind: str) -> Column:
+    return F.transform(f"__{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _looked_through(docs: DataFrame, whole: bool, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """docs with __digest (of the text), __base (spans) and __entities, written to the shared folder, texts without a base
+    span only if whole; and __digest, __terms of the texts that have disclosing terms. Copies of a text are one text."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    base = F.concat(*map(_tagged, PATTERNS))
+    first = find(docs, "__").select(*names, F.unhex(F.md5(F.col("text").cast("binary"))).alias("__digest"), base.alias("__base"), F.when(F.size(base) > 0, _entities("__")).alias("__entities"))
+    first = first if whole else first.withColumn("text", F.when(F.size("__base") > 0, F.col("text")))
+    first = materialise(first, "base", scan=True)
+    held = first.where(F.size("__base") > 0).select(F.col("__digest").alias("digest"), "text", F.col("__base").alias("base"), F.col("__entities").alias("entities"))
+    texts = held.groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("rows"))
+    texts = materialise(texts, "texts")
+    terms = materialise(_terms(texts, docs, first.count(), settings), "terms")
+    release(texts)
+    return first, terms.select(F.col("digest").alias("__digest"), F.col("terms").alias("__terms"))
 
 
 def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """id_key, key, doc_id, base and terms: one row for each row of docs (doc_id, text), written to the shared folder.
+    """doc_id, base and terms: one row for each row of docs (doc_id, text), by way of the shared folder.
 
     base lists the kinds' spans, terms the disclosing terms' spans that overlap no base span, both as arrays of
     (kind, start, end) in order. Null texts count as empty; repeated rows count each and get equal spans. An empty table
     gives an empty result. Other columns of docs are ignored.
     """
-
-    def tagged(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-
-    listed = F.concat(*map(tagged, PATTERNS))
-    first = find(docs.select("doc_id", "text")).select(*_key(), "doc_id", listed.alias("base"), F.when(F.size(listed) > 0, _entities()).alias("entities"))
-    first = materialise(first, "base", scan=True)
-    held = first.where(F.size("base") > 0)
-    texts = docs.select(*_key(), "text").dropDuplicates(["id_key", "key"]).join(held.groupBy("id_key", "key").agg(F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("rows")), ["id_key", "key"])
-    texts = materialise(texts, "texts")
-    terms = materialise(_terms(texts, first, docs, settings), "terms")
-    release(texts)
-    none = F.array().cast(TAGGED)
-    return first.drop("entities").join(terms, ["id_key", "key"], "left").withColumn("terms", F.coalesce("terms", none))
+    first, terms = _looked_through(docs.select("doc_id", "text"), False, settings)
+    plain = first.where(F.size("__base") == 0).select("doc_id", F.col("__base").alias("base"), F.array().cast(TAGGED).alias("terms"))
+    held = first.where(F.size("__base") > 0).join(terms, "__digest", "left")
+    return plain.union(held.select("doc_id", "__base", F.coalesce("__terms", F.array().cast(TAGGED))))
 
 
-def _terms(texts: DataFrame, first: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """id_key, key, terms: the disclosing terms' spans in whole texts, for the texts (id_key, key, text, base, entities,
-    rows) that have some. Words inside base spans count as words of the text, but are not marked."""
-    total = first.count()
-    each = texts.select("id_key", "key", F.xxhash64("text").alias("context"), "rows", "entities", _words(F.col("text")).alias("words"))
+def _terms(texts: DataFrame, docs: DataFrame, total: int, settings: Settings) -> DataFrame:
+    """digest, terms: the disclosing terms' spans in whole texts, for the texts (digest, text, base, entities, rows) that
+    have some. Words inside base spans count as words of the text, but are not marked."""
+    each = texts.select("digest", "rows", "entities", _words(F.col("text")).alias("words"))
     often = docs.where("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).where("of_term > 1")
-    words = materialise(each.select("id_key", "key", F.explode("words").alias("term")).join(often, "term"), "words")
-    entities = first.where(F.size("base") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity")).where((F.col("of_entity") > 1) & (F.col("of_entity") < total))
-    held = materialise(each.select("id_key", "key", "context", "rows", F.explode("entities").alias("entity")).join(entities, "entity"), "entities")
+    words = materialise(each.select("digest", F.explode("words").alias("term")).join(often, "term"), "words")
+    entities = each.select("rows", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("rows").alias("of_entity"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("of_entity") < total))
+    held = materialise(each.select("digest", "rows", F.explode("entities").alias("entity")).join(entities.drop("n"), "entity"), "entities")
     # A term is with an entity no more often than the entity is at all, which rules out most pairs before they are made.
-    pairs = held.join(words, ["id_key", "key"]).where(_disclosure(F.col("of_entity"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure)
-    pairs = materialise(pairs.select("id_key", "key", "context", "rows", "entity", "of_entity", "term", "of_term"), "pairs")
-    found = pairs.groupBy("entity", "term", "of_entity", "of_term").agg(F.sum("rows").alias("both"), F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high")
-    chosen = found.where(_disclosure(F.col("both"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure).select("entity", "term")
-    chosen = materialise(chosen, "chosen")
+    pairs = held.join(words, "digest").where(_disclosure(F.col("of_entity"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure)
+    pairs = materialise(pairs.select("digest", "rows", "entity", "of_entity", "term", "of_term"), "pairs")
+    found = pairs.groupBy("entity", "term", "of_entity", "of_term").agg(F.sum("rows").alias("both"), F.count("*").alias("n")).where("n > 1")
+    chosen = materialise(found.where(_disclosure(F.col("both"), F.col("of_term"), F.col("of_entity"), total, settings) >= settings.disclosure).select("entity", "term"), "chosen")
     release(words, held)
-    marked = pairs.select("id_key", "key", "entity", "term").join(chosen, ["entity", "term"]).groupBy("id_key", "key").agg(F.array_sort(F.collect_set("term")).alias("found"))  # words of one text
-    marked = marked.join(texts, ["id_key", "key"])
+    few = chosen.limit(BROADCAST + 1).count() <= BROADCAST
+    marked = pairs.select("digest", "entity", "term").join(F.broadcast(chosen) if few else chosen, ["entity", "term"])
+    marked = marked.groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("found")).join(texts.select("digest", "text", "base"), "digest")  # words of one text
     words = F.filter(matches(F.col("text"), WORD), lambda w: F.array_contains("found", F.lower(w["value"])))
-    places = marked.select("id_key", "key", "base", F.explode(words).alias("s"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    return places.where(free).groupBy("id_key", "key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
+    tagged = F.transform(words, lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
+    free = F.filter(tagged, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    return marked.select("digest", free.alias("terms")).where(F.size("terms") > 0)
 
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -172,9 +180,11 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Rows without a span stay as they are, null texts and repeated rows among them; n_chars, where it exists, follows the
     new text; an empty table gives an empty result.
     """
-    every = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    found = spans(docs, settings).where(F.size("base") > 0).dropDuplicates(["id_key", "key"]).select("id_key", "key", F.array_sort(every).alias("spans"))
-    ordered = F.col("spans")
+    first, terms = _looked_through(docs, True, settings)
+    held = first.where(F.size("__base") > 0).join(terms, "__digest", "left")
+    every = F.concat("__base", F.coalesce("__terms", F.array().cast(TAGGED)))
+    held = held.withColumn("__spans", F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    ordered = F.col("__spans")
 
     def join(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -184,18 +194,16 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     touching = F.exists(F.arrays_zip(ordered.alias("x"), F.slice(ordered, F.lit(2), F.size(ordered)).alias("y")), lambda z: z["y"]["start"] < z["x"]["end"])
     merged = F.when(touching, F.aggregate(ordered, none, join)).otherwise(ordered)  # most texts have none that overlap
-    keyed = docs.select("*", *(c.alias(f"__{i}") for i, c in enumerate(_key())))
-    both = keyed.join(found.select(F.col("id_key").alias("__0"), F.col("key").alias("__1"), merged.alias("__spans")), ["__0", "__1"], "left")
+    both = held.withColumn("__spans", merged)
     shape = lambda w: F.when(w.rlike(r"^\d+$"), "[NUMBER]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     shown = shape if settings.generalise else lambda w: F.lit("")
     before = lambda i: F.when(i > 0, F.try_element_at("__spans", i)["end"]).otherwise(0)  # noqa: E731  element_at counts from 1
     parts = F.transform("__spans", lambda s, i: F.concat(F.substring(F.col("text"), before(i) + 1, s["start"] - before(i)), F.when(s["kind"] == "term", shown(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
     rest = F.substring(F.col("text"), F.element_at("__spans", -1)["end"] + 1, F.length("text"))
-    text = F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))
-    out = both.withColumn("text", text)
+    out = both.withColumn("text", F.concat(F.array_join(parts, ""), rest))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return first.where(F.size("__base") == 0).select(*docs.columns).union(out.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
