@@ -180,3 +180,11 @@ FIELD_TYPES = {
     "reference": "council_ref", "ref": "council_ref", "medical": "medical_details", "allergy": "medical_details",
 }
 TYPE_ALIASES = {"nhs_number": "nin", "pcn": "vehicle_reg"}
+# Labels of token classifiers and the types they mean, and how sure a fallback entity is.
+MODEL_LABELS = {"PER": "person_name", "ORG": "organization", "LOC": "location", "MISC": "misc"}
+FALLBACK_ENTITIES = {"PERSON": 0.70, "GPE": 0.65, "ORG": 0.65, "LOC": 0.65}
+# Types that are told apart well enough to be looked for on a whole page; the largest share of a page that an unsure box may cover.
+DISTINCTIVE_TYPES = ["reference", "case_reference", "email", "phone", "postcode"]
+UNSURE_AREA = 0.06
+# Words that close a letter.
+CLOSING_WORDS = ["sign", "signed", "regards", "faithfully", "sincerely"]

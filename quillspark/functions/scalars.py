@@ -64,18 +64,56 @@ def chain_hash(previous: Column, data: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit(":"), data), 256)
 
 
+def json_text(value: Column) -> Column:
+    """A string as JSON in ASCII: quotes, backslashes and control characters escaped, all else beyond ASCII as \\u and hex."""
+
+    def one(c: Column) -> Column:
+        point = F.ascii(c)
+        unit = lambda v: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(v)), 4, "0"))
+        high, low = F.floor((point - 0x10000) / 0x400) + 0xD800, (point - 0x10000) % 0x400 + 0xDC00
+        short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+        out = F.when(point > 0xFFFF, F.concat(unit(high.cast("int")), unit(low.cast("int")))).when((point > 126) | (point < 32), unit(point)).otherwise(c)
+        for k, v in short.items():
+            out = F.when(c == F.lit(k), F.lit(v)).otherwise(out)
+        return out
+
+    characters = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+    plain = value.rlike(r'^[ !#-\[\]-~]*$')
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(F.array_join(F.transform(characters, one), "")), F.lit('"'))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """An object with sorted keys, ", " and ": " between; values are JSON already (`json_text` for strings), null is null."""
+    parts = [F.concat(F.lit(f'"{name}": '), F.coalesce(fields[name].cast("string"), F.lit("null"))) for name in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 in hex of a file's bytes."""
+    return F.sha2(content, 256)
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def base32(data: Column) -> Column:
     """RFC 4648 base 32 of binary data, without padding."""
     bits = F.array_join(F.transform(F.split(F.hex(data), "(?<=\\G..)"), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
-    groups = F.sequence(F.lit(0), F.ceil(F.length(bits) / 5).cast("int") - 1)
-    letter = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.rpad(F.substring(bits, i * 5 + 1, F.lit(5)), 5, "0"), 2, 10).cast("int") + 1, F.lit(1))
-    return F.when(F.length(data) > 0, F.array_join(F.transform(groups, letter), "")).otherwise("")
+
+    def spelled(bits: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.ceil(F.length(bits) / 5).cast("int") - 1)
+        letter = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.rpad(F.substring(bits, i * 5 + 1, F.lit(5)), 5, "0"), 2, 10).cast("int") + 1, F.lit(1))
+        return F.array_join(F.transform(groups, letter), "")
+
+    return F.when(F.length(data) > 0, let(bits, spelled)).otherwise("")
 
 
 def export_id(prefix: str, document_id: Column, created: Column, key: bytes) -> Column:
     """prefix-short-token-check: base 32 of digests, and four letters of an HMAC over what stands before."""
     body = F.concat(F.lit(prefix + "-"), F.left(base32(F.unhex(F.sha2(document_id.cast("string"), 256))), F.lit(6)), F.lit("-"), F.left(base32(F.unhex(F.sha2(F.concat_ws(":", document_id.cast("string"), created.cast("string")), 256))), F.lit(10)))
-    return F.concat(body, F.lit("-"), F.left(base32(F.unhex(hmac_sha256(body, key))), F.lit(4)))
+    return let(body, lambda b: F.concat(b, F.lit("-"), F.left(base32(F.unhex(hmac_sha256(b, key))), F.lit(4))))
 
 
 def export_id_status(value: Column, prefix: str, key: bytes) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import let
+
 SPAN = "struct<type:string,start:int,end:int,value:string,confidence:double,method:string>"
 SPANS = f"array<{SPAN}>"
 FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -18,11 +20,6 @@ def none(kind: str = SPANS) -> Column:
     return F.array().cast(kind)
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def running(values: Column) -> Column:
     """Running sums of an array of int. Folding copies what it has gathered, so it goes over blocks of the square root of
     the size, then over their sums: n ** 1.5 copies, not n ** 2."""
@@ -86,6 +83,11 @@ def trimmed(piece: Column) -> Column:
     return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
 
+def bare(value: Column) -> Column:
+    """value without white space of any kind at its ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def lines(text: Column) -> Column:
     """Lines without their break, at line feeds: struct(start, end, value)."""
     whole = pieces(text, "\n")

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as V
+from quillspark.functions.scalars import let
 
 
 def _array(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once, however often later steps name them: a generator stands between."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """A constant table as an expression, with a default for null and unknown keys."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(default))
 
 
 def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a word in a text."""
-    return F.size(F.split(text, r"\Q" + word + r"\E", -1)) - 1
+    """Non-overlapping occurrences of a word in a text, by what is left when they are taken out."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())).cast("int")
 
 
 def present(text: Column, words: list[str]) -> Column:
@@ -29,8 +35,7 @@ def present(text: Column, words: list[str]) -> Column:
 
 def scores(text: Column, categories: dict[str, list[str]] = V.CATEGORIES) -> Column:
     """For each category in order, occurrences weighted by the keyword's number of words."""
-    low = F.lower(text)
-    return F.array(*(sum((occurrences(low, k.lower()) * len(k.split()) for k in words), F.lit(0)) for words in categories.values()))
+    return let(F.lower(text), lambda low: F.array(*(sum((occurrences(low, k.lower()) * len(k.split()) for k in words), F.lit(0)) for words in categories.values())))
 
 
 def category(text: Column, categories: dict[str, list[str]] = V.CATEGORIES) -> Column:
@@ -45,8 +50,7 @@ def category(text: Column, categories: dict[str, list[str]] = V.CATEGORIES) -> C
 
 def keyword_estimate(text: Column, categories: dict[str, list[str]] = V.CATEGORIES) -> Column:
     """The first category with the most different keywords present; unknown if there is none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counts = F.array(*(present(low, words) for words in categories.values()))
+    counts = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*(present(low, words) for words in categories.values())))
     return F.transform(F.array(counts), lambda c: F.when(F.array_max(c) > 0, F.element_at(_array(categories), F.array_position(c, F.array_max(c)).cast("int"))).otherwise("unknown"))[0]
 
 
@@ -62,14 +66,16 @@ def department(category_: Column) -> Column:
 
 def risk_flags(text: Column, keywords: dict[str, list[str]] = V.RISK_KEYWORDS) -> Column:
     """Names of the flags of which any keyword is a part of the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(present(low, words) > 0, name) for name, words in keywords.items())))
+    held = lambda low: F.array_compact(F.array(*(F.when(present(low, words) > 0, name) for name, words in keywords.items())))
+    return let(F.lower(F.coalesce(text, F.lit(""))), held)
 
 
 def sentiment(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    bad, good = present(low, V.NEGATIVE_WORDS), present(low, V.POSITIVE_WORDS)
-    return F.when(present(low, V.DISTRESS_WORDS) > 0, "distressed").when(present(low, V.ANGRY_WORDS) > 0, "angry").when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
+    def mood(low: Column) -> Column:
+        bad, good = present(low, V.NEGATIVE_WORDS), present(low, V.POSITIVE_WORDS)
+        return F.when(present(low, V.DISTRESS_WORDS) > 0, "distressed").when(present(low, V.ANGRY_WORDS) > 0, "angry").when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), mood)
 
 
 def urgency(category_: Column, flags: Column, mood: Column) -> Column:
@@ -125,3 +131,13 @@ def priority(urgency_: Column, wanted: str) -> Column:
 
 def priority_bucket(urgency_: Column) -> Column:
     return F.when(urgency_ >= 0.8, "urgent").when(urgency_ >= 0.5, "high").when(urgency_ < 0.5, "normal")
+
+
+def with_model(keyword: Column, urgency_: Column, model: Column) -> Column:
+    """struct(category, urgency): a model's answer (struct category, urgency) goes before the keywords' where it has one."""
+    return F.struct(F.coalesce(F.nullif(model["category"], F.lit("")), keyword).alias("category"), F.coalesce(model["urgency"], urgency_).alias("urgency"))
+
+
+def translated(text: Column, lang: Column, translate, pairs: list[str], enabled: bool = True) -> Column:
+    """The text in English: translate (a function of columns text, lang) for the languages in pairs, else as it is."""
+    return F.when(lang.isin(*pairs) & (lang != "en"), F.coalesce(translate(text, lang), text)).otherwise(text) if enabled else text

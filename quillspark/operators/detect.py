@@ -46,15 +46,15 @@ def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str
 
 
 def address_phrases(text: Column) -> Column:
-    found = F.filter(S.matches(text, _ci(V.ADDRESS_PHRASE), 1), lambda m: F.length(F.trim(m["value"])) >= 6)
+    found = F.filter(S.matches(text, _ci(V.ADDRESS_PHRASE), 1), lambda m: F.length(S.bare(m["value"])) >= 6)
     return S.typed("address", found, 0.82, "address_phrase")
 
 
 def contact_header(text: Column) -> Column:
     """Name and address lines at the top of a letter, if anything there shows that it is a contact block."""
     top = F.regexp_extract(text, r"^(?:\s*+\S[^\n]*+(?:\n|$)){1,8}", 0)  # the first eight lines that are not blank
-    filled = F.filter(S.lines(top), lambda x: F.length(F.trim(x["value"])) > 0)
-    line = lambda x: F.trim(x["value"])
+    filled = F.filter(S.lines(top), lambda x: F.length(S.bare(x["value"])) > 0)
+    line = lambda x: S.bare(x["value"])
 
     def head_of(top: Column) -> Column:
         stop = F.array_position(F.transform(top, lambda x: line(x).rlike(_ci(V.HEADER_STOP))), F.lit(True))
@@ -163,26 +163,58 @@ def detect(docs: DataFrame, allowed: Column | None = None, extra: Column | None
     return first.withColumn("spans", S.by_start(kept))
 
 
+def entity_fallback(text: Column, entities: Column, model_available: bool = False) -> Column:
+    """Entities of an injected recogniser (array of struct label, start, end, value) as spans, for longer texts where no
+    language model is at hand: people, places and organisations of four letters or more."""
+    sure = F.create_map(*[F.lit(x) for pair in V.FALLBACK_ENTITIES.items() for x in pair])
+    kept = F.filter(entities, lambda e: F.map_contains_key(sure, e["label"]) & (F.length(S.bare(e["value"])) >= 4))
+    found = F.transform(kept, lambda e: S.span(F.lower(e["label"]), e, 0.0, "ner").withField("confidence", F.try_element_at(sure, e["label"])))
+    return S.none() if model_available else F.when(F.length(text) > 100, found).otherwise(S.none())
+
+
+def model_labels(entities: Column) -> Column:
+    """Entities of a token classifier (array of struct label, start, end, value, score) as spans, labels in house terms."""
+    names = F.create_map(*[F.lit(x) for pair in V.MODEL_LABELS.items() for x in pair])
+    return F.transform(entities, lambda e: S.span(F.coalesce(F.try_element_at(names, e["label"]), F.lower(e["label"])), e, 0.0, "bert").withField("confidence", e["score"]))
+
+
+def without_label(value: Column) -> Column:
+    """value without the first label in it; as it was if nothing else is left."""
+    rest = S.bare(F.regexp_replace(value, "(?s)^(.*?)(?:" + ANY_LABEL + ")(.*)$", "$1$2"))
+    return F.when(rest == "", value).otherwise(rest)
+
+
+def redact_again(docs: DataFrame, translated: str = "translated") -> DataFrame:
+    """docs with redacted_translation: a translation is redacted anew, for all types."""
+    found = detect(docs, text=translated)
+    return found.withColumn("redacted_translation", S.redact(F.col(translated), F.col("spans"))).drop("spans")
+
+
 def model_spans(text: Column, items: Column, confidence: float = 0.82, method: str = "llm") -> Column:
     """Spans of values that a model names (array of struct type, value): first exact, else first case-blind occurrence."""
 
     def place(x: Column) -> Column:
-        value = F.regexp_replace(x["value"], "^(?:" + ANY_LABEL + ")", "")
+        value = without_label(x["value"])
         at = F.when(F.position(value, text) > 0, F.position(value, text)).otherwise(F.position(F.lower(value), F.lower(text)))
         return S.span(x["type"], F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end"), value.alias("value")), confidence, method)
 
     return F.filter(F.transform(items, place), lambda s: (s["start"] >= 0) & (F.length(s["value"]) >= 2))
 
 
-def identifiers(text: Column) -> Column:
-    """The second detector: national identifiers with their checks, postcodes outside addresses; best confidence wins."""
+def identifiers(text: Column, addresses: Column | None = None) -> Column:
+    """The second detector: national identifiers with their checks, postcodes outside addresses; best confidence wins.
+
+    addresses (array of struct start, end) are those that another detector found."""
 
     def of(kind: str) -> Column:
         found = S.matches(text, V.IDENTIFIERS[kind])
         check = {"nhs_number": nhs_valid, "nin": nin_valid}.get(kind)
         return S.typed(kind, F.filter(found, lambda m: check(m["value"])) if check else found, 0.90, "regex")
 
-    every = F.concat(*map(of, V.IDENTIFIERS), S.typed("postcode", S.matches(text, V.IDENTIFIER_POSTCODE), 0.95, "regex"))
+    postcodes = S.matches(text, V.IDENTIFIER_POSTCODE)
+    if addresses is not None:
+        postcodes = F.filter(postcodes, lambda m: ~F.exists(addresses, lambda a: (a["start"] <= m["start"]) & (m["end"] <= a["end"])))
+    every = F.concat(*map(of, V.IDENTIFIERS), S.typed("postcode", postcodes, 0.95, "regex"))
     kept = F.filter(S.add_free(S.none(), S.by_confidence(every)), lambda s: (F.length(F.trim(s["value"])) >= 2) & (s["confidence"] >= 0.3))
     return S.by_start(kept)
 

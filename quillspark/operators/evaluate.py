@@ -16,14 +16,22 @@ def finite_mean(c: Column) -> Column:
 
 
 def backend_report(rows: DataFrame) -> DataFrame:
-    """For each backend, rows and the mean character error rate (backend, truth, prediction)."""
-    return rows.groupBy("backend").agg(F.count("*").alias("n"), F.round(finite_mean(X.cer(F.col("truth"), F.col("prediction"))), 4).alias("avg_cer"))
+    """For each backend, rows, mean error rates and, where there are any, mean seconds (backend, truth, prediction)."""
+    mean = lambda c: F.round(finite_mean(c), 4)
+    seconds = [mean(F.col("elapsed_seconds")).alias("avg_seconds")] if "elapsed_seconds" in rows.columns else []
+    t, p = F.col("truth"), F.col("prediction")
+    return rows.groupBy("backend").agg(F.count("*").alias("n"), mean(X.cer(t, p)).alias("avg_cer"), mean(X.wer(t, p)).alias("avg_wer"), *seconds)
 
 
-def evaluate_backend(rows: DataFrame, critical: list[str]) -> DataFrame:
-    """Macro error rates and micro recalls (backend, truth, prediction, items: array of struct type, value)."""
+def evaluate_backend(rows: DataFrame, critical: list[str], misses: int = 25) -> DataFrame:
+    """Macro error rates and micro recalls (backend, truth, prediction, items: array of struct type, value; may have
+    mapped: the share of boxes found), and the first misses, at most `misses`, as type:value in order."""
     values = lambda items: F.transform(items, lambda i: i["value"])
     rows = rows.withColumn("all", X.token_recall(values(F.col("items")), F.col("prediction"))).withColumn("crit", X.token_recall(values(F.filter("items", lambda i: i["type"].isin(critical))), F.col("prediction")))
+    low = X.normal(F.coalesce(F.col("prediction"), F.lit("")))
+    missed = F.transform(F.filter("items", lambda i: ~F.contains(low, X.normal(i["value"]))), lambda i: F.concat_ws(":", i["type"], i["value"]))
+    rows = rows.withColumn("missed", missed)
+    mapping = [F.round(finite_mean(F.col("mapped")), 4).alias("mapping")] if "mapped" in rows.columns else []
     ratio = lambda c: F.when(F.sum(f"{c}.expected") > 0, F.sum(f"{c}.found") / F.sum(f"{c}.expected")).otherwise(1.0)
     return rows.groupBy("backend").agg(
         F.count("*").alias("n"),
@@ -33,6 +41,8 @@ def evaluate_backend(rows: DataFrame, critical: list[str]) -> DataFrame:
         ratio("all").alias("recall"),
         ratio("crit").alias("critical_recall"),
         F.sum(F.col("crit.expected") - F.col("crit.found")).alias("critical_misses"),
+        F.slice(F.sort_array(F.flatten(F.collect_list(F.slice(F.sort_array("missed"), 1, misses)))), 1, misses).alias("first_misses"),
+        *mapping,
     )
 
 
@@ -66,9 +76,71 @@ def case_results(cases: DataFrame) -> DataFrame:
     return rows.withColumn("passed", clean & (F.col("needs_review") == F.col("expected_needs_review")))
 
 
+def _kept(expected: str, lost: str) -> Column:
+    """Share of the expected that was not lost; 1 if nothing is expected."""
+    total = F.sum(F.size(expected))
+    return F.when(total > 0, (total - F.sum(F.size(lost))) / total).otherwise(1.0)
+
+
 def case_summary(results: DataFrame, accept: float = 0.85) -> DataFrame:
-    expected, leaked = F.sum(F.size("expected_redacted_values")), F.sum(F.size("leaked"))
-    return results.agg(F.count("*").alias("cases"), F.avg(F.col("passed").cast("double")).alias("accuracy"), F.when(expected > 0, 1 - leaked / expected).otherwise(1.0).alias("value_recall"), (F.avg(F.col("passed").cast("double")) >= accept).alias("accepted"))
+    """One row: how many cases passed and what share of values, labels, safe values and review flags was right."""
+    accuracy = F.coalesce(F.avg(F.col("passed").cast("double")), F.lit(0.0))
+    return results.agg(
+        F.count("*").alias("cases"),
+        accuracy.alias("accuracy"),
+        _kept("expected_redacted_values", "leaked").alias("value_recall"),
+        _kept("expected_unredacted_labels", "lost_labels").alias("label_score"),
+        _kept("expected_not_redacted_values", "lost_values").alias("safe_score"),
+        F.coalesce(F.avg((F.col("needs_review") == F.col("expected_needs_review")).cast("double")), F.lit(0.0)).alias("review_score"),
+        (accuracy >= accept).alias("accepted"),
+    )
+
+
+def recall_by_type(results: DataFrame) -> DataFrame:
+    """For each expected type, the cases that expect it and how many of them have it."""
+    rows = results.select(F.explode(F.array_distinct("expected_redaction_types")).alias("type"), "missing_types")
+    there = F.count_if(~F.array_contains("missing_types", F.col("type")))
+    return rows.groupBy("type").agg(F.count("*").alias("expected"), there.alias("found"), (there / F.count("*")).alias("recall"))
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """One row of means, to thousandths, and sums over scored documents; no row if there are none."""
+    means = {"avg_overall_score": "score", "avg_completeness": "redaction_completeness", "avg_accuracy": "redaction_accuracy", "avg_recall": "pii_recall", "avg_precision": "pii_precision", "category_accuracy": "category_correct_guess"}
+    rows = scores.agg(
+        F.count("*").alias("documents_evaluated"),
+        *(F.round(F.avg(F.col(c).cast("double")), 3).alias(name) for name, c in means.items()),
+        F.sum(F.size(F.array_except("pii_should_be_redacted", "pii_actually_redacted"))).alias("total_missed"),
+        F.sum(F.size("false_positives")).alias("total_false_positives"),
+    )
+    return rows.where("documents_evaluated > 0")
+
+
+def product_summary(results: DataFrame, recall: float = 0.85) -> DataFrame:
+    """One row over cases with similarity, required_field_recall, missed_redactions, redacted_safe_values, missing_types, review_ok."""
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    good = (F.col("required_field_recall") >= recall) & (F.size("missed_redactions") == 0) & (F.size("redacted_safe_values") == 0) & F.col("review_ok")
+    mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    return results.agg(
+        F.count("*").alias("case_count"),
+        mean("similarity").alias("average_similarity"),
+        mean("required_field_recall").alias("average_required_field_recall"),
+        size("missed_redactions").alias("missed_redaction_count"),
+        size("redacted_safe_values").alias("false_positive_safe_redaction_count"),
+        size("missing_types").alias("missing_type_count"),
+        mean("review_ok").alias("review_score"),
+        F.coalesce(F.bool_and(good), F.lit(False)).alias("passed_demo_threshold"),
+    )
+
+
+def label_counters(rows: DataFrame) -> DataFrame:
+    """What automatic labelling did: rows by status (labelled, no_items, no_match, failed) and the boxes it made."""
+    return rows.agg(F.count("*").alias("rows"), *(F.count_if(F.col("status") == s).alias(s) for s in ("labelled", "no_items", "no_match", "failed")), F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes"))
+
+
+def contained_either_way(expected: Column, found: Column) -> Column:
+    """Whether one value holds the other, without regard to case."""
+    a, b = F.lower(expected), F.lower(found)
+    return F.contains(a, b) | F.contains(b, a)
 
 
 def best_iou(expected: DataFrame, predicted: DataFrame, page: str, threshold: float = 0.35) -> DataFrame:

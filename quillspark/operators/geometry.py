@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import fixed_values as V
 from quillspark.functions import scalars as X
+from quillspark.functions import spans as S
 
 LINE_METHODS = ["field_line", "signed_name_line"]
 
@@ -100,13 +102,127 @@ def span_boxes(words: DataFrame, spans: DataFrame, page: str) -> DataFrame:
     return lists.select(page, "span_id", F.explode(F.aggregate("parts", F.array().cast(kind), step)).alias("box"))
 
 
-def regions(words: DataFrame, page: str, margin: float = 0.15) -> DataFrame:
-    """Header, footer and body of each page: by the outer shares of its text's height; one box for each."""
+def regions(words: DataFrame, page: str, margin: float = 0.15, width: float | None = None, height: float | None = None) -> DataFrame:
+    """Header, footer, signature and body of each page, one box for each, by its words' centres.
+
+    Header and footer are the outer shares of the text's extent; closing words in the lower right of the page (whose size
+    is the text's, unless given) are the signature as well; the body is the rest.
+    """
     w = Window.partitionBy(page)
-    yc, low, high = (F.col("y0") + F.col("y1")) / 2, F.min("y0").over(w), F.max("y1").over(w)
-    kind = F.when(yc <= low + margin * (high - low), "header").when(yc >= high - margin * (high - low), "footer").otherwise("body")
-    rows = words.withColumn("region", kind).groupBy(page, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return rows.withColumn("confidence", F.when(F.col("region") == "header", 0.70).when(F.col("region") == "footer", 0.65).otherwise(0.80))
+    xc, yc = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    low, high = F.min(yc).over(w), F.max(yc).over(w)
+    wide, tall = F.lit(width) if width else F.max("x1").over(w), F.lit(height) if height else F.max("y1").over(w)
+    kind = F.when(yc < low + margin * (high - low), "header").when(yc > high - margin * (high - low), "footer").otherwise("body")
+    closing = F.lower("text").rlike("|".join(V.CLOSING_WORDS)) & (xc > 0.5 * wide) & (yc > 0.75 * tall)
+    rows = words.withColumn("kinds", F.array_compact(F.array(kind, F.when(closing, "signature")))).select("*", F.explode("kinds").alias("region"))
+    rows = rows.groupBy(page, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return rows.withColumn("confidence", F.when(F.col("region") == "header", 0.70).when(F.col("region") == "footer", 0.65).when(F.col("region") == "signature", 0.75).otherwise(0.80))
+
+
+def first_fit_lines(words: DataFrame, page: str, share: float = 0.75, least: float = 8.0) -> DataFrame:
+    """Words (page, word_no, text, x0, y0, x1, y1) with a group: by y centre, then x, each joins the first group whose mean
+    centre is within the tolerance, else it opens one. The state makes it a fold, done page by page."""
+    schema = f"{page} long, word_no int, group int"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(yc=(pdf.y0 + pdf.y1) / 2).sort_values(["yc", "x0"], kind="stable")
+        limit = max(share * float((pdf.y1 - pdf.y0).mean()), least)
+        sums: list[float] = []
+        sizes: list[int] = []
+        out = []
+        for yc in pdf.yc:
+            at = next((i for i, (t, n) in enumerate(zip(sums, sizes)) if abs(yc - t / n) <= limit), len(sums))
+            if at == len(sums):
+                sums.append(0.0)
+                sizes.append(0)
+            sums[at] += yc
+            sizes[at] += 1
+            out.append(at)
+        return pd.DataFrame({page: pdf[page], "word_no": pdf.word_no, "group": out})
+
+    return words.groupBy(page).applyInPandas(fold, schema)
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """struct(index, start, value, ordinal, filled) of the line that an offset is in: the last that starts no later.
+    ordinal counts the lines with text before it (null if it has none itself), filled all lines with text."""
+
+    def look(all_: Column) -> Column:
+        last = F.greatest(F.size(F.filter(all_, lambda x: x["start"] <= offset)), F.lit(1))
+        line = F.element_at(all_, last)
+        has = lambda x: S.bare(x["value"]) != ""
+        before = F.size(F.filter(F.slice(all_, F.lit(1), last - 1), has))
+        return F.struct((last - 1).alias("index"), line["start"].alias("start"), line["value"].alias("value"), F.when(has(line), before).alias("ordinal"), F.size(F.filter(all_, has)).alias("filled"))
+
+    return S.let(S.lines(text), look)
+
+
+def likeness(wanted: Column, norm: Column) -> Column:
+    """How alike two compact forms are; containment counts as 0.8 at least, an empty line as nothing."""
+    inside = (wanted != "") & (F.contains(norm, wanted) | F.contains(wanted, norm))
+    ratio = X.similarity(wanted, norm)
+    return F.when(norm == "", 0.0).when(inside, F.greatest(ratio, F.lit(0.8))).otherwise(ratio)
+
+
+def map_values(values: DataFrame, texts: DataFrame, lines: DataFrame, page: str, width: float, height: float, pad: float = 6.0) -> DataFrame:
+    """Boxes of values that were found in a page's transcription, on the page's visual lines.
+
+    values: page, value_id, type, start, value; texts: page, text (the transcription); lines: as of cluster_lines. Each
+    value takes a line by the first rule that holds: a signature, or one of the last three lines, the last line; one of
+    the first eleven, the line of that place; a telling type, the most alike line of the page from 0.55 on; else the most
+    alike of the lines around the place in proportion, from 0.45 on; else the line at that place, unsure; and where the
+    line of the value has no place, the most alike line at all, unsure. Lines of a page are few; pairs stay on the page.
+    """
+    place = values.join(texts, page).where("start >= 0 AND value <> ''").withColumn("at", line_of(F.col("text"), F.col("start"))).where("at.ordinal IS NOT NULL").drop("text")
+    ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("y0", "line")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(page)))
+    pairs = place.join(ordered.select(page, "n", "m", "norm", F.struct("x0", "y0", "x1", "y1").alias("box")), page)
+    ordinal, filled, m = F.col("at.ordinal"), F.greatest(F.col("at.filled"), F.lit(1)), F.col("m")
+    at_end = (F.col("type") == "signature") | (ordinal >= filled - 3)
+    early = (ordinal <= 10) & (ordinal < m)
+    expected = F.when(filled > 1, ordinal / (filled - 1) * (m - 1))
+    like = F.when(at_end | early, 0.0).otherwise(likeness(X.compact(F.col("value")), F.col("norm")))
+    pairs = pairs.withColumn("like", like).withColumn("expected", expected)
+    near = F.col("n").between(F.floor("expected") - 3, F.floor("expected") + 3)
+    best = lambda ok: F.max_by(F.struct("box", "like"), F.when(ok & (F.col("like") > 0), F.struct("like", -F.col("n"))))
+    at_line = lambda n: F.max(F.when(F.col("n") == n, F.struct("box")))["box"]
+    kept = ["type", "value", "start", "at", "expected", "m"]
+    rows = pairs.withColumns({"at_end": at_end, "early": early}).groupBy(page, "value_id").agg(
+        *(F.first(c).alias(c) for c in [*kept, "at_end", "early"]),
+        best(F.lit(True)).alias("any"), best(near).alias("band"), at_line(F.col("m") - 1).alias("last"), at_line(F.col("at.ordinal")).alias("direct"),
+        at_line(F.least(F.col("m") - 1, F.greatest(F.lit(0), F.bround("expected").cast("int")))).alias("placed"),
+    )
+    choice = lambda box, part, sure, unsure=False: F.struct(box.alias("box"), F.lit(part).alias("part"), F.lit(sure).alias("confidence"), F.lit(unsure).alias("needs_review"))
+    found = (
+        F.when(F.col("at_end"), choice(F.col("last"), False, 0.70)).when(F.col("early"), choice(F.col("direct"), True, 0.80))
+        .when(F.col("type").isin(V.DISTINCTIVE_TYPES) & (F.col("any.like") >= 0.55), choice(F.col("any.box"), False, 0.72))
+        .when(F.col("expected").isNotNull() & (F.col("band.like") >= 0.45), choice(F.col("band.box"), True, 0.80))
+        .when(F.col("expected").isNotNull(), choice(F.col("placed"), True, 0.40, True)).otherwise(choice(F.col("any.box"), False, 0.35, True))
+    )
+    rows = rows.withColumn("found", found).where("found.box IS NOT NULL")
+    size, wide = F.length("at.value"), F.col("found.box.x1") - F.col("found.box.x0")
+    low = F.greatest(F.lit(0.0), (F.col("start") - F.col("at.start")) / size)
+    high = F.least(F.lit(1.0), (F.col("start") - F.col("at.start") + F.length("value")) / size)
+    left = F.col("found.box.x0") + F.when(F.col("found.part"), low * wide).otherwise(0.0)
+    right = F.when(F.col("found.part"), F.col("found.box.x0") + high * wide).otherwise(F.col("found.box.x1"))
+    box = F.struct(F.greatest(F.lit(0.0), left - pad).alias("x0"), F.greatest(F.lit(0.0), F.col("found.box.y0") - pad).alias("y0"), F.least(F.lit(float(width)), right + pad).alias("x1"), F.least(F.lit(float(height)), F.col("found.box.y1") + pad).alias("y1"))
+    rows = rows.withColumn("box", box).where("box.x1 - box.x0 >= 4 AND box.y1 - box.y0 >= 4")
+    hidden = F.col("found.needs_review") & (X.area(F.col("box")) / (width * height) > V.UNSURE_AREA)
+    rounded = F.struct(*(F.round(F.col("box")[c], 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return rows.select(page, "value_id", "type", F.left("value", F.lit(255)).alias("value"), F.when(~hidden, rounded).alias("box"), F.col("found.confidence").alias("confidence"), F.lit("geometry").alias("method"), F.col("found.needs_review").alias("needs_review"))
+
+
+def lines_after(lines: DataFrame, page: str, n: int = 3) -> DataFrame:
+    """For each line that closes a letter, the texts of the next lines, at most n."""
+    w = Window.partitionBy(page).orderBy("line")
+    nexts = F.array_compact(F.array(*(F.lead("text", i).over(w) for i in range(1, n + 1))))
+    return lines.withColumn("next", nexts).where(F.lower("text").rlike(V.SIGN_OFF.replace("^", r"^\s*"))).select(page, "line", "next")
+
+
+def boxes_on_lines(lines: DataFrame, items: DataFrame, page: str, slack: float = 4.0) -> DataFrame:
+    """Items (page, item_id, box) that lie within a line (page, line, box) but for a few pixels; both stay on their page."""
+    pairs = lines.select(page, "line", F.col("box").alias("b")).join(items.select(page, "item_id", F.col("box").alias("i")), page)
+    inside = (F.col("i.x0") >= F.col("b.x0") - slack) & (F.col("i.y0") >= F.col("b.y0") - slack) & (F.col("i.x1") <= F.col("b.x1") + slack) & (F.col("i.y1") <= F.col("b.y1") + slack)
+    return pairs.where(inside).select(page, "line", "item_id")
 
 
 def corrections(edits: DataFrame) -> DataFrame:

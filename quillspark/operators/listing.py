@@ -55,7 +55,7 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def relative_time(at: Column, now: Column) -> Column:
-    minutes = F.round((F.unix_seconds(now) - F.unix_seconds(at)) / 60).cast("long")
+    minutes = F.round((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))) / 60).cast("long")
     hours = F.round(minutes / 60).cast("long").cast("string")
     return F.when(at.isNull(), "—").when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(hours, F.lit("h ago"))).otherwise(F.date_format(at, "yyyy-MM-dd"))
 

@@ -10,6 +10,8 @@ from quillspark.operators import classify as C
 
 #: Action -> (status before, status after); null before means any.
 TRANSITIONS = {"approve": (None, "approved"), "reject": (None, "rejected"), "modify": (None, "modified"), "create": (None, "pending"), "remove": (None, "rejected")}
+#: What becomes of a document: action -> (status, flag; null leaves it as it is).
+DOCUMENT_ACTIONS = {"assign": ("in_review", None), "flag": ("needs_review", True), "approve_release": ("review_approved", False)}
 INVERSE = {"create": "rejected", "remove": "pending", "approve": "pending"}
 
 
@@ -73,6 +75,42 @@ def undone(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     return candidates.join(open_, "document_id", "left_semi").select("document_id", F.lit("undo").alias("action_type"), F.concat(F.lit("undo:"), F.col("id").cast("string")).alias("reason"), status.alias("new_status"))
 
 
+def document_action(documents: DataFrame, action: str, user_id) -> DataFrame:
+    """documents after an action of a reviewer: status, flag and, but for flagging, who it was."""
+    status, flag = DOCUMENT_ACTIONS[action]
+    rows = documents.withColumn("status", F.lit(status))
+    rows = rows if flag is None else rows.withColumn("flag_needs_review", F.lit(flag))
+    return rows if action == "flag" else rows.withColumn("reviewer_id", F.lit(user_id))
+
+
+def approve_all(redactions: DataFrame) -> DataFrame:
+    """Review events that approve every pending redaction (id, document_id, status)."""
+    return redactions.where("status = 'pending'").select(F.col("id").alias("redaction_id"), "document_id", F.lit("approve").alias("action_type"), F.col("status").alias("previous_status"), F.lit("approved").alias("new_status"), F.lit("Approve all").alias("reason"))
+
+
+def exported(documents: DataFrame, exports: DataFrame) -> DataFrame:
+    """documents after exports (document_id, export_allowed): those approved go to exported if an export was allowed."""
+    out = exports.where("export_allowed").select(F.col("document_id").alias("id")).distinct().withColumn("__out", F.lit(True))
+    rows = documents.join(out, "id", "left")
+    return rows.withColumn("status", F.when(F.col("__out") & (F.col("status") == "review_approved"), "exported").otherwise(F.col("status"))).drop("__out")
+
+
+def low_confidence(boxes: Column, threshold: float = V.CONFIDENCE_THRESHOLD) -> Column:
+    """Whether any box (array of struct with confidence) is less sure than the threshold."""
+    return F.coalesce(F.exists(boxes, lambda b: b["confidence"] < threshold), F.lit(False))
+
+
+def may(role: Column, allowed: list[str], multi_user: bool = True) -> Column:
+    """Whether a role may act; without several users all may."""
+    return F.coalesce(role.isin(*allowed), F.lit(False)) if multi_user else F.lit(True)
+
+
+def burn_plan(redactions: DataFrame) -> DataFrame:
+    """For each page, the boxes that an export covers, and their number."""
+    rows = redactions.where("status <> 'rejected' AND box IS NOT NULL")
+    return rows.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list("box")).alias("boxes"), F.count("*").alias("n"))
+
+
 def export_checks(exports: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """exports with the checks that fail, in order, and whether the file may go out."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in checks.items())))

@@ -41,6 +41,26 @@ def document_list(documents: DataFrame, offset: int = 0, limit: int = 50) -> Dat
     return paged(documents, [F.col("created_at").desc_nulls_last(), F.col("id").desc()], offset, limit)
 
 
+def batch_list(batches: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    return paged(batches, [F.col("created_at").desc_nulls_last(), F.col("id").desc()], offset, limit)
+
+
+def paged_with_total(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """One page, each row with the total of all pages; the count is an aggregate beside the page, not a window over all rows."""
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return paged(rows, order, offset, limit).join(F.broadcast(total), how="cross")
+
+
+def iso(at: Column) -> Column:
+    """A timestamp in ISO 8601, with microseconds where it has any."""
+    return F.when(F.date_format(at, "SSSSSS") == "000000", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def backfilled(rows: DataFrame, council_id) -> DataFrame:
+    """rows with the tenant put in where there is none."""
+    return rows.withColumn("council_id", F.coalesce("council_id", F.lit(council_id)))
+
+
 def history(reviews: DataFrame, limit: int = 100) -> DataFrame:
     return paged(reviews, [F.col("reviewed_at").desc_nulls_last(), F.col("id").desc()], 0, limit)
 
@@ -78,8 +98,9 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def status_changes(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
     """Rows at which a key's status differs from its row before, the first included."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("previous", before).where(F.col("previous").isNull() | (F.col("previous") != F.col(status)))
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = events.withColumn("previous", F.lag(status).over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    return rows.where(F.col("__first") | ~F.col("previous").eqNullSafe(F.col(status))).drop("__first")
 
 
 def batch_progress(members: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ _BASE = "CASE category " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in V.
 
 
 def _analysed(spark, sf_dir):
-    rows = texts(spark, sf_dir, "doc_id", "text").withColumn("category", C.keyword_estimate(F.col("text")))
-    rows = rows.withColumn("flags", C.risk_flags(F.col("text"))).withColumn("sentiment", C.sentiment(F.col("text")))
+    t = F.col("text")
+    rows = C.once(texts(spark, sf_dir, "doc_id", "text"), category=C.keyword_estimate(t), flags=C.risk_flags(t), sentiment=C.sentiment(t))
     return rows.withColumn("urgency", C.urgency(F.col("category"), F.col("flags"), F.col("sentiment")))
 
 
@@ -365,7 +365,7 @@ def token_recall(spark, sf_dir):
 @query("backend_report", f"SELECT 'bench' || item_id % 3 AS backend, count(*) AS n, round(avg(levenshtein(truth, prediction) / length(truth)), 4) AS avg_cer FROM {_PAIRS} GROUP BY 1")
 def backend_report(spark, sf_dir):
     rows = _pairs(spark, sf_dir).select(F.concat(F.lit("bench"), (F.col("item_id") % 3).cast("string")).alias("backend"), "truth", "prediction")
-    return E.backend_report(rows)
+    return E.backend_report(rows).select("backend", "n", "avg_cer")
 
 
 # -- geometry -----------------------------------------------------------------------------------------------------------

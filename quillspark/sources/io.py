@@ -25,8 +25,8 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; strict fails at the first bad line, otherwise bad lines give nulls. Blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """JSON lines; strict fails at the first bad line, otherwise bad lines are skipped, as blank ones are."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
@@ -120,6 +120,37 @@ def write_texts(rows: DataFrame, path: str, key: str = "doc_id", text: str = "te
     rows.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_artifacts(rows: DataFrame, path: str, fields: list[str]) -> None:
+    """One JSON object of the fields for each row, with sorted keys, as lines of text."""
+    rows.select(F.to_json(F.struct(*sorted(fields))).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Rows added to a table of Parquet files."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_report(summary: DataFrame, path: str) -> None:
+    """A summary of few rows as one file of JSON lines."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def renamed_splits(rows: DataFrame, split: str = "split") -> DataFrame:
+    """Splits of a published dataset under this package's names."""
+    return rows.withColumn(split, F.when(F.col(split).isin("val", "valid", "validation", "dev"), "validation").when(F.col(split) == "test", "test").otherwise("train"))
+
+
+#: Datasets by name: a function of the session and its options.
+DATASETS: dict = {"manifest": read_manifest, "jsonl": read_jsonl, "answer_keys": answer_keys}
+
+
+def dataset(spark: SparkSession, name: str, **options) -> DataFrame:
+    """A registered dataset; more can be put into DATASETS."""
+    if name not in DATASETS:
+        raise ValueError(f"unknown dataset {name}; known: {', '.join(sorted(DATASETS))}")
+    return DATASETS[name](spark, **options)
+
+
 def replace_documents(rows: DataFrame, path: str, partition: str) -> None:
     """Write rows over the partitions that they hold; running again changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
