@@ -236,7 +236,7 @@ def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                     found.append(1 - similarity(shingler.elements(shingler.word_hashes(x or "")), last[1]))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
 
-    return sides.mapInArrow(lean(run), "a binary, b binary, distance double")
+    return sides.mapInArrow(lean(run), "a long, b long, distance double")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,25 +267,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, digest and label for each row of `keyed`: rows have a common label if and only if they are of one class.
 
-    A node stands for all rows of equal word sequence, whatever their ids, so copies are never compared.
+    A node stands for all rows of equal word sequence, whatever their ids, so copies are never compared. Labels are
+    numbers that only tell classes apart.
     """
     found = materialise(sketch(docs, settings), "sketch", scan=True)
-    member = found.select("doc_id", "digest", "node")
-    banded = found.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
-    banded = materialise(banded, "banded")
+    # Numbers in the order of the least id, as the earliest text is most often the one that others were made from.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")).alias("r")
+    nodes = found.groupBy("node").agg(least, F.first("bands").alias("bands")).select(F.col("node").alias("name"), "r.*", "bands")
+    nodes = nodes.repartitionByRange("none", "id", "name").sortWithinPartitions("none", "id", "name").withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "nodes")
+    banded = nodes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))
     shared = materialise(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "shared")
     buckets = materialise(banded.join(shared, "bucket"), "buckets")
-    release(banded, shared)
     involved = buckets.select("node").distinct()
-    first = member.join(involved, "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest")).alias("r")).select("node", "r.*")
-    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(materialise(first, "first"), ["id", "none", "digest"])
+    first = materialise(nodes.join(involved, "node").select("node", "none", "id", "digest"), "first")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(first, ["id", "none", "digest"])
     texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    release(shared, first)
     limit = 1 - settings.similarity + 1e-9
 
-    nodes = buckets.select("node").distinct()
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     known = materialise(distances(pairs, texts, settings), "distances")
-    labels = materialise(components(nodes, known.where(F.col("distance") <= limit)), "labels")
+    labels = materialise(components(involved, known.where(F.col("distance") <= limit)), "labels")
     for turn in range(settings.pivots + 1):
         placed = _spread(buckets, labels)
         if placed.isEmpty():
@@ -296,9 +299,11 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         more = materialise(known.union(distances(pairs, texts, settings)), "distances")
         release(placed, labels, known)
         known = more
-        labels = materialise(components(nodes, known.where(F.col("distance") <= limit)), "labels")
-    release(buckets, texts, known)
-    return member.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
+        labels = materialise(components(involved, known.where(F.col("distance") <= limit)), "labels")
+    labelled = nodes.select("name", "node").join(labels, "node", "left").select(F.col("name").alias("node"), F.coalesce("label", "node").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    release(nodes, buckets, texts, known, labels)
+    return found.select("doc_id", "digest", "node").join(labelled, "node").select("doc_id", "digest", "label")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -319,7 +324,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         own = alone.groupBy("label").agg(F.min("doc_id").alias("own"))
         again = classes.join(clash.withColumn("twice", F.lit(True)), "least", "left").join(own, "label", "left")
         classes = materialise(again.select("label", F.when(F.col("twice"), F.coalesce("own", "least")).otherwise(F.col("least")).alias("least"), "n_class"), "classes")
-    return rows.join(classes, "label").select("doc_id", F.col("least").alias("class_id"), "n_class", F.lower(F.hex("label")).alias("class_key"))
+    return rows.join(classes, "label").select("doc_id", F.col("least").alias("class_id"), "n_class", F.col("label").cast("string").alias("class_key"))
 
 
 def _spread(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -377,10 +382,10 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
 
     def prefix(batches):
         shingler = Shingler(settings.words)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
 
         def passed_on(out):
-            columns = [np.concatenate([o[0] for o in out]), [o[1] for o in out for _ in o[0]], [o[2] for o in out for _ in o[0]], np.concatenate([np.full(len(o[0]), o[3]) for o in out]), np.concatenate([o[4] for o in out]), np.concatenate([np.arange(len(o[0])) for o in out])]
+            columns = [np.concatenate([o[0] for o in out]), *(np.concatenate([np.full(len(o[0]), o[i]) for o in out]) for i in (1, 2, 3)), np.concatenate([o[4] for o in out]), np.concatenate([np.arange(len(o[0])) for o in out])]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
@@ -398,7 +403,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
             if out:
                 yield passed_on(out)
 
-    found = materialise(rows.select("node", "label", "text").mapInArrow(lean(prefix), "shingle long, node binary, label binary, norm double, at double, turn int"), "prefixes")
+    found = materialise(rows.select("node", "label", "text").mapInArrow(lean(prefix), "shingle long, node long, label long, norm double, at double, turn int"), "prefixes")
     met = found.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("shingle")
     lists = found.join(met, "shingle").groupBy("node", "label", "norm").agg(F.sort_array(F.collect_list(F.struct("turn", "at", "shingle"))).alias("list"))  # no longer than one text's prefix
     lists = lists.select("node", "label", "norm", "list", F.transform("list", lambda x: F.hash(x["shingle"])).alias("all"), F.posexplode("list").alias("i", "x"))
