@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -72,6 +73,19 @@ def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def runtime_filters(spark: SparkSession, least: str = "1m"):
+    """Within this, joins of a table from that size on with a much smaller one get Spark's Bloom filter, whose size is
+    fixed, so that rows without a partner are not shuffled. Spark itself does so from 10 GB on."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, least)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files behind frames that `materialise` returned and that nothing reads any more."""
     for df in frames:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, release, table
+from .common import lean, materialise, release, runtime_filters, table
 
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -281,8 +281,9 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     buckets = materialise(banded.join(shared, "bucket"), "buckets")
     involved = buckets.select("node").distinct()
     first = materialise(nodes.join(involved, "node").select("node", "none", "id", "digest"), "first")
-    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(first, ["id", "none", "digest"])
-    texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(first.where("node >= 0"), ["id", "none", "digest"])  # all; Spark makes filters of sides with a condition
+    with runtime_filters(docs.sparkSession):
+        texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     release(shared, first)
     limit = 1 - settings.similarity + 1e-9
 
