@@ -50,13 +50,15 @@ def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     is looked through once.
     """
 
+    pattern = F.lit(pattern)
+
     def placed(hits: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         ends = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.length(g) + F.length(h)))
-        values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        values = hits if group == 0 else F.regexp_extract_all(text, pattern, F.lit(group))
         return F.zip_with(ends, values, lambda end, v: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none(FOUND)))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none(FOUND)))
 
 
 def span(kind: str | Column, found: Column, confidence: float, method: str) -> Column:

@@ -16,33 +16,53 @@ ANY_LABEL = "(?iuU)" + "|".join([*V.LABELS.values(), *V.BOUNDARIES])
 
 #: Cheap patterns without which a type cannot occur; most texts fail them.
 GATES = {"email": "@", "phone": "[1-9]", "postcode": "[0-9]", "dob": "[0-9][/-][0-9]", "nin": "[0-9]{6}", "bank_account": "[0-9]{8}", "vehicle_reg": "[0-9]", "council_ref": "[0-9]{5}"}
+#: The same for labels, in `folded` text: what each label must hold.
+LABEL_GATES = {
+    "person_name": "name|nombre|reported|contact|carer|parent", "dob": r"d\.?o\.?b|birth|born", "address": "address|direcci", "phone": "phone|tel|mobile|contact", "email": "email",
+    "nin": r"(?<!\w)n\.?i\.?[n\s:=-]|national", "nhs_number": r"(?<!\w)n(?:\.?h\.?|\s*[hm]\s*)s", "bank_details": "account|sort", "pcn": "pcn", "vehicle_reg": "vehicle|vrm|registration",
+    "council_ref": r"ref(?:erence)?\s*[:=-]", "school": "school", "signature": "signature", "notes": "notes",
+}
 
 
 def _ci(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def folded(text: Column) -> Column:
+    """text in small letters, the four letters that equal ASCII ones without regard to case among them."""
+    return F.lower(F.when(text.rlike("[\u0130\u0131\u017f\u212a]"), F.translate(text, "\u0130\u0131\u017f\u212a", "iisk")).otherwise(text))
+
+
 def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str = ANY_LABEL) -> Column:
     """Values behind labels, up to a length, the next label and, but for addresses and notes, the line's end."""
 
-    def of(kind: str, starts: Column) -> Column:
-        most = V.LABEL_VALUE_MAX.get(kind, V.LABEL_VALUE_DEFAULT_MAX)
+    gates = LABEL_GATES if labels is V.LABELS else {kind: "" for kind in labels}  # an empty one lets all texts pass
+    spec = lambda kind: F.struct(
+        F.lit(kind).alias("kind"), F.lit("(?U)" + gates[kind]).alias("gate"), F.lit(_ci(labels[kind])).alias("pattern"), F.lit(V.LABEL_VALUE_MAX.get(kind, V.LABEL_VALUE_DEFAULT_MAX)).alias("most")
+    )
+
+    def value(k: Column, m: Column, starts: Column) -> Column:
+        at, size = m["end"], F.length(text)
+        stop = F.least(at + k["most"], size, F.coalesce(F.array_min(F.filter(starts, lambda s: s > at)), size))
+        raw = F.substring(text, at + 1, stop - at)
+        raw = F.when(k["kind"].isin("address", "notes"), raw).otherwise(F.substring_index(raw, "\n", 1))
 
-        def value(m: Column) -> Column:
-            at, size = m["end"], F.length(text)
-            stop = F.least(at + most, size, F.coalesce(F.array_min(F.filter(starts, lambda s: s > at)), size))
-            raw = F.substring(text, at + 1, stop - at)
-            raw = raw if kind in ("address", "notes") else F.substring_index(raw, "\n", 1)
-            left = F.regexp_replace(raw, r"(?U)^\s+", "")
-            kept = F.regexp_replace(left, r"(?U)[\s,;|]+$", "")
+        def kept(raw: Column, left: Column) -> Column:
+            inner = F.regexp_replace(left, r"(?U)[\s,;|]+$", "")
             start = at + F.length(raw) - F.length(left)
-            return F.struct(start.alias("start"), (start + F.length(kept)).alias("end"), kept.alias("value"))
+            return F.struct(start.alias("start"), (start + F.length(inner)).alias("end"), inner.alias("value"))
+
+        return S.let(raw, lambda raw: S.let(F.regexp_replace(raw, r"(?U)^\s+", ""), lambda left: kept(raw, left)))
+
+    def of(k: Column, starts: Column) -> Column:
+        found = F.filter(F.transform(S.matches(text, k["pattern"]), lambda m: value(k, m, starts)), lambda v: F.length(v["value"]) >= 2)
+        return F.transform(found, lambda v: S.span(k["kind"], v, 0.95, "field_label"))
 
-        found = F.filter(F.transform(S.matches(text, _ci(labels[kind])), value), lambda v: F.length(v["value"]) >= 2)
-        return S.typed(kind, found, 0.95, "field_label")
+    def found(low: Column) -> Column:
+        kinds = F.filter(F.array(*map(spec, labels)), lambda k: F.rlike(low, k["gate"]))
+        return S.let(F.transform(S.matches(text, any_label), lambda m: m["start"]), lambda starts: F.flatten(F.transform(kinds, lambda k: of(k, starts))))
 
-    found = S.let(F.transform(S.matches(text, any_label), lambda m: m["start"]), lambda starts: F.concat(*(of(kind, starts) for kind in labels)))
-    return F.when(text.rlike(_ci("|".join(labels.values()))), found).otherwise(S.none())
+    return S.let(folded(text), lambda low: F.when(low.rlike("(?U)" + "|".join(gates.values())) & text.rlike(_ci("|".join(labels.values()))), found(low)).otherwise(S.none()))
 
 
 def address_phrases(text: Column) -> Column:
@@ -53,15 +73,16 @@ def address_phrases(text: Column) -> Column:
 def contact_header(text: Column) -> Column:
     """Name and address lines at the top of a letter, if anything there shows that it is a contact block."""
     top = F.regexp_extract(text, r"^(?:\s*+\S[^\n]*+(?:\n|$)){1,8}", 0)  # the first eight lines that are not blank
-    filled = F.filter(S.lines(top), lambda x: F.length(S.bare(x["value"])) > 0)
-    line = lambda x: S.bare(x["value"])
+    stripped = F.transform(S.lines(top), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), S.bare(x["value"]).alias("bare")))
+    filled = F.filter(stripped, lambda x: F.length(x["bare"]) > 0)
+    line = lambda x: x["bare"]
 
     def head_of(top: Column) -> Column:
         stop = F.array_position(F.transform(top, lambda x: line(x).rlike(_ci(V.HEADER_STOP))), F.lit(True))
         return F.when(stop > 0, F.slice(top, F.lit(1), (stop - 1).cast("int"))).otherwise(top)
 
     def block_of(head: Column) -> Column:
-        signal = F.exists(head, lambda x: line(x).rlike(V.STRUCTURED["email"][0]) | line(x).rlike(V.STRUCTURED["phone"][0]) | line(x).rlike(V.STRUCTURED["postcode"][0]) | line(x).rlike(_ci(V.ADDRESS_LINE)))
+        signal = F.exists(head, lambda x: (F.contains(line(x), F.lit("@")) & line(x).rlike(V.STRUCTURED["email"][0])) | line(x).rlike(V.STRUCTURED["phone"][0]) | line(x).rlike(V.STRUCTURED["postcode"][0]) | line(x).rlike(_ci(V.ADDRESS_LINE)))
         words = F.size(F.split(F.regexp_replace(line(head[0]), r"(?U)\s+", " "), " "))
         named = words.between(2, 4) & ~line(head[0]).rlike(r"\d") & ~F.contains(line(head[0]), F.lit(":")) & ~line(head[0]).rlike(ANY_LABEL)
         name = F.when(named, S.typed("person_name", F.slice(head, 1, 1), 0.78, "contact_header")).otherwise(S.none())

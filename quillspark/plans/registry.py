@@ -92,7 +92,8 @@ def redact_documents(spark, sf_dir):
 @query("detect_all_tiers")
 def detect_all_tiers(spark, sf_dir):
     docs = texts(spark, sf_dir, "doc_id", "text")
-    return D.detect(docs).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    found = D.detect(docs).select("doc_id", F.explode_outer("spans").alias("s"))  # explode would compute the spans twice: once to filter
+    return found.where("s IS NOT NULL").select("doc_id", "s.*")
 
 
 @query("identifier_spans")
