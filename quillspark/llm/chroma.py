@@ -223,14 +223,15 @@ def admitted(a: np.ndarray, a_low, a_high, b: np.ndarray, b_low, b_high, offset:
     equal = (length == n_a) & (length == n_b)
     which = np.flatnonzero(long | equal)
     rates = np.empty(len(which))
-    share = np.cumsum(length[which]) // (1 << 20)
-    for k in np.split(np.arange(len(which)), np.flatnonzero(np.diff(share)) + 1) if len(which) else []:
-        p = which[k]
-        n = length[p]
-        start = np.cumsum(n) - n
-        step = np.arange(n.sum())
-        differ = np.bitwise_count(a[step + np.repeat(a_low[p] + low[p] - start, n)] ^ b[step + np.repeat(b_low[p] + low[p] - offset[p] - start, n)])
-        rates[k] = np.add.reduceat(differ, start, dtype=np.int64) / (32 * n)
+    n, from_a = length[which], (a_low + low)[which].tolist()
+    from_b = (b_low + low - offset)[which].tolist()
+    cut = [0, *(np.flatnonzero(np.diff(np.cumsum(n) >> 17)) + 1).tolist(), len(which)]  # as much as a core's cache holds
+    for i, j in zip(cut, cut[1:]) if len(which) else []:
+        sizes = n[i:j].tolist()
+        of_a = np.concatenate([a[x : x + size] for x, size in zip(from_a[i:j], sizes)])
+        of_b = np.concatenate([b[x : x + size] for x, size in zip(from_b[i:j], sizes)])
+        start = np.cumsum(n[i:j]) - n[i:j]
+        rates[i:j] = np.add.reduceat(np.bitwise_count(of_a ^ of_b), start, dtype=np.int64) / (32 * n[i:j])
     good = (rates <= s.bit_errors) & long[which] | (rates == 0) & equal[which]
     return which[good], rates[good]
 
