@@ -5,10 +5,11 @@ break (code 0) between pieces. Three steps over the shards, none of which needs
 
 1. Words are counted over all shards; those seen often enough are marked in a bitmap of fixed size.
 2. Pairs of marked words are counted by hash, an upper bound of their true counts; a second bitmap marks hashes that reach
-   the least count. A phrase that occurs often enough only has marked pairs, so nothing is lost between the marks.
+   the least count. The same goes for triples of two marked pairs. A phrase that occurs often enough has nothing but marked
+   parts, so nothing is lost.
 3. Each shard builds the generalised suffix automaton, of bounded depth, of its runs of marked pairs. Its states are the
-   phrases with the same end positions; a state gives its longest phrase, the words of its shortest one and the number of
-   end positions. Sums over all shards are exact counts.
+   phrases with the same end positions, whose number counts each of them. Phrases travel by ranges of their hash, all of a
+   range and shard in one row, and a task sums range after range: exact counts over all shards.
 
 Scores and subsumption are joins among the counted phrases; a phrase's suffix link is the phrase without its first
 word, and the link of the reversed text the one without its last.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .common import lean, materialise, release, table
 
 #: ASCII letters to lower case, what divides pieces to full stops, tabs to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-SHARD = "lang string, words array<string>, counts array<int>, codes binary"
+SHARD = "lang string, words array<string>, counts array<int>, hashes binary, codes binary"
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class Settings:
     top: int = 2000  # phrases of a language
     shard_words: int = 1 << 20
     bits: int = 26  # log2 of a bitmap's size, whatever the corpus
+    range_keys: int = 1 << 22  # hashes that one task sums at once
 
 
 class _Codes(dict):
@@ -76,8 +79,9 @@ def shards(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         words, codes = encode(raws)
         counts = np.bincount(codes, minlength=len(words))
         kind = pa.list_(pa.string()), pa.list_(pa.int32())
-        columns = [pa.array([lang]), pa.array([words[1:]], kind[0]), pa.array([counts[1:].tolist()], kind[1]), pa.array([codes.tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "counts", "codes"])
+        hashes = word_hashes(lang, words[1:]).tobytes()
+        columns = [pa.array([lang]), pa.array([words[1:]], kind[0]), pa.array([counts[1:].tolist()], kind[1]), *(pa.array([x], pa.binary()) for x in (hashes, codes.tobytes()))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "counts", "hashes", "codes"])
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
@@ -96,7 +100,7 @@ def shards(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return docs.select(F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(lean(run), SHARD)
 
 
-# -- bitmaps -------------------------------------------------------------------------------------------------------
+# -- marks ---------------------------------------------------------------------------------------------------------
 
 
 def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
@@ -111,42 +115,109 @@ def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
 
 
-def word_hashes(lang: str, words: list[str]) -> np.ndarray:
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = zlib.crc32(f"{lang} ".encode())
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
+    return np.fromiter((zlib.crc32(w, seed) for w in words), np.uint32, len(words))
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    mixed = (left << np.uint64(32) | right) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    return mixed * np.uint64(0xD6E8FEB86659FD93)
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64-bit hashes of what left and right (64-bit) hash, in this order."""
+    x = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + np.uint64(0x7F4A7C159E3779B9))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0x94D049BB133111EB)
 
 
-def links(batch_row: tuple, words_map: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """codes, and for each place whether it and the next one hold marked words, with the hash of those pairs."""
-    lang, words, raw = batch_row
-    codes = np.frombuffer(raw, np.int32)
-    h = np.concatenate((np.zeros(1, np.uint64), word_hashes(lang, words)))
-    good = marked(words_map, h >> np.uint64(32 - bits))
-    good[0] = False
-    good = good[codes]
-    both = good[:-1] & good[1:]
-    at = np.flatnonzero(both)
-    return codes, at, pair_hashes(h[codes[at]], h[codes[at + 1]])
+class Marks:
+    """What is known of frequent words, pairs and triples: bitmaps, as far as they are made."""
+
+    def __init__(self, bits: int):
+        self.bits, self.maps = bits, []
+
+    @staticmethod
+    def of(raw_hashes: bytes) -> np.ndarray:
+        """Hashes by code."""
+        return np.concatenate((np.zeros(1, np.uint64), np.frombuffer(raw_hashes, np.uint32).astype(np.uint64)))
+
+    def pairs(self, raw_hashes: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose word and next one are marked, the hashes of the pairs, and of all words."""
+        h = self.of(raw_hashes)
+        good = marked(self.maps[0], h >> np.uint64(32 - self.bits))
+        good[0] = False
+        good, h = good[codes], h[codes]
+        at = np.flatnonzero(good[:-1] & good[1:])
+        return at, mixed(h[at], h[at + 1]), h
+
+    def linked(self, raw_hashes: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of marked pairs, places of triples of two such, and the hashes of the triples."""
+        at, pair, h = self.pairs(raw_hashes, codes)
+        kept = marked(self.maps[1], pair >> np.uint64(64 - self.bits))
+        at, pair = at[kept], pair[kept]
+        next_too = np.flatnonzero(at[1:] == at[:-1] + 1)
+        return at, at[next_too], mixed(pair[next_too], h[at[next_too] + 2])
+
+    def triples(self, raw_hashes: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of marked pairs and of marked triples."""
+        at, triple, hashes = self.linked(raw_hashes, codes)
+        return at, triple[marked(self.maps[2], hashes >> np.uint64(64 - self.bits))]
+
+
+def sum_hashes(scanned: DataFrame, hashes_of, ranges: int, s: Settings) -> DataFrame:
+    """slot of every hash that reaches `least` over all shards. hashes_of takes a shard's hashes and codes.
+
+    The hashes of a shard go out sorted, by ranges, as the byte planes of their differences: some three bytes for each. A
+    task sums range after range. Counts above `least` add nothing and fit in a byte.
+    """
+    def deal(batches):
+        for batch in batches:
+            for raw, codes in zip(batch.column("hashes").to_pylist(), batch.column("codes").to_pylist()):
+                keys, n = np.unique(hashes_of(raw, np.frombuffer(codes, np.int32)) >> np.uint64(32 - ranges), return_counts=True)
+                own = (keys >> np.uint64(32)).astype(np.int32)
+                cuts = np.searchsorted(own, np.arange((1 << ranges) + 1))
+                low, n = keys.astype(np.uint32), np.minimum(n, min(s.least, 255)).astype(np.uint8)
+                full = np.flatnonzero(np.diff(cuts))
+                planes = [np.diff(low[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(cuts[full], cuts[full + 1])]
+                counts = [n[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(planes, pa.binary()), pa.array(counts, pa.binary())], names=["range", "planes", "counts"])
+
+    def total(batches):
+        now, keys, counts = None, [], []
+
+        def done():
+            low, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate(counts))
+            whole = np.uint64(now) << np.uint64(32) | low[n >= s.least].astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(whole >> np.uint64(32 + ranges - s.bits)).astype(np.int64))], names=["slot"])
+
+        for batch in batches:
+            for at, planes, n in zip(*(batch.column(c).to_pylist() for c in ("range", "planes", "counts"))):
+                if at != now and keys:
+                    yield done()
+                    keys, counts = [], []
+                now = at
+                keys.append(np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32))
+                counts.append(np.frombuffer(n, np.uint8))
+        if keys:
+            yield done()
+
+    dealt = scanned.select("hashes", "codes").mapInArrow(lean(deal), "range int, planes binary, counts binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(lean(total), "slot long")
 
 
 # -- the automaton of a shard --------------------------------------------------------------------------------------
 
 
 class Automaton:
-    """The generalised suffix automaton, down to `depth`, of the runs that `linked` (places joined to the next) leaves.
+    """The generalised suffix automaton, down to `depth`, of the runs that `linked` (places joined to the next) leaves. Of
+    phrases of three words and more, those are left out that hold a triple not among `triples` (their first places).
 
     Level by level, each phrase of j words is known by its code, and a phrase and its longest proper suffix are one state
     if they have equally many end positions, as the phrase ends nowhere else. Arrays instead of nodes: `ends` holds one end
     position of each state's longest phrase, `longest` and `shortest` the words of its phrases, `counts` the end positions.
     """
 
-    def __init__(self, codes: np.ndarray, linked: np.ndarray, depth: int):
+    def __init__(self, codes: np.ndarray, linked: np.ndarray, depth: int, triples: np.ndarray | None = None):
         joined = np.zeros(len(codes), bool)
         joined[linked + 1] = True  # places that continue a run
         inside = joined.copy()
@@ -158,7 +229,10 @@ class Automaton:
         shortest, found, last = np.ones(len(counts), np.int64), [], None
         ends = at  # of phrases of this level
         for size in range(2, depth + 1):
-            ends = ends[joined[ends] & (grams[ends - 1] >= 0)] if size > 2 else ends[joined[ends]]
+            ends = ends[joined[ends]]
+            ends = ends[grams[ends - 1] >= 0]
+            if size == 3 and triples is not None:
+                ends = ends[np.isin(ends, triples + 2, assume_unique=True)]
             if not len(ends):
                 break
             keys, first, inverse, number = np.unique(grams[ends - 1] * width + one[ends], return_index=True, return_inverse=True, return_counts=True)
@@ -176,13 +250,16 @@ class Automaton:
             found.append([x[last[0]] for x in last[1:]])
         self.ends, self.longest, self.shortest, self.counts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
-    def phrases(self, codes: np.ndarray, words: pa.Array) -> pa.Array:
-        """The longest phrase of each state."""
-        out = []
-        for size in np.unique(self.longest):
-            ends = self.ends[self.longest == size]
-            out.append(pc.binary_join_element_wise(*(words.take(pa.array(codes[ends - size + 1 + j] - 1)) for j in range(size)), " "))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+    def phrases(self, codes: np.ndarray, words: pa.Array, hashes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Every phrase of every state, its number of end positions and its hash, made of the words' hashes at all places."""
+        text, counts, keys = [pa.array([], pa.string())], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in range(2, int(self.longest.max(initial=1)) + 1):
+            held = (self.shortest <= size) & (size <= self.longest)
+            first = self.ends[held] - size + 1
+            text.append(pc.binary_join_element_wise(*(words.take(pa.array(codes[first + j] - 1)) for j in range(size)), " "))
+            counts.append(self.counts[held])
+            keys.append(reduce(mixed, (hashes[first + j] for j in range(size))))
+        return pa.concat_arrays(text), np.concatenate(counts), np.concatenate(keys)
 
 
 # -- the corpus ----------------------------------------------------------------------------------------------------
@@ -195,38 +272,60 @@ def count(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     n = materialise(dealt.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")), "words-of-languages")
     each = dealt.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     words = materialise(each.where(F.col("f") >= s.least), "frequent-words")
-    word_map = spark.sparkContext.broadcast(bitmap(words.select(F.shiftright(F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")), 32 - s.bits).alias("slot")), s.bits))
-    bits, depth = s.bits, s.longest
-
-    def rows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, batch.column("codes")[i].as_py()
+    context, marks, known = spark.sparkContext, Marks(s.bits), []
+    scanned = dealt.select("lang", "words", "hashes", "codes")
+    ranges = max(8, (dealt.count() * s.shard_words // s.range_keys).bit_length())
 
-    def pairs(batches):
-        for lang, words, raw in rows(batches):
-            _, _, hashes = links((lang, words.to_pylist(), raw), word_map.value, bits)
-            found, number = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(number)], names=["hash", "n"])
+    def learn(slots: DataFrame) -> None:
+        marks.maps.append(bitmap(slots, s.bits))
+        known.append(context.broadcast(marks))
 
-    scanned = dealt.select("lang", "words", "codes")
-    slots = scanned.mapInArrow(lean(pairs), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least)
-    pair_map = spark.sparkContext.broadcast(bitmap(slots.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("slot")), bits))
+    learn(words.select(F.shiftright(F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")), 32 - s.bits).alias("slot")))
+    by_words = known[-1]
+    learn(sum_hashes(scanned, lambda raw, codes: by_words.value.pairs(raw, codes)[1], ranges, s))
+    by_pairs = known[-1]
+    learn(sum_hashes(scanned, lambda raw, codes: by_pairs.value.linked(raw, codes)[2], ranges, s))
+    by_triples, depth = known[-1], s.longest
 
     def states(batches):
-        for lang, words, raw in rows(batches):
-            codes, at, hashes = links((lang, words.to_pylist(), raw), word_map.value, bits)
-            a = Automaton(codes, at[marked(pair_map.value, hashes >> np.uint64(64 - bits))], depth)
-            order = np.argsort(a.longest, kind="stable")
-            columns = [pa.array([lang] * len(order), pa.string()), a.phrases(codes, words), *(pa.array(x[order]) for x in (a.shortest, a.longest, a.counts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "longest", "low", "high", "n"])
-
-    found = scanned.mapInArrow(lean(states), "lang string, longest string, low long, high long, n long")
-    suffixes = F.expr("transform(sequence(low, high), k -> substring_index(longest, ' ', cast(-k as int)))")
-    summed = found.select("lang", F.explode(suffixes).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    phrases = materialise(summed.where(F.col("f") >= s.least), "frequent-phrases")
-    for map_ in (word_map, pair_map):
-        map_.unpersist()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, raw = np.frombuffer(batch.column("codes")[i].as_py(), np.int32), batch.column("hashes")[i].as_py()
+                linked, triples = by_triples.value.triples(raw, codes)
+                text, n, keys = Automaton(codes, linked, depth, triples).phrases(codes, batch.column("words")[i].values, by_triples.value.of(raw)[codes])
+                own = (keys >> np.uint64(64 - ranges)).astype(np.int32)
+                order = np.argsort(own, kind="stable")
+                own, n, text = own[order], n[order], text.take(pa.array(order))
+                full, begins = np.unique(own, return_index=True)
+                cuts = [*begins.tolist(), len(own)]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), text)
+                columns = [pa.array([batch.column("lang")[i].as_py()] * len(full), pa.string()), pa.array(full), pc.binary_join(lists, "\n"), pa.array([n[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "range", "phrases", "counts"])
+
+    def summed(batches):
+        now, text, counts = None, [], []
+
+        def done():
+            both = pa.table({"phrase": pa.concat_arrays(text), "f": np.concatenate(counts)}).group_by("phrase").aggregate([("f", "sum")])
+            both = both.filter(pc.field("f_sum") >= least).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(both), pa.string()), *(pa.concat_arrays(both.column(c).chunks or [pa.array([], t)]) for c, t in (("phrase", pa.string()), ("f_sum", pa.int64())))], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("range").to_pylist())):
+                if key != now and text:
+                    yield done()
+                    text, counts = [], []
+                now = key
+                text.append(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten())
+                counts.append(np.frombuffer(batch.column("counts")[i].as_py(), np.int64))
+        if text:
+            yield done()
+
+    least = s.least
+    found = scanned.mapInArrow(lean(states), "lang string, range int, phrases string, counts binary").repartition("range").sortWithinPartitions("lang", "range")
+    phrases = materialise(found.mapInArrow(lean(summed), "lang string, phrase string, f long"), "frequent-phrases")
+    for sent in known:
+        sent.unpersist()
     release(dealt)
     return words, phrases, n
 

@@ -68,7 +68,8 @@ def test_automaton_counts_every_phrase():
         for size in range(low, longest + 1):
             got[tuple(codes[end - size + 1 : end + 1].tolist())] += int(n)
     assert got == want and len(a.ends) < len(want)  # states are fewer than phrases
-    assert len(a.phrases(codes, pa.array(["p", "q", "r", "s"]))) == len(a.ends)
+    text, n, keys = a.phrases(codes, pa.array(["p", "q", "r", "s"]), rng.integers(0, 1 << 32, 5, dtype=np.uint64)[codes])
+    assert dict(zip(text.to_pylist(), n.tolist())) == {" ".join(" pqrs"[c] for c in k): v for k, v in want.items()} and len(set(keys.tolist())) == len(want)
     assert len(co.Automaton(codes[:0], linked[:0], 4).ends) == 0
 
 
