@@ -233,6 +233,38 @@ def corrections(edits: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.avg(F.col("after.x0") - F.col("before.x0")).alias("dx"), F.avg(F.col("after.y0") - F.col("before.y0")).alias("dy"), F.avg(width("after") - width("before")).alias("dw"), F.avg(height("after") - height("before")).alias("dh"))
 
 
+def shifts(edits: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each type and day of asked, n and the mean dx, dy, dw, dh of all corrections made on earlier days (0 without one).
+
+    edits: type, day, action, before and after (boxes). Corrections are summed for each type and day before they are put in
+    order, so the running sums go over days, not over corrections.
+    """
+    width, height = (lambda b: F.col(f"{b}.x1") - F.col(f"{b}.x0")), (lambda b: F.col(f"{b}.y1") - F.col(f"{b}.y0"))
+    parts = {"dx": F.col("after.x0") - F.col("before.x0"), "dy": F.col("after.y0") - F.col("before.y0"), "dw": width("after") - width("before"), "dh": height("after") - height("before")}
+    made = edits.where(F.col("action").isin("expand", "shrink", "move")).groupBy("type", "day").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in parts.items()))
+    days = asked.groupBy("type", "day").agg(F.lit(0).cast("long").alias("n"), *(F.lit(0.0).alias(k) for k in parts))
+    both = made.unionByName(days).groupBy("type", "day").agg(*(F.sum(c).alias(c) for c in ("n", *parts)))
+    earlier = Window.partitionBy("type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return both.select("type", "day", n.alias("n"), *(F.when(n > 0, F.sum(k).over(earlier) / n).otherwise(0.0).alias(k) for k in parts))
+
+
+def corrected(boxes: DataFrame, edits: DataFrame, width: float, height: float, most: float = 40.0, least: int = 1) -> DataFrame:
+    """boxes (type, day, box) with box moved and sized by what reviewers had corrected in its type before its day, and corrections (n).
+
+    No part of a shift goes beyond most pixels, and fewer than least corrections count as none. What leaves the page is cut;
+    a box that would be too small, and one that is null or has a null type or day, stays as it is.
+    """
+    known = shifts(edits, boxes.select("type", "day")).where(F.col("n") >= least)
+    clamp = lambda c: F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.col(f"s.{c}"), F.lit(0.0))))
+    joined = boxes.alias("b").join(known.alias("s"), (F.col("b.type") == F.col("s.type")) & (F.col("b.day") == F.col("s.day")), "left")
+    b = F.col("b.box")
+    moved = F.struct((b["x0"] + clamp("dx")).alias("x0"), (b["y0"] + clamp("dy")).alias("y0"), (b["x1"] + clamp("dx") + clamp("dw")).alias("x1"), (b["y1"] + clamp("dy") + clamp("dh")).alias("y1"))
+    upright = (moved["x1"] > moved["x0"]) & (moved["y1"] > moved["y0"])
+    box = F.when(F.col("s.n").isNotNull() & upright, F.coalesce(normal_box(moved, F.lit(width), F.lit(height)), b)).otherwise(b)
+    return joined.select(*(F.col(f"b.{c}") if c != "box" else box.alias("box") for c in boxes.columns), F.coalesce(F.col("s.n"), F.lit(0)).alias("corrections"))
+
+
 def normal_box(b: Column, width: Column, height: Column, least: float = 4.0) -> Column:
     """The box in order, on the page and rounded to hundredths; null if it is too small or not finite."""
     clamp = lambda v, most: F.round(F.greatest(F.lit(0.0), F.least(v, most)), 2)
