@@ -28,22 +28,31 @@ class NoBackend:
         return [[] for _ in texts]
 
 
-def with_items(docs: DataFrame, make: Callable[[], Backend] = NoBackend, text: str = "text", most: int = 3000) -> DataFrame:
-    """docs with items (type, value) that the backend finds in the first `most` characters; a failure gives none."""
+def with_items(docs: DataFrame, make: Callable[[], Backend] = NoBackend, text: str = "text", most: int | None = None) -> DataFrame:
+    """docs with items (type, value) that the backend finds, and items_error. Where a batch fails, its texts are tried one by
+    one, so that a failure costs its own row only, which keeps the error and has no items. most: characters of a text that
+    the backend can take; it sees whole texts unless that is given."""
     if not make().available:
-        return docs.withColumn("items", F.array().cast(ITEMS))
+        return docs.withColumn("items", F.array().cast(ITEMS)).withColumn("items_error", F.lit(None).cast("string"))
 
-    @F.pandas_udf(ITEMS)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"items {ITEMS}, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         backend = make()
         for part in parts:
+            texts = [(t or "")[:most] for t in part]
             try:
-                found = backend.items([(t or "")[:most] for t in part])
+                found = [(x, None) for x in backend.items(texts)]
             except Exception:  # noqa: BLE001  a model may fail in any way; the tier is optional
-                found = [[] for _ in part]
-            yield pd.Series([[{"type": k, "value": v} for k, v in row] for row in found])
+                found = [alone(backend, t) for t in texts]
+            yield pd.DataFrame({"items": [[{"type": k, "value": v} for k, v in row] for row, _ in found], "error": [e for _, e in found]})
 
-    return docs.withColumn("items", run(F.col(text)))
+    def alone(backend: Backend, one: str):
+        try:
+            return backend.items([one])[0], None
+        except Exception as e:  # noqa: BLE001
+            return [], f"{type(e).__name__}: {e}"
+
+    return docs.withColumn("__found", run(F.col(text))).withColumn("items", F.col("__found.items")).withColumn("items_error", F.col("__found.error")).drop("__found")
 
 
 def language_or_english(text: Column, detect: Callable[[Column], Column] | None = None) -> Column:

@@ -49,12 +49,45 @@ def status_changes(events: DataFrame, key: str, status: str, order: str) -> Data
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, {status} string, previous string, {order} long", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def stalled(events: DataFrame, key: str, status: str, at: str, limit: str) -> DataFrame:
+    """key, status and since of keys that stay in one status, not a terminal one, for longer than limit (by event time).
+
+    events needs a watermark on at. Each status of a key is reported once; an event that changes the status takes the timer
+    back and starts another, one that repeats it does not. A key is forgotten at a terminal status and once it is reported.
+    """
+    wait = pd.Timedelta(limit)
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [key, status, "since"]
+        if state.hasTimedOut:
+            last, since = state.get
+            state.remove()
+            yield pd.DataFrame([(k[0], last, pd.Timestamp(since, unit="us"))], columns=columns)
+            return
+        last, since = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
+        for value, when in zip(rows[status], rows[at]):
+            if value != last:
+                last, since = value, int(when.value // 1000)
+        if last in V.TERMINAL_STATUS:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, since))
+            # A timer cannot lie before the watermark; what is due by now rings at the next one.
+            state.setTimeoutTimestamp(max(since // 1000 + int(wait.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=columns)
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, {status} string, since timestamp", "last string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def webhook_payloads(events: DataFrame, hooks: DataFrame, secret: bytes) -> DataFrame:
-    """Signed payloads for active hooks that want the event (all, if they name none); sending is left to the caller."""
+    """Signed payloads for active hooks that want the event (all, if they name none); `delivery` also sends them."""
     from quillspark.functions.scalars import hmac_sha256
 
-    wanted = (F.size("events") == 0) | F.array_contains(F.col("events"), F.col("event"))
-    rows = events.join(F.broadcast(hooks.where("active").select("url", "events")), wanted)
+    wants = F.when(F.size("events") > 0, F.array_distinct("events")).otherwise(F.array(F.lit("*")))
+    active = hooks.where("active").select("url", F.explode(wants).alias("__key"))
+    rows = events.withColumn("__key", F.explode(F.array("event", F.lit("*")))).join(active, "__key")
     body = F.to_json(F.struct("document_id", "event"))
     return rows.select("url", body.alias("body"), hmac_sha256(body, secret).alias("signature"))
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspark.plans import layouts, letters, recognition, records, registry  # noqa: F401
+from quillspark.plans import casework, layouts, letters, recognition, records, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the synthetic tables are not here")

@@ -58,6 +58,11 @@ def test_injected_models(spark):
     spans = D.detect(found.where("text IS NOT NULL"), extra=D.model_spans(F.col("text"), F.col("items"))).first()["spans"]
     assert [(s["method"], s["start"]) for s in spans] == [("llm", 4)]
     assert [len(r["items"]) for r in backends.with_items(spark.createDataFrame([("boom A",)], "text string"), Upper).collect()] == [0]
+    mixed = backends.with_items(spark.createDataFrame([("boom A",), ("Good B",)], "text string").coalesce(1), Upper).orderBy("text").collect()
+    assert [(len(r["items"]) > 0, r["items_error"] is None) for r in mixed] == [(True, True), (False, False)]  # a failure costs its own row
+    long = "x" * 5000 + " LAST"
+    seen = backends.with_items(spark.createDataFrame([(long,)], "text string"), Upper).first()["items"]
+    assert "LAST" in [i["value"] for i in seen]  # whole texts
 
 
 def test_boxes_of_labels_and_pages(spark):
