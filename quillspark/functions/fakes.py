@@ -6,18 +6,17 @@ order and in any engine with that hash. Check digits are solved for, not tried o
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as V
+from quillspark.functions.scalars import let
 
 FIRST = ["Avery", "Blair", "Casey", "Drew", "Ellis", "Frankie", "Gray", "Harper", "Indigo", "Jules"]
 LAST = ["Ashfold", "Birchley", "Copperton", "Dunmere", "Elmsworth", "Fairlock", "Greyholt", "Harrowby", "Inglemoor"]
 STREETS = ["Alder", "Beacon", "Chapel", "Dale", "Ember", "Foundry", "Granary"]
 KINDS = ["Road", "Street", "Lane", "Close", "Avenue"]
-NOTES = ["asthma", "a broken wrist", "an allergy to nuts", "migraine", "back pain"]
+NOTES = ["asthma", "a new hat", "diabetes", "two left shoes", "epilepsy"]
 #: The two letters that national insurance numbers may begin with.
 PREFIXES = [a + b for a in V.NIN_FIRST for b in V.NIN_SECOND if a + b not in V.NIN_BANNED]
 
@@ -36,29 +35,26 @@ def number(seed: Column, name: str, digits: int) -> Column:
     return F.lpad(draw(seed, name, 10**digits).cast("string"), digits, "0")
 
 
-def weighed(digits: Column, weights: list[int]) -> Column:
-    """Sum of the digits by weights."""
-    return reduce(lambda a, b: a + b, [F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(weights)])
+def total(digits: Column, n: int, worth) -> Column:
+    """Sum over the first n digits of what each is worth (digit, place from 1)."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, i: a + worth(F.substring(digits, i, F.lit(1)).cast("int"), i))
 
 
 def nhs_number(seed: Column) -> Column:
     """Ten digits in groups; the last solves modulus 11. Where that would be ten, the ninth digit, which counts twice, is
     moved by one, after which it cannot be: two more or eighteen less is no multiple of 11."""
-    nine = number(seed, "nhs", 9)
-    ten = weighed(nine, [*range(10, 1, -1)]) % 11 == 1
-    ninth = F.substring(nine, 9, 1).cast("int")
-    nine = F.when(ten, F.concat(F.left(nine, F.lit(8)), ((ninth + 1) % 10).cast("string"))).otherwise(nine)
-    check = (11 - weighed(nine, [*range(10, 1, -1)]) % 11) % 11
-    return F.concat_ws(" ", F.left(nine, F.lit(3)), F.substring(nine, 4, 3), F.concat(F.substring(nine, 7, 3), check.cast("string")))
+    rest = lambda nine: total(nine, 9, lambda d, i: d * (11 - i)) % 11
+    moved = lambda nine: F.when(rest(nine) == 1, F.concat(F.left(nine, F.lit(8)), ((F.substring(nine, 9, 1).cast("int") + 1) % 10).cast("string"))).otherwise(nine)
+    whole = lambda nine: F.concat_ws(" ", F.left(nine, F.lit(3)), F.substring(nine, 4, 3), F.concat(F.substring(nine, 7, 3), ((11 - rest(nine)) % 11).cast("string")))
+    return let(number(seed, "nhs", 9), lambda nine: let(moved(nine), whole))
 
 
 def card(seed: Column) -> Column:
     """Sixteen digits in fours; the last solves Luhn's sum."""
-    fifteen = F.concat(F.lit("4"), number(seed, "card", 14))
-    digit = lambda i: F.substring(fifteen, i + 1, 1).cast("int")
-    total = reduce(lambda a, b: a + b, [digit(i) if i % 2 else F.when(digit(i) > 4, digit(i) * 2 - 9).otherwise(digit(i) * 2) for i in range(15)])
-    whole = F.concat(fifteen, ((10 - total % 10) % 10).cast("string"))
-    return F.concat_ws(" ", *(F.substring(whole, at, 4) for at in (1, 5, 9, 13)))
+    doubled = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+    check = lambda x: (10 - total(x, 15, lambda d, i: F.when(i % 2 == 0, d).otherwise(doubled(d))) % 10) % 10
+    fours = lambda x: F.concat_ws(" ", *(F.substring(x, at, 4) for at in (1, 5, 9)), F.concat(F.substring(x, 13, 3), check(x).cast("string")))
+    return let(F.concat(F.lit("4"), number(seed, "card", 14)), fours)
 
 
 def values(seed: Column) -> dict[str, Column]:
@@ -88,28 +84,29 @@ LETTERS = {
     "foi_letter": ["Freedom of Information request", "Requester name: {person_name}", "Email: {email}", "Please send the parking policy."],
     "sar_request": ["Subject access request", "Full name: {person_name}", "Date of birth: {dob}", "Address: {address}, {postcode}"],
     "housing_repair": ["Housing repair", "Applicant: {person_name}", "Phone: {phone}", "Reference: {council_ref}", "The window frame leaks."],
-    "social_care_note": ["Visit note", "Patient: Dr {person_name}", "NHS Number: {nhs_number}", "The patient has {medical_details}."],
+    "social_care_note": ["Visit note", "Patient: Dr {person_name}.", "NHS Number: {nhs_number}", "The patient has {medical_details}."],
     "safeguarding_note": ["Note of concern", "My son {child_name}, who is at school, missed two visits.", "Phone: {phone}"],
     "payment_form": ["Payment", "Name: {person_name}", "NI Number: {nin}", "Card: {card}", "Yours sincerely", "{person_name}"],
 }
 
 
-def letter(kind: str, seed: Column) -> Column:
-    """A letter of a type, with the values of a seed."""
-    known, parts = values(seed), []
+def letter(kind: str, known: dict[str, Column]) -> Column:
+    """A letter of a type, with known values."""
+    parts = []
     for at, line in enumerate(LETTERS[kind]):
-        for i, part in enumerate(("\n" * (at > 0) + line).replace("{", "\0{").replace("}", "\0").split("\0")):
+        for part in ("\n" * (at > 0) + line).replace("{", "\0{").replace("}", "\0").split("\0"):
             parts.append(known[part[1:]] if part.startswith("{") else F.lit(part))
     return F.concat(*parts)
 
 
-def letters(seed: Column) -> Column:
-    """struct(type, text, items: array of struct(type, value)): a letter of each seed's own type and what must be found."""
+def with_letters(rows: DataFrame, seed: str) -> DataFrame:
+    """rows with letter: struct(type, text, items: array of struct(type, value)), a letter of each seed's own type and what
+    was put into it."""
+    rows = rows.withColumn("__values", F.struct(*(v.alias(k) for k, v in values(F.col(seed)).items()))).withColumn("__letter", draw(F.col(seed), "letter", len(LETTERS)))
+    known = {k: F.col(f"__values.{k}") for k in rows.schema["__values"].dataType.names}
     out = F.lit(None)
-    known = values(seed)
     for at, (kind, lines) in enumerate(LETTERS.items()):
-        held = [k for k in known if any("{" + k + "}" in line for line in lines)]
-        items = F.array(*(F.struct(F.lit(k).alias("type"), known[k].alias("value")) for k in held))
-        one = F.struct(F.lit(kind).alias("type"), letter(kind, seed).alias("text"), items.alias("items"))
-        out = F.when(draw(seed, "letter", len(LETTERS)) == at, one).otherwise(out)
-    return out
+        items = F.array(*(F.struct(F.lit(k).alias("type"), c.alias("value")) for k, c in known.items() if any("{" + k + "}" in line for line in lines)))
+        one = F.struct(F.lit(kind).alias("type"), letter(kind, known).alias("text"), items.alias("items"))
+        out = F.when(F.col("__letter") == at, one).otherwise(out)
+    return rows.withColumn("letter", out).drop("__values", "__letter")

@@ -18,7 +18,7 @@ ANY_LABEL = "(?iuU)" + "|".join([*V.LABELS.values(), *V.BOUNDARIES])
 GATES = {"email": "@", "phone": "[1-9]", "postcode": "[0-9]", "dob": "[0-9][/-][0-9]", "nin": "[0-9]{6}", "bank_account": "[0-9]{8}", "vehicle_reg": "[0-9]", "council_ref": "[0-9]{5}"}
 #: The same for labels, in `folded` text: what each label must hold.
 LABEL_GATES = {
-    "person_name": "name|nombre|reported|contact|carer|parent", "dob": r"d\.?o\.?b|birth|born", "address": "address|direcci", "phone": "phone|tel|mobile|contact", "email": "email",
+    "person_name": "name|nombre|reported|contact|carer|parent|applicant", "dob": r"d\.?o\.?b|birth|born", "address": "address|direcci", "phone": "phone|tel|mobile|contact", "email": "email",
     "nin": r"(?<!\w)n\.?i\.?[n\s:=-]|national", "nhs_number": r"(?<!\w)n(?:\.?h\.?|\s*[hm]\s*)s", "bank_details": "account|sort", "pcn": "pcn", "vehicle_reg": "vehicle|vrm|registration",
     "council_ref": r"ref(?:erence)?\s*[:=-]", "school": "school", "signature": "signature", "notes": "notes",
 }

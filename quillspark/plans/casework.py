@@ -48,8 +48,8 @@ def work_sessions(spark, sf_dir):
     return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-def _drawn(name: str, n: int) -> str:
-    return f"(('0x' || left(md5('{name}:' || c_custkey), 15))::BIGINT % {n})"
+def _drawn(name: str, n: int, seed: str = "c_custkey") -> str:
+    return f"(('0x' || left(md5('{name}:' || {seed}), 15))::BIGINT % {n})"
 
 
 _FAKES = f"""WITH d AS (SELECT c_custkey, lpad({_drawn("nhs", 10**9)}::VARCHAR, 9, '0') AS nine, '4' || lpad({_drawn("card", 10**14)}::VARCHAR, 14, '0') AS fifteen,
@@ -67,3 +67,35 @@ def fake_values(spark, sf_dir):
     """A person's values for each customer; SQL tries check digits out, and the validators of the second detector hold too."""
     v = fakes.values(F.col("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", *(v[k].alias(k) for k in ("person_name", "nin", "nhs_number", "card")), (D.nhs_valid(v["nhs_number"]) & D.nin_valid(v["nin"])).alias("valid"))
+
+
+def _of(name: str, values: list[str]) -> str:
+    return f"{values}[{_drawn(name, len(values), 'doc_id')} + 1]"
+
+
+_D = lambda name, n: _drawn(name, n, "doc_id")
+#: The label Re needs no word's beginning before it, so it cuts a labelled name that ends with it.
+_MIXED = f"""WITH d AS (SELECT doc_id, {_D("letter", len(fakes.LETTERS))} AS kind, {_of("first", fakes.FIRST)} AS first, {_of("last", fakes.LAST)} AS last, {_of("child", fakes.FIRST)} || ' ' || {_of("last", fakes.LAST)} AS child, {_of("note", fakes.NOTES)} AS note,
+  ({_D("house", 199)} + 1) || ' ' || {_of("street", fakes.STREETS)} || ' ' || {_of("kind", fakes.KINDS)} || ', ' || {_of("area", ["AB", "LS", "NE", "SW", "YO"])} || ({_D("district", 9)} + 1) || ' ' || {_D("sector", 10)} || {_of("unit", ["AA", "BD", "EF", "XY"])} AS place,
+  '07700 900' || lpad({_D("phone", 1000)}::VARCHAR, 3, '0') AS phone, {_D("mail", 1000)} AS mail, lpad(({_D("day", 28)} + 1)::VARCHAR, 2, '0') || '/' || lpad(({_D("month", 12)} + 1)::VARCHAR, 2, '0') || '/' || ({_D("year", 60)} + 1940) AS dob,
+  {_of("nin letters", fakes.PREFIXES)} || lpad({_D("nin", 10**6)}::VARCHAR, 6, '0') || {_of("nin last", [*"ABCD"])} AS nin, lpad({_D("ref", 10**6)}::VARCHAR, 6, '0') AS ref, lpad({_D("nhs", 10**9)}::VARCHAR, 9, '0') AS nine, '4' || lpad({_D("card", 10**14)}::VARCHAR, 14, '0') AS card
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, first || ' ' || last AS name, regexp_replace(first || ' ' || last, 're$', '') AS labelled, CASE WHEN list_sum(list_transform(range(1, 10), lambda i: nine[i]::INT * (11 - i))) % 11 = 1 THEN left(nine, 8) || (nine[9]::INT + 1) % 10 ELSE nine END AS n9 FROM d),
+v AS (SELECT *, left(n9, 3) || ' ' || n9[4:6] || ' ' || n9[7:9] || list_filter(range(0, 10), lambda c: (list_sum(list_transform(range(1, 10), lambda i: n9[i]::INT * (11 - i))) + c) % 11 = 0)[1] AS nhs FROM w),
+x AS (SELECT doc_id, unnest(CASE kind
+  WHEN 0 THEN [['person_name', 'contact_header', 'Freedom of Information request'], ['person_name', 'field_label', labelled], ['email', 'field_label', lower(first) || '.' || lower(last) || mail || '@mail.example']]
+  WHEN 1 THEN [['person_name', 'field_label', labelled], ['dob', 'field_label', dob], ['address', 'field_label', place]]
+  WHEN 2 THEN [['person_name', 'contact_header', 'Housing repair'], ['person_name', 'field_label', labelled], ['phone', 'field_label', phone], ['council_ref', 'field_label', 'REF-' || ref], ['council_ref', 'field_label', ref]]
+  WHEN 3 THEN [['person_name', 'contact_header', 'Visit note'], ['person_name', 'titled_name', 'Dr ' || name], ['nhs_number', 'field_label', nhs]] || CASE WHEN note IN ('asthma', 'diabetes', 'epilepsy') THEN [['medical_details', 'medical_content', 'The patient has ' || note || '.']] ELSE [] END
+  WHEN 4 THEN [['person_name', 'contact_header', 'Note of concern'], ['person_name', 'dependent_name', child], ['phone', 'field_label', phone]]
+  ELSE [['person_name', 'field_label', labelled], ['nin', 'field_label', nin], ['phone', 'regex', left(card, 4) || ' ' || card[5:8] || ' ' || card[9:12]], ['person_name', 'standalone_name', name]] END) AS f FROM v)
+SELECT doc_id, f[1] AS type, f[2] AS method, f[3] AS value FROM x"""
+
+
+@query("letters_mixed", _MIXED)
+def letters_mixed(spark, sf_dir):
+    """All tiers at once: a letter of one of six types before each document's whole text; what is found in the letter."""
+    docs = fakes.with_letters(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id")
+    docs = docs.select("doc_id", F.length("letter.text").alias("size"), F.concat("letter.text", F.lit("\nDear reader\n"), "text").alias("text"))
+    spans = D.detect(docs).select("doc_id", "size", F.explode_outer("spans").alias("s")).where(F.col("s.start") < F.col("size"))
+    return spans.select("doc_id", "s.type", "s.method", "s.value")

@@ -30,7 +30,7 @@ def test_fake_values_pass_the_checks_at_any_partitioning(spark):
 
 
 def test_letters_hold_their_items(spark):
-    rows = spark.range(300).select(fakes.letters(F.col("id")).alias("l")).select("l.*").collect()
+    rows = fakes.with_letters(spark.range(300), "id").select("letter.*").collect()
     assert {r["type"] for r in rows} == set(fakes.LETTERS)
     assert all(i["value"] in r["text"] for r in rows for i in r["items"]) and all("{" not in r["text"] and "\0" not in r["text"] for r in rows)
 

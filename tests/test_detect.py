@@ -82,3 +82,32 @@ def test_identifiers_and_folds(spark):
 def test_model_spans(spark):
     rows = spark.createDataFrame([("see Jane doe", [("person_name", "Full Name: jane Doe"), ("x", "absent")])], "t string, items array<struct<type:string,value:string>>")
     assert [(s["start"], s["end"]) for s in rows.select(D.model_spans(F.col("t"), F.col("items")).alias("s")).first()["s"]] == [(4, 12)]
+
+
+#: Every way to spell each label.
+SPELLED = {
+    "person_name": ["Requester Name:", "Full Name=", "Patient Name:", "Child's Name:", "Child Name-", "Applicant:", "Applicant Name:", "Nombre:", "Reported by:", "Emergency Contact:", "Carer:", "Carer Name:", "Parent:", "NAME :"],
+    "dob": ["DOB:", "D.O.B. ", "Date of Birth=", "Born "],
+    "address": ["Address:", "Home Address:", "Property Address -", "Contact Address ", "Dirección:", "Direccion "],
+    "phone": ["Emergency Phone:", "Emergency Tel:", "Emergency Telephone ", "Mobile:", "Telephone=", "Telefono:", "Teléfono ", "Contact Number:", "Phone Number:", "PhoneNumber:", "Phone "],
+    "email": ["Email:", "Email Address=", "EMAIL -"],
+    "nin": ["NI:", "N.I. ", "NI Number:", "NINumber:", "NIN=", "National Insurance:", "National Insurance Number ", "National ID:"],
+    "nhs_number": ["NHS:", "N.H.S. ", "NHS Number=", "N M S:", "NMS "],
+    "bank_details": ["Bank Account ", "Account Number: ", "Sort Code- "],
+    "pcn": ["PCN: ", "PCN "],
+    "vehicle_reg": ["Vehicle Reg: ", "Vehicle Registration ", "VRM- ", "Registration "],
+    "council_ref": ["Council Reference:", "Council Ref=", "Case Reference-", "Case Ref:", "Reference:", "Ref:", "Counc!reference:"],
+    "school": ["School: ", "School "],
+    "signature": ["Signature: ", "Signature "],
+    "notes": ["Notes: ", "Notes "],
+}
+
+
+def test_every_label_spelled_alone(spark):
+    """Quick looks that rule texts out must let every spelling of every label pass."""
+    rows = [(kind, f"{form[i]}Qx Zz7") for kind, form in SPELLED.items() for i in range(len(form))]
+    rows += [(kind, text.lower()) for kind, text in rows] + [(kind, text.upper()) for kind, text in rows]
+    found = spark.createDataFrame(rows, "kind string, text string").select("kind", "text", D.field_labels(F.col("text")).alias("s")).collect()
+    stands = lambda kind, text: (m := re.search(V.LABELS[kind], text, re.IGNORECASE)) is not None and text[m.end() :].lower() == "qx zz7"
+    missed = [r["text"] for r in found if stands(r["kind"], r["text"]) and not any(s["type"] == r["kind"] and s["value"].lower() == "qx zz7" for s in r["s"])]
+    assert SPELLED.keys() == V.LABELS.keys() and missed == [] and sum(stands(*x) for x in rows) > 0.9 * len(rows)
