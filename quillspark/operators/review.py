@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as V
 from quillspark.operators import classify as C
+from quillspark.functions import spans as S
+from quillspark.operators import text as T
+from quillspark.operators.geometry import span_boxes, word_spans
 
 #: Action -> (status before, status after); null before means any.
 TRANSITIONS = {"approve": (None, "approved"), "reject": (None, "rejected"), "modify": (None, "modified"), "create": (None, "pending"), "remove": (None, "rejected")}
@@ -126,3 +129,31 @@ def tab_counts(documents: DataFrame) -> DataFrame:
     """Counts behind the tabs of a document list."""
     flagged = F.coalesce(F.col("flag_needs_review"), F.lit(False)) | F.col("status").isin("needs_review", "in_review")
     return documents.agg(F.count("*").alias("all"), F.count_if(flagged).alias("needs_review"), F.count_if(F.col("status") == "complete").alias("processed"), F.count_if(F.col("status") == "review_approved").alias("approved"), F.count_if(F.col("status").isin("error", "failed")).alias("failed"))
+
+
+def create_from_text(requests: DataFrame, words: DataFrame, page: str) -> DataFrame:
+    """New redactions from selected text: a row for each line of the page that the selection covers, or one with an error.
+
+    requests: request_id, page, selected (text), start and end (offsets, or null), type and reason. words: page, word_no, text,
+    x0, y0, x1, y1, confidence; a page's text is its words with single spaces between. Offsets count if both are given,
+    else the first place of the text. A request goes wrong that selects less than two characters, or text that the page
+    does not hold. A page's words are gathered as far as a request asks for the page.
+    """
+    asked = words.join(requests.select(page).distinct(), page, "left_semi")
+    texts = asked.groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ").alias("__text"))
+    rows = requests.join(texts, page, "left").withColumn("__text", F.coalesce("__text", F.lit("")))
+    given = F.col("start").isNotNull() & F.col("end").isNotNull()
+    place = F.when(given, T.selection(F.col("__text"), F.col("start"), F.col("end"))).otherwise(T.found_selection(F.col("__text"), F.col("selected")))
+    rows = rows.withColumn("__place", F.when(F.length(S.bare(F.coalesce("selected", F.lit("")))) >= 2, place))
+    short = F.length(S.bare(F.coalesce("selected", F.lit("")))) < 2
+    error = F.when(short | (given & (F.length("__place.value") < 2)), "too short").when(F.col("__place").isNull(), "not on the page")
+    clean = F.left(F.regexp_replace(F.regexp_replace(F.lower("type"), "[^a-z0-9_]+", "_"), "^_+|_+$", ""), F.lit(40))
+    rows = rows.select("request_id", page, F.when(clean != "", clean).otherwise("manual").alias("redaction_type"), "reason", "__place", error.alias("error"))
+    spans = rows.where("error IS NULL").select(page, F.col("request_id").alias("span_id"), "__place.start", "__place.end")
+    boxes = span_boxes(word_spans(asked, page), spans, page).select(F.col("span_id").alias("request_id"), F.struct("box.x0", "box.y0", "box.x1", "box.y1").alias("box"))
+    out = rows.join(boxes, "request_id", "left")
+    made = F.col("error").isNull()
+    return out.select(
+        "request_id", page, "redaction_type", F.when(made, F.left("__place.value", F.lit(255))).alias("original_value"), F.when(made, F.concat(F.lit("[REDACTED-"), "redaction_type", F.lit("]"))).alias("masked_value"), "box",
+        F.when(made, 1.0).alias("confidence"), F.lit("text_selection").alias("method"), F.when(made, "pending").alias("status"), "reason", "error",
+    )

@@ -87,6 +87,12 @@ def dashboard(documents: DataFrame, mode: str = "strict") -> DataFrame:
     )
 
 
+def redaction_totals(documents: DataFrame, redactions: DataFrame) -> DataFrame:
+    """One row: how many redactions the documents (id) have, and how many of them are approved and rejected."""
+    own = redactions.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return own.agg(F.count("*").alias("redactions"), F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+
+
 def category_counts(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("category").isin(*V.CATEGORIES)).groupBy("category").agg(F.count("*").alias("n"))
 

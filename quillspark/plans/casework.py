@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fakes
 from quillspark.operators import detect as D
-from quillspark.operators import stages
+from quillspark.operators import geometry, review, stages, workflow
 from quillspark.plans.registry import query, table
 
 DEADLINES = {"click": 3600.0, "purchase": 86400.0, "error": 7200.0}
@@ -99,3 +99,34 @@ def letters_mixed(spark, sf_dir):
     docs = docs.select("doc_id", F.length("letter.text").alias("size"), F.concat("letter.text", F.lit("\nDear reader\n"), "text").alias("text"))
     spans = D.detect(docs).select("doc_id", "size", F.explode_outer("spans").alias("s")).where(F.col("s.start") < F.col("size"))
     return spans.select("doc_id", "s.type", "s.method", "s.value")
+
+
+_LAID = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS flat, array_to_string(ws[3:5], ' ') AS sel, doc_id % 2 = 1 AS given FROM d),
+s AS (SELECT *, CASE WHEN given THEN 3 ELSE strpos(lower(flat), lower(sel)) - 1 END AS a0, CASE WHEN given THEN least(length(flat), 14) ELSE strpos(lower(flat), lower(sel)) - 1 + length(sel) END AS z0 FROM q),
+g AS (SELECT *, CASE WHEN given THEN a0 + length(flat[a0 + 1:z0]) - length(ltrim(flat[a0 + 1:z0], ' ')) ELSE a0 END AS a, CASE WHEN given THEN a0 + length(rtrim(flat[a0 + 1:z0], ' ')) ELSE z0 END AS z FROM s WHERE length(sel) >= 2 AND (NOT given OR length(flat) > 3)),
+k AS (SELECT * FROM g WHERE z - a >= 2 OR NOT given),
+w AS (SELECT doc_id, flat, a, z, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM k),
+p AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w),
+h AS (SELECT *, pos // 80 AS line, pos % 80 * 10 AS x FROM p WHERE pos < z AND pos + length(w) > a)
+SELECT doc_id AS request_id, any_value(flat[a + 1:z]) AS original_value, min(x + floor(greatest(a - pos, 0) / length(w) * (length(w) * 10)))::DOUBLE AS x0, (line * 40)::DOUBLE AS y0, max(x + floor(least(z - pos, length(w)) / length(w) * (length(w) * 10)))::DOUBLE AS x1 FROM h GROUP BY doc_id, line"""
+
+
+@query("review_from_text", _LAID)
+def review_from_text(spark, sf_dir):
+    """A selection on each document's page, by its text or by offsets; what it covers of each line."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), "text")
+    words = geometry.layout(docs)
+    third = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 3, 3)
+    given = F.col("page") % 2 == 1
+    requests = docs.select(F.col("page").alias("request_id"), "page", F.array_join(third, " ").alias("selected"), F.when(given, 14).alias("start"), F.when(given, 3).alias("end"), F.lit(" Case Ref! ").alias("type"), F.lit("asked").alias("reason"))
+    found = review.create_from_text(requests, words, "page").where("error IS NULL")
+    return found.select("request_id", "original_value", "box.x0", "box.y0", "box.x1")
+
+
+@query("redaction_totals", "SELECT count(*) AS redactions, count(*) FILTER (l_linestatus = 'F') AS approved, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS rejected FROM lineitem SEMI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey")
+def redaction_totals(spark, sf_dir):
+    """Lines as redactions of the orders that are done."""
+    status = F.when(F.col("l_linestatus") == "F", "approved").when(F.col("l_returnflag") == "R", "rejected").otherwise("pending")
+    redactions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), status.alias("status"))
+    return workflow.redaction_totals(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), redactions)

@@ -115,9 +115,21 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
 
 
-def write_texts(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """One folder of text for each key."""
-    rows.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_texts(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> None:
+    """One folder of text for each key. With buckets, Parquet files of key and text in that many folders by the key's hash
+    instead: a folder for each of very many keys is more than file systems and their listings bear."""
+    if buckets is None:
+        rows.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+        return
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    rows.select(bucket, key, F.col(text).alias("value")).repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_text(spark: SparkSession, path: str, key: str, value, buckets: int) -> DataFrame:
+    """The rows of one key that write_texts put into buckets; reads that key's folder only."""
+    rows = spark.read.parquet(path)
+    at = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value).cast(rows.schema[key].dataType)), F.lit(buckets)).cast("int")).first()[0]
+    return rows.where((F.col("bucket") == at) & (F.col(key) == value)).select(key, "value")
 
 
 def write_artifacts(rows: DataFrame, path: str, fields: list[str]) -> None:

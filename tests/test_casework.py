@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fakes
 from quillspark.operators import detect as D
-from quillspark.operators import stages
+from quillspark.operators import review, stages
+from quillspark.sources import io
 from quillspark.streaming import pipeline as P
 
 
@@ -66,3 +67,26 @@ def test_stalled_keys_are_reported_once(spark, tmp_path):
     assert run([(9, "ocr", at(15))]) == [(1, "ocr", 0)]  # 1 repeats its status, 2 has moved on, 3 is done
     run([(9, "ocr", at(19))])
     assert run([(2, "redact", at(20))]) == [(1, "ocr", 0), (2, "redact", 8)]
+
+
+def test_redactions_from_selected_text(spark):
+    words = [(1, 0, "Dear", 0.0, 0.0, 40.0, 20.0), (1, 1, "Bo", 50.0, 0.0, 70.0, 20.0), (1, 2, "Lee", 0.0, 40.0, 30.0, 60.0), (2, 0, "x", 0.0, 0.0, 10.0, 20.0)]
+    frame = spark.createDataFrame([(*w, 0.9) for w in words], "page long, word_no int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    asked = [(1, 1, "bo  lee", None, None, "Person Name!"), (2, 1, "zz", 9, 5, ""), (3, 1, "not there", None, None, "x"), (4, 1, " B ", None, None, "x"), (5, 3, "Dear", None, None, "x"), (6, 1, "Dear", 0, 1, "x"), (7, 1, None, None, None, "x")]
+    requests = spark.createDataFrame([(*a, "why") for a in asked], "request_id long, page long, selected string, start int, end int, type string, reason string")
+    rows = review.create_from_text(requests, frame, "page").collect()
+    got = sorted((r["request_id"], r["redaction_type"], r["original_value"], tuple(r["box"]) if r["box"] else None, r["status"], r["error"]) for r in rows)
+    assert got == [
+        (1, "person_name", "Bo Lee", (0.0, 40.0, 30.0, 60.0), "pending", None), (1, "person_name", "Bo Lee", (50.0, 0.0, 70.0, 20.0), "pending", None),
+        (2, "manual", "Bo L", (0.0, 40.0, 10.0, 60.0), "pending", None), (2, "manual", "Bo L", (50.0, 0.0, 70.0, 20.0), "pending", None), (3, "x", None, None, None, "not on the page"), (4, "x", None, None, None, "too short"),
+        (5, "x", None, None, None, "not on the page"), (6, "x", None, None, None, "too short"), (7, "x", None, None, None, "too short"),
+    ]
+    assert rows[0]["method"] == "text_selection" and {r["masked_value"] for r in rows} == {"[REDACTED-person_name]", "[REDACTED-manual]", None}
+
+
+def test_texts_in_buckets(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS doc_id", "concat('t', id, '\n', 'x') AS text")
+    io.write_texts(rows, str(tmp_path / "b"), buckets=8)
+    assert len([*(tmp_path / "b").glob("bucket=*")]) == 8
+    assert [tuple(r) for r in io.read_text(spark, str(tmp_path / "b"), "doc_id", 77, 8).collect()] == [(77, "t77\nx")]
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 500
