@@ -97,6 +97,7 @@ def letters_mixed(spark, sf_dir):
     """All tiers at once: a letter of one of six types before each document's whole text; what is found in the letter."""
     docs = fakes.with_letters(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id")
     docs = docs.select("doc_id", F.length("letter.text").alias("size"), F.concat("letter.text", F.lit("\nDear reader\n"), "text").alias("text"))
+    docs = docs.repartition(spark.sparkContext.defaultParallelism) if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else docs  # letters are made once, before all tiers read them
     spans = D.detect(docs).select("doc_id", "size", F.explode_outer("spans").alias("s")).where(F.col("s.start") < F.col("size"))
     return spans.select("doc_id", "s.type", "s.method", "s.value")
 
