@@ -184,8 +184,12 @@ def yolo_label(kind: Column, b: Column, width: Column, height: Column) -> Column
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; null counts as empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp ratio; null counts as empty. Pairs that recur in a batch are compared once."""
+    seen: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b):
+        if pair not in seen:
+            seen[pair] = difflib.SequenceMatcher(None, pair[0] or "", pair[1] or "").ratio()
+    return pd.Series([seen[pair] for pair in zip(a, b)])
 
 
 @F.pandas_udf(T.IntegerType())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import fixed_values as V
 from quillspark.functions import scalars as X
@@ -44,18 +48,63 @@ def new_boxes(candidates: DataFrame, existing: DataFrame, page: str, tie: str, s
     return dedupe_boxes(candidates.join(clashing, [page, tie], "left_anti"), page, tie, same)
 
 
+def fold_pages(words: DataFrame, page: str, columns: list[str], fold: Callable[..., Iterable[tuple]], schema: pa.Schema) -> DataFrame:
+    """fold(page, y centres, *columns) of every page, with its words by y centre, then x.
+
+    Pages go through a task one after the other in sorted rows, and only the page at hand is held: no group is made of each
+    page, which would cost more than its few words. Words at the same place come in the order of word_no, if there is one.
+    """
+    yc = ((F.col("y0") + F.col("y1")) / 2).alias("__yc")
+    order = [F.asc_nulls_last(c) for c in ("__yc", "x0", *(c for c in ("word_no", "text") if c in words.columns))]
+    rows = words.select(F.col(page).cast("long").alias(page), yc, *dict.fromkeys([*columns, "x0", *(c for c in ("word_no", "text") if c in words.columns)]))
+    dealt = rows.repartition(page).sortWithinPartitions(page, *order).select(page, "__yc", *columns)
+    types = T.StructType([T.StructField(f.name, {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.string(): T.StringType(), pa.float64(): T.DoubleType()}[f.type]) for f in schema])
+
+    def run(batches):
+        held: list[list] = []
+        out: list[tuple] = []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            parts = [c.to_pylist() for c in batch.columns]
+            keys, at = parts[0], 0
+            for i in range(len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[at]:
+                    part = [c[at:i] for c in parts]
+                    if held and part[0] and held[0][0] == part[0][0]:
+                        for have, more in zip(held, part):
+                            have.extend(more)
+                    elif part[0]:
+                        if held:
+                            out.extend(fold(held[0][0], *held[1:]))
+                        held = part
+                    at = i
+            if len(out) >= 4096:
+                yield batch_of(out)
+                out = []
+        if held:
+            out.extend(fold(held[0][0], *held[1:]))
+        if out:
+            yield batch_of(out)
+
+    return dealt.mapInArrow(run, types)
+
+
 def cluster_lines(words: DataFrame, page: str, share: float = 0.7) -> DataFrame:
     """Visual lines of each page: words by y centre, a new line when the gap to the line's running mean reaches a share
     of the (upper) median height. The running mean makes it a fold, done page by page."""
-    schema = f"{page} long, line int, text string, norm string, x0 double, y0 double, x1 double, y1 double"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(yc=(pdf.y0 + pdf.y1) / 2).sort_values(["yc", "x0"], kind="stable")
-        heights = sorted(pdf.y1 - pdf.y0)
+    def fold(key, centres, text, x0, y0, x1, y1):
+        nan = float("nan")
+        number = lambda values: [nan if v is None else v for v in values]
+        x0, y0, x1, y1 = number(x0), number(y0), number(x1), number(y1)
+        heights = sorted(b - a for a, b in zip(y0, y1))
         limit = share * (heights[len(heights) // 2] or 20)
         groups: list[list[int]] = []
         mean = 0.0
-        for i, yc in enumerate(pdf.yc):
+        for i, yc in enumerate(number(centres)):
             if not groups or abs(yc - mean) >= limit:
                 groups.append([])
                 mean = yc
@@ -63,13 +112,15 @@ def cluster_lines(words: DataFrame, page: str, share: float = 0.7) -> DataFrame:
             mean += (yc - mean) / len(groups[-1])
         out = []
         for g in groups:
-            part = pdf.iloc[g].sort_values("x0", kind="stable")
-            text = " ".join(part.text)
-            out.append((pdf[page].iloc[0], text, "".join(c for c in text.lower() if c.isalnum()), part.x0.min(), part.y0.min(), part.x1.max(), part.y1.max()))
-        lines = pd.DataFrame(out, columns=[page, "text", "norm", "x0", "y0", "x1", "y1"]).sort_values("y0", kind="stable").reset_index(drop=True)
-        return lines.assign(line=range(len(lines)))[[page, "line", "text", "norm", "x0", "y0", "x1", "y1"]]
+            g.sort(key=x0.__getitem__)
+            line = " ".join(text[i] or "" for i in g)
+            edge = lambda f, values: f((values[i] for i in g if values[i] == values[i]), default=nan)  # noqa: E731, B023
+            out.append((line, "".join(c for c in line.lower() if c.isalnum()), edge(min, x0), edge(min, y0), edge(max, x1), edge(max, y1)))
+        out.sort(key=lambda r: r[3])
+        return [(key, n, *r) for n, r in enumerate(out)]
 
-    return words.groupBy(page).applyInPandas(fold, schema)
+    schema = pa.schema([(page, pa.int64()), ("line", pa.int32()), ("text", pa.string()), ("norm", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
+    return fold_pages(words, page, ["text", "x0", "y0", "x1", "y1"], fold, schema)
 
 
 def word_spans(words: DataFrame, page: str, order: str = "word_no") -> DataFrame:
@@ -121,40 +172,37 @@ def regions(words: DataFrame, page: str, margin: float = 0.15, width: float | No
 
 def first_fit_lines(words: DataFrame, page: str, share: float = 0.75, least: float = 8.0) -> DataFrame:
     """Words (page, word_no, text, x0, y0, x1, y1) with a group: by y centre, then x, each joins the first group whose mean
-    centre is within the tolerance, else it opens one. The state makes it a fold, done page by page."""
-    schema = f"{page} long, word_no int, group int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(yc=(pdf.y0 + pdf.y1) / 2).sort_values(["yc", "x0"], kind="stable")
-        limit = max(share * float((pdf.y1 - pdf.y0).mean()), least)
-        sums: list[float] = []
-        sizes: list[int] = []
-        out = []
-        for yc in pdf.yc:
-            at = next((i for i, (t, n) in enumerate(zip(sums, sizes)) if abs(yc - t / n) <= limit), len(sums))
-            if at == len(sums):
-                sums.append(0.0)
-                sizes.append(0)
-            sums[at] += yc
-            sizes[at] += 1
-            out.append(at)
-        return pd.DataFrame({page: pdf[page], "word_no": pdf.word_no, "group": out})
+    centre is within the tolerance, else it opens one. The state makes it a fold, done page by page; as centres only grow,
+    no group but the last can take another word."""
+
+    def fold(key, centres, word_no, y0, y1):
+        heights = [b - a for a, b in zip(y0, y1) if a is not None and b is not None]
+        limit = max(share * sum(heights) / len(heights), least) if heights else least
+        group, total, size = -1, 0.0, 0
+        for yc, word in zip(centres, word_no):
+            if size == 0 or yc is None or not abs(yc - total / size) <= limit:
+                group, total, size = group + 1, 0.0, 0
+            total += float("nan") if yc is None else yc
+            size += 1
+            yield key, word, group
 
-    return words.groupBy(page).applyInPandas(fold, schema)
+    schema = pa.schema([(page, pa.int64()), ("word_no", pa.int32()), ("group", pa.int32())])
+    return fold_pages(words, page, ["word_no", "y0", "y1"], fold, schema)
 
 
 def line_of(text: Column, offset: Column) -> Column:
     """struct(index, start, value, ordinal, filled) of the line that an offset is in: the last that starts no later.
     ordinal counts the lines with text before it (null if it has none itself), filled all lines with text."""
+    return S.let(S.lines(text), lambda all_: line_among(all_, offset))
 
-    def look(all_: Column) -> Column:
-        last = F.greatest(F.size(F.filter(all_, lambda x: x["start"] <= offset)), F.lit(1))
-        line = F.element_at(all_, last)
-        has = lambda x: S.bare(x["value"]) != ""
-        before = F.size(F.filter(F.slice(all_, F.lit(1), last - 1), has))
-        return F.struct((last - 1).alias("index"), line["start"].alias("start"), line["value"].alias("value"), F.when(has(line), before).alias("ordinal"), F.size(F.filter(all_, has)).alias("filled"))
 
-    return S.let(S.lines(text), look)
+def line_among(all_: Column, offset: Column) -> Column:
+    """The same of a text's lines."""
+    last = F.greatest(F.size(F.filter(all_, lambda x: x["start"] <= offset)), F.lit(1))
+    line = F.element_at(all_, last)
+    has = lambda x: S.bare(x["value"]) != ""
+    before = F.size(F.filter(F.slice(all_, F.lit(1), last - 1), has))
+    return F.struct((last - 1).alias("index"), line["start"].alias("start"), line["value"].alias("value"), F.when(has(line), before).alias("ordinal"), F.size(F.filter(all_, has)).alias("filled"))
 
 
 def likeness(wanted: Column, norm: Column) -> Column:
@@ -171,22 +219,26 @@ def map_values(values: DataFrame, texts: DataFrame, lines: DataFrame, page: str,
     value takes a line by the first rule that holds: a signature, or one of the last three lines, the last line; one of
     the first eleven, the line of that place; a telling type, the most alike line of the page from 0.55 on; else the most
     alike of the lines around the place in proportion, from 0.45 on; else the line at that place, unsure; and where the
-    line of the value has no place, the most alike line at all, unsure. Lines of a page are few; pairs stay on the page.
+    line of the value has no place, the most alike line at all, unsure. Values whose place is known meet that one line only;
+    others meet all lines of their page, but of no other.
     """
-    place = values.join(texts, page).where("start >= 0 AND value <> ''").withColumn("at", line_of(F.col("text"), F.col("start"))).where("at.ordinal IS NOT NULL").drop("text")
+    known = texts.select(page, S.lines(F.col("text")).alias("__lines"))  # once for each text, not for each value
+    place = values.where("start >= 0 AND value <> ''").join(known, page).withColumn("at", line_among(F.col("__lines"), F.col("start"))).where("at.ordinal IS NOT NULL").drop("__lines")
     ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("y0", "line")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(page)))
     pairs = place.join(ordered.select(page, "n", "m", "norm", F.struct("x0", "y0", "x1", "y1").alias("box")), page)
     ordinal, filled, m = F.col("at.ordinal"), F.greatest(F.col("at.filled"), F.lit(1)), F.col("m")
     at_end = (F.col("type") == "signature") | (ordinal >= filled - 3)
     early = (ordinal <= 10) & (ordinal < m)
     expected = F.when(filled > 1, ordinal / (filled - 1) * (m - 1))
-    like = F.when(at_end | early, 0.0).otherwise(likeness(X.compact(F.col("value")), F.col("norm")))
-    pairs = pairs.withColumn("like", like).withColumn("expected", expected)
+    pairs = pairs.withColumns({"at_end": at_end, "early": early, "expected": expected})
+    settled = F.when(F.col("at_end"), m - 1).when(F.col("early"), ordinal)
+    pairs = pairs.where(settled.isNull() | (F.col("n") == settled))
+    pairs = pairs.withColumn("like", F.when(settled.isNotNull(), 0.0).otherwise(likeness(F.when(settled.isNull(), X.compact(F.col("value"))), F.col("norm"))))
     near = F.col("n").between(F.floor("expected") - 3, F.floor("expected") + 3)
     best = lambda ok: F.max_by(F.struct("box", "like"), F.when(ok & (F.col("like") > 0), F.struct("like", -F.col("n"))))
     at_line = lambda n: F.max(F.when(F.col("n") == n, F.struct("box")))["box"]
     kept = ["type", "value", "start", "at", "expected", "m"]
-    rows = pairs.withColumns({"at_end": at_end, "early": early}).groupBy(page, "value_id").agg(
+    rows = pairs.groupBy(page, "value_id").agg(
         *(F.first(c).alias(c) for c in [*kept, "at_end", "early"]),
         best(F.lit(True)).alias("any"), best(near).alias("band"), at_line(F.col("m") - 1).alias("last"), at_line(F.col("at.ordinal")).alias("direct"),
         at_line(F.least(F.col("m") - 1, F.greatest(F.lit(0), F.bround("expected").cast("int")))).alias("placed"),
