@@ -14,6 +14,8 @@ from quillspark.functions.scalars import let
 SPAN = "struct<type:string,start:int,end:int,value:string,confidence:double,method:string>"
 SPANS = f"array<{SPAN}>"
 FOUND = "array<struct<start:int,end:int,value:string>>"
+#: A character that texts seldom hold.
+MARK = "\x01"
 
 
 def none(kind: str = SPANS) -> Column:
@@ -47,13 +49,14 @@ def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
 
     With group 1 the value is that group, which must end the match. Patterns must not match the empty text.
     Gaps (split) and hits (extract) of one pattern interlock, so running lengths give the offsets; a text without a hit
-    is looked through once.
+    is looked through once. Splitting at a pattern compiles it for every text, replacing does not: hits become a mark, at
+    which the text is split, unless the text holds the mark itself.
     """
 
     pattern = F.lit(pattern)
 
     def placed(hits: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
+        gaps = F.when(F.contains(text, F.lit(MARK)), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, F.lit(MARK)), MARK, -1))
         ends = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.length(g) + F.length(h)))
         values = hits if group == 0 else F.regexp_extract_all(text, pattern, F.lit(group))
         return F.zip_with(ends, values, lambda end, v: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))

@@ -38,7 +38,7 @@ def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str
 
     gates = LABEL_GATES if labels is V.LABELS else {kind: "" for kind in labels}  # an empty one lets all texts pass
     spec = lambda kind: F.struct(
-        F.lit(kind).alias("kind"), F.lit("(?U)" + gates[kind]).alias("gate"), F.lit(_ci(labels[kind])).alias("pattern"), F.lit(V.LABEL_VALUE_MAX.get(kind, V.LABEL_VALUE_DEFAULT_MAX)).alias("most")
+        F.lit(kind).alias("kind"), F.lit(_ci(labels[kind])).alias("pattern"), F.lit(V.LABEL_VALUE_MAX.get(kind, V.LABEL_VALUE_DEFAULT_MAX)).alias("most")
     )
 
     def value(k: Column, m: Column, starts: Column) -> Column:
@@ -59,7 +59,7 @@ def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str
         return F.transform(found, lambda v: S.span(k["kind"], v, 0.95, "field_label"))
 
     def found(low: Column) -> Column:
-        kinds = F.filter(F.array(*map(spec, labels)), lambda k: F.rlike(low, k["gate"]))
+        kinds = F.array_compact(F.array(*(F.when(low.rlike("(?U)" + gates[kind]), spec(kind)) for kind in labels)))  # constant patterns are compiled once
         return S.let(F.transform(S.matches(text, any_label), lambda m: m["start"]), lambda starts: F.flatten(F.transform(kinds, lambda k: of(k, starts))))
 
     return S.let(folded(text), lambda low: F.when(low.rlike("(?U)" + "|".join(gates.values())) & text.rlike(_ci("|".join(labels.values()))), found(low)).otherwise(S.none()))
@@ -215,9 +215,11 @@ def model_spans(text: Column, items: Column, confidence: float = 0.82, method: s
     """Spans of values that a model names (array of struct type, value): first exact, else first case-blind occurrence."""
 
     def place(x: Column) -> Column:
-        value = without_label(x["value"])
-        at = F.when(F.position(value, text) > 0, F.position(value, text)).otherwise(F.position(F.lower(value), F.lower(text)))
-        return S.span(x["type"], F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end"), value.alias("value")), confidence, method)
+        def found(value: Column, exact: Column) -> Column:
+            at = F.when(exact > 0, exact).otherwise(F.position(F.lower(value), F.lower(text)))
+            return S.let(at, lambda at: S.span(x["type"], F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end"), value.alias("value")), confidence, method))
+
+        return S.let(without_label(x["value"]), lambda value: S.let(F.position(value, text), lambda exact: found(value, exact)))
 
     return F.filter(F.transform(items, place), lambda s: (s["start"] >= 0) & (F.length(s["value"]) >= 2))
 

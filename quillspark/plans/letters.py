@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import detect as D
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import dealt, query, table
 
 #: Written once for both engines: SQL that Spark and DuckDB read alike.
 NAME = "'Anna ' || chr(CAST(65 + c_custkey % 26 AS INT)) || 'illow'"
@@ -60,11 +60,21 @@ def _sql(text: str, wanted: list[tuple[str, str, str]]) -> str:
 
 def _found(spans):
     cols = ["c_custkey", "s.type", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), "s.value"]
-    return spans.select("c_custkey", F.explode("spans").alias("s")).select(*cols)
+    return each(spans, "spans").select(*cols)
+
+
+def each(rows, found):
+    """A row for each span of found, as s. Of a plain explode Spark would make a filter, and find all spans once more for it."""
+    return rows.select("c_custkey", F.explode_outer(found).alias("s")).where("s IS NOT NULL")
+
+
+def _customers(spark, sf_dir):
+    """Keys and names of the customers, dealt out: few bytes are read, but much is done for each row."""
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
 
 
 def _letters(spark, sf_dir, text: str):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+    return _customers(spark, sf_dir).select("c_custkey", F.expr(text).alias("text"))
 
 
 def _tier(tier: str):
@@ -105,14 +115,14 @@ def letters_fallback(spark, sf_dir):
     entity = lambda label, value: F.struct(F.lit(label).alias("label"), F.lit(0).alias("start"), F.lit(len(value)).alias("end"), F.lit(value).alias("value"))
     text = F.rpad(F.lit("Anna Billow"), F.when(F.col("c_custkey") % 2 == 0, 101).otherwise(100), "x")
     entities = F.array(entity("PERSON", "Anna"), entity("DATE", "1980"), entity("ORG", "Acme"), entity("LOC", " UK "))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(D.entity_fallback(text, entities)).alias("s"))
+    rows = each(_customers(spark, sf_dir), D.entity_fallback(text, entities))
     return rows.select("c_custkey", "s.type", "s.confidence")
 
 
 @query("letters_model_labels", "SELECT c_custkey, unnest(['person_name', 'date']) AS type, unnest(['Anna', '1980']) AS value FROM customer")
 def letters_model_labels(spark, sf_dir):
     entity = lambda label, value: F.struct(F.lit(label).alias("label"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(value).alias("value"), F.lit(0.9).alias("score"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(D.model_labels(F.array(entity("PER", "Anna"), entity("DATE", "1980")))).alias("s"))
+    rows = each(_customers(spark, sf_dir), D.model_labels(F.array(entity("PER", "Anna"), entity("DATE", "1980"))))
     return rows.select("c_custkey", "s.type", "s.value")
 
 
@@ -141,4 +151,4 @@ def letters_model_spans(spark, sf_dir):
     item = lambda v: F.struct(F.lit("person_name").alias("type"), v.alias("value"))
     text = F.concat(F.lit("Dear "), F.col("c_name"), F.lit(", hello"))
     found = D.model_spans(text, F.array(item(F.concat(F.lit("Name: "), F.col("c_name"))), item(F.lit("HELLO")), item(F.lit("absent"))))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(found).alias("s")).select("c_custkey", F.col("s.start").cast("long").alias("start_at"), "s.value")
+    return each(_customers(spark, sf_dir), found).select("c_custkey", F.col("s.start").cast("long").alias("start_at"), "s.value")

@@ -33,6 +33,11 @@ def texts(spark, sf_dir: str, *columns: str) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def dealt(rows: DataFrame, each: int = 4) -> DataFrame:
+    """Small rows for work that is heavy on each: dealt over the cluster, however few parts their table was read in."""
+    return rows.repartition(each * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(name: str, sql: str | None = None):
     def register(function):
         QUERIES[name] = function

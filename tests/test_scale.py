@@ -57,3 +57,23 @@ def test_values_in_known_places_meet_one_line(spark):
     finally:
         G.X.similarity = similarity
     assert {(r.value_id, r.confidence) for r in found} == {(1, 0.8), (2, 0.7)} and asked.value == 0
+
+
+def test_spans_of_letters_are_found_once_and_on_all_cores(spark, tmp_path):
+    from quillspark.plans import letters, registry  # noqa: F401
+
+    spark.createDataFrame([(k, f"Customer#{k}") for k in range(20)], "c_custkey long, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("letters_field_labels", "letters_contact_header", "letters_medical_content", "letters_model_spans"):
+        text = plan(registry.QUERIES[name](spark, str(tmp_path)))
+        assert not [line for line in text.splitlines() if "Filter" in line and ("regexp" in line or "position" in line.lower())]
+        assert "Repartition" in text
+
+
+def test_matches_of_texts_that_hold_the_mark(spark):
+    from quillspark.functions import spans as S
+
+    rows = spark.createDataFrame([("a1b22",), ("a1\x01b22\x01",), ("",), (None,), ("x",)], "t string")
+    found = [r.m for r in rows.select(S.matches(F.col("t"), "[0-9]+").alias("m")).collect()]
+    assert [[tuple(m) for m in x or []] for x in found] == [[(1, 2, "1"), (3, 5, "22")], [(1, 2, "1"), (4, 6, "22")], [], [], []]
+    text = plan(rows.select(S.matches(F.col("t"), "[0-9]+")))
+    assert "regexp_replace" in text  # a split at a pattern compiles it for each text
