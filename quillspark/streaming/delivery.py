@@ -24,21 +24,30 @@ def payloads(events: DataFrame, hooks: DataFrame, fields: dict[str, Column]) ->
     name or, if they want all, on a star, so no event is held against hooks that do not want it. delivery names the pair.
     """
     wants = F.when(F.size("events") > 0, F.array_distinct("events")).otherwise(F.array(F.lit("*")))
-    active = hooks.where("active").select("url", "secret", F.explode(F.coalesce(wants, F.array(F.lit("*")))).alias("__key"))
+    active = hooks.where("active").select("url", F.when(F.length("secret") > 0, pads(F.col("secret"))).alias("pads"), F.explode(F.coalesce(wants, F.array(F.lit("*")))).alias("__key"))
     rows = events.withColumn("__key", F.explode(F.array("event", F.lit("*")))).join(active, "__key")
     body = X.canonical_json(fields)
-    rows = rows.select(F.sha2(F.concat_ws("|", "url", F.col("event_id").cast("string")), 256).alias("delivery"), "url", "secret", body.alias("body"))
-    return rows.withColumn("signature", F.when(F.length("secret") > 0, keyed_hmac(F.col("body"), F.col("secret")))).drop("secret").dropDuplicates(["delivery"])
+    rows = rows.select(F.sha2(F.concat_ws("|", "url", F.col("event_id").cast("string")), 256).alias("delivery"), "url", "pads", body.alias("body")).dropDuplicates(["delivery"])
+    return rows.withColumn("signature", padded_hmac(F.col("body"), F.col("pads"))).drop("pads")
 
 
-def keyed_hmac(message: Column, secret: Column) -> Column:
-    """Hex HMAC-SHA256 of a message under the row's own key."""
+def pads(secret: Column) -> Column:
+    """The two blocks, struct(inner, outer), that HMAC-SHA256 makes of a key: all of its work that is the same for every message."""
     raw = F.encode(secret, "utf-8")
     key = F.when(F.length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw))
     bytes_of = F.rpad(key, 128, "0")
     padded = lambda mask: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(F.conv(F.substring(bytes_of, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(mask))), 2, "0")), ""))
-    inner = F.unhex(F.sha2(F.concat(padded(0x36), F.encode(message, "utf-8")), 256))
-    return F.sha2(F.concat(padded(0x5C), inner), 256)
+    return F.named_struct(F.lit("inner"), padded(0x36), F.lit("outer"), padded(0x5C))
+
+
+def padded_hmac(message: Column, blocks: Column) -> Column:
+    """Hex HMAC-SHA256 of a message under a key's `pads`."""
+    return F.sha2(F.concat(blocks["outer"], F.unhex(F.sha2(F.concat(blocks["inner"], F.encode(message, "utf-8")), 256))), 256)
+
+
+def keyed_hmac(message: Column, secret: Column) -> Column:
+    """Hex HMAC-SHA256 of a message under the row's own key."""
+    return padded_hmac(message, pads(secret))
 
 
 def attempt(rows: DataFrame, send: Sender, now: float, wait: float, most: int) -> DataFrame:
