@@ -100,20 +100,26 @@ def let(value: Column, use) -> Column:
 
 def base32(data: Column) -> Column:
     """RFC 4648 base 32 of binary data, without padding."""
-    bits = F.array_join(F.transform(F.split(F.hex(data), "(?<=\\G..)"), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
+    code = F.hex(data)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.length(data) - 1) / 5).cast("int")), lambda i: _eight(F.substring(code, i * 10 + 1, F.lit(10))))
+    return F.when(F.length(data) > 0, F.left(F.array_join(groups, ""), F.ceil(F.length(data) * 8 / 5).cast("int"))).otherwise("")
 
-    def spelled(bits: Column) -> Column:
-        groups = F.sequence(F.lit(0), F.ceil(F.length(bits) / 5).cast("int") - 1)
-        letter = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.rpad(F.substring(bits, i * 5 + 1, F.lit(5)), 5, "0"), 2, 10).cast("int") + 1, F.lit(1))
-        return F.array_join(F.transform(groups, letter), "")
 
-    return F.when(F.length(data) > 0, let(bits, spelled)).otherwise("")
+def _eight(code: Column) -> Column:
+    """Eight letters of up to ten hexadecimal digits: five bits are a digit to base 32, for which other letters stand."""
+    return F.translate(F.lpad(F.conv(F.rpad(code, 10, "0"), 16, 32), 8, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def base32_head(digest: Column, letters: int) -> Column:
+    """The first letters of the base 32 of a digest in hexadecimal digits, of which there are enough."""
+    return F.left(F.concat(*(_eight(F.substring(digest, i * 10 + 1, 10)) for i in range(-(-letters // 8)))), F.lit(letters))
 
 
 def export_id(prefix: str, document_id: Column, created: Column, key: bytes) -> Column:
     """prefix-short-token-check: base 32 of digests, and four letters of an HMAC over what stands before."""
-    body = F.concat(F.lit(prefix + "-"), F.left(base32(F.unhex(F.sha2(document_id.cast("string"), 256))), F.lit(6)), F.lit("-"), F.left(base32(F.unhex(F.sha2(F.concat_ws(":", document_id.cast("string"), created.cast("string")), 256))), F.lit(10)))
-    return let(body, lambda b: F.concat(b, F.lit("-"), F.left(base32(F.unhex(hmac_sha256(b, key))), F.lit(4))))
+    short, token = F.sha2(document_id.cast("string"), 256), F.sha2(F.concat_ws(":", document_id.cast("string"), created.cast("string")), 256)
+    body = F.concat(F.lit(prefix + "-"), base32_head(short, 6), F.lit("-"), base32_head(token, 10))
+    return let(body, lambda b: F.concat(b, F.lit("-"), base32_head(hmac_sha256(b, key), 4)))
 
 
 def export_id_status(value: Column, prefix: str, key: bytes) -> Column:
@@ -121,7 +127,7 @@ def export_id_status(value: Column, prefix: str, key: bytes) -> Column:
     parts = F.split(value, "-")
     body = F.array_join(F.slice(parts, 1, 3), "-")
     good = (F.size(parts) == 4) & value.rlike(r"^[A-Z0-9]+-[A-Z2-7]{6}-[A-Z2-7]{10}-[A-Z2-7]{4}$")
-    check = F.left(base32(F.unhex(hmac_sha256(body, key))), F.lit(4)) == F.try_element_at(parts, F.lit(4))
+    check = base32_head(hmac_sha256(body, key), 4) == F.try_element_at(parts, F.lit(4))
     return F.when(~good, "invalid").when(parts[0] != prefix, "foreign").when(check, "ours").otherwise("invalid")
 
 

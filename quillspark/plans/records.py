@@ -18,7 +18,7 @@ from quillspark.operators import listing as L
 from quillspark.operators import review as R
 from quillspark.operators import text as T
 from quillspark.operators import workflow as W
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import dealt, query, table
 from quillspark.sources import io
 
 # Documents, pages, redactions and readings; each as SQL that both engines read alike.
@@ -347,7 +347,7 @@ _PREFIX = "QS-" + base64.b32encode(hashlib.sha256(b"7").digest()).decode()[:6]
 @query("export_ids", f"SELECT c_custkey, c_custkey % 2 = 0 AS known, CASE c_custkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'foreign' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'found' ELSE 'not_in_library' END END AS result, {_PREFIX!r} AS head FROM customer")
 def export_ids(spark, sf_dir):
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").withColumn("ours", X.export_id("QS", F.lit("7"), k, b"key")).withColumn("other", X.export_id("XX", F.lit("7"), k, b"key"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey")).withColumn("ours", X.export_id("QS", F.lit("7"), k, b"key")).withColumn("other", X.export_id("XX", F.lit("7"), k, b"key"))
     value = F.when(k % 5 == 0, F.concat(F.left("ours", F.lit(22)), F.lit("0"))).when(k % 5 == 1, F.col("other")).otherwise(F.col("ours"))
     ids = rows.select("c_custkey", (k % 2 == 0).alias("known"), value.alias("export_id"), F.left("ours", F.lit(9)).alias("head"))
     exports = rows.where(k % 2 == 0).select(F.col("ours").alias("export_id"))

@@ -77,3 +77,32 @@ def test_matches_of_texts_that_hold_the_mark(spark):
     assert [[tuple(m) for m in x or []] for x in found] == [[(1, 2, "1"), (3, 5, "22")], [(1, 2, "1"), (4, 6, "22")], [], [], []]
     text = plan(rows.select(S.matches(F.col("t"), "[0-9]+")))
     assert "regexp_replace" in text  # a split at a pattern compiles it for each text
+
+
+def test_keys_of_hooks_are_padded_before_they_meet_events(spark):
+    import hashlib
+    import hmac
+
+    from quillspark.streaming import delivery
+
+    hooks = spark.createDataFrame([("u", True, [], "key one"), ("v", True, ["b"], "k" * 70), ("w", True, ["a", "a"], None)], "url string, active boolean, events array<string>, secret string")
+    events = spark.createDataFrame([(n, "ab"[n % 2]) for n in range(6)], "event_id long, event string")
+    found = delivery.payloads(events, hooks, {"id": F.col("event_id")})
+    upper = plan(found).split("Join")[0]
+    assert "sequence(0, 63" not in upper and "transform" not in upper
+    keys = {"u": b"key one", "v": b"k" * 70}
+    rows = found.collect()
+    assert len(rows) == 12
+    for r in rows:
+        assert r.signature == (hmac.new(keys[r.url], r.body.encode(), hashlib.sha256).hexdigest() if r.url in keys else None)
+
+
+def test_base_32_without_bit_strings(spark):
+    import base64
+
+    from quillspark.functions import scalars as X
+
+    data = [bytes(range(n, 2 * n)) for n in range(0, 34)]
+    rows = spark.createDataFrame([(d,) for d in data], "d binary").select(X.base32(F.col("d")).alias("b"), "d")
+    assert [r.b for r in rows.collect()] == [base64.b32encode(d).decode().rstrip("=") for d in data]
+    assert "split" not in plan(rows.select(X.export_id("QS", F.col("b"), F.lit(1), b"key").alias("x")))
