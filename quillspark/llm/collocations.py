@@ -268,7 +268,7 @@ class Automaton:
 def count(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (lang, phrase, f), frequent phrases (lang, phrase, f) and all words of each language (lang, n)."""
     spark = docs.sparkSession
-    dealt = materialise(shards(docs, s), "shards", scan=True)
+    dealt = materialise(shards(docs, s), "shards", scan=True, large=True)
     n = materialise(dealt.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n")), "words-of-languages")
     each = dealt.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     words = materialise(each.where(F.col("f") >= s.least), "frequent-words")

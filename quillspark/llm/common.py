@@ -55,11 +55,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, scan: bool = False, large: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors.
 
     A scan of whole texts keeps its tasks. What comes from joins and groups goes to one task for `TASK_BYTES` of what it
     reads, at least two for each core, where the shuffle left more. What is no longer needed goes with `release`.
+    Large rows, of megabytes, are row groups of their own: else a file's writer holds a hundred of them before it looks at
+    their size, and its reader all of them at once.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
@@ -67,7 +69,8 @@ def materialise(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
         df = df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, read // TASK_BYTES)))
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", "1") if large else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised = path
     return out

@@ -89,3 +89,20 @@ def test_large_products_are_exact(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
     assert co.collocations(docs.limit(0)).count() == 0 and co.collocations(docs).count() == 0
+
+
+def test_shards_are_row_groups_of_their_own(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(f"w{n} v{n} u{n}", lang) for n in range(9) for lang in ("en", "de", "fr")], "text string, lang string").coalesce(1)
+    kept, made = [], co.materialise
+    co.materialise = lambda df, name, **how: (kept.append(made(df, name, **how)), kept[-1])[1] if name == "shards" else made(df, name, **how)
+    release, co.release = co.release, lambda *frames: None
+    try:
+        co.count(docs)
+    finally:
+        co.materialise, co.release = made, release
+    files = [pq.ParquetFile(p).metadata for p in Path(kept[0]._materialised.removeprefix("file://")).glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 3 and all(f.num_rows == f.num_row_groups for f in files)
