@@ -44,6 +44,8 @@ SENSITIVE = (
     r"abuse|vulnerable|neglect|unsafe|self.harm|violence|concern)\b"
 )
 SEPARATORS = ["=", ":", "-"]
+#: A label where a word begins: a name may well end like one.
+LABEL_WORD = ANY_LABEL.replace("(?iuU)", r"(?iuU)(?<!\w)(?:", 1) + ")"
 
 
 def whole(x: Column) -> Column:
@@ -59,7 +61,7 @@ def wanted(kind: Column | str, else_: Column | None = None) -> Column:
 def named(line: Column) -> Column:
     """Whether a trimmed line looks like a name: up to four words with letters, no digit, no label."""
     words = F.filter(F.transform(F.split(line, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:"))), lambda w: w != "")
-    return (line != "") & ~line.rlike(r"(?U)\d") & ~line.rlike(ANY_LABEL) & ~line.rlike("(?i)" + V.GENERIC_LABEL_LINE) & F.size(words).between(1, 4) & F.forall(words, lambda w: w.rlike("[A-Za-z]")) & (F.length(line) <= 45)
+    return (line != "") & ~line.rlike(r"(?U)\d") & ~line.rlike(LABEL_WORD) & ~line.rlike("(?i)" + V.GENERIC_LABEL_LINE) & F.size(words).between(1, 4) & F.forall(words, lambda w: w.rlike("[A-Za-z]")) & (F.length(line) <= 45)
 
 
 def rectangle(rule: str, x0: Column, y0: Column, x1: Column, y1: Column, across: int, along: int) -> Column:

@@ -106,3 +106,10 @@ def test_base_32_without_bit_strings(spark):
     rows = spark.createDataFrame([(d,) for d in data], "d binary").select(X.base32(F.col("d")).alias("b"), "d")
     assert [r.b for r in rows.collect()] == [base64.b32encode(d).decode().rstrip("=") for d in data]
     assert "split" not in plan(rows.select(X.export_id("QS", F.col("b"), F.lit(1), b"key").alias("x")))
+
+
+def test_a_name_may_end_like_a_label(spark):
+    from quillspark.operators import safety
+
+    rows = spark.createDataFrame([("Shanre anin",), ("Re anin",), ("Name: Anna",), ("Dear all",), ("Anna Billow",)], "t string")
+    assert [r.n for r in rows.select(safety.named(F.col("t")).alias("n")).collect()] == [True, False, False, False, True]
