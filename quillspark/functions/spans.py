@@ -73,19 +73,32 @@ def typed(kind: str, found: Column, confidence: float, method: str) -> Column:
     return F.transform(found, lambda x: span(kind, x, confidence, method))
 
 
+def cut(text: Column, breaks: str) -> Column:
+    """The text cut behind each match of breaks, the matches included (array of string); null for null. A mark is put behind
+    each match and the text split there, as in `matches`."""
+    at_breaks = F.zip_with(F.split(text, breaks, -1), F.regexp_extract_all(text, F.lit(breaks), F.lit(0)), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
+    return F.when(F.contains(text, F.lit(MARK)), at_breaks).otherwise(F.split(F.regexp_replace(text, breaks, "$0" + MARK), MARK, -1))
+
+
 def pieces(text: Column, breaks: str) -> Column:
-    """The text cut behind each match of breaks: struct(start, end, value), the matches included."""
-    ends = F.concat(F.array(F.lit(0)), F.transform(matches(text, breaks), lambda m: m["end"]))
-    uptos = F.concat(F.slice(ends, 2, F.size(ends)), F.array(F.length(text)))
-    return F.zip_with(ends, uptos, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(text, a + 1, b - a).alias("value")))
+    """The text cut behind each match of breaks: struct(start, end, value), the matches included. Values come with the cut:
+    to take each out of the text by its place would read the text from its beginning for every piece."""
+
+    def placed(values: Column) -> Column:
+        ends = running(F.transform(values, F.length))
+        return F.zip_with(ends, values, lambda end, v: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
+
+    return let(F.coalesce(cut(text, breaks), F.array(F.lit(None).cast("string"))), placed)
 
 
 def trimmed(piece: Column) -> Column:
     """The piece without white space at its ends."""
-    left = F.length(piece["value"]) - F.length(F.regexp_replace(piece["value"], r"(?U)^\s+", ""))
-    value = F.regexp_replace(F.regexp_replace(piece["value"], r"(?U)^\s+", ""), r"(?U)\s+$", "")
-    start = piece["start"] + left
-    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    def of(left: Column) -> Column:
+        start = piece["start"] + F.length(piece["value"]) - F.length(left)
+        return let(F.regexp_replace(left, r"(?U)\s+$", ""), lambda value: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
+
+    return let(F.regexp_replace(piece["value"], r"(?U)^\s+", ""), of)
 
 
 def bare(value: Column) -> Column:
@@ -96,12 +109,22 @@ def bare(value: Column) -> Column:
 def lines(text: Column) -> Column:
     """Lines without their break, at line feeds: struct(start, end, value)."""
     whole = pieces(text, "\n")
-    return F.transform(whole, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(F.regexp_replace(p["value"], "[\r\n]+$", ""))).alias("end"), F.regexp_replace(p["value"], "[\r\n]+$", "").alias("value")))
+    line = lambda start, value: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+    return F.transform(whole, lambda p: let(F.regexp_replace(p["value"], "[\r\n]+$", ""), lambda value: line(p["start"], value)))
+
+
+#: Behind white space that follows . ! or ?, and at line feeds.
+SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n"
 
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences: cut behind white space that follows . ! or ?, and at line feeds; empty ones left out."""
-    return F.filter(F.transform(pieces(text, r"(?U)(?<=[.!?])\s+|\n"), trimmed), lambda s: F.length(s["value"]) > 0)
+    return F.filter(F.transform(pieces(text, SENTENCE_END), trimmed), lambda s: F.length(s["value"]) > 0)
+
+
+def sentence_count(text: Column) -> Column:
+    """How many `sentences` a text has, without their places."""
+    return F.size(F.filter(cut(text, SENTENCE_END), lambda x: x.rlike(r"(?U)\S")))
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -113,7 +113,7 @@ def identifier_spans(spark, sf_dir):
 )
 def sentence_counts(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(S.sentences(t)).cast("long").alias("n_sentences"), F.size(S.lines(t)).cast("long").alias("n_lines"))
+    return texts(spark, sf_dir, "doc_id", "text").select("doc_id", S.sentence_count(t).cast("long").alias("n_sentences"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"))
 
 
 # -- classification -------------------------------------------------------------------------------------------------

@@ -113,3 +113,14 @@ def test_a_name_may_end_like_a_label(spark):
 
     rows = spark.createDataFrame([("Shanre anin",), ("Re anin",), ("Name: Anna",), ("Dear all",), ("Anna Billow",)], "t string")
     assert [r.n for r in rows.select(safety.named(F.col("t")).alias("n")).collect()] == [True, False, False, False, True]
+
+
+def test_pieces_come_with_the_cut(spark):
+    from quillspark.functions import spans as S
+
+    texts = ["One. Two!\r\n\n  Three?  ", "a\x01b. c\n", "", "\n", "é. \U0001f600! x", "\x01", "no end"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.sentences(F.col("t")).alias("s"), S.lines(F.col("t")).alias("l"), S.sentence_count(F.col("t")).alias("n"))
+    for r in rows.collect():
+        assert [r.t[s.start : s.end] for s in r.s] == [s.value for s in r.s] == [x for x in (v.strip() for v in __import__("re").split(r"(?<=[.!?])\s+|\n", r.t)) if x] and r.n == len(r.s)
+        assert [r.t[x.start : x.end] for x in r.l] == [x.value for x in r.l] == [x.rstrip("\r") for x in r.t.split("\n")]
+    assert "substring" not in plan(rows)  # it reads a text from its beginning for every piece
