@@ -22,12 +22,27 @@ LABEL_GATES = {
     "nin": r"(?<!\w)n\.?i\.?[n\s:=-]|national", "nhs_number": r"(?<!\w)n(?:\.?h\.?|\s*[hm]\s*)s", "bank_details": "account|sort", "pcn": "pcn", "vehicle_reg": "vehicle|vrm|registration",
     "council_ref": r"ref(?:erence)?\s*[:=-]", "school": "school", "signature": "signature", "notes": "notes",
 }
+#: The same of any label, as words that `folded` text must hold, or a pattern with a word that it needs (none: a part of `n`).
+ANY_GATE_WORDS = "name|nombre|reported|contact|carer|parent|applicant|dob|d.ob|do.b|d.o.b|birth|born|address|direcci|phone|tel|mobile|email|national|account|sort|pcn|vehicle|vrm|registration|school|signature|notes".split("|")
+ANY_GATE_PATTERNS = {"ref": r"ref(?:erence)?\s*[:=-]", "n": r"n(?<!\wn)(?:\.?i\.?[n\s:=-]|(?:\.?h\.?|\s*[hm]\s*)s)"}
 
 
 def _ci(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def _any_of(patterns: list[str], before: str = r"(?<!\w)") -> str:
+    """A pattern that is found where one of patterns is; what many begin with is looked at once."""
+    apart = [p for p in patterns if not p.startswith(before)]
+    return "|".join([before + "(?:" + "|".join(p[len(before) :] for p in patterns if p.startswith(before)) + ")", *apart])
+
+
+def _may_hold_label(low: Column) -> Column:
+    """Whether any of `LABEL_GATES` is found. Words are looked for as bytes, which is far cheaper than one pattern of all."""
+    words = [F.contains(low, F.lit(w)) for w in ANY_GATE_WORDS]
+    return reduce(lambda a, b: a | b, [*words, *(F.contains(low, F.lit(w)) & low.rlike("(?U)" + p) for w, p in ANY_GATE_PATTERNS.items())])
+
+
 def folded(text: Column) -> Column:
     """text in small letters, the four letters that equal ASCII ones without regard to case among them."""
     return F.lower(F.when(text.rlike("[\u0130\u0131\u017f\u212a]"), F.translate(text, "\u0130\u0131\u017f\u212a", "iisk")).otherwise(text))
@@ -62,7 +77,8 @@ def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str
         kinds = F.array_compact(F.array(*(F.when(low.rlike("(?U)" + gates[kind]), spec(kind)) for kind in labels)))  # constant patterns are compiled once
         return S.let(F.transform(S.matches(text, any_label), lambda m: m["start"]), lambda starts: F.flatten(F.transform(kinds, lambda k: of(k, starts))))
 
-    return S.let(folded(text), lambda low: F.when(low.rlike("(?U)" + "|".join(gates.values())) & text.rlike(_ci("|".join(labels.values()))), found(low)).otherwise(S.none()))
+    may = _may_hold_label if labels is V.LABELS else lambda low: low.rlike("(?U)" + "|".join(gates.values()))
+    return S.let(folded(text), lambda low: F.when(may(low) & text.rlike(_ci(_any_of([*labels.values()]))), found(low)).otherwise(S.none()))
 
 
 def address_phrases(text: Column) -> Column:
@@ -86,7 +102,7 @@ def contact_header(text: Column) -> Column:
         words = F.size(F.split(F.regexp_replace(line(head[0]), r"(?U)\s+", " "), " "))
         named = words.between(2, 4) & ~line(head[0]).rlike(r"\d") & ~F.contains(line(head[0]), F.lit(":")) & ~line(head[0]).rlike(ANY_LABEL)
         name = F.when(named, S.typed("person_name", F.slice(head, 1, 1), 0.78, "contact_header")).otherwise(S.none())
-        place = lambda x: ~line(x).rlike(ANY_LABEL) & ~line(x).rlike(_ci(V.CONTACT_LINE)) & (line(x).rlike(_ci(V.ADDRESS_LINE)) | line(x).rlike(V.STRUCTURED["postcode"][0]))
+        place = lambda x: (line(x).rlike(_ci(V.ADDRESS_LINE)) | line(x).rlike(V.STRUCTURED["postcode"][0])) & ~line(x).rlike(_ci(V.CONTACT_LINE)) & ~line(x).rlike(ANY_LABEL)  # the dearest pattern last
         places = S.typed("address", F.filter(F.slice(head, F.lit(2), F.lit(8)), place), 0.80, "contact_header")
         return F.when((F.size(head) >= 2) & signal, F.concat(name, places)).otherwise(S.none())
 
@@ -94,7 +110,7 @@ def contact_header(text: Column) -> Column:
 
 
 def medical_content(text: Column) -> Column:
-    found = F.filter(F.when(text.rlike(_ci(V.MEDICAL_TERMS)) & text.rlike(_ci(V.PATIENT_REFERENCE)), S.sentences(text)).otherwise(S.none(S.FOUND)), lambda s: (F.length(s["value"]) >= 20) & s["value"].rlike(_ci(V.MEDICAL_TERMS)) & s["value"].rlike(_ci(V.PATIENT_REFERENCE)))
+    found = F.filter(F.when(text.rlike(_ci(V.PATIENT_REFERENCE)) & text.rlike(_ci(V.MEDICAL_TERMS)), S.sentences(text)).otherwise(S.none(S.FOUND)), lambda s: (F.length(s["value"]) >= 20) & s["value"].rlike(_ci(V.PATIENT_REFERENCE)) & s["value"].rlike(_ci(V.MEDICAL_TERMS)))
     return S.typed("medical_details", found, 0.88, "medical_content")
 
 

@@ -124,3 +124,14 @@ def test_pieces_come_with_the_cut(spark):
         assert [r.t[s.start : s.end] for s in r.s] == [s.value for s in r.s] == [x for x in (v.strip() for v in __import__("re").split(r"(?<=[.!?])\s+|\n", r.t)) if x] and r.n == len(r.s)
         assert [r.t[x.start : x.end] for x in r.l] == [x.value for x in r.l] == [x.rstrip("\r") for x in r.t.split("\n")]
     assert "substring" not in plan(rows)  # it reads a text from its beginning for every piece
+
+
+def test_gates_of_labels_say_the_same(spark):
+    from quillspark.functions import fixed_values as V
+    from quillspark.operators import detect as D
+
+    texts = ["n.i. 1", "ani x", "in i", "NI: 3", "n.h.s", "n m s", "unhs", "Ref : 3", "refer", "reference=", "d.o.b", "do.b", "D.OB", "Direcci\u00f3n", "\u0130n\u0131: ", "Phone 1", "microphone 1", "PCN 1", "xPCN 1", "", "tale", "School 3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", D.folded(F.col("t")))
+    one = rows.select("t", F.col("low").rlike("(?U)" + "|".join(D.LABEL_GATES.values())).alias("a"), D._may_hold_label(F.col("low")).alias("b"), F.col("t").rlike(D._ci("|".join(V.LABELS.values()))).alias("c"), F.col("t").rlike(D._ci(D._any_of([*V.LABELS.values()]))).alias("d"))
+    found = one.collect()
+    assert all(r.a == r.b and r.c == r.d for r in found) and {r.a for r in found} == {r.c for r in found} == {True, False}
