@@ -18,9 +18,13 @@ LINE_METHODS = ["field_line", "signed_name_line"]
 
 
 def layout(pages: DataFrame, pitch: int = 10, height: int = 20, wrap: int = 80) -> DataFrame:
-    """Words of (page, text) at fixed pitch: page, word_no, text, x0, y0, x1, y1, confidence (a hash in [0.3, 1))."""
+    """Words of (page, text) at fixed pitch: page, word_no, text, x0, y0, x1, y1, confidence (a hash in [0.3, 1)).
+
+    Texts are dealt by page before they become words, which take several times their room; no word is shuffled. The number of
+    parts is given, as Spark would else make few of them for what the texts, not the words, take."""
     tokens = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    words = pages.select("page", F.posexplode(tokens).alias("word_no", "text"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = pages.select("page", "text").repartition(parts, "page").select("page", F.posexplode(tokens).alias("word_no", "text"))
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     words = words.withColumn("at", before)
     row, column = F.floor(F.col("at") / wrap), F.col("at") % wrap

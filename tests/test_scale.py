@@ -135,3 +135,11 @@ def test_gates_of_labels_say_the_same(spark):
     one = rows.select("t", F.col("low").rlike("(?U)" + "|".join(D.LABEL_GATES.values())).alias("a"), D._may_hold_label(F.col("low")).alias("b"), F.col("t").rlike(D._ci("|".join(V.LABELS.values()))).alias("c"), F.col("t").rlike(D._ci(D._any_of([*V.LABELS.values()]))).alias("d"))
     found = one.collect()
     assert all(r.a == r.b and r.c == r.d for r in found) and {r.a for r in found} == {r.c for r in found} == {True, False}
+
+
+def test_texts_not_words_are_shuffled(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "c"), (None, "d  e")], "page long, text string")
+    words = G.word_spans(G.layout(rows), "page")
+    assert sorted(((r.page or 0), r.word_no, r.text, r.start, r.x0) for r in words.collect()) == [(0, 0, "d", 0, 0.0), (0, 1, "e", 2, 20.0), (1, 0, "a", 0, 0.0), (1, 1, "b", 2, 20.0), (3, 0, "c", 0, 0.0)]
+    text = words._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("Exchange ") == 1 and text.index("Generate posexplode") < text.index("Exchange ")
