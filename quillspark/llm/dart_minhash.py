@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,8 +222,23 @@ def sketch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, digest binary, node binary, bands array<long>")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """texts (node, text) with each text compressed, as texts are shuffled several times before they are compared."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in batch.column("text").to_pylist()], pa.binary())], names=["node", "text"])
+
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, text binary")
+
+
+def unpacked(text: bytes) -> str:
+    return zstandard.decompress(text).decode("utf-8", "surrogatepass")
+
+
 def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """pairs (a, b) with distance = 1 - J of their texts; texts has node and text."""
+    """pairs (a, b) with distance = 1 - J of their texts; texts is `packed`."""
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -232,8 +248,8 @@ def distances(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                 part, found = batch.slice(at, 64), []
                 for x, b, y in zip(*(part.column(c).to_pylist() for c in ("text_a", "b", "text_b"))):
                     if last[0] != b:
-                        last = b, shingler.elements(shingler.word_hashes(y or ""))
-                    found.append(1 - similarity(shingler.elements(shingler.word_hashes(x or "")), last[1]))
+                        last = b, shingler.elements(shingler.word_hashes(unpacked(y)))
+                    found.append(1 - similarity(shingler.elements(shingler.word_hashes(unpacked(x))), last[1]))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "distance"])
 
     return sides.mapInArrow(lean(run), "a long, b long, distance double")
@@ -276,15 +292,15 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     nodes = found.groupBy("node").agg(least, F.first("bands").alias("bands")).select(F.col("node").alias("name"), "r.*", "bands")
     nodes = nodes.repartitionByRange("none", "id", "name").sortWithinPartitions("none", "id", "name").withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
-    banded = nodes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "shared")
+    banded = nodes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket")).repartition("bucket")  # one shuffle for what follows
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     buckets = materialise(banded.join(shared, "bucket"), "buckets")
     involved = buckets.select("node").distinct()
     first = materialise(nodes.join(involved, "node").select("node", "none", "id", "digest"), "first")
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text").join(first.where("node >= 0"), ["id", "none", "digest"])  # all; Spark makes filters of sides with a condition
     with runtime_filters(docs.sparkSession):
-        texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    release(shared, first)
+        texts = materialise(packed(texts).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    release(first)
     limit = 1 - settings.similarity + 1e-9
 
     pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -371,7 +387,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
         shingler, total = Shingler(settings.words), np.zeros(slots, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                total[(shingler.elements(shingler.word_hashes(text))[0] % U(slots)).astype(int)] += 1
+                total[(shingler.elements(shingler.word_hashes(unpacked(text)))[0] % U(slots)).astype(int)] += 1
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["slot", "n"])
 
@@ -392,7 +408,7 @@ def _exact_pairs(rest: DataFrame, texts: DataFrame, settings: Settings, slots: i
         for batch in batches:
             out, held = [], 0
             for node, label, text in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "text"))):
-                keys, weights = shingler.elements(shingler.word_hashes(text))
+                keys, weights = shingler.elements(shingler.word_hashes(unpacked(text)))
                 order = np.lexsort((keys, often[(keys % U(slots)).astype(int)]))
                 at = np.concatenate(([0.0], np.cumsum(weights[order])))
                 n = max(1, int(np.searchsorted(at[:-1], (1 - share) * at[-1] + 1e-6, "right")))

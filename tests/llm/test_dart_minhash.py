@@ -138,3 +138,23 @@ def test_many_at_once_equal_one_by_one():
         assert (keys == want[0]).all() and (weights == want[1]).all()
     for found, s in zip(dm.signatures(sets, 64), sets):
         assert found is None and not len(s[0]) or (found == dm.signature(*s, 64)).all()
+
+
+def test_bands_are_shuffled_once_and_texts_packed(spark, monkeypatch):
+    from quillspark.llm import dart_minhash as M
+
+    plans, plain = {}, M.materialise
+
+    def watched(df, name, **more):
+        plans.setdefault(name, df)
+        return plain(df, name, **more)
+
+    monkeypatch.setattr(M, "materialise", watched)
+    words = [f"w{n}" for n in range(60)]
+    rows = spark.createDataFrame([(n, " ".join(words) + f" end{n % 3}") for n in range(6)] + [(9, "other words"), (10, None)], "doc_id long, text string")
+    assert M.linked(M.keyed(rows)).select("label").distinct().count() == 3
+    text = plans["buckets"]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression [bucket") == 2 and "shared" not in plans  # both sides of the join alike, so that one exchange serves
+    assert plans["texts"].schema["text"].dataType.simpleString() == "binary"
+    texts = spark.createDataFrame([(1, "aé\U0001f600"), (2, "")], "node long, text string")
+    assert {r.node: M.unpacked(bytes(r.text)) for r in M.packed(texts).collect()} == {1: "aé\U0001f600", 2: ""}
