@@ -125,12 +125,14 @@ def scan_into(pages: DataFrame, keys: list[str], folder: str, make: Callable[[],
 def compare_into(manifest: DataFrame, keys: list[str], folder: str, engines: dict[str, Callable[[], Engine]], parts: int = 64) -> DataFrame:
     """Every row of manifest (keys, truth, content) read by every engine; what earlier runs finished is left out.
 
-    Rows are dealt so that a task starts one engine after the other, seldom more than a few. Returns backend, keys, truth,
+    Rows are dealt so that a task starts one engine after the other, seldom more than a few, over all shuffle partitions: small
+    pages can take long, so their bytes must not join partitions. Returns backend, keys, truth,
     prediction, confidence, words, cer, wer, error and seconds of all pairs in the folder.
     """
     names = F.explode(F.array(*map(F.lit, engines)))
     pairs = _missing(manifest.select(names.alias("backend"), *keys, "truth", "content"), ["backend", *keys], folder)
-    dealt = pairs.repartition("backend", F.pmod(F.xxhash64(*keys), F.lit(parts))).sortWithinPartitions("backend")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(tasks, "backend", F.pmod(F.xxhash64(*keys), F.lit(parts))).sortWithinPartitions("backend")
     found = _recognise(dealt, engines, "backend")
     text = F.when(F.col("error").isNull(), flat_text(F.col("words")))
     read = found.select("backend", *keys, "truth", text.alias("prediction"), F.when(text.isNotNull(), mean_confidence(F.col("words"))).alias("confidence"), "words", "error", "seconds")

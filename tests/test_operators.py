@@ -1,6 +1,7 @@
+import base64
 import hashlib
 import hmac
-import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,16 @@ def test_streams_equal_batch(spark, tmp_path):
 def test_scores(spark):
     judged = spark.createDataFrame([(True, ["a", "b"], ["b", "c"], [], 1.0, 0.5)], "category_correct_guess boolean, pii_should_be_redacted array<string>, pii_actually_redacted array<string>, false_positives array<string>, redaction_completeness double, redaction_accuracy double")
     assert E.document_score(judged).first()["score"] == pytest.approx(0.3 * 0.5 + 0.3 * 0.5 + 0.2 + 0.1 + 0.05)
+
+
+def test_distance_equals_the_table_of_prefixes():
+    r = random.Random(4)
+    for n in range(400):
+        a = r.choices("abc", k=r.randint(0, 90))
+        b = r.choices("abcd", k=r.randint(0, 90)) if n % 2 else ["x" if c == "b" else c for c in a]
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert X.distance(a, b) == row[-1] == X.distance("".join(a), "".join(b))

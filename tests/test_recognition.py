@@ -122,3 +122,14 @@ def test_deliveries_survive_restarts(spark, tmp_path):
     state = {(r["url"], json.loads(r["body"])["id"]): (r["status"], r["attempts"]) for r in delivery.log(spark, str(tmp_path / "log")).collect()}
     assert state["http://b", 1] == ("sent", 2) and set(state.values()) == {("sent", 1), ("sent", 2)} and len(state) == 6
     assert len({open(f).read() for f in box.iterdir()}) == len([*box.iterdir()])  # no key twice
+
+
+def test_small_pages_are_rated_in_all_tasks(spark, tmp_path):
+    rows = [(i, f"wörd{i} good end" * 3, f"ward{i} go od end" * 3 if i % 3 else f"wörd{i} good end" * 3) for i in range(40)]
+    manifest = spark.createDataFrame(rows, "page long, truth string, content string").withColumn("content", F.encode("content", "utf-8"))
+    log = tmp_path / "log"
+    log.mkdir()
+    got = ocr.compare_into(manifest, ["page"], str(tmp_path / "out"), {"a": engine(str(log))})
+    native = got.where(F.abs(F.col("cer") - F.levenshtein("truth", "prediction") / F.length("truth")) > 1e-12)
+    assert got.count() == 40 and native.count() == 0 and got.where("cer > 0").count() > 20
+    assert len([*(tmp_path / "out").glob("part-*")]) > 1  # their bytes would fit one partition
