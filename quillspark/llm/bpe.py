@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ from .common import lean, table
 #: No pre-token of the byte-level pattern crosses the place before a space between two characters that are not
 #: white space: what comes before ends there, and the space opens the next.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: what the library's byte-level pre-tokenizer cuts out.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+#: White space for Python only, not for the tokenizer.
+ODD = re.compile("[\x1c-\x1f]")
 LONG = 32
 
 
@@ -57,6 +62,21 @@ def _beginnings(words: list[int]) -> np.ndarray:
     return found
 
 
+class _Parts(dict):
+    """Ids of pre-tokens, each looked up once."""
+
+    def __init__(self, merge, char: dict[int, str]):
+        self.merge, self.char = merge, char
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            shown = part.replace(" ", self.char[32])
+        else:
+            shown = "".join(map(self.char.__getitem__, part.encode()))
+        self[part] = found = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return found
+
+
 class ByteBpe:
     """One tokenizer file; ids are the library's with add_special_tokens=False and no truncation or padding."""
 
@@ -83,6 +103,8 @@ class ByteBpe:
         self.decimal = [b"%d," % i for i in range(size)]
         self.special = added
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.cut = spec["pre_tokenizer"].get("use_regex", True) and spec["model"]["type"] == "BPE"
+        self.parts = _Parts(self.tokenizer.model.tokenize, {b: c for c, b in by_char.items()})
         self.known: dict[str, bytes] = {}  # ids of a word that follows a space
         self.odd: dict[str, bytes] = {}  # ids of other units
         self.known_first: dict[str, np.ndarray] = {}
@@ -102,6 +124,10 @@ class ByteBpe:
             self.known.clear()
             self.odd.clear()
             self.known_first.clear()
+        if self.cut:  # words of Latin letters are cut here: they share most of their parts
+            if len(self.parts) > self.settings.remembered:
+                self.parts.clear()
+            words = [w for w in words if not self._from_parts(w)]
         pieces = [words[i : i + 4096] for i in range(0, len(words), 4096)]
         encoded = self.tokenizer.encode_batch_fast([*(" " + " ".join(x) for x in pieces), *apart], add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
@@ -112,6 +138,19 @@ class ByteBpe:
             self.known.update(zip(piece, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         self.odd.update((u, array("I", e.ids).tobytes()) for u, e in zip(apart, encoded[len(pieces) :]))
 
+    def _from_parts(self, word: str) -> bool:
+        if not (word.isascii() or max(word) < "ɐ"):
+            return False
+        if word.isalpha():
+            self.known[word] = self.parts[" " + word]
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            self.known[word] = self.parts[" " + word[:-1]] + self.parts[word[-1]]
+        elif ODD.search(word):
+            return False
+        else:
+            self.known[word] = b"".join(map(self.parts.__getitem__, PART(" " + word)))
+        return True
+
     def _split(self, texts: list[str]) -> list[list[str]]:
         """texts at every space, their words remembered in one parallel batch."""
         split = [t.split(" ") for t in texts]

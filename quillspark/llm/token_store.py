@@ -1,31 +1,37 @@
 """Content-addressed store of token ids.
 
 A document's ids, with an end id behind them, are cut where a rolling hash of the last ids says so, so that equal
-passages give equal chunks wherever they stand. Format, all Parquet, below one folder:
+passages give equal chunks wherever they stand. Format, all Parquet compressed with Zstandard, below one folder:
 
-- ``chunks``: hash (SHA-256 of the ids as little-endian 32-bit integers), payload (one byte for the width, 2 or 4,
-  then the ids, little-endian of that width, compressed with Zstandard); every chunk once.
 - ``recipes``: rank (place in ascending doc_id order), doc_id, start (ids of all documents before), n_tokens, chunks
-  (hashes in order), root (SHA-256 of the joined hashes).
+  (hashes in order: SHA-256 of the ids as little-endian 32-bit integers), root (SHA-256 of the joined hashes), own
+  (payloads in order: one byte for the width, 2 or 4, then the ids, little-endian of that width; null for those in ``chunks``).
+- ``chunks``: hash, payload of every chunk that occurs more than once, and of few others; every chunk is stored once.
 - ``manifest``: level, index, hash: a Merkle tree of fan-out `Settings.fan_out` over the roots by rank; the single
   hash of the top level names the whole store.
+
+Texts are dealt by range before they are encoded, so that ids are never shuffled but those of chunks that occur again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bpe
 from .common import discard, lean, shared_folder, table
+from .ngram_trie import load, save
+
+SLICE = 23  # bits of a place within a file of the bitmap, as a power of two
 
 
 @dataclass(frozen=True)
@@ -63,24 +69,44 @@ def address(ids: np.ndarray) -> bytes:
 
 def pack(ids: np.ndarray) -> bytes:
     width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
-    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 3)
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpack(payload: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(payload[1:]), f"<u{payload[0]}").astype("<u4")
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Within this, the files of a shuffle go when the job that made them has written its table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, s: Settings = Settings()) -> None:
     """Encode docs (doc_id, text) and write the three tables below folder.
 
     A null text counts as empty and holds the end id alone; rows that share a doc_id follow each other, in the
-    order of their roots; null ids come first. An empty table gives empty tables.
+    order of their texts; null ids come first. An empty table gives empty tables.
     """
+    with _tidy(docs.sparkSession):
+        _write_chunks(_encode(docs, folder, tokenizer, s), folder)
+        discard(docs.sparkSession, f"{folder}/staged")
+        _write_manifest(docs.sparkSession, folder, s)
+
+
+def _encode(docs: DataFrame, folder: str, tokenizer: str | None, s: Settings) -> DataFrame:
+    """Written rows in ranges of doc_id: part, place and begin (rows and ids before in the part), and the document's chunks."""
     spark = docs.sparkSession
-    schema = "doc_id long, n_tokens long, hashes array<binary>, payloads array<binary>, root binary"
+    schema = "part int, place long, begin long, doc_id long, n_tokens long, hashes array<binary>, payloads array<binary>, root binary"
 
     def run(batches):
-        coder = bpe.load(tokenizer or bpe.default_path())
+        coder, part, place, begin = bpe.load(tokenizer or bpe.default_path()), TaskContext.get().partitionId(), 0, 0
         for batch in (batch.slice(at, 250) for batch in batches for at in range(0, batch.num_rows, 250)):
             counts, hashes, payloads, roots = [], [], [], []
             for ids in coder.encode_many([t or "" for t in batch.column("text").to_pylist()]):
@@ -91,45 +117,87 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, s: Setting
                 hashes.append([*map(address, parts)])
                 roots.append(hashlib.sha256(b"".join(hashes[-1])).digest())
                 counts.append(len(ids))
-            kind = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, kind), pa.array(payloads, kind), pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "hashes", "payloads", "root"])
-
-    staged = f"{folder}/staged"
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(staged)
-    coded = spark.read.schema(schema).parquet(staged)
-    each = coded.select(F.explode(F.arrays_zip("hashes", "payloads")).alias("c"))
-    chunks = each.groupBy(F.col("c.hashes").alias("hash")).agg(F.first("c.payloads").alias("payload"))
-    chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    _write_recipes(coded.select("doc_id", "n_tokens", F.col("hashes").alias("chunks"), "root"), folder)
-    discard(spark, staged)
-    _write_manifest(spark, folder, s)
+            n, kind = np.array(counts, np.int64), pa.list_(pa.binary())
+            columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(begin + np.cumsum(n) - n), batch.column("doc_id"), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, kind), pa.array(payloads, kind), pa.array(roots, pa.binary())], names=["part", "place", "begin", "doc_id", "n_tokens", "hashes", "payloads", "root"])
+            place, begin = place + len(n), begin + int(n.sum())
 
+    first = F.col("doc_id").asc_nulls_first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # encoding is slow, so bytes must not join partitions
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(tasks, first).sortWithinPartitions(first, "text")
+    dealt.mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(f"{folder}/staged")
+    return spark.read.schema(schema).parquet(f"{folder}/staged")
 
-def _write_recipes(rows: DataFrame, folder: str) -> None:
-    """Order by range, number within each part, then add what all parts before hold; only the parts' sums reach the driver."""
-    spark = rows.sparkSession
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
-    schema = T.StructType([*ordered.schema.fields, T.StructField("place", T.LongType()), T.StructField("begin", T.LongType())])
 
-    def number(batches):
-        place = begin = 0
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(place, place + len(n))), pa.array(begin + np.cumsum(n) - n)], names=schema.names)
-            place, begin = place + len(n), begin + int(n.sum())
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of hashes, 32 bytes each, in a bitmap of 2^bits bits."""
+    return (hashes.reshape(-1, 32)[:, :8].copy().view("<u8").reshape(-1) >> np.uint64(64 - bits)).astype(np.int64)
 
-    path = f"{folder}/ordered"
-    files = 2 * spark.sparkContext.defaultParallelism
-    ordered.mapInArrow(lean(number), schema).coalesce(files).write.parquet(path)
-    numbered = spark.read.schema(schema).parquet(path)
+
+def _mark(coded: DataFrame, folder: str) -> int:
+    """Mark the hashes that occur more than once in a bitmap, which is written in slices; how many bits it has, as a power of two."""
+    each = coded.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    each.write.option("compression", "zstd").parquet(f"{folder}/repeated")
+    repeated = coded.sparkSession.read.schema("hash binary").parquet(f"{folder}/repeated")
+    bits = max(16, (32 * repeated.count()).bit_length())  # at most one of 32 is marked
+    least = min(bits, SLICE)
+
+    def slots(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(np.frombuffer(b"".join(batch.column("hash").to_pylist()), np.uint8), bits))], names=["slot"])
+
+    def build(group: pa.Table) -> pa.Table:
+        slot = group.column("slot").to_numpy()
+        marks = np.zeros(1 << least, np.uint8)
+        marks[slot & ((1 << least) - 1)] = 1
+        save(f"{folder}/marks", str(slot[0] >> least), [np.packbits(marks, bitorder="little")])
+        return pa.table([pa.array([int(slot[0] >> least)])], names=["slice"])
+
+    made = repeated.mapInArrow(lean(slots), "slot long").groupBy(F.shiftright("slot", least).alias("slice")).applyInArrow(build, "slice long")
+    made.write.parquet(f"{folder}/slices")  # a row for each slice
+    discard(coded.sparkSession, f"{folder}/repeated")
+    return bits
+
+
+def _write_chunks(coded: DataFrame, folder: str) -> None:
+    """The chunks whose hash is marked, each once, and the recipes with all others; only the parts' sums reach the driver."""
+    spark, bits = coded.sparkSession, _mark(coded, folder)
+    least = min(bits, SLICE)
+    written = {r["slice"] for r in spark.read.schema("slice long").parquet(f"{folder}/slices").collect()}
     before, rank, start = [], 0, 0
-    for r in numbered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids")).orderBy("part").collect():  # a row for each part
+    for r in coded.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids")).orderBy("part").collect():  # a row for each part
         before.append((r["part"], rank, start))
         rank, start = rank + r["rows"], start + r["ids"]
     offsets = spark.createDataFrame(before, "part int, rank0 long, start0 long")
-    recipes = numbered.join(F.broadcast(offsets), "part").select((F.col("rank0") + F.col("place")).alias("rank"), "doc_id", (F.col("start0") + F.col("begin")).alias("start"), "n_tokens", "chunks", "root")
-    recipes.coalesce(files).write.parquet(f"{folder}/recipes")
-    discard(spark, path)
+
+    def marked(hashes: pa.ListArray) -> np.ndarray:
+        slot = _slots(np.frombuffer(b"".join(hashes.flatten().to_pylist()), np.uint8), bits)
+        found = np.zeros(len(slot), bool)
+        for i in np.unique(slot >> least).tolist():
+            if i in written:
+                mine = np.flatnonzero(slot >> least == i)
+                at = slot[mine] & ((1 << least) - 1)
+                found[mine] = load(f"{folder}/marks", str(i))[0][at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return found
+
+    def common(batches):
+        for batch in batches:
+            use = pa.array(marked(batch.column("hashes")))
+            yield pa.RecordBatch.from_arrays([batch.column(c).flatten().filter(use) for c in ("hashes", "payloads")], names=["hash", "payload"])
+
+    def apart(batches):
+        for batch in batches:
+            own, use = batch.column("own"), pa.array(marked(batch.column("chunks")))
+            sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(own).to_numpy()))).astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(sizes), pc.if_else(use, pa.scalar(None, pa.binary()), own.flatten()))
+            yield pa.RecordBatch.from_arrays([left if c == "own" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    chunks = coded.select("hashes", "payloads").mapInArrow(lean(common), "hash binary, payload binary").groupBy("hash").agg(F.first("payload").alias("payload"))
+    chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    ranked = coded.join(F.broadcast(offsets), "part").select((F.col("rank0") + F.col("place")).alias("rank"), "doc_id", (F.col("start0") + F.col("begin")).alias("start"), "n_tokens", F.col("hashes").alias("chunks"), "root", F.col("payloads").alias("own"))
+    ranked.mapInArrow(lean(apart), ranked.schema).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    discard(spark, f"{folder}/marks")
+    discard(spark, f"{folder}/slices")
 
 
 def _write_manifest(spark: SparkSession, folder: str, s: Settings) -> None:
@@ -151,26 +219,36 @@ def read(spark: SparkSession, folder: str, s: Settings = Settings()) -> DataFram
     """rank, doc_id, start, n_tokens, ids (little-endian 32-bit integers, binary) from the files of folder alone.
 
     First the recipes are verified against the manifest; then, on the way, every chunk's hash and every document's root
-    and length. A difference fails the job. A document's chunks pass through one task in order and are never collected
-    as a group of documents.
+    and length. A difference fails the job. A document that holds all its chunks is read as it stands; the chunks of others
+    pass through one task in order and are never collected as a group of documents.
     """
     if not verify(spark, folder, s):
         raise ValueError("the recipes of the store do not follow from its manifest")
     recipes = spark.read.parquet(f"{folder}/recipes")
     chunks = spark.read.parquet(f"{folder}/chunks")
-    parts = recipes.select("rank", "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("at", "hash"))
-    rows = parts.join(chunks, "hash").repartition("rank").sortWithinPartitions("rank", "at")
+    lacks = F.exists("own", F.isnull)
+    parts = recipes.where(lacks).select("rank", "doc_id", "start", "n_tokens", "root", F.posexplode(F.arrays_zip("chunks", "own")).alias("at", "c"))
+    parts = parts.select("rank", "doc_id", "start", "n_tokens", "root", "at", F.col("c.chunks").alias("hash"), F.col("c.own").alias("payload"))
+    lent = parts.where("payload IS NULL").drop("payload").join(chunks, "hash", "left").select(parts.columns)
+    rows = parts.where("payload IS NOT NULL").union(lent).repartition("rank").sortWithinPartitions("rank", "at")
+
+    def joined(doc_id, n, root, hashes, payloads):
+        parts = [unpack(p) for p in payloads if p is not None]
+        ids = np.concatenate(parts) if parts else np.empty(0, "<u4")
+        if hashlib.sha256(b"".join(hashes)).digest() != root or len(ids) != n or [*map(address, parts)] != hashes:
+            raise ValueError(f"document {doc_id} of the store is damaged")
+        return ids.tobytes()
+
+    def alone(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "chunks", "own")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rank", "doc_id", "start", "n_tokens")), pa.array([joined(*r) for r in rows], pa.binary())], names=["rank", "doc_id", "start", "n_tokens", "ids"])
 
     def whole(batches):
         head, hashes, payloads = None, [], []
 
         def done():
-            root, n = head[4], head[3]
-            parts = [*map(unpack, payloads)]
-            ids = np.concatenate(parts)
-            if hashlib.sha256(b"".join(hashes)).digest() != root or len(ids) != n or [*map(address, parts)] != hashes:
-                raise ValueError(f"document {head[1]} of the store is damaged")
-            return [*head[:4], ids.tobytes()]
+            return [*head[:4], joined(head[1], head[3], head[4], hashes, payloads)]
 
         for batch in batches:
             out = []
@@ -190,7 +268,9 @@ def read(spark: SparkSession, folder: str, s: Settings = Settings()) -> DataFram
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["rank", "doc_id", "start", "n_tokens", "ids"])
 
-    return rows.select("rank", "doc_id", "start", "n_tokens", "root", "hash", "payload").mapInArrow(lean(whole), "rank long, doc_id long, start long, n_tokens long, ids binary")
+    schema = "rank long, doc_id long, start long, n_tokens long, ids binary"
+    held = recipes.where(~lacks).select("rank", "doc_id", "start", "n_tokens", "root", "chunks", "own").mapInArrow(lean(alone), schema)
+    return held.union(rows.select("rank", "doc_id", "start", "n_tokens", "root", "hash", "payload").mapInArrow(lean(whole), schema))
 
 
 def _hash(hashes) -> Column:

@@ -93,3 +93,14 @@ def test_a_shared_paragraph_is_stored_once(spark, tmp_path):
     ts.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/store")
     by = {r["doc_id"]: set(map(bytes, r["chunks"])) for r in spark.read.parquet(f"file://{tmp_path}/store/recipes").collect()}
     assert sum(len(by[2 * i] & by[2 * i + 1]) > 0 for i in range(20)) >= 18
+
+
+def test_only_chunks_that_occur_again_leave_their_document(spark, rows, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    ts.write(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    each = recipes.selectExpr("explode(arrays_zip(chunks, own)) c").selectExpr("c.chunks hash", "c.own IS NULL lent")
+    seen = {bytes(r["hash"]): (r["n"], r["lent"]) for r in each.groupBy("hash").agg({"*": "count", "lent": "max"}).toDF("hash", "n", "lent").collect()}
+    stored = {bytes(r["hash"]) for r in spark.read.parquet(f"{folder}/chunks").collect()}
+    assert {h for h, (n, _) in seen.items() if n > 1} <= stored == {h for h, (_, lent) in seen.items() if lent}
+    assert len(stored) < len(seen)
