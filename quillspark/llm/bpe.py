@@ -1,7 +1,8 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-Short texts split at spaces that no pre-token can cross into units, whose ids are remembered. Text longer than
-`Settings.leaf` characters is cut in halves down to leaves, all leaves are encoded side by side, and neighbours
+Short texts split at spaces, and before line feeds, that no pre-token can cross into units. Arrow splits many texts at
+once and tells the units apart; pre-tokens of distinct units of Latin letters, digits and signs are merged side by side,
+one merge of each at a time (`Merges`), other units go to the library and are remembered. Text longer than `Settings.leaf` characters is cut in halves down to leaves, all leaves are encoded side by side, and neighbours
 are joined bottom up: a window around the join is encoded again, and grows until on both sides it agrees with
 the halves where agreement proves the whole; then left ids, window ids and right ids are put together.
 
@@ -17,12 +18,14 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,7 +47,8 @@ LONG = 32
 class Settings:
     leaf: int = 8192  # characters
     window: int = 64  # bytes on either side of a join, to begin with
-    remembered: int = 150_000  # units
+    remembered: int = 150_000  # units that are not merged side by side
+    group: int = 1 << 22  # characters of texts and leaves whose units are told apart together
 
 
 @lru_cache(maxsize=2)
@@ -62,6 +66,118 @@ def _beginnings(words: list[int]) -> np.ndarray:
     return found
 
 
+#: What a byte is part of: a letter (Latin, up to two bytes), a digit, a sign, a line feed, or what only the library cuts.
+LETTER, DIGIT, SIGN, FEED, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER  # U+00C0 to U+027F
+KIND[[*b"0123456789"]] = DIGIT
+KIND[ord("'")] = OTHER  # may open a pre-token of its own kind
+KIND[ord("\n")] = FEED
+NEVER = np.int32(2**31 - 1)
+
+
+class Merges:
+    """The merges of a vocabulary for many pre-tokens side by side: in each round every pre-token makes the one merge that
+    the library would make next, the first of its pairs with the least rank."""
+
+    LONGEST = 64  # bytes of a pre-token
+
+    def __init__(self, vocab: dict[str, int], merges: list, by_char: dict[str, int]):
+        self.of_byte = np.zeros(256, np.int64)
+        for c, b in by_char.items():
+            self.of_byte[b] = vocab[c]
+        pairs = [m if isinstance(m, list | tuple) else m.split(" ") for m in merges]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int32)
+        todo, slot = np.arange(len(keys))[::-1], self._slot(keys)[::-1]  # of equal pairs the first stays
+        while len(todo):
+            free = (self.keys[slot] < 0) | (self.keys[slot] == keys[todo])
+            self.keys[slot[free]] = keys[todo[free]]
+            won = free & (self.keys[slot] == keys[todo])
+            self.ranks[slot[won]] = todo[won]
+            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, `NEVER` where there is no merge."""
+        keys = a << 32 | b
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.ranks[slot], NEVER)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.ranks[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return out
+
+    def __call__(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, given by their places in raw, one behind the other, and how many each has."""
+        sizes, found = np.ones(len(begin), np.int64), []
+        order = np.argsort(length.astype(np.uint8), kind="stable")
+        cut = np.searchsorted(length[order], [1, 2, 3, 5, 7, 9, 11, 13, 17, 25, self.LONGEST + 1])
+        for i, j in zip(cut, cut[1:]):
+            for k in range(i, j, 16384):  # as much as a core's cache holds
+                some = order[k : min(j, k + 16384)]
+                ids, sizes[some] = self._merged(raw, begin[some], length[some])
+                found.append(ids)
+        if not found:
+            return np.empty(0, "<u4"), sizes
+        flat = np.concatenate(found)
+        stops = np.cumsum(sizes[order])
+        at = np.empty(len(begin), np.int64)
+        at[order] = stops - sizes[order]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(at - (ends - sizes), sizes) + np.arange(len(flat))], sizes
+
+    def _merged(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pre-tokens of about one length: a row for each place, a column for each pre-token."""
+        rows, n = int(length.max()), len(begin)
+        place = np.arange(rows)[:, None]
+        alive = place < length
+        ids = self.of_byte[raw[np.minimum(begin + place, len(raw) - 1)]]
+        if rows > 1:
+            keys = np.full((rows, n), NEVER, np.int32)  # rank of the pair that begins here, then the place
+            ranks = np.full((rows - 1, n), NEVER, np.int32)
+            pair = alive[1:]
+            ranks[pair] = self.rank(ids[:-1][pair], ids[1:][pair])
+            keys[:-1] = np.where(ranks < NEVER, ranks * self.LONGEST + place[:-1], NEVER)
+            after = np.ascontiguousarray(np.broadcast_to(np.where(place + 1 < length, place + 1, rows), (rows, n))).astype(np.int64).reshape(-1)
+            before = np.ascontiguousarray(np.broadcast_to(place - 1, (rows, n))).astype(np.int64).reshape(-1)
+            flat, flat_keys, flat_alive = ids.reshape(-1), keys.reshape(-1), alive.reshape(-1)
+            while True:
+                least = keys.min(0)
+                of = np.flatnonzero(least < NEVER)
+                if not len(of):
+                    break
+                rank, at = np.divmod(least[of].astype(np.int64), self.LONGEST)
+                here = at * n + of
+                gone = after[here] * n + of
+                flat[here] = made = self.made[rank]
+                flat_alive[gone] = False
+                flat_keys[gone] = NEVER
+                after[here] = follow = after[gone]
+                some = np.flatnonzero(follow < rows)
+                flat_keys[here] = NEVER
+                following = follow[some] * n + of[some]
+                before[following] = at[some]
+                new = self.rank(made[some], flat[following])
+                flat_keys[here[some]] = np.where(new < NEVER, new * self.LONGEST + at[some].astype(np.int32), NEVER)
+                ahead = before[here]
+                some = np.flatnonzero(ahead >= 0)
+                preceding = ahead[some] * n + of[some]
+                new = self.rank(flat[preceding], made[some])
+                flat_keys[preceding] = np.where(new < NEVER, new * self.LONGEST + ahead[some].astype(np.int32), NEVER)
+        return ids.T[alive.T].astype("<u4"), alive.sum(0)
+
+
 class _Parts(dict):
     """Ids of pre-tokens, each looked up once."""
 
@@ -104,8 +220,11 @@ class ByteBpe:
         self.special = added
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.cut = spec["pre_tokenizer"].get("use_regex", True) and spec["model"]["type"] == "BPE"
+        self.merges = None
+        if self.cut and set(by_char) <= set(spec["model"]["vocab"]) and not any(spec["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+            self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"], by_char)
         self.parts = _Parts(self.tokenizer.model.tokenize, {b: c for c, b in by_char.items()})
-        self.known: dict[str, bytes] = {}  # ids of a word that follows a space
+        self.known: dict[str, bytes] = {}  # ids of a word that follows a space, or of a line feed and the word behind it
         self.odd: dict[str, bytes] = {}  # ids of other units
         self.known_first: dict[str, np.ndarray] = {}
 
@@ -128,79 +247,178 @@ class ByteBpe:
             if len(self.parts) > self.settings.remembered:
                 self.parts.clear()
             words = [w for w in words if not self._from_parts(w)]
+        broken = [w for w in words if w[0] == "\n"]
+        words = [w for w in words if w[0] != "\n"]
         pieces = [words[i : i + 4096] for i in range(0, len(words), 4096)]
-        encoded = self.tokenizer.encode_batch_fast([*(" " + " ".join(x) for x in pieces), *apart], add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast([*(" " + " ".join(x) for x in pieces), *broken, *apart], add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
             ids = np.array(e.ids, "<u4")
             ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in piece])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1)).tolist()]
             raw = ids.tobytes()
             self.known.update(zip(piece, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        self.odd.update((u, array("I", e.ids).tobytes()) for u, e in zip(apart, encoded[len(pieces) :]))
+        alone = [array("I", e.ids).tobytes() for e in encoded[len(pieces) :]]
+        self.known.update(zip(broken, alone))
+        self.odd.update(zip(apart, alone[len(broken) :]))
 
     def _from_parts(self, word: str) -> bool:
         if not (word.isascii() or max(word) < "ɐ"):
             return False
+        parts = self.parts
         if word.isalpha():
-            self.known[word] = self.parts[" " + word]
+            self.known[word] = parts[" " + word]
         elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            self.known[word] = self.parts[" " + word[:-1]] + self.parts[word[-1]]
+            self.known[word] = parts[" " + word[:-1]] + parts[word[-1]]
         elif ODD.search(word):
             return False
+        elif word[0] == "\n":
+            self.known[word] = parts["\n"] + (parts[word[1:]] if word[1:].isalpha() else b"".join(map(parts.__getitem__, PART(word[1:]))))
         else:
-            self.known[word] = b"".join(map(self.parts.__getitem__, PART(" " + word)))
+            self.known[word] = b"".join(map(parts.__getitem__, PART(" " + word)))
         return True
 
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        """texts at every space, their words remembered in one parallel batch."""
-        split = [t.split(" ") for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        heads = {x[0] for x in split}.difference(self.odd)
-        self._remember([w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()], [h for h in heads if h])
-        return split
+    def _units(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, Callable[[int], str]]]:
+        """Ids of each text, how many each of its units has, and a function that gives the unit at a place.
 
-    def _found(self, text: str, words: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids of each unit, and the units without the spaces between them."""
+        A line feed between other characters is a part of its own, so units end before it. A text whose spaces are not all
+        safe places has a unit that is empty or begins or ends with white space, and is cut by `words`.
+        """
         try:
-            if words[0][-1:].isspace() and len(words) > 1:
-                raise KeyError
-            return [self.odd[words[0]], *map(self.known.__getitem__, words[1:])], words
-        except KeyError:  # some space is no safe place, or what was known went to make room
-            words = self.words(text)
-            head, last = words[0], " " + words[-1] if len(words) > 1 else words[0]
-            for _ in range(2):
-                middle = set(words[1:-1]).difference(self.known)
-                apart = [u for u in {head, last} if u not in self.odd]
-                if middle or apart:
-                    self._remember(list(middle), apart)
-            found = [self.odd[head], *map(self.known.__getitem__, words[1:-1])]
-            return (found if len(words) == 1 else [*found, self.odd[last]]), words
-
-    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts without special tokens."""
-        return [np.frombuffer(b"".join(self._found(t, w)[0]), "<u4") for t, w in zip(texts, self._split(texts))]
-
-    def _node(self, text: str, words: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+            column = pa.array(texts, pa.large_string())
+        except UnicodeEncodeError:  # surrogates
+            return [self._one(t) for t in texts]
+        out = self._dealt(pc.split_pattern(pc.replace_substring(column, "\n", " \n") if self.cut else column, " "), False)
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, x in zip(rest, self._dealt(pa.array([self.words(texts[i]) for i in rest], pa.list_(pa.large_string())), True)):
+                out[i] = x
+        return out
+
+    def _dealt(self, split: pa.Array, safe_only: bool) -> list[tuple[np.ndarray, np.ndarray, Callable[[int], str]] | None]:
+        """The same of texts that are cut, None for those that are cut at other than safe places, which are told where not all are.
+
+        Then the last unit may end with white space, and stands apart like the first.
+        """
+        ends = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        code, begins = coded.indices.to_numpy(), ends[:-1]
+        unit, inside = code.astype(np.int64), np.ones(len(code), bool)
+        inside[begins] = False
+        heads = coded.dictionary.take(coded.indices.take(pa.array(begins))).to_pylist()
+        last = ends[1:][np.diff(ends) > 1] - 1 if safe_only else ends[:0]
+        inside[last] = False
+        lasts = [" " + w for w in coded.dictionary.take(coded.indices.take(pa.array(last))).to_pylist()]
+        if len(self.known) + len(self.odd) > self.settings.remembered:
+            self.known.clear()
+            self.odd.clear()
+            self.known_first.clear()
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[inside]] = True
+        merged, size, apart = self._merged(coded.dictionary, used)
+        words = coded.dictionary.take(pa.array(apart)).to_pylist()
+        fresh = [w for w in words if w and w not in self.known and not w[-1].isspace() and not (w[1] if w[0] == "\n" and self.cut else w[0]).isspace()]
+        self._remember(fresh, [*{h for h in [*heads, *lasts] if h}.difference(self.odd)])
+        found = [*map(self.known.get, words)]
+        safe = np.ones(len(used), bool)
+        safe[apart] = [f is not None for f in found]
+        first = [None if not safe_only and (not h or h[-1].isspace() and n > 1) else self.odd[h] for h, n in zip(heads, np.diff(ends).tolist())]
+        raw = [f or b"" for f in chain(found, first, map(self.odd.__getitem__, lasts))]
+        pool = np.concatenate((merged, np.frombuffer(b"".join(raw), "<u4")))
+        at = np.cumsum(size) - size
+        more = np.array([*map(len, raw)], np.int64) // 4
+        begun = len(merged) + np.cumsum(more) - more
+        at[apart], size[apart] = begun[: len(apart)], more[: len(apart)]
+        at, size = np.append(at, begun[len(apart) :]), np.append(size, more[len(apart) :])
+        unit[begins] = len(used) + np.arange(len(heads))
+        unit[last] = len(used) + len(heads) + np.arange(len(last))
+        sizes = size[unit]
+        stops = np.cumsum(sizes)
+        flat = pool[np.repeat(at[unit] - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        stops = np.concatenate(([0], stops))
+        good = np.logical_and.reduceat(safe[code] | ~inside, begins) if len(heads) else np.empty(0, bool)
+        out = []
+        for f, ok, a, b in zip(first, good.tolist(), ends.tolist(), ends[1:].tolist()):
+            if f is None or not ok:
+                out.append(None)
+                continue
+            name = lambda i, a=a: w if (w := coded.dictionary[code[a + i]].as_py())[0] == "\n" or not i else " " + w
+            out.append((flat[stops[a] : stops[b]], sizes[a:b], name))
+        return out
+
+    def _merged(self, words: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the used words whose pre-tokens are runs of bytes of one kind, how many each word has, and the places of the other words."""
+        sizes = np.zeros(len(words), np.int64)
+        if self.merges is None or not used.any():
+            return np.empty(0, "<u4"), sizes, np.flatnonzero(used)
+        offsets, raw = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+        offsets, raw = offsets - offsets[0], raw[offsets[0] : offsets[-1]]
+        kind = KIND[raw]
+        kind[:-1][(raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = OTHER  # no letters
+        length = np.diff(offsets)
+        full = np.flatnonzero(length)
+        lead = np.zeros(len(words), bool)
+        lead[full] = raw[offsets[full]] == 10
+        bad = kind >= FEED
+        bad[offsets[:-1][lead]] = False
+        use = used & (length > lead)
+        use[np.repeat(np.arange(len(words)), length)[bad]] = False
+        mine = np.flatnonzero(use)
+        # The words one behind the other, each after its space, but for those that begin with a line feed.
+        n, spaced = length[mine], ~lead[mine]
+        ends = np.cumsum(n + spaced)
+        begins = ends - n
+        text, kinds = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8), np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        to = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        of = np.repeat(offsets[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        text[to], kinds[to] = raw[of], kind[of]
+        kinds[begins[spaced] - 1] = kinds[begins[spaced]]
+        opens = np.ones(len(text), bool)
+        opens[1:] = kinds[1:] != kinds[:-1]
+        opens[ends - n - spaced] = True
+        run = np.flatnonzero(opens)
+        long = np.diff(run, append=len(text))
+        owner = np.searchsorted(ends, run, "right")
+        short = np.ones(len(mine), bool)
+        short[owner[long > self.merges.LONGEST]] = False
+        kept = short[owner]
+        ids, each = self.merges(text, run[kept], long[kept])
+        sizes[mine] = np.bincount(owner[kept], each, len(mine)).astype(np.int64)
+        use[mine[~short]] = False
+        return ids, sizes, np.flatnonzero(used & ~use)
+
+    def _one(self, text: str) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
+        """The same of a text that Arrow does not hold."""
+        words = self.words(text)
+        head, last = words[0], " " + words[-1] if len(words) > 1 else words[0]
+        for _ in range(2):  # what was known may have gone to make room
+            middle = set(words[1:-1]).difference(self.known)
+            apart = [u for u in {head, last} if u not in self.odd]
+            if middle or apart:
+                self._remember(list(middle), apart)
+        found = [self.odd[head], *map(self.known.__getitem__, words[1:-1])]
+        found = found if len(words) == 1 else [*found, self.odd[last]]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([*map(len, found)]) // 4, lambda i: " " + words[i] if i else words[0]
+
+    def _node(self, text: str, units: tuple[np.ndarray, np.ndarray, Callable[[int], str]]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """A leaf: its bytes, its ids, and marks of places where a pre-token begins: all of them in units of over
         `LONG` ids, only the unit's own in others."""
-        found, words = self._found(text, words)
-        sizes = np.array([*map(len, found)]) // 4
+        ids, sizes, name = units
         starts = np.cumsum(sizes) - sizes
-        marks = np.zeros(int(sizes.sum()), np.uint8)
+        marks = np.zeros(len(ids), np.uint8)
         marks[starts[sizes > 0]] = 1
-        for i in np.flatnonzero(sizes > LONG):
-            unit = " " + words[i] if i else words[0]
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            unit = name(i)
             if unit not in self.known_first:
                 self.known_first[unit] = _beginnings(self.tokenizer.encode(unit, add_special_tokens=False).word_ids)
             marks[starts[i] : starts[i] + sizes[i]] = self.known_first[unit]
-        return text.encode("utf-8", "surrogatepass"), np.frombuffer(b"".join(found), "<u4"), marks
+        return text.encode("utf-8", "surrogatepass"), ids, marks
 
     # -- tree concatenation ------------------------------------------------------------------------------------
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; special tokens' strings in them become their ids, as in the library."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        short = []
+        short, leaves, long = [], [], []  # leaves of all long texts are encoded at once
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.empty(0, "<u4")
@@ -208,26 +426,34 @@ class ByteBpe:
                 parts = [np.array([self.special[x]], "<u4") if j % 2 else self.encode(x) for j, x in enumerate(self.split_special.split(text)) if x]
                 out[i] = np.concatenate(parts)
             elif len(text) > self.settings.leaf:
-                out[i] = self._tree(text)
+                cut = self._leaves(text)
+                long.append((i, len(leaves), len(leaves) + len(cut)))
+                leaves += cut
             else:
                 short.append(i)
-        for i, ids in zip(short, self.encode_plain([texts[i] for i in short])):
+        parts = [texts[i] for i in short] + leaves
+        group = np.cumsum([*map(len, parts)]) // self.settings.group
+        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(parts)]
+        units = [u for a, b in zip(cut, cut[1:]) if b > a for u in self._units(parts[a:b])]
+        for i, (ids, _, _) in zip(short, units):
             out[i] = ids
+        nodes = [*map(self._node, leaves, units[len(short) :])]
+        for i, a, b in long:
+            tree = nodes[a:b]
+            while len(tree) > 1:
+                tree = [self._join(x, y) for x, y in zip(tree[::2], tree[1::2])]
+            out[i] = tree[0][1]
         return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
-    def _tree(self, text: str) -> np.ndarray:
+    def _leaves(self, text: str) -> list[str]:
         leaf, count = self.settings.leaf, 1
         while len(text) > count * leaf:
             count *= 2
         cuts = [len(text) * i // count for i in range(count + 1)]
-        leaves = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        nodes = [self._node(x, w) for x, w in zip(leaves, self._split(leaves))]
-        while len(nodes) > 1:
-            nodes = [self._join(a, b) for a, b in zip(nodes[::2], nodes[1::2])]
-        return nodes[0][1]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _join(self, left, right):
         """Each side: bytes, ids, beginnings of pre-tokens. Exact for the two texts together."""
@@ -327,6 +553,19 @@ def load(path: str, settings: Settings = Settings()) -> ByteBpe:
     return ByteBpe(path, settings)
 
 
+def gathered(batches, rows: int = 2000, size: int = 1 << 23):
+    """Batches put together to about so many rows or bytes: the more texts, the fewer of their units are new."""
+    held, n, nbytes = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, nbytes = n + batch.num_rows, nbytes + batch.nbytes
+        if n >= rows or nbytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, nbytes = [], 0, 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -369,7 +608,7 @@ def digests(docs: DataFrame, path: str | None = None, settings: Settings = Setti
 
     def run(batches):
         bpe = load(path or default_path(), settings)
-        for part in (batch.slice(at, 250) for batch in batches for at in range(0, batch.num_rows, 250)):
+        for part in gathered(batches):
             n, ids_hash, text_hash = [], [], []
             for ids in bpe.encode_many([t or "" for t in part.column("text").to_pylist()]):
                 n.append(len(ids))

@@ -19,6 +19,7 @@ import hashlib
 import zlib
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,35 @@ class Settings:
 
 def cuts(ids: np.ndarray, s: Settings = Settings()) -> list[int]:
     """Ends of the chunks. A cut depends on the ids since the last one and the `reach` ids before it only."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return cuts_of(ids, [len(ids)], s)[0]
+
+
+def cuts_of(flat: np.ndarray, sizes: list[int], s: Settings = Settings()) -> list[list[int]]:
+    """The same of many documents that stand one behind the other in flat; ends count from each document's begin."""
+    begins = np.cumsum([0, *sizes])[:-1]
+    moved = np.arange(len(flat)) + np.repeat(s.reach * np.arange(len(sizes)), sizes)  # so that none looks back into another
+    mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolling = np.zeros(len(ids), np.uint64)
-    for j in range(min(s.reach, len(ids))):
-        rolling[j:] += mixed[: len(ids) - j] << np.uint64(j)
-    found = (np.flatnonzero((rolling * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - s.mean.bit_length() + 1) == 0) + 1).tolist()
+    each = np.zeros(len(flat) + s.reach * len(sizes), np.uint64)
+    each[moved] = mixed
+    rolling, window = each.copy(), 1  # sum of each[t - j] << j for j below window
+    while 2 * window <= s.reach:
+        rolling[window:] += rolling[:-window] << np.uint64(window)
+        window *= 2
+    for j in range(window, s.reach):
+        rolling[j:] += each[: len(each) - j] << np.uint64(j)
+    at = np.flatnonzero((rolling[moved] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - s.mean.bit_length() + 1) == 0)
+    split = np.searchsorted(at, [*begins.tolist(), len(flat)])
+    return [_apart((at[a:b] + 1 - begin).tolist(), n, s) for a, b, begin, n in zip(split, split[1:], begins, sizes)]
+
+
+def _apart(found: list[int], size: int, s: Settings) -> list[int]:
     out, last = [], 0
-    for at in [*found, len(ids)]:
+    for at in [*found, size]:
         while at - last > s.most:
             last += s.most
             out.append(last)
-        if at - last >= s.least or at == len(ids) and at > last:
+        if at - last >= s.least or at == size and at > last:
             out.append(at)
             last = at
     return out
@@ -107,16 +125,19 @@ def _encode(docs: DataFrame, folder: str, tokenizer: str | None, s: Settings) ->
 
     def run(batches):
         coder, part, place, begin = bpe.load(tokenizer or bpe.default_path()), TaskContext.get().partitionId(), 0, 0
-        for batch in (batch.slice(at, 250) for batch in batches for at in range(0, batch.num_rows, 250)):
-            counts, hashes, payloads, roots = [], [], [], []
-            for ids in coder.encode_many([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.append(ids, np.uint32(s.end_id))
-                ends = cuts(ids, s)
-                parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
-                payloads.append([*map(pack, parts)])
-                hashes.append([*map(address, parts)])
+        for batch in bpe.gathered(batches):
+            hashes, payloads, roots, end, at = [], [], [], np.array([s.end_id], "<u4"), 0
+            coded = coder.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            counts = [len(ids) + 1 for ids in coded]
+            flat = np.concatenate([x for ids in coded for x in (ids, end)]).astype("<u4")
+            raw, short = flat.tobytes(), flat.astype("<u2").tobytes()
+            wide = np.flatnonzero(flat >> 16)
+            for n, ends in zip(counts, cuts_of(flat, counts, s)):
+                parts = [*zip([at, *(at + x for x in ends)], [at + x for x in ends])]
+                hashes.append([hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in parts])
+                payloads.append([pack(flat[a:b]) for a, b in parts] if len(wide) else [b"\2" + short[2 * a : 2 * b] for a, b in parts])
                 roots.append(hashlib.sha256(b"".join(hashes[-1])).digest())
-                counts.append(len(ids))
+                at += n
             n, kind = np.array(counts, np.int64), pa.list_(pa.binary())
             columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(begin + np.cumsum(n) - n), batch.column("doc_id"), pa.array(n)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, kind), pa.array(payloads, kind), pa.array(roots, pa.binary())], names=["part", "place", "begin", "doc_id", "n_tokens", "hashes", "payloads", "root"])
@@ -233,11 +254,16 @@ def read(spark: SparkSession, folder: str, s: Settings = Settings()) -> DataFram
     rows = parts.where("payload IS NOT NULL").union(lent).repartition("rank").sortWithinPartitions("rank", "at")
 
     def joined(doc_id, n, root, hashes, payloads):
-        parts = [unpack(p) for p in payloads if p is not None]
-        ids = np.concatenate(parts) if parts else np.empty(0, "<u4")
-        if hashlib.sha256(b"".join(hashes)).digest() != root or len(ids) != n or [*map(address, parts)] != hashes:
+        parts = [p for p in payloads if p is not None]
+        if all(p[0] == 2 for p in parts):
+            raw, ends = np.frombuffer(b"".join([p[1:] for p in parts]), "<u2").astype("<u4").tobytes(), [*accumulate(2 * (len(p) - 1) for p in parts)]
+        else:
+            wide = [unpack(p).tobytes() for p in parts]
+            raw, ends = b"".join(wide), [*accumulate(map(len, wide))]
+        found = [hashlib.sha256(raw[a:b]).digest() for a, b in zip([0, *ends], ends)]
+        if hashlib.sha256(b"".join(hashes)).digest() != root or len(raw) != 4 * n or found != hashes:
             raise ValueError(f"document {doc_id} of the store is damaged")
-        return ids.tobytes()
+        return raw
 
     def alone(batches):
         for batch in batches:

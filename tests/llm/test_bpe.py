@@ -68,3 +68,23 @@ def test_operators(spark, docs):
         if r["doc_id"] == 1:
             assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, *[hashlib.sha256(b"").hexdigest()] * 2)
     assert bpe.encode(docs.limit(0)).count() == 0 and bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_new_words_are_merged_side_by_side():
+    r = random.Random(8)
+    coder = bpe.ByteBpe(PATH)
+    words = ["".join(r.choices("aeinrst", k=r.randint(1, 12))) + r.choice(["", "", ".", ",", "é", "42", "!!!!", "%%%", "×", "'s", "\nTh"]) for _ in range(20000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)] + ["aaaaaaaaaaaaaaa " * 5 + "=" * 63 + " " + "=" * 200, "a \n b\n\nc\nd e\n"]
+    assert [x.tolist() for x in coder.encode_many(texts)] == [library(t) for t in texts]
+    coder = bpe.ByteBpe(PATH)
+    plain = [" ".join(w for w in words[i : i + 100] if "'" not in w and "×" not in w) for i in range(0, len(words), 100)]
+    assert [x.tolist() for x in coder.encode_many(plain)] == [library(t) for t in plain]
+    assert not coder.parts and not coder.known  # no word went one by one
+
+
+def test_gathered_batches_keep_every_row():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(i, i + 7))}) for i in range(0, 70, 7)]
+    assert [b.num_rows for b in bpe.gathered(batches, rows=20)] == [21, 21, 21, 7]
+    assert [x for b in bpe.gathered(batches, rows=20) for x in b.column("x").to_pylist()] == list(range(70))
