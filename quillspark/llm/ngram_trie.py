@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
@@ -189,89 +190,58 @@ def load(folder: str, name: str) -> list[np.ndarray]:
 # -- tokens ---------------------------------------------------------------------------------------------------------
 
 
-class Words:
-    """Hashes of a text's words, and the end; hashes are remembered up to a number of words."""
-
-    def __init__(self, remembered: int = 300_000):
-        self.known, self.remembered = {}, remembered
-
-    def __call__(self, text: str | None) -> list[int]:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known, words = self.known, text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        try:
-            out = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            out = [known[w] for w in words]
-        out.append(END)
-        return out
-
-
 class Lexicon:
-    """Places of a text's words, and the end, in a task's own list of words, with their ids and counts in a model.
+    """The distinct words of a block, and the end, by their hashes, each with its id and count in a model once it was looked up."""
 
-    Each new word is looked up once; the list starts anew between blocks when it is long.
-    """
-
-    def __init__(self, model: Model, remembered: int = 300_000):
-        self.model, self.remembered = model, remembered
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {b" ": 0}
-        self.new = [END]
-        self.words, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def room(self) -> None:
-        if len(self.known) > self.remembered:
-            self.clear()
-
-    def __call__(self, text: str | None) -> list[int]:
-        known, words = self.known, text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        try:
-            out = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-                    self.new.append(xxhash.xxh3_64_intdigest(w))
-            out = [known[w] for w in words]
-        out.append(0)
-        return out
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.words = self.seen = None
 
-    def look_up(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, model: Model, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of words by their places."""
-        if self.new:
-            distinct, back = np.unique(np.array(self.new, U), return_inverse=True)
-            ids, counts = self.model.look_up(distinct)
-            self.words, self.seen, self.new = np.append(self.words, ids[back]), np.append(self.seen, counts[back]), []
+        if self.words is None:
+            distinct, back = np.unique(self.hashes, return_inverse=True)
+            ids, counts = model.look_up(distinct)
+            self.words, self.seen = ids[back], counts[back]
         return self.words[flat], self.seen[flat]
 
 
-def blocks(batches, size: int = BLOCK, lexicon: Lexicon | None = None):
-    """(ids of the documents, words, where each document ends) of about `size` tokens each; documents stay whole.
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one behind the other, in lower case (A to Z only) and cut at ASCII white space, and how many each has."""
+    whole = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())  # Arrow's ascii_lower goes wrong on slices
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    words, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    some = pc.not_equal(pc.binary_length(words), 0)
+    kept = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return words.filter(some), np.diff(kept[ends])
 
-    Words are hashes, or with a lexicon places in it.
-    """
-    words, kind = (Words(), U) if lexicon is None else (lexicon, np.int64)
-    names, flat, ends, n = [], [], [], 0
+
+def blocks(batches, size: int = BLOCK):
+    """(ids of the documents, lexicon, words as places in it, where each document ends) of about `size` tokens each; documents stay whole."""
+
+    def done():
+        coded = pa.chunked_array(held, pa.large_string()).combine_chunks().dictionary_encode()
+        ends = np.cumsum(np.concatenate(sizes) + 1)
+        flat, word = np.zeros(int(ends[-1]), np.int64), np.ones(int(ends[-1]), bool)
+        word[ends - 1] = False
+        flat[word] = coded.indices.to_numpy()
+        flat[word] += 1
+        hashes = [END, *map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist())]
+        return names, Lexicon(np.array(hashes, U)), flat, ends
+
+    names, held, sizes, n = [], [], [], 0
     for batch in batches:
-        for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            one = np.array(words(text), kind)
-            n += len(one)
-            names.append(name)
-            flat.append(one)
-            ends.append(n)
-            if n >= size:
-                yield names, np.concatenate(flat), np.array(ends)
-                names, flat, ends, n = [], [], [], 0
-                if lexicon is not None:
-                    lexicon.room()
+        if batch.num_rows:
+            words, each = tokens(batch.column("text"))
+            names += batch.column("doc_id").to_pylist()
+            held.append(words)
+            sizes.append(each)
+            n += len(words) + len(each)
+        if n >= size:
+            yield done()
+            names, held, sizes, n = [], [], [], 0
     if names:
-        yield names, np.concatenate(flat), np.array(ends)
+        yield done()
 
 
 def sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +364,7 @@ class Model:
 
     def positions(self, lexicon: Lexicon, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word id, count, previous id and the one before for each token; the start stands before a document, twice."""
-        w, c = lexicon.look_up(flat)
+        w, c = lexicon.look_up(self, flat)
         v, u = np.empty_like(w), np.empty_like(w)
         v[1:], u[2:] = w[:-1], w[:-2]
         begins = np.concatenate(([0], ends[:-1]))
@@ -452,8 +422,8 @@ def train(docs: DataFrame, folder: str, shards: int | None = None, min_count: in
     model = Model(folder, shards)
 
     def count_words(batches):
-        for _, flat, _ in blocks(batches):
-            keys, counts = sums(flat)
+        for _, lexicon, flat, _ in blocks(batches):
+            keys, counts = sums(lexicon.hashes, np.bincount(flat, minlength=len(lexicon.hashes)))
             yield _part_rows([(s, keys[x], counts[x]) for s, x in model.by_shard(keys, hash_edges(shards))])
 
     def build_words(group: pa.Table) -> pa.Table:
@@ -470,8 +440,7 @@ def train(docs: DataFrame, folder: str, shards: int | None = None, min_count: in
     words = replace(model, docs=int(end_counts[0]))
 
     def count_pairs(batches):
-        lexicon = Lexicon(words)
-        for _, flat, ends in blocks(batches, BLOCK, lexicon):
+        for _, lexicon, flat, ends in blocks(batches):
             w, c, v, _ = words.positions(lexicon, flat, ends)
             before = np.empty_like(c)
             before[1:] = c[:-1]
@@ -509,12 +478,17 @@ def train(docs: DataFrame, folder: str, shards: int | None = None, min_count: in
         return u, here, place, context
 
     def count_triples(batches):
-        lexicon = Lexicon(pairs)
-        for _, flat, ends in blocks(batches, BLOCK, lexicon):
+        for _, lexicon, flat, ends in blocks(batches):
             u, here, place, context = triple_positions(lexicon, flat, ends)
             use = (here >= 0) & (context >= 0)
             shard = pairs.shard_of(u[use])
             keys = context[use].astype(U) * U(pairs.fan_out) + place[use].astype(U)
+            bits = int(keys.max()).bit_length() if len(keys) else 0
+            if bits + shards.bit_length() <= 64:  # shard and key in one integer, which sorts far faster than by both
+                joint, counts = sums(shard.astype(U) << U(bits) | keys)
+                keys, cut = joint & U((1 << bits) - 1), np.searchsorted(joint >> U(bits), np.arange(shards + 1).astype(U))
+                yield _part_rows([(s, keys[a:b], counts[a:b]) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
+                continue
             order = np.lexsort((keys, shard))
             keys, shard = keys[order], shard[order]
             cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -563,8 +537,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
-        lexicon = Lexicon(model)
-        for names, flat, ends in blocks(batches, BLOCK // 2, lexicon):
+        for names, lexicon, flat, ends in blocks(batches, BLOCK // 2):
             starts = np.concatenate(([0], ends[:-1]))
             if not model.tokens:
                 n = len(names)

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from quillspark.llm import ngram_trie as ng
 
@@ -145,3 +147,16 @@ def test_singletons_are_kept(spark, tmp_path):
             want += math.log10((three[k] - ng.DISCOUNT) / two[k[:2]] + rest(three, k[:2], two[k[:2]]) * p2(*k[1:]))
         assert got[i]["score"] == pytest.approx(want, abs=ng.STEP * len(x))
         assert got[i]["score"] > pruned[i]["score"] + 0.5
+
+
+def test_words_are_told_apart_in_blocks():
+    texts = ["A b  c\nÉ é", None, "", " x\x0by\x1cz ", "the The THE\tthe", "\x85 \xa0 a"]
+    column = pa.array(["cut off", *texts]).slice(1)
+    words, sizes = ng.tokens(column)
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for x in want for w in x] and sizes.tolist() == [*map(len, want)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(6)), column], names=["doc_id", "text"])] * 3
+    for names, lexicon, flat, ends in ng.blocks(batches, 30):
+        assert names in ([*range(6)] * 2, [*range(6)])
+        hashes = [h for x in want for h in [*map(xxhash.xxh3_64_intdigest, x), ng.END]] * (len(names) // 6)
+        assert lexicon.hashes[flat].tolist() == hashes and ends[-1] == len(flat) and len(set(lexicon.hashes.tolist())) == len(lexicon.hashes)
