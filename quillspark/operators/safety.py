@@ -46,6 +46,10 @@ SENSITIVE = (
 SEPARATORS = ["=", ":", "-"]
 #: A label where a word begins: a name may well end like one.
 LABEL_WORD = ANY_LABEL.replace("(?iuU)", r"(?iuU)(?<!\w)(?:", 1) + ")"
+#: The same on pages, where words that only end a value need their separator: texts are full of a plain "re".
+LABEL_MARKED = r"(?iuU)(?<!\w)(?:" + "|".join([*V.LABELS.values(), *(b.replace(r"[:\-]?", r"[:\-]") for b in V.BOUNDARIES)]) + ")"
+#: A start of content is whole words; "re:" ends like none, so no boundary is asked for behind it.
+STARTED = CONTENT_STARTS.replace(r"(?iU)\b", r"(?iU)(?<!\w)").removesuffix(r"\b") + r"(?!\w)"
 
 
 def whole(x: Column) -> Column:
@@ -58,10 +62,10 @@ def wanted(kind: Column | str, else_: Column | None = None) -> Column:
     return F.coalesce(F.array_contains("allowed", F.lit(kind) if isinstance(kind, str) else kind), F.col("allowed").isNull())
 
 
-def named(line: Column) -> Column:
+def named(line: Column, label: str = LABEL_WORD) -> Column:
     """Whether a trimmed line looks like a name: up to four words with letters, no digit, no label."""
     words = F.filter(F.transform(F.split(line, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:"))), lambda w: w != "")
-    return (line != "") & ~line.rlike(r"(?U)\d") & ~line.rlike(LABEL_WORD) & ~line.rlike("(?i)" + V.GENERIC_LABEL_LINE) & F.size(words).between(1, 4) & F.forall(words, lambda w: w.rlike("[A-Za-z]")) & (F.length(line) <= 45)
+    return (line != "") & ~line.rlike(r"(?U)\d") & ~line.rlike(label) & ~line.rlike("(?i)" + V.GENERIC_LABEL_LINE) & F.size(words).between(1, 4) & F.forall(words, lambda w: w.rlike("[A-Za-z]")) & (F.length(line) <= 45)
 
 
 def rectangle(rule: str, x0: Column, y0: Column, x1: Column, y1: Column, across: int, along: int) -> Column:
@@ -87,9 +91,9 @@ def headers(lines: DataFrame, page: str) -> tuple[DataFrame, Column]:
     every, n = Window.partitionBy(page), F.col("line")
     pattern = lambda kind: F.col("text").rlike(V.STRUCTURED[kind][0])
     upper = lambda c: F.when(n < 14, c).otherwise(False)  # noqa: E731  no rule looks at names and places further down
-    start = F.min(F.when(upper(F.col("bare").rlike(CONTENT_STARTS)), n)).over(every)
+    start = F.min(F.when(upper(F.col("bare").rlike(STARTED)), n)).over(every)
     lines = lines.withColumn("dated", F.col("text").rlike(DATES)).withColumn("limit", F.coalesce(start, F.least(F.lit(8), F.max(n).over(every) + 1)))
-    lines = lines.withColumn("name_like", upper(named(F.col("bare"))))
+    lines = lines.withColumn("name_like", upper(named(F.col("bare"), LABEL_MARKED)))
     lines = lines.withColumn("contact", upper(pattern("email") | pattern("phone") | pattern("postcode") | F.col("text").rlike("(?iU)" + V.ADDRESS_LINE)))
     lines = lines.withColumn("label", F.min(F.when((n < F.col("limit")) & upper(F.col("text").rlike(CONTACT_LABELS)), n)).over(every))
     lines = lines.withColumn("before", F.coalesce((F.col("label") <= 10) & (n < F.col("label")) & (F.col("bare") != "") & ~F.col("dated"), F.lit(False)))
@@ -176,7 +180,7 @@ def closings(lines: DataFrame, page: str) -> tuple[DataFrame, Column]:
     lines = lines.withColumn("next", F.when(F.col("text").rlike(CLOSINGS) & (wanted("signature") | wanted("person_name")), nexts))
     gap = F.greatest(F.col("tall") * 4, F.lit(80.0))
     close = F.filter("next", lambda x, i: F.forall(F.slice("next", F.lit(1), i + 1), lambda y: y["y0"] - F.col("y1") <= gap))
-    signed = F.filter(close, lambda x: (x["x1"] - x["x0"] < F.col("width") * 0.45) | named(x["bare"]))
+    signed = F.filter(close, lambda x: (x["x1"] - x["x0"] < F.col("width") * 0.45) | named(x["bare"], LABEL_MARKED))
     return lines, F.transform(signed, lambda x: rectangle("closing", x["x0"], x["y0"], x["x1"], x["y1"], 6, 4))
 
 

@@ -62,6 +62,15 @@ def test_closing_stops_at_a_gap_and_wide_lines(spark):
     assert "closing" not in masks(spark, ["signed", "a long line with many words that no one takes for a name"])
 
 
+def test_a_word_of_the_text_is_no_label(spark):
+    assert masks(spark, ["Are re be", "Re tion on"])["header"] == [(0, 0, 94, 21), (0, 39, 104, 61)]
+    assert "header" not in masks(spark, ["Type: tion", "Dear all"])
+
+
+def test_content_starts_at_a_subject(spark):
+    assert masks(spark, ["Anna Willow", "Re: our talk", "12 High Street"])["header"] == [(0, 0, 114, 21)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_disjoint_covers_the_same_pixels(spark, seed):
     rng = random.Random(seed)
