@@ -134,12 +134,18 @@ def word_spans(words: DataFrame, page: str, order: str = "word_no") -> DataFrame
     return words.withColumn("start", start).withColumn("end", start + F.length("text"))
 
 
+def side(rows: DataFrame) -> DataFrame:
+    """Rows of pages for a join by page, by sorting. Words and lines come of texts that come of few bytes read, so that Spark would
+    take millions of them for a small table and send all to the driver, and from there to every task."""
+    return rows.hint("merge")
+
+
 def span_boxes(words: DataFrame, spans: DataFrame, page: str) -> DataFrame:
     """Boxes of spans (page, span_id, start, end): words that overlap them, cut in proportion, merged line by line.
 
     words has start and end (word_spans). A line's box holds words whose y ranges overlap by half the taller height.
     """
-    hit = spans.select(page, "span_id", F.col("start").alias("s"), F.col("end").alias("e")).join(words, page).where("start < e AND end > s")
+    hit = spans.select(page, "span_id", F.col("start").alias("s"), F.col("end").alias("e")).join(side(words), page).where("start < e AND end > s")
     size, width = F.col("end") - F.col("start"), F.col("x1") - F.col("x0")
     low, high = F.greatest(F.col("s") - F.col("start"), F.lit(0)) / size, F.least(F.col("e") - F.col("start"), size) / size
     cut = F.struct(F.col("y0"), (F.col("x0") + F.floor(low * width)).alias("x0"), (F.col("x0") + F.floor(high * width)).alias("x1"), F.col("y1"), F.col("confidence"))
@@ -227,9 +233,9 @@ def map_values(values: DataFrame, texts: DataFrame, lines: DataFrame, page: str,
     others meet all lines of their page, but of no other.
     """
     known = texts.select(page, S.lines(F.col("text")).alias("__lines"))  # once for each text, not for each value
-    place = values.where("start >= 0 AND value <> ''").join(known, page).withColumn("at", line_among(F.col("__lines"), F.col("start"))).where("at.ordinal IS NOT NULL").drop("__lines")
+    place = values.where("start >= 0 AND value <> ''").join(side(known), page).withColumn("at", line_among(F.col("__lines"), F.col("start"))).where("at.ordinal IS NOT NULL").drop("__lines")
     ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("y0", "line")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(page)))
-    pairs = place.join(ordered.select(page, "n", "m", "norm", F.struct("x0", "y0", "x1", "y1").alias("box")), page)
+    pairs = place.join(side(ordered.select(page, "n", "m", "norm", F.struct("x0", "y0", "x1", "y1").alias("box"))), page)
     ordinal, filled, m = F.col("at.ordinal"), F.greatest(F.col("at.filled"), F.lit(1)), F.col("m")
     at_end = (F.col("type") == "signature") | (ordinal >= filled - 3)
     early = (ordinal <= 10) & (ordinal < m)
@@ -276,7 +282,7 @@ def lines_after(lines: DataFrame, page: str, n: int = 3) -> DataFrame:
 
 def boxes_on_lines(lines: DataFrame, items: DataFrame, page: str, slack: float = 4.0) -> DataFrame:
     """Items (page, item_id, box) that lie within a line (page, line, box) but for a few pixels; both stay on their page."""
-    pairs = lines.select(page, "line", F.col("box").alias("b")).join(items.select(page, "item_id", F.col("box").alias("i")), page)
+    pairs = lines.select(page, "line", F.col("box").alias("b")).join(side(items.select(page, "item_id", F.col("box").alias("i"))), page)
     inside = (F.col("i.x0") >= F.col("b.x0") - slack) & (F.col("i.y0") >= F.col("b.y0") - slack) & (F.col("i.x1") <= F.col("b.x1") + slack) & (F.col("i.y1") <= F.col("b.y1") + slack)
     return pairs.where(inside).select(page, "line", "item_id")
 
@@ -354,7 +360,7 @@ def label_lines(lines: DataFrame, page: str, labels: dict[str, str]) -> DataFram
 def lines_for_values(values: DataFrame, lines: DataFrame, page: str, least: float = 0.45) -> DataFrame:
     """For each value (page, value_id, value), the page's line that is most like it and how much: containment counts as
     at least 0.8. A page's lines are few; pairs stay on their page."""
-    pairs = values.join(lines.select(page, "line", "norm", F.struct("x0", "y0", "x1", "y1").alias("box")), page)
+    pairs = values.join(side(lines.select(page, "line", "norm", F.struct("x0", "y0", "x1", "y1").alias("box"))), page)
     wanted = X.compact(F.col("value"))
     ratio = X.similarity(wanted, F.col("norm"))
     score = F.when((F.length(wanted) > 0) & (F.contains(F.col("norm"), wanted) | ((F.length("norm") > 3) & F.contains(wanted, F.col("norm")))), F.greatest(ratio, F.lit(0.8))).otherwise(ratio)

@@ -143,3 +143,12 @@ def test_texts_not_words_are_shuffled(spark):
     assert sorted(((r.page or 0), r.word_no, r.text, r.start, r.x0) for r in words.collect()) == [(0, 0, "d", 0, 0.0), (0, 1, "e", 2, 20.0), (1, 0, "a", 0, 0.0), (1, 1, "b", 2, 20.0), (3, 0, "c", 0, 0.0)]
     text = words._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert text.count("Exchange ") == 1 and text.index("Generate posexplode") < text.index("Exchange ")
+
+
+def test_lines_of_a_small_table_are_not_sent_to_every_task(spark, tmp_path):
+    from quillspark.plans import records, registry  # noqa: F401
+
+    spark.createDataFrame([(k, f"Customer#{k}") for k in range(20)], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("boxes_mapped_values", "boxes_of_spans", "boxes_on_lines"):
+        text = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastExchange" not in text
