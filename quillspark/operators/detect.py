@@ -27,6 +27,10 @@ ANY_GATE_WORDS = "name|nombre|reported|contact|carer|parent|applicant|dob|d.ob|d
 ANY_GATE_PATTERNS = {"ref": r"ref(?:erence)?\s*[:=-]", "n": r"n(?<!\wn)(?:\.?i\.?[n\s:=-]|(?:\.?h\.?|\s*[hm]\s*)s)"}
 
 
+#: What may be left of a label behind its first letters: a few words, and white space of any length.
+LABEL_REST = r"(?sU)^(?:\S{0,60}+\s++){0,8}+\S{0,60}+"
+
+
 def _ci(pattern: str) -> str:
     return "(?iuU)" + pattern
 
@@ -69,13 +73,22 @@ def field_labels(text: Column, labels: dict[str, str] = V.LABELS, any_label: str
 
         return S.let(raw, lambda raw: S.let(F.regexp_replace(raw, r"(?U)^\s+", ""), lambda left: kept(raw, left)))
 
-    def of(k: Column, starts: Column) -> Column:
-        found = F.filter(F.transform(S.matches(text, k["pattern"]), lambda m: value(k, m, starts)), lambda v: F.length(v["value"]) >= 2)
+    def of(hit: Column, starts: Column) -> Column:
+        k = hit["k"]
+        found = F.filter(F.transform(hit["found"], lambda m: value(k, m, starts)), lambda v: F.length(v["value"]) >= 2)
         return F.transform(found, lambda v: S.span(k["kind"], v, 0.95, "field_label"))
 
+    def reach(hits: Column) -> Column:
+        """The text as far as any value may go, and so much on that a label which begins there is whole."""
+        last = F.array_max(F.flatten(F.transform(hits, lambda h: F.transform(h["found"], lambda m: m["end"] + h["k"]["most"]))))
+        return F.concat(F.substring(text, F.lit(1), last), F.regexp_extract(F.substring(text, last + 1, F.length(text)), LABEL_REST, 0))
+
     def found(low: Column) -> Column:
         kinds = F.array_compact(F.array(*(F.when(low.rlike("(?U)" + gates[kind]), spec(kind)) for kind in labels)))  # constant patterns are compiled once
-        return S.let(F.transform(S.matches(text, any_label), lambda m: m["start"]), lambda starts: F.flatten(F.transform(kinds, lambda k: of(k, starts))))
+        hits = F.filter(F.transform(kinds, lambda k: F.struct(k.alias("k"), S.matches(text, k["pattern"]).alias("found"))), lambda h: F.size(h["found"]) > 0)
+        starts = lambda hits: F.transform(S.matches(reach(hits), any_label), lambda m: m["start"])  # noqa: E731  the dearest pattern: no further than needed
+        ends = lambda hits: S.let(starts(hits), lambda starts: F.flatten(F.transform(hits, lambda h: of(h, starts))))
+        return S.let(hits, lambda hits: F.when(F.size(hits) > 0, ends(hits)).otherwise(S.none()))
 
     may = _may_hold_label if labels is V.LABELS else lambda low: low.rlike("(?U)" + "|".join(gates.values()))
     return S.let(folded(text), lambda low: F.when(may(low) & text.rlike(_ci(_any_of([*labels.values()]))), found(low)).otherwise(S.none()))

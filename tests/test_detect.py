@@ -111,3 +111,21 @@ def test_every_label_spelled_alone(spark):
     stands = lambda kind, text: (m := re.search(V.LABELS[kind], text, re.IGNORECASE)) is not None and text[m.end() :].lower() == "qx zz7"
     missed = [r["text"] for r in found if stands(r["kind"], r["text"]) and not any(s["type"] == r["kind"] and s["value"].lower() == "qx zz7" for s in r["s"])]
     assert SPELLED.keys() == V.LABELS.keys() and missed == [] and sum(stands(*x) for x in rows) > 0.9 * len(rows)
+
+
+def test_values_end_at_labels_that_lie_just_within_reach(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import detect as D
+
+    tails = ["x" * n + " Full" + " " * 90 + "Name: Bo" for n in range(40, 56)] + ["Email: a b " + "word " * 90 + "\nRe: z", "Name: Bo", "Notes: " + "n" * 290 + " Date: 1", "Notes: a\n" + "b " * 300 + "Phone: 12"]
+    rows = spark.createDataFrame([("Name: Anna " + t,) for t in tails] + [("Note name and no label",)], "t string")
+    whole, D.LABEL_REST = D.LABEL_REST, "(?s)^.*"  # the whole text
+    try:
+        want = [r.s for r in rows.select(D.field_labels(F.col("t")).alias("s")).collect()]
+    finally:
+        D.LABEL_REST = whole
+    frame = rows.select(D.field_labels(F.col("t")).alias("s"))
+    assert [r.s for r in frame.collect()] == want and want[0][0].value.startswith("Anna x") and want[-1] == []
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "S{0,60}" in text  # labels that end values are not looked for in all of the text
