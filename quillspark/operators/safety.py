@@ -90,9 +90,9 @@ def headers(lines: DataFrame, page: str) -> tuple[DataFrame, Column]:
     """What stands above a letter's content: sender lines before the first contact label, names, addresses."""
     every, n = Window.partitionBy(page), F.col("line")
     pattern = lambda kind: F.col("text").rlike(V.STRUCTURED[kind][0])
-    upper = lambda c: F.when(n < 14, c).otherwise(False)  # noqa: E731  no rule looks at names and places further down
+    upper = lambda c: F.when(n < 14, c).otherwise(False)  # noqa: E731  no rule looks at names, places and dates further down
     start = F.min(F.when(upper(F.col("bare").rlike(STARTED)), n)).over(every)
-    lines = lines.withColumn("dated", F.col("text").rlike(DATES)).withColumn("limit", F.coalesce(start, F.least(F.lit(8), F.max(n).over(every) + 1)))
+    lines = lines.withColumn("dated", upper(F.col("text").rlike(DATES))).withColumn("limit", F.coalesce(start, F.least(F.lit(8), F.max(n).over(every) + 1)))
     lines = lines.withColumn("name_like", upper(named(F.col("bare"), LABEL_MARKED)))
     lines = lines.withColumn("contact", upper(pattern("email") | pattern("phone") | pattern("postcode") | F.col("text").rlike("(?iU)" + V.ADDRESS_LINE)))
     lines = lines.withColumn("label", F.min(F.when((n < F.col("limit")) & upper(F.col("text").rlike(CONTACT_LABELS)), n)).over(every))
@@ -177,7 +177,7 @@ def closings(lines: DataFrame, page: str) -> tuple[DataFrame, Column]:
     """Up to three lines below a closing that look like a signature, as long as they follow closely."""
     w = Window.partitionBy(page).orderBy("line")
     nexts = F.array_compact(F.array(*(F.lead(F.struct("x0", "y0", "x1", "y1", "bare"), i).over(w) for i in (1, 2, 3))))
-    lines = lines.withColumn("next", F.when(F.col("text").rlike(CLOSINGS) & (wanted("signature") | wanted("person_name")), nexts))
+    lines = lines.withColumn("next", F.when((wanted("signature") | wanted("person_name")) & F.col("text").rlike(CLOSINGS), nexts))
     gap = F.greatest(F.col("tall") * 4, F.lit(80.0))
     close = F.filter("next", lambda x, i: F.forall(F.slice("next", F.lit(1), i + 1), lambda y: y["y0"] - F.col("y1") <= gap))
     signed = F.filter(close, lambda x: (x["x1"] - x["x0"] < F.col("width") * 0.45) | named(x["bare"], LABEL_MARKED))
@@ -199,7 +199,8 @@ def safety_masks(words: DataFrame, pages: DataFrame, page: str) -> DataFrame:
     for rule in (headers, forms, dependents, closings):
         lines, boxes = rule(lines, page)
         found.append(boxes)
-    joined = lambda parts: F.explode(F.flatten(F.array(*(F.coalesce(x, F.array()) for x in parts)))).alias("r")
+    # of a plain explode Spark would make a filter, and look for all boxes again for it
+    joined = lambda parts: F.explode_outer(F.flatten(F.array(*(F.coalesce(x, F.array()) for x in parts)))).alias("r")
     out = lines.select(page, joined(found)).unionByName(held.select(page, joined([value_boxes(held), sensitive_boxes(held)]))).unionByName(label_rows(held, page))
     return out.where("r IS NOT NULL").select(page, "r.rule", "r.x0", "r.y0", "r.x1", "r.y1")
 
@@ -210,9 +211,11 @@ def disjoint(boxes: DataFrame, page: str) -> DataFrame:
     A sweep over x cuts a page into strips between neighbouring edges. In a strip, boxes whose y ranges meet become one
     run; runs of the same y range in touching strips are put together. Boxes of a page only meet each other.
     """
-    edges = boxes.select(page, F.explode(F.array("x0", "x1")).alias("left")).distinct()
-    strips = edges.withColumn("right", F.lead("left").over(Window.partitionBy(page).orderBy("left"))).where("right IS NOT NULL")
-    cut = strips.join(boxes.where("x1 > x0 AND y1 > y0"), page).where("x0 < right AND x1 > left").select(page, "left", "right", "y0", "y1")
+    boxes = boxes.where("x1 > x0 AND y1 > y0").groupBy(page).agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("all"))  # once: boxes are dear
+    edges = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda b: F.array(b["x0"], b["x1"])))))
+    strips = boxes.withColumn("edges", edges).select(page, "all", "edges", F.posexplode_outer("edges").alias("at", "left")).where("at < size(edges) - 1")
+    strips = strips.select(page, "left", F.expr("edges[at + 1]").alias("right"), "all")
+    cut = strips.select(page, "left", "right", F.explode_outer(F.filter("all", lambda b: (b["x0"] < F.col("right")) & (b["x1"] > F.col("left")))).alias("b")).where("b IS NOT NULL").select(page, "left", "right", "b.y0", "b.y1")
     down = Window.partitionBy(page, "left").orderBy("y0", "y1")
     reached = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn("run", F.coalesce((F.col("y0") > reached).cast("int"), F.lit(1)))

@@ -22,8 +22,8 @@ WIDTH = 1000
 def pages_and_words(spark, sf_dir: str):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id AS page", f"split({TEXT}, '\\n') AS lines", f"CAST({SURENESS} AS double) AS sureness", f"{ALLOWED.format(a='array(', b=')', t='array<string>')} AS allowed")
     pages = docs.select("page", F.lit(float(WIDTH)).alias("width"), (40.0 * F.size("lines") + 100).alias("height"), "sureness", "allowed")
-    lines = docs.select("page", F.posexplode("lines").alias("row", "line")).where("length(line) > 0")
-    blocks = lines.select("page", "row", F.posexplode(F.expr("transform(sequence(0, int((length(line) - 1) / 60)), j -> substring(line, 60 * j + 1, 60))")).alias("j", "text")).where(F.col("text").rlike(r"\S"))
+    lines = docs.select("page", F.posexplode_outer("lines").alias("row", "line")).where("length(line) > 0")  # of a plain one Spark would make a filter, and cut all lines again
+    blocks = lines.select("page", "row", F.posexplode_outer(F.regexp_extract_all("line", F.lit("(?s).{1,60}"), F.lit(0))).alias("j", "text")).where(F.col("text").rlike(r"\S"))
     x0, y0 = 610.0 * F.col("j"), 40.0 * F.col("row")
     words = blocks.select("page", (F.col("row") * 10000 + F.col("j")).alias("word_no"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 10 * F.length("text")).alias("x1"), (y0 + 20).alias("y1"))
     return words, pages
