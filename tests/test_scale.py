@@ -152,3 +152,14 @@ def test_lines_of_a_small_table_are_not_sent_to_every_task(spark, tmp_path):
     for name in ("boxes_mapped_values", "boxes_of_spans", "boxes_on_lines"):
         text = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+
+
+def test_boxes_are_found_once_before_they_are_put_apart(spark):
+    from quillspark.operators import safety
+
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10), (1, 5, 5, 20, 8)], "page long, x0 long, y0 long, x1 long, y1 long")
+    assert plan(safety.disjoint(boxes, "page")).count("LogicalRDD") == 1
+    words = words_of(spark, 1, 6)
+    pages = spark.createDataFrame([(0, 1000.0, 1000.0, 0.4, None)], "page long, width double, height double, sureness double, allowed array<string>")
+    text = plan(safety.safety_masks(words, pages, "page"))
+    assert not [line for line in text.splitlines() if "Filter" in line and "flatten(" in line]  # as Spark makes of a plain explode
